@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import bpe, neardup, quality, secrets
+from emberlake.llm import bpe, neardup, quality, secrets, warc
 from emberlake.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return coded.select(
@@ -34,5 +38,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_quality_rules, op4_minhash_near_dedup, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_quality_rules, op4_minhash_near_dedup, op5_warc, op9_byte_bpe)}
 ORACLES: dict[str, str] = {}
