@@ -3,7 +3,7 @@
 1. Each text's distinct word shingles give HASHES minima. Rows of ROWS minima are hashed to band keys; of every
    minimum the low BITS bits stay, packed in longs.
 2. Texts with equal shingle sets form a class, whose smallest id stands for it.
-3. Tree links: in each bucket (band key) every class is compared with the bucket's smallest id alone. The
+3. Tree links: in each bucket (band key) every class is compared with the bucket's most central class alone. The
    similarity estimated from the packed bits, corrected for chance agreement, selects one partner for each class;
    the link is confirmed on full sets. Their components mostly hold the large groups together.
 4. The rest, exactly: in buckets with classes of several components, the members outside the bucket's main
@@ -132,6 +132,16 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, threshold: float, i
     return pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
+def central(bucket: DataFrame) -> DataFrame:
+    """(key, hub): of each bucket (key, id, m members) the member that meets most others over all buckets.
+
+    Copies of one text are nearer to it than to each other, so that text, if it is there, meets most and all of
+    its copies are compared with it; the smallest id breaks ties.
+    """
+    meets = bucket.groupBy("id").agg(F.sum("m").alias("met"))
+    return bucket.join(meets, "id").groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("hub"))
+
+
 def links(docs: DataFrame, signed: DataFrame, width: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """Edges (a, b) whose components are those of all links; signed is a written table."""
     percent, least = round(100 * threshold), _at_least(threshold)
@@ -142,12 +152,13 @@ def links(docs: DataFrame, signed: DataFrame, width: int, threshold: float, id_c
     reps = some.join(member.select(F.col("a").alias("id")), "id", "left_anti").select("id", "n", "bands", "bits").dropDuplicates(["id", "n"])
     reps = cut(reps)
     keys = reps.select("id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub")
-    bucket = cut(keys.join(shared, "key").select("key", "id", "hub"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    bucket = cut(keys.join(shared, "key").select("key", "id", "m"))
+    hubs = central(bucket)
     sig = reps.select("id", "n", "bits")
     of = lambda c: sig.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     fits = (percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & (agreeing(F.col("bits_a"), F.col("bits_b")) >= least)
-    to_hub = bucket.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    to_hub = bucket.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     near = to_hub.join(of("b"), "b").join(of("a"), "a").where(fits).select("a", "b", estimate(F.col("bits_a"), F.col("bits_b")).alias("j"))
     tree = cut(near.groupBy("b").agg(F.max_by("a", F.struct("j", -F.col("a"))).alias("a")).select("a", "b"))
     tied = cut(confirmed(docs, tree, width, threshold, id_col, text_col))
