@@ -1 +1 @@
-
+"""Analytics operators: DataFrame to DataFrame."""

@@ -1 +1 @@
-
+"""Guarded SQL."""

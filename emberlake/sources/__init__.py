@@ -1 +1 @@
-
+"""Log formats and the event table."""
