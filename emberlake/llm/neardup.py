@@ -6,6 +6,8 @@
 3. Tree links: in each bucket (band key) every class is compared with the bucket's most central class alone. The
    similarity estimated from the packed bits, corrected for chance agreement, selects one partner for each class;
    the link is confirmed on full sets. Their components mostly hold the large groups together.
+   In ROUNDS more rounds, classes outside their bucket's main component meet one of its members, another in each
+   bucket, and again the best estimate is confirmed; so nearly all of a large group hangs together before step 4.
 4. The rest, exactly: in buckets with classes of several components, the members outside the bucket's main
    component meet those of other components. Pairs whose corrected estimate could belong to a similarity of the
    threshold (FAR_OFF standard deviations below it) are confirmed on full sets. No pair inside one component is
@@ -35,6 +37,7 @@ HASHES = ROWS * BANDS
 BITS = 4
 LONGS = -(-HASHES * BITS // 64)
 FAR_OFF = 5.0
+ROUNDS = 2
 #: Ids to be looked up in the texts are broadcast up to so many (8 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -162,16 +165,30 @@ def links(docs: DataFrame, signed: DataFrame, width: int, threshold: float, id_c
     near = to_hub.join(of("b"), "b").join(of("a"), "a").where(fits).select("a", "b", estimate(F.col("bits_a"), F.col("bits_b")).alias("j"))
     tree = cut(near.groupBy("b").agg(F.max_by("a", F.struct("j", -F.col("a"))).alias("a")).select("a", "b"))
     tied = cut(confirmed(docs, tree, width, threshold, id_col, text_col))
-    groups = cut(components(tied))
-    placed = bucket.join(groups, bucket["id"] == groups["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    placed = cut(placed)
-    mixed = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("several")).where("several > 1").select("key", "main")
+    tried = tree
+
+    def mixed_buckets() -> tuple[DataFrame, DataFrame]:
+        groups = cut(components(tied))
+        placed = cut(bucket.join(groups, bucket["id"] == groups["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c")))
+        mixed = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("several")).where("several > 1").select("key", "main")
+        return placed, cut(mixed)
+
+    placed, mixed = mixed_buckets()
+    for k in range(ROUNDS):
+        here = placed.join(mixed, "key")
+        some_of_main = here.where("c = main").groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(k))).alias("a"))
+        outside = here.where("c <> main").join(some_of_main, "key").select("a", F.col("id").alias("b")).distinct()
+        near = outside.join(of("b"), "b").join(of("a"), "a").where(fits).select("a", "b", estimate(F.col("bits_a"), F.col("bits_b")).alias("j"))
+        tries = cut(near.groupBy("b").agg(F.max_by("a", F.struct("j", -F.col("a"))).alias("a")).select("a", "b"))
+        tied = cut(tied.union(confirmed(docs, tries, width, threshold, id_col, text_col)))
+        tried = tried.union(tries)
+        placed, mixed = mixed_buckets()
     open_ = placed.join(mixed, "key").join(sig, "id")
     side = lambda c: open_.select("key", "main", F.col("id").alias(c), F.col("c").alias(f"c_{c}"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     apart = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b")))
     rest = side("a").where("c_a <> main").join(side("b").drop("main"), "key")
     rest = rest.where(apart & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = cut(rest.join(tree.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    rest = cut(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"))
     return member.union(tied).union(confirmed(docs, rest, width, threshold, id_col, text_col))
 
 
