@@ -90,7 +90,8 @@ def dated_list(spark: SparkSession, pages: DataFrame) -> DataFrame:
     hosts = hosts.withColumn("n", F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("long"))
     made = F.array(*[F.when(F.expr(when), F.struct(F.concat("host", F.lit(tail)).alias("pattern"), F.lit(category).alias("category"), F.expr(at).alias("at"), F.lit(action).alias("action"))) for when, tail, category, at, action in DATED])
     by_rule = hosts.select(F.explode(F.array_compact(made)).alias("x")).select("x.*")
-    return by_rule.union(spark.createDataFrame(NAMED, "pattern string, category string, at long, action string"))
+    named = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(c).alias("category"), F.lit(at).cast("long").alias("at"), F.lit(a).alias("action")) for p, c, at, a in NAMED])
+    return by_rule.union(spark.range(1).select(F.inline(named)))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
