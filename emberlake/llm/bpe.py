@@ -1,8 +1,7 @@
 """Operator 9, byte-level BPE encoding and decoding: DuckDB recursive queries in each partition.
 
 Spark deals out the documents; in a task, each text is split by the pattern, and the words not met before go
-to a recursive query: rows of (word, position, token) join the table of merge ranks on the bytes of two
-neighbours, each word contracts its leftmost pair of least rank, until no word has a pair left. Decoding joins
+to a recursive query: rows of (word, position, token) join the table of merges on the ids of two neighbours, each word contracts its leftmost pair of least rank, until no word has a pair left. Decoding joins
 the ids with the vocabulary and aggregates the bytes in order. Words repeat, so a task keeps their ids in a
 table of bounded size; equal words always get equal ids, whatever is kept.
 
@@ -31,22 +30,21 @@ LONG = 96
 #: Words kept in a task at most, words contracted by one query at most.
 KEPT, AT_ONCE = 200_000, 20_000
 
+#: A place is a word's number and, in its low 8 bits, a position. Of a word's pairs the least (rank, position, next position) is contracted.
 MERGE = """
-WITH RECURSIVE t(step, word, pos, tok) AS (
-    SELECT 0, word, i, substr(bytes, 2 * i + 1, 2) FROM (SELECT word, bytes, unnest(range(length(bytes) // 2)) AS i FROM words)
-  UNION ALL
-    SELECT step, word, pos, tok FROM (
-        WITH pairs AS (SELECT step, word, pos, tok, lead(tok) OVER w AS next FROM t WINDOW w AS (PARTITION BY word ORDER BY pos)),
-        best AS (SELECT word, min({'rank': rank, 'pos': pos}).pos AS spot FROM pairs JOIN ranks ON ranks.tok = pairs.tok || pairs.next GROUP BY word),
-        marked AS (SELECT step + 1 AS step, word, pos, CASE WHEN pos = spot THEN tok || next ELSE tok END AS tok, lag(pos = spot, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone FROM pairs JOIN best USING (word))
-        SELECT * FROM marked WHERE NOT gone)
+WITH RECURSIVE t(place, tok, done) AS (
+    SELECT place, tok, false FROM words
+  UNION ALL (
+    WITH pairs AS (SELECT place, tok, lead(place) OVER w AS after, lead(tok) OVER w AS next FROM t WHERE NOT done WINDOW w AS (ORDER BY place)),
+    best AS (
+        SELECT place >> 8 AS word, min((merged << 16) | ((place & 255) << 8) | (after & 255)) AS b
+        FROM pairs JOIN merges ON pair = (tok::BIGINT << 20) | next WHERE after >> 8 = place >> 8 GROUP BY 1)
+    SELECT place, CASE WHEN place & 255 = (b >> 8) & 255 THEN (b >> 16)::INT ELSE tok END, b IS NULL
+    FROM pairs LEFT JOIN best ON place >> 8 = best.word WHERE b IS NULL OR place & 255 <> b & 255)
 )
-SELECT word, list(rank ORDER BY pos) AS ids FROM t JOIN ranks USING (tok) WHERE step = (SELECT max(step) FROM t AS u WHERE u.word = t.word) GROUP BY word
-"""
-DECODE = """
-SELECT word, string_agg(ranks.tok, '' ORDER BY pos) AS bytes
-FROM (SELECT word, generate_subscripts(ids, 1) AS pos, unnest(ids) AS id FROM coded) JOIN ranks ON ranks.rank = id GROUP BY word
+SELECT place >> 8 AS word, list(tok ORDER BY place) AS ids FROM t WHERE done GROUP BY 1
 """
+DECODE = "SELECT place >> 32 AS word, string_agg(ranks.tok, '' ORDER BY place) AS bytes FROM coded JOIN ranks ON ranks.rank = coded.tok GROUP BY 1"
 
 
 def pattern_of(pattern: str):
@@ -66,6 +64,9 @@ class Coder:
         self.find = pattern_of(pattern).findall
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self._fill("ranks", pa.table({"tok": [t.hex() for t in self.ranks], "rank": pa.array(self.ranks.values(), pa.int32())}))
+        pairs = [((left << 20) | right, rank) for tok, rank in self.ranks.items() for k in range(1, len(tok)) if (left := self.ranks.get(tok[:k])) is not None and (right := self.ranks.get(tok[k:])) is not None]
+        self._fill("merges", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "merged": pa.array([r for _, r in pairs], pa.int64())}))
+        self.byte = [self.ranks[bytes([i])] for i in range(256)]
         self.ids: dict[str, tuple[int, ...]] = {}
         self.bytes: dict[tuple[int, ...], bytes] = {}
 
@@ -85,11 +86,11 @@ class Coder:
         for i in range(0, len(new), AT_ONCE):
             part = new[i : i + AT_ONCE]
             coded = [w.encode() for w in part]
-            short = [(k, b.hex()) for k, b in enumerate(coded) if len(b) <= LONG]
-            self._fill("words", pa.table({"word": pa.array([k for k, _ in short], pa.int32()), "bytes": pa.array([b for _, b in short], pa.string())}))
+            short = [(k << 8 | j, self.byte[x]) for k, b in enumerate(coded) if len(b) <= LONG for j, x in enumerate(b)]
+            self._fill("words", pa.table({"place": pa.array([p for p, _ in short], pa.int32()), "tok": pa.array([t for _, t in short], pa.int32())}))
             got = dict(self.db.execute(MERGE).fetchall())
             got |= {k: self._heap(b) for k, b in enumerate(coded) if len(b) > LONG}
-            self._fill("coded", pa.table({"word": pa.array(got.keys(), pa.int32()), "ids": pa.array(got.values(), pa.list_(pa.int32()))}))
+            self._fill("coded", pa.table({"place": pa.array([k << 32 | j for k, ids in got.items() for j in range(len(ids))], pa.int64()), "tok": pa.array(chain.from_iterable(got.values()), pa.int32())}))
             for k, text in self.db.execute(DECODE).fetchall():
                 ids = tuple(got[k])
                 self.ids[part[k]] = ids
