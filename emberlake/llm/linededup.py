@@ -32,8 +32,6 @@ from emberlake.llm.common import components, cut
 MIN_CHARS = 20
 SHINGLE, EXACT, THRESHOLD = 12, 5, 0.8
 ROWS, BANDS = 2, 12
-#: A document that keeps no more than this share of its characters is a copy of others.
-LEFT = 0.2
 #: The least share of pieces that two lines at the threshold have in common: each of the few edits that the threshold
 #: allows breaks up to three pieces. Pairs with less are not compared in full.
 PIECES = 0.33
@@ -167,6 +165,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_rest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without repeated lines, and without those documents that have hardly anything left."""
+    """docs without repeated lines, and without those documents that have no line left but blank ones."""
     out = dedup_lines(docs, id_col, text_col)
-    return out.where(f"lines.gone = 0 OR (lines.left > {LEFT} * lines.chars AND trim(`{text_col}`) <> '')").drop("lines")
+    return out.where((F.col("lines.gone") == 0) | F.col(text_col).rlike(r"\S")).drop("lines")

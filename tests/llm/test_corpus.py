@@ -92,6 +92,13 @@ def test_lines_of_odd_rows(odd, spark):
     assert got == {1: rows[0][1], 2: "another unique text of the second one"}
 
 
+def test_a_document_with_any_line_left_stays(spark):
+    line = "this is a line of a licence that repeats and is long enough to be most of its document"
+    rows = [(1, line), (2, f"{line}\nfound nowhere else here"), (3, f"{line}\nshort"), (4, f"{line}\n\n \t"), (5, f"\n{line}")]
+    got = {r["doc_id"]: r["text"] for r in linededup.keep_rest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: line, 2: "found nowhere else here", 3: "short"}
+
+
 def test_masks_meet_every_window():
     w, span = decontaminate.WINDOW, range(decontaminate.WINDOW)
     for off in combinations(span, decontaminate.SUBSTITUTED):
