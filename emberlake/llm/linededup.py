@@ -1,19 +1,20 @@
 """Operator 6, fuzzy line dedup by MinHash (native).
 
 Lines of MIN_CHARS or more characters, lower-cased and trimmed, are compared over the whole corpus. Equal lines
-meet by hash. Distinct lines get a MinHash signature of character shingles: pieces of SHINGLE bytes that begin
-at each word (at each character in a line without spaces), hashed once; the minimum of the hash under
-each of ROWS * BANDS exclusive-or masks is a minimum of the signature, and ROWS of them make a band key. Lines in one bucket
-are candidates; their full sets of EXACT-character shingles decide, at a Jaccard similarity of THRESHOLD.
-Components of the links come from a distributed union-find, and of each component the line that is first, by
-document id and line number, stays.
+meet by hash. Distinct lines get a MinHash signature of their EXACT-character shingles, at every character: each is
+hashed once; the minimum of the hash under each of ROWS * BANDS exclusive-or masks is a minimum of the
+signature, and ROWS of them make a band key. Lines in one bucket are candidates; their full sets of shingles
+decide, at a Jaccard similarity of THRESHOLD. Components of the links come from a distributed union-find, and of
+each component the line that is first, by document id and line number, stays.
 
 Candidates: each line meets the most central line of its buckets first, of those the one it shares most buckets
 with; then, in buckets whose lines are in several components, the lines outside the bucket's largest component
 meet those of other components. So copies cost their number and not its square.
-The pieces of two lines agree less than their character shingles: a pair of lines of 90 characters at the
-threshold, which two characters tell apart, has about 0.55 of its pieces in common and shares no bucket with
-probability (1 - 0.55 ** ROWS) ** BANDS = 1.3 %; with one character that differs 0.75 are common, and it is 5e-5.
+The signature is of the sets that decide, so a pair at the threshold shares no bucket with probability
+(1 - THRESHOLD ** ROWS) ** BANDS = 3.6e-4, whatever its script, words or length.
+Before the full comparison a pair must pass a test that loses none: of the bits (lo, hi) that the shingles of a line
+set, those that differ are no more than the shingles that differ, and these, at the threshold, are no more than
+(1 - THRESHOLD) / (1 + THRESHOLD) of the shingles of both.
 
 Edge cases: a null text stays null and has no lines; lines of rows without id stay; rows that share an id count
 as one document, so their equal lines with equal numbers tie and all stay; shorter lines stay whatever they
@@ -30,11 +31,8 @@ from pyspark.sql import functions as F
 from emberlake.llm.common import components, cut
 
 MIN_CHARS = 20
-SHINGLE, EXACT, THRESHOLD = 12, 5, 0.8
-ROWS, BANDS = 2, 12
-#: The least share of pieces that two lines at the threshold have in common: each of the few edits that the threshold
-#: allows breaks up to three pieces. Pairs with less are not compared in full.
-PIECES = 0.33
+EXACT, THRESHOLD = 5, 0.8
+ROWS, BANDS = 5, 20
 BROADCAST_ROWS = 500_000
 
 _bits = random.Random(20240203)
@@ -49,16 +47,23 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def band_keys(found: DataFrame) -> DataFrame:
-    """(a, size, bits, keys) for each distinct line; bits has a bit for each piece, by its hash."""
-    u, p = F.col("u"), F.col("p")
-    at = found.select("a", "b", F.col("line").cast("binary").alias("u"), F.contains("line", F.lit(" ")).alias("spaced"))
-    at = at.select("*", F.explode(F.sequence(F.lit(0), F.octet_length("u") - 1)).alias("p"))
-    begins = (p == 0) | (F.col("spaced") & (F.substring(u, p, F.lit(1)) == F.lit(b" "))) | (~F.col("spaced") & ~F.substring(u, p + 1, F.lit(1)).between(F.lit(b"\x80"), F.lit(b"\xbf")))
-    h = F.col("h")
-    hashed = at.where(begins).select("a", "b", F.octet_length("u").alias("size"), F.hash(F.substring(u, p + 1, F.lit(SHINGLE))).alias("h"))
-    least = hashed.groupBy("a", "b").agg(F.max("size").alias("size"), F.bit_or(F.expr("shiftleft(1L, pmod(h, 64))")).alias("bits"), *[F.min(h.bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(MASKS)])
+    """(a, n, lo, hi, keys) for each distinct line: n shingles at most, and a bit for each by its hash, 128 in all."""
+    u, p, h = F.col("u"), F.col("p"), F.col("h")
+    # Each distinct line once; what follows keeps this grouping, so only the lines are shuffled.
+    at = found.groupBy("a", "b").agg(F.min("line").alias("line")).select("a", "b", F.encode("line", "UTF-32").alias("u"))
+    at = at.select("*", F.explode(F.sequence(F.lit(0), (F.octet_length(u) / 4).cast("int") - EXACT)).alias("p"))
+    hashed = at.select("a", "b", "p", F.hash(F.substring(u, (4 * p + 1).cast("int"), F.lit(4 * EXACT))).alias("h"))
+    bits = lambda first: F.bit_or(F.expr(f"CASE WHEN pmod(h, 128) BETWEEN {first} AND {first + 63} THEN shiftleft(1L, pmod(h, 64)) ELSE 0L END"))
+    least = hashed.groupBy("a", "b").agg((F.max("p") + 1).alias("n"), bits(0).alias("lo"), bits(64).alias("hi"), *[F.min(h.bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(MASKS)])
     keys = F.array(*[F.xxhash64(F.lit(j), *[F.col(f"m{ROWS * j + r}") for r in range(ROWS)]) for j in range(BANDS)])
-    return least.select("a", "size", "bits", keys.alias("keys"))
+    return least.select("a", "n", "lo", "hi", keys.alias("keys"))
+
+
+def _near(x: str, y: str) -> Column:
+    """False only for pairs that can't reach the threshold; x and y end the names of their columns."""
+    apart = F.bit_count(F.col(f"lo{x}").bitwiseXOR(F.col(f"lo{y}"))) + F.bit_count(F.col(f"hi{x}").bitwiseXOR(F.col(f"hi{y}")))
+    percent = round(100 * THRESHOLD)
+    return (100 + percent) * apart <= (100 - percent) * (F.col(f"n{x}") + F.col(f"n{y}"))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -98,37 +103,34 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
 
 
 def _central(bucket: DataFrame) -> DataFrame:
-    """(key, hub, hub_size): of each bucket (key, a, size, m lines) the line that meets most others over all buckets.
+    """(key, hub, and n, lo and hi of the hub): of each bucket (key, a, m lines) the line that meets most others over all buckets.
 
     Variants of one line are nearer to it than to each other, so that line, if it is there, meets most and all of
     its variants are compared with it.
     """
     meets = bucket.groupBy("a").agg(F.sum("m").alias("met"))
-    hub = bucket.join(meets, "a").groupBy("key").agg(F.max_by(F.struct("a", "size"), F.struct("met", "a")).alias("h"))
-    return hub.select("key", F.col("h.a").alias("hub"), F.col("h.size").alias("hub_size"))
+    hub = bucket.join(meets, "a").groupBy("key").agg(F.max_by(F.struct("a", "n", "lo", "hi"), F.struct("met", "a")).alias("h"))
+    return hub.select("key", F.col("h.a").alias("hub"), *[F.col(f"h.{c}").alias(f"{c}_hub") for c in ("n", "lo", "hi")])
 
 
 def linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, component) of the distinct lines that are linked with others, by hash."""
-    percent = round(100 * THRESHOLD)
     keyed = cut(band_keys(lines(docs, id_col, text_col)))
     # One shuffle by key serves the count of each bucket and the join back.
-    each = keyed.select("a", "size", "bits", F.explode("keys").alias("key")).repartition("key")
+    each = keyed.select("a", F.explode("keys").alias("key")).repartition("key")
     shared = each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    bucket = cut(each.join(shared, "key").select("key", "a", "size", "bits", "m"))
-    fits = lambda m, n: percent * F.greatest(m, n) <= 125 * F.least(m, n)  # noqa: E731  bytes, so with room for wide characters
-    tree = bucket.join(_central(bucket), "key").where("a <> hub").where(fits("size", "hub_size")).groupBy("hub", "a").agg(F.count("*").alias("m"))
+    bucket = cut(each.join(shared, "key").join(keyed.drop("keys"), "a").select("key", "a", "n", "lo", "hi", "m"))
+    tree = bucket.join(_central(bucket), "key").where("a <> hub").where(_near("", "_hub")).groupBy("hub", "a").agg(F.count("*").alias("m"))
     tree = cut(tree.groupBy("a").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub")).select(F.col("hub").alias("x"), F.col("a").alias("y")))
     tied = cut(confirmed(tree, docs, id_col, text_col))
     groups = cut(components(tied.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-    placed = cut(bucket.join(groups, bucket["a"] == groups["node"], "left").select("key", "a", "size", "bits", F.coalesce("component", "a").alias("c")))
-    mixed = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
+    placed = cut(bucket.join(groups, bucket["a"] == groups["node"], "left").select("key", "a", "n", "lo", "hi", F.coalesce("component", "a").alias("c")))
+    mixed = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("key", "main")
     open_ = placed.join(mixed, "key")
-    side = lambda z: open_.select("key", "main", F.col("a").alias(z), F.col("c").alias(f"c_{z}"), F.col("size").alias(f"size_{z}"), F.col("bits").alias(f"bits_{z}"))
-    apart = (F.col("c_x") != F.col("c_y")) & ((F.col("c_y") == F.col("main")) | (F.col("x") < F.col("y"))) & fits("size_x", "size_y")
-    alike = F.bit_count(F.col("bits_x").bitwiseAND(F.col("bits_y"))) >= PIECES * F.bit_count(F.col("bits_x").bitwiseOR(F.col("bits_y")))
+    side = lambda z: open_.select("key", "main", F.col("a").alias(z), *[F.col(k).alias(f"{k}_{z}") for k in ("c", "n", "lo", "hi")])
+    apart = (F.col("c_x") != F.col("c_y")) & ((F.col("c_y") == F.col("main")) | (F.col("x") < F.col("y")))
     x, y = side("x").where("c_x <> main"), side("y").drop("main").withColumnRenamed("key", "key_y")
-    rest = x.join(y, (x["key"] == y["key_y"]) & apart & alike).groupBy("x", "y").agg(F.min("c_y").alias("c_y"))
+    rest = x.join(y, (x["key"] == y["key_y"]) & apart & _near("_x", "_y")).groupBy("x", "y").agg(F.min("c_y").alias("c_y"))
     rest = cut(rest)
     # One link from a line to another component does as well as all.
     more = confirmed(rest, docs, id_col, text_col).join(rest, ["x", "y"]).groupBy("x", "c_y").agg(F.min("y").alias("y")).select("x", "y")

@@ -99,6 +99,23 @@ def test_a_document_with_any_line_left_stays(spark):
     assert got == {1: line, 2: "found nowhere else here", 3: "short"}
 
 
+def test_lines_that_differ_anywhere_in_a_long_word_meet(spark):
+    rng = random.Random(12)
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    pairs = []
+    for _ in range(30):
+        for x, y in (("version 10.4.2-build-", "version 11.4.2-build-"), ("see https://", "see httpz://"), ("1. https://", "2. https://")):
+            tail = made("abcdef0123456789", 60)
+            pairs.append((x + tail, y + tail))
+        one = made([chr(c) for c in range(0x4E00, 0x5E00)], 60)
+        pairs.append((f"{one[:30]} {one[30:]}", f"{one[:20]}一{one[21:30]} {one[30:]}"))
+    pairs.append(("-" * 25, "-" * 70))
+    sets = char_sets({x for p in pairs for x in p})
+    assert all(len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b]) for a, b in pairs)
+    df = spark.createDataFrame(list(enumerate(x for p in pairs for x in p)), "doc_id long, text string")
+    assert {r["doc"] for r in linededup.dropped(df).collect()} == {2 * k + 1 for k in range(len(pairs))}
+
+
 def test_masks_meet_every_window():
     w, span = decontaminate.WINDOW, range(decontaminate.WINDOW)
     for off in combinations(span, decontaminate.SUBSTITUTED):
