@@ -2,9 +2,10 @@
 
 The text nodes of a page are grouped by their path of tags from the root. Each path has the mean text length
 and the mean number of punctuation marks of its nodes; both series, in the order of the page, are smoothed,
-and fused into a weight. Nodes of paths whose weight reaches a threshold are content; the element that holds
-nearly all of them is the article, and its blocks are the text, but for parts that are marked as something else
-(menus, footers, forms, comments and so on).
+and fused into a weight. Nodes of paths whose weight reaches a threshold are content. The outermost elements that
+are marked as the main part are the article, if they hold all content; else it is the lowest element that holds all
+content and all of them, and is no block of text. Its blocks are the text, but for parts that are marked as something
+else (menus, footers, forms, comments and so on).
 
 Edge cases: null and empty pages, or pages without text, give the empty text; rows are read one by one, so
 repeated rows give repeated results; pages of any size are read whole; markup that is broken off or badly
@@ -23,13 +24,13 @@ from pyspark.sql import functions as F
 
 #: Share of the strongest weight that a path must reach; nodes at either side that the smoothing looks at.
 LEAST, SIDES = 0.25, 1
-#: Share of the content's length that the article must hold.
-HOLDS = 0.9
 
 _WORDS = lambda s: frozenset(s.split())
 VOID = _WORDS("area base br col embed hr img input link meta param source track wbr")
 RAW = _WORDS("script style textarea title noscript template iframe noembed noframes xmp svg object canvas")
 INLINE = _WORDS("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img")
+#: Elements that hold a piece of a text and never the whole.
+PIECE = _WORDS("p h1 h2 h3 h4 h5 h6 pre blockquote address ul ol li dl dt dd table caption thead tbody tfoot tr td th figure figcaption details summary hgroup header center") | INLINE
 #: Elements that are never part of an article.
 ASIDE = _WORDS("nav aside footer form button select dialog menu head fieldset datalist")
 ROLES = _WORDS("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form")
@@ -160,23 +161,34 @@ def main_text(html: str) -> str:
         held[e] += size * (w >= least)
     for e in range(len(held) - 1, 0, -1):
         held[page.parent[e]] += held[e]
-    mains = [e for e in range(len(held)) if page.main[e] and not out[e] and 2 * held[e] >= held[0]]
-    article = max(mains or [e for e in range(len(held)) if held[e] >= HOLDS * held[0]])  # the deepest, or the last of a chain
-    inside = [e == article for e in range(len(held))]
-    linked = [page.tag[e] == "a" for e in range(len(held))]
+    within = list(page.main)
     for e in range(1, len(held)):
-        inside[e] |= inside[page.parent[e]]
-        linked[e] |= linked[page.parent[e]]
-    # A list of which every word is a link is a menu.
-    plain, lists = [0] * len(held), [-1] * len(held)
+        within[e] |= within[page.parent[e]]
+    outer = [e for e in range(1, len(held)) if page.main[e] and not out[e] and not within[page.parent[e]] and held[e]]
+    if outer and sum(held[e] for e in outer) == held[0]:
+        roots = set(outer)
+    else:
+        # Elements are numbered parents first, so the last that holds everything is the lowest.
+        marked = [0] * len(held)
+        for e in outer:
+            marked[e] = 1
+        own = [False] * len(held)
+        for (e, _, _), size in zip(nodes, sizes, strict=True):
+            while page.tag[e] in INLINE:
+                e = page.parent[e]
+            own[e] |= bool(size)
+        for e in range(len(held) - 1, 0, -1):
+            marked[page.parent[e]] += marked[e]
+        article = max(e for e in range(len(held)) if held[e] == held[0] and marked[e] == len(outer))
+        while article and (page.tag[article] in PIECE or own[article]):
+            article = page.parent[article]
+        roots = {article}
+    inside = [e in roots for e in range(len(held))]
     for e in range(1, len(held)):
-        lists[e] = e if page.tag[e] in ("ul", "ol") else lists[page.parent[e]]
-    for (e, _, _), size in zip(nodes, sizes, strict=True):
-        if lists[e] >= 0 and not linked[e]:
-            plain[lists[e]] += size
+        inside[e] |= inside[page.parent[e]]
     blocks: dict[int, list[str]] = {}
-    for (e, b, t), _ in zip(nodes, sizes, strict=True):
-        if inside[e] and (lists[e] < 0 or plain[lists[e]]):
+    for e, b, t in nodes:
+        if inside[e]:
             blocks.setdefault(b, []).append(t)
     return " ".join(x for b in blocks.values() if (x := " ".join("".join(b).split())))
 

@@ -110,6 +110,18 @@ def test_main_text(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_main_text_drops_no_content():
+    said = lambda n, k: " ".join(f"Word{k}, number {i}." for i in range(n))
+    a, b, c = said(60, "a"), said(40, "b"), said(4, "c")
+    menu = "<nav><a>Home</a></nav>"
+    assert html.main_text(f"<body>{menu}<main><article>{a}</article><article>{b}</article></main></body>") == f"{a} {b}"
+    assert html.main_text(f"<body>{menu}<article>{a}</article><article>{b}</article></body>") == f"{a} {b}"
+    assert html.main_text(f"<body>{menu}<div><div itemprop='articleBody'><p>{a}</p></div><section><p>{b}</p></section></div></body>") == f"{a} {b}"
+    for tag in ("p", "div"):
+        assert html.main_text(f"<body>{menu}<div><h1>Title</h1><{tag}>{a}</{tag}><{tag}>{c}</{tag}></div></body>") == f"Title {a} {c}"
+    assert html.main_text(f"<article><p>{a}</p><ul><li><a>One source</a></li></ul></article>") == f"{a} One source"
+
+
 @pytest.fixture(scope="module")
 def reference():
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
