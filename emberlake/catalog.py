@@ -359,7 +359,7 @@ def d25_entity_graph(spark, d):
 
 @query(None)
 def d26_pivot(spark, d):
-    links = relations.edges(derived(spark, d).where("event_id % 50 < 10"))
+    links = relations.edges(derived(spark, d))
     return relations.pivot(links, spark.createDataFrame([("user:u1",)], "node string"), 3)
 
 

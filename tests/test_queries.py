@@ -33,6 +33,21 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(([plain(r[c]) for c in cols] for r in rows), key=repr) == sorted(([plain(v) for v in r] for r in want.fetchall()), key=repr)
 
 
+def test_pivot_equals_breadth_first_search_of_all_edges(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    near = {}
+    for a, b in con.execute(f"SELECT a, b FROM ({catalog.ORACLES['d25_entity_graph']}) WHERE a IS NOT NULL AND b IS NOT NULL").fetchall():
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {"user:u1": (0, None)}
+    for hops in (1, 2, 3):
+        front = [n for n, (k, _) in want.items() if k == hops - 1]
+        for n in {m for x in front for m in near.get(x, ())} - set(want):
+            want[n] = (hops, min(x for x in front if n in near[x]))
+    assert {r["node"]: (r["hops"], r["via"]) for r in catalog.QUERIES["d26_pivot"](spark, SF).collect()} == want and len(want) > 1
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["subject", "n", "hosts", "last_us"]
 
