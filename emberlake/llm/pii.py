@@ -4,7 +4,9 @@ Personal values are found by pattern and validated (card numbers by their check
 octets, dates by the calendar, and so on). A keyed Feistel network permutes each within the values of its own
 format: the halves of the value take turns in adding, modulo their range, a keyed hash of the other half. So a
 pseudonym is valid in the same format, different values never meet in one pseudonym, and equal values have equal
-pseudonyms in all documents, whatever separators they are written with. What doesn't validate stays.
+pseudonyms in all documents, whatever separators they are written with. What doesn't validate stays. A card number
+may stand among other numbers (an expiry, a check code), so of a run of groups of digits each part of whole groups is
+tried, the leftmost first and of those the longest.
 
 Edge cases: a null text stays null and has no values; rows are treated one by one, so repeated rows give
 repeated results; texts are read whole; an empty table gives an empty table; other columns are handed on by the
@@ -28,8 +30,10 @@ PATTERNS = {
     "date": r"(?<![\w./-])(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[./](?:0[1-9]|1[0-2])[./](?:19|20)\d\d)(?![\w/-]|\.\d)",
     "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])",
     "phone": r"(?<![\w+(])(?:\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
+#: A run of groups of digits that may hold card numbers; it ends before a value of another kind.
+GROUP = r"\d++(?![A-Za-z_]|-(?!\d))"
+PATTERNS["card"] = rf"(?<![\w.-])(?=\d(?:[ -]?\d){{12}}){GROUP}(?:[ -](?!{'|'.join(PATTERNS.values())}){GROUP})*+"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -105,7 +109,25 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _is_card(m: Column) -> Column:
-    return _with(digits(m), lambda d: (luhn(F.substring(d, F.lit(1), F.length(d) - 1)) == F.substring(d, -1, 1)) & ~d.rlike(r"^(\d)\1*$"))
+    return _with(digits(m), lambda d: F.length(d).between(13, 19) & (luhn(F.substring(d, F.lit(1), F.length(d) - 1)) == F.substring(d, -1, 1)) & ~d.rlike(r"^(\d)\1*$"))
+
+
+def _cards(m: Column) -> Column:
+    """A run of groups of digits as (m, k): the card numbers in it, and what stands between them with k null."""
+    part = lambda t, k: F.struct(t.alias("m"), k.cast("string").alias("k"))
+
+    def split(groups: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            texts = F.transform(F.sequence(F.least(F.lit(19), F.size(groups) - i), F.lit(1), F.lit(-1)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(groups, i + 1, n), "").alias("t")))
+            first = F.get(F.filter(texts, lambda x: F.length(digits(x["t"])).between(13, 19) & _is_card(x["t"])), F.lit(0))
+            card = _with(first["t"], lambda t: F.array(part(F.regexp_replace(t, "[ -]$", ""), F.lit("card")), part(F.regexp_extract(t, "[ -]?$", 0), F.lit(None))))
+            all_ = F.concat(s["all"], F.when(first.isNull(), F.array(part(F.get(groups, i), F.lit(None)))).otherwise(card))
+            return F.when(i < s["next"], s).otherwise(F.struct((i + F.coalesce(first["n"], F.lit(1))).alias("next"), all_.alias("all")))
+
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<m:string,k:string>>").alias("all"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, one, lambda s: s["all"])
+
+    return F.when(_is_card(m), F.array(part(m, F.lit("card")))).otherwise(_with(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0)), split))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -169,12 +191,13 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(permute_text(local, key, "email"), F.substring(m, F.length(local) + 1, F.length(m)))
 
 
-def kind(m: Column) -> Column:
-    """The kind of a match, null if it doesn't validate."""
+def parts(m: Column) -> Column:
+    """A match as (m, k) with the kind, null if it doesn't validate; of a run of digits its parts."""
     whole = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
+    one = lambda k: F.array(F.struct(m.alias("m"), k.cast("string").alias("k")))
     return (
-        F.when(whole("email"), "email").when(whole("ip"), "ip").when(whole("date"), F.when(_is_date(m), "date")).when(whole("ssn"), "ssn")
-        .when(whole("phone"), F.when(F.length(digits(m)).between(8, 15), "phone")).when(whole("card"), F.when(_is_card(m), "card"))
+        F.when(whole("email"), one(F.lit("email"))).when(whole("ip"), one(F.lit("ip"))).when(whole("date"), one(F.when(_is_date(m), "date"))).when(whole("ssn"), one(F.lit("ssn")))
+        .when(whole("phone"), one(F.when(F.length(digits(m)).between(8, 15), "phone"))).when(m.rlike("^[0-9][0-9 -]*$"), _cards(m)).otherwise(one(F.lit(None)))
     )
 
 
@@ -186,12 +209,12 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     """docs with the text pseudonymised, and one column `found` of the kinds in order (null: not validated)."""
     text = F.col(text_col)
     df = docs.withColumn("_m", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("_k", F.transform("_m", lambda m: F.struct(m.alias("m"), kind(m).alias("k"))))
+    df = df.withColumn("_k", F.transform("_m", parts))
     between = F.split(text, ANY, -1)
-    new = F.transform("_k", lambda x: pseudonym(x["m"], x["k"], key))
+    new = F.transform("_k", lambda p: F.array_join(F.transform(p, lambda x: pseudonym(x["m"], x["k"], key)), ""))
     # Between the matches and after the last: as many values as pieces, the last one empty.
     joined = F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    return df.select(*[F.when(F.size("_k") > 0, joined).otherwise(text).alias(c) if c == text_col else docs[c] for c in docs.columns], F.transform("_k", lambda x: x["k"]).alias("found"))
+    return df.select(*[F.when(F.size("_k") > 0, joined).otherwise(text).alias(c) if c == text_col else docs[c] for c in docs.columns], F.transform(F.flatten("_k"), lambda x: x["k"]).alias("found"))
 
 
 def private(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -95,6 +95,18 @@ def test_pseudonyms_link_documents_and_leave_the_rest(spark):
     assert (got[1]["n_email"], got[1]["n_ip"], got[1]["n_card"], got[1]["n_date"]) == (1, 1, 1, 1)
 
 
+def test_cards_among_other_numbers(spark):
+    card, plain = "4111 1111 1111 1111", "4111111111111111"
+    rows = [(1, f"card {plain} 05/27"), (2, f"card {card} 123"), (3, f"no. 12 {card}, paid"), (4, f"1234 5678 {card} 99"), (5, f"{card} 01/02/2020"), (6, f"{card} {card}"), (7, "2201 9325 1033 4179 1931 8117"), (8, f"{card} 123-45-6789 12 ann@example.org"), (9, "0 " * 3000 + card)]
+    got = {r["doc_id"]: r for r in pii.private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: r["n_card"] for k, r in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 2, 7: 0, 8: 1, 9: 1}
+    new = got[1]["text"][5:21]
+    assert new != plain and luhn(new) % 10 == 0
+    spaced = " ".join(new[i : i + 4] for i in range(0, 16, 4))
+    assert [got[k]["text"] for k in (1, 2, 3, 4, 6, 7)] == [f"card {new} 05/27", f"card {spaced} 123", f"no. 12 {spaced}, paid", f"1234 5678 {spaced} 99", f"{spaced} {spaced}", rows[6][1]]
+    assert got[5]["n_date"] == got[8]["n_ssn"] == got[8]["n_email"] == 1
+
+
 PAGE = """<html><head><title>t</title><style>x{}</style></head><body><header class="site"><a href="/">Home</a></header><nav><ul><li><a>News</a></ul></nav>
 <div class="wrap"><article><h1>Title &amp; more</h1><p>First paragraph, with <b>bold</b>   words; and enough of them to count.</p><p>Second one.
 Goes on, and on, and on.</p><div class="advert">Buy now!</div></article><aside>Related</aside><section class="comments"><p>I disagree, strongly, with all of this, and at length.</p></section></div>
