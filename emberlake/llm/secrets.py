@@ -3,8 +3,9 @@
 A candidate is a run of 20 or more characters of the token alphabet. A window slides over it one character at
 a time; the counts of the characters in the window, and the sum of c * log2(c) over them, are updated for the
 character that enters and the one that leaves, which gives the Shannon entropy of each window at constant cost.
-A candidate whose windows, of one class of characters (hexadecimal, or mixed letters and digits), reach the
-entropy for that class is reported, unless the allow-list knows it.
+A candidate is reported if a window in a run of one class of characters (hexadecimal, letters with digits, letters of
+both cases, or all) reaches the entropy for that class. The allow-list takes out a candidate that it matches in full;
+of others it takes out the windows that overlap or touch what it matches.
 
 Edge cases: null text is the empty text (no spans, the hash of the empty string); rows are scanned one by one,
 so repeated rows give repeated results; texts of any length are scanned whole; only the id and the text are
@@ -26,13 +27,19 @@ KINDS = ["assign", "access", "hex", "entropy"]
 #: Candidates: runs of the token alphabet, at least a window long.
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: name: (alphabet, pattern that a window's candidate must hold, entropy in bits a character that a window must reach).
+#: name: (alphabet, runs of it, what a run must hold, entropy in bits a character that a window must reach).
 CLASSES = {
-    "hex": ("0123456789abcdef", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", 3.0),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", r"^(?=.*[0-9])(?=.*[A-Z])", 3.7),
+    "hex": ("0123456789abcdef", r"[0-9a-f]{20,}", r"^(?=.*[0-9])(?=.*[a-f])", 3.0),
+    "upper hex": ("0123456789ABCDEF", r"[0-9A-F]{20,}", r"^(?=.*[0-9])(?=.*[A-F])", 3.0),
+    "lower": ("abcdefghijklmnopqrstuvwxyz0123456789", r"[a-z0-9]{20,}", r"^(?=.*[0-9])(?=.*[a-z])", 3.5),
+    "upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", r"[A-Z0-9]{20,}", r"^(?=.*[0-9])(?=.*[A-Z])", 3.5),
+    "letters": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", r"[A-Za-z]{20,}", r"^(?=.*[a-z])(?=.*[A-Z])", 3.9),
+    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", CANDIDATE, r"^(?=.*[0-9])(?=.*[A-Z])", 3.7),
 }
-#: Candidates that hold one of these are known not to be secret: placeholders, runs of an alphabet, identifiers of public formats.
-ALLOW = r"(?i)example|placeholder|changeme|dummy|0123456789|abcdefghij|(.)\1{7}|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[a-z]+([-_/=][a-z]+)*$"
+#: Candidates known not to be secret: identifiers of public formats, phrases of words.
+ALLOW = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^(?-i:[a-z]+([-_/=][a-z]+)*)$"
+#: Pieces that are no part of a secret, with the characters that touch them: placeholders, runs of an alphabet or of one character.
+PLACEHOLDER = r"(?i)[A-Za-z0-9+/_=-]?(?:example|placeholder|changeme|dummy|0123456789|abcdefghij|(.)\1{7,})[A-Za-z0-9+/_=-]?"
 
 
 def found(text: Column, pattern: str, group: int = 0) -> Column:
@@ -90,8 +97,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     })
 
     def reached(m: Column) -> Column:
-        peaks = [F.when(m["value"].rlike(must), peak_entropy(m["value"], alphabet)).otherwise(0.0) >= least for alphabet, must, least in CLASSES.values()]
-        return peaks[0] | peaks[1]
+        def secret(piece: Column) -> Column:
+            any_ = F.lit(False)
+            for alphabet, runs, must, least in CLASSES.values():
+                any_ = any_ | F.exists(F.regexp_extract_all(piece, F.lit(runs), F.lit(0)), lambda v: F.when(v.rlike(must), peak_entropy(v, alphabet)).otherwise(0.0) >= least)  # noqa: B023
+            return any_
+
+        return F.exists(F.split(m["value"], PLACEHOLDER, -1), secret)
 
     df = df.withColumn("entropy", F.when(F.size("_c") > 0, F.filter("_c", reached)).otherwise(F.col("_c")))
     tagged = lambda n, k: F.transform(k, lambda m: F.struct(m["start"].alias("start"), F.lit(n).alias("n"), m["end"].alias("end"), F.lit(k).alias("kind")))

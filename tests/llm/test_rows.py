@@ -46,6 +46,17 @@ def test_entropy_finds_unnamed_secrets_and_allows_placeholders(spark):
     assert got == {1: 1, 2: 0, 3: 0}
 
 
+def test_entropy_of_each_class_and_beside_placeholders(spark):
+    rng = random.Random(4)
+    made = lambda letters, n=40: "".join(rng.choice(letters) for _ in range(n))
+    low, up, ten = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    secret = [made(low + ten), made(low[:26] + "234567"), made(ten + "ABCDEF"), made(low + up, 60), "AAAAAAAAAB" + made(low + up + ten), "/example/" + made(low + up + ten), "some-word-" + made(ten + "abcdef")]
+    plain = ["an-ordinary-hyphenated-phrase-of-words", "0123456789" * 4, "123e4567-e89b-12d3-a456-426614174000", "example" * 6]
+    rows = list(enumerate(secret + plain))
+    got = {r["doc_id"]: r["n_entropy"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i < len(secret)) for i, _ in rows}
+
+
 def test_quality_counts_equal_brute_force(docs, odd):
     for df in (docs, odd):
         out = quality.quality_rules(df)
