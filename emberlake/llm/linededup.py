@@ -1,140 +1,140 @@
 """Operator 6, fuzzy line dedup by MinHash (native).
 
-Lines of MIN_CHARS or more characters, lower-cased and trimmed, are compared over the whole corpus. Equal lines
-meet by hash. Distinct lines get a MinHash signature of their EXACT-character shingles, at every character: each is
-hashed once; the minimum of the hash under each of ROWS * BANDS exclusive-or masks is a minimum of the
-signature, and ROWS of them make a band key. Lines in one bucket are candidates; their full sets of shingles
-decide, at a Jaccard similarity of THRESHOLD. Components of the links come from a distributed union-find, and of
-each component the line that is first, by document id and line number, stays.
-
-Candidates: each line meets the most central line of its buckets first, of those the one it shares most buckets
-with; then, in buckets whose lines are in several components, the lines outside the bucket's largest component
-meet those of other components. So copies cost their number and not its square.
-The signature is of the sets that decide, so a pair at the threshold shares no bucket with probability
-(1 - THRESHOLD ** ROWS) ** BANDS = 3.6e-4, whatever its script, words or length.
-Before the full comparison a pair must pass a test that loses none: of the bits (lo, hi) that the shingles of a line
-set, those that differ are no more than the shingles that differ, and these, at the threshold, are no more than
-(1 - THRESHOLD) / (1 + THRESHOLD) of the shingles of both.
+Lines that aren't blank, lower-cased and trimmed, are compared over the whole corpus. Equal lines meet by hash.
+Distinct lines get a MinHash signature of their EXACT-character shingles, at every character: each is hashed
+once, to 64 bits; a minimum of the signature is the least value of that hash, rotated and under an exclusive-or mask.
+ROWS of the minima make a band key (each minimum serves in two bands). Lines in one bucket are candidates; their full
+sets of shingles decide, at a Jaccard similarity of THRESHOLD. Components of the links come from a distributed
+union-find, and of each component the line that is first, by document id and line number, stays.
+
+Candidates: each line meets the most central line of its buckets (its hub), of those the one it shares most buckets
+with. Then, in buckets whose lines are still in several components, the lines outside the bucket's largest component
+meet those of other components, but for pairs that can't be links: those whose low bits of minima agree too seldom
+(FAR_OFF standard deviations below the threshold), and those of one hub whose differences from it rule a link out
+(common.may_reach, which loses none). In a large group of variants of one line nearly all pairs are of the latter kind,
+so copies and variants cost about their number and not its square in rows.
+A pair at the threshold shares no bucket with a probability of 2.3e-3 (0.2e-3 at 0.85), whatever its script, words or length.
 
 Edge cases: a null text stays null and has no lines; lines of rows without id stay; rows that share an id count
-as one document, so their equal lines with equal numbers tie and all stay; shorter lines stay whatever they
-repeat; texts are read whole; an empty table gives an empty table; other columns are handed on.
+as one document, so their equal lines with equal numbers tie and all stay; a line shorter than a shingle is one
+itself, so it meets equal lines alone; blank lines stay; texts are read whole; an empty table gives an empty table;
+other columns are handed on, whatever their names.
 """
 
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import components, cut
+from emberlake.llm.common import against_hub, bits_for, components, cut, enough, may_reach, nibbles_agreeing
 
-MIN_CHARS = 20
 EXACT, THRESHOLD = 5, 0.8
-ROWS, BANDS = 5, 20
-BROADCAST_ROWS = 500_000
+MINIMA, ROWS, BANDS = 50, 5, 20
+LONGS = -(-MINIMA // 16)
+FAR_OFF = 5.0
+#: Ids (8 bytes each) are broadcast up to so many, else joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Minima under one rotation see the same order of bits; several keep them apart in short lines too.
+ROTATIONS = 8
 
 _bits = random.Random(20240203)
-MASKS = [_bits.getrandbits(31) for _ in range(ROWS * BANDS)]
+MASKS = [_bits.getrandbits(63) for _ in range(MINIMA)]
+_deck = _bits.sample(range(MINIMA), MINIMA) + _bits.sample(range(MINIMA), MINIMA)
+#: The minima of each band.
+BAND = [_deck[ROWS * j : ROWS * (j + 1)] for j in range(BANDS)]
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, i, line, a, b): comparable lines with their place and a hash of 128 bits."""
+    """(doc, i, line, a, b): lines that aren't blank with their place and a hash of 128 bits."""
     each = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(text_col, "\n", -1)).alias("i", "line"))
-    each = each.select("doc", "i", F.lower(F.trim("line")).alias("line")).where(F.length("line") >= MIN_CHARS)
+    each = each.where(F.col("line").rlike(r"\S")).select("doc", "i", F.lower(F.trim("line")).alias("line"))
     return each.select("doc", "i", "line", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
 
 
-def band_keys(found: DataFrame) -> DataFrame:
-    """(a, n, lo, hi, keys) for each distinct line: n shingles at most, and a bit for each by its hash, 128 in all."""
+def signatures(found: DataFrame) -> DataFrame:
+    """(a, bits, keys) for each distinct line: the low 4 bits of its minima, packed, and its band keys."""
     u, p, h = F.col("u"), F.col("p"), F.col("h")
     # Each distinct line once; what follows keeps this grouping, so only the lines are shuffled.
     at = found.groupBy("a", "b").agg(F.min("line").alias("line")).select("a", "b", F.encode("line", "UTF-32").alias("u"))
-    at = at.select("*", F.explode(F.sequence(F.lit(0), (F.octet_length(u) / 4).cast("int") - EXACT)).alias("p"))
-    hashed = at.select("a", "b", "p", F.hash(F.substring(u, (4 * p + 1).cast("int"), F.lit(4 * EXACT))).alias("h"))
-    bits = lambda first: F.bit_or(F.expr(f"CASE WHEN pmod(h, 128) BETWEEN {first} AND {first + 63} THEN shiftleft(1L, pmod(h, 64)) ELSE 0L END"))
-    least = hashed.groupBy("a", "b").agg((F.max("p") + 1).alias("n"), bits(0).alias("lo"), bits(64).alias("hi"), *[F.min(h.bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(MASKS)])
-    keys = F.array(*[F.xxhash64(F.lit(j), *[F.col(f"m{ROWS * j + r}") for r in range(ROWS)]) for j in range(BANDS)])
-    return least.select("a", "n", "lo", "hi", keys.alias("keys"))
+    at = at.select("*", F.explode(F.sequence(F.lit(0), F.greatest((F.octet_length(u) / 4).cast("int") - EXACT, F.lit(0)))).alias("p"))
+    hashed = at.select("a", "b", F.xxhash64(F.substring(u, (4 * p + 1).cast("int"), F.lit(4 * EXACT))).alias("h"))
+    turned = [h if r == 0 else F.shiftleft(h, 64 // ROTATIONS * r).bitwiseOR(F.shiftrightunsigned(h, 64 - 64 // ROTATIONS * r)) for r in range(ROTATIONS)]
+    hashed = hashed.select("a", "b", *[t.alias(f"h{r}") for r, t in enumerate(turned)])
+    least = hashed.groupBy("a", "b").agg(*[F.min(F.col(f"h{k % ROTATIONS}").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(MASKS)])
+    nibble = lambda k: F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(15)), 4 * (k % 16))
+    packed = [reduce(lambda x, y: x.bitwiseOR(y), [nibble(k) for k in range(16 * n, min(16 * n + 16, MINIMA))]) for n in range(LONGS)]
+    keys = F.array(*[F.xxhash64(F.lit(j), *[F.col(f"m{k}") for k in ks]) for j, ks in enumerate(BAND)])
+    return least.select("a", F.array(*packed).alias("bits"), keys.alias("keys"))
 
 
-def _near(x: str, y: str) -> Column:
-    """False only for pairs that can't reach the threshold; x and y end the names of their columns."""
-    apart = F.bit_count(F.col(f"lo{x}").bitwiseXOR(F.col(f"lo{y}"))) + F.bit_count(F.col(f"hi{x}").bitwiseXOR(F.col(f"hi{y}")))
-    percent = round(100 * THRESHOLD)
-    return (100 + percent) * apart <= (100 - percent) * (F.col(f"n{x}") + F.col(f"n{y}"))
-
-
-def _few(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it has no more than BROADCAST_ROWS narrow rows; df is a written table."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def agree(x: Column, y: Column) -> Column:
+    """False only (but for FAR_OFF standard deviations) for lines that don't reach the threshold."""
+    return nibbles_agreeing(x, y, LONGS, MINIMA) >= bits_for(THRESHOLD, MINIMA, FAR_OFF)
 
 
 def shingles(line: Column) -> Column:
-    """The distinct character shingles of a line, hashed; UTF-32 makes each place of a character reachable at once."""
-    of = lambda u: F.transform(F.sequence(F.lit(0), (F.octet_length(u) / 4).cast("int") - EXACT), lambda p: F.hash(F.substring(u, (4 * p + 1).cast("int"), F.lit(4 * EXACT))))
-    # The variable of the outer lambda stands for the encoded line, which is so encoded once.
-    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), of)))
-
-
-def _texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, line) of the lines whose hash is in ids, a written table."""
-    return lines(docs, id_col, text_col).select("a", "line").join(_few(ids), "a", "left_semi").groupBy("a").agg(F.min("line").alias("line"))
+    """The distinct character shingles of a line; a shorter line is one itself."""
+    return F.when(F.length(line) > EXACT, F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{EXACT}}}))"), F.lit(1)))).otherwise(F.array(line))
 
 
-def _enough(x: Column, y: Column) -> Column:
-    """Whether two sets reach the threshold."""
-    both = F.size(F.array_intersect(x, y))
-    return 100 * both >= round(100 * THRESHOLD) * (F.size(x) + F.size(y) - both)
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (x, y) of lines whose shingle sets reach the threshold; pairs is a written table.
+def compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """pairs (x, y) of lines with `rel`, how the shingles of y differ from those of x; pairs is a written table.
 
     Lines meet as text, and their sets are made where they meet: a set is many times its line.
     """
     ids = cut(pairs.select(F.col("x").alias("a")).union(pairs.select("y")).distinct())
-    texts = cut(_texts(ids, docs, id_col, text_col))
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = lines(docs, id_col, text_col).select("a", "line").join(F.broadcast(ids) if few else ids, "a", "left_semi").groupBy("a").agg(F.min("line").alias("line"))
+    texts = cut(texts)
     of = lambda c: texts.select(F.col("a").alias(c), F.col("line").alias(f"line_{c}"))
     met = pairs.select("x", "y").join(of("y"), "y").join(of("x"), "x")
     sets = F.array(F.struct(shingles(F.col("line_x")).alias("x"), shingles(F.col("line_y")).alias("y")))
-    return met.where(F.exists(F.transform(sets, lambda s: _enough(s["x"], s["y"])), lambda z: z)).select("x", "y")
+    return met.select("x", "y", F.element_at(F.transform(sets, lambda s: against_hub(s["y"], s["x"])), 1).alias("rel"))
 
 
-def _central(bucket: DataFrame) -> DataFrame:
-    """(key, hub, and n, lo and hi of the hub): of each bucket (key, a, m lines) the line that meets most others over all buckets.
+def central(bucket: DataFrame) -> DataFrame:
+    """(key, hub): of each bucket (key, a, m lines) the line that meets most others over all buckets.
 
     Variants of one line are nearer to it than to each other, so that line, if it is there, meets most and all of
     its variants are compared with it.
     """
     meets = bucket.groupBy("a").agg(F.sum("m").alias("met"))
-    hub = bucket.join(meets, "a").groupBy("key").agg(F.max_by(F.struct("a", "n", "lo", "hi"), F.struct("met", "a")).alias("h"))
-    return hub.select("key", F.col("h.a").alias("hub"), *[F.col(f"h.{c}").alias(f"{c}_hub") for c in ("n", "lo", "hi")])
+    return bucket.join(meets, "a").groupBy("key").agg(F.max_by("a", F.struct("met", "a")).alias("hub"))
 
 
 def linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, component) of the distinct lines that are linked with others, by hash."""
-    keyed = cut(band_keys(lines(docs, id_col, text_col)))
+    keyed = cut(signatures(lines(docs, id_col, text_col)))
     # One shuffle by key serves the count of each bucket and the join back.
     each = keyed.select("a", F.explode("keys").alias("key")).repartition("key")
     shared = each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    bucket = cut(each.join(shared, "key").join(keyed.drop("keys"), "a").select("key", "a", "n", "lo", "hi", "m"))
-    tree = bucket.join(_central(bucket), "key").where("a <> hub").where(_near("", "_hub")).groupBy("hub", "a").agg(F.count("*").alias("m"))
-    tree = cut(tree.groupBy("a").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub")).select(F.col("hub").alias("x"), F.col("a").alias("y")))
-    tied = cut(confirmed(tree, docs, id_col, text_col))
-    groups = cut(components(tied.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-    placed = cut(bucket.join(groups, bucket["a"] == groups["node"], "left").select("key", "a", "n", "lo", "hi", F.coalesce("component", "a").alias("c")))
+    bucket = cut(each.join(shared.hint("shuffle_hash"), "key").select("key", "a", "m"))
+    some = cut(keyed.select("a", "bits").join(bucket.select("a").distinct(), "a", "left_semi"))
+    of = lambda c: some.select(F.col("a").alias(c), F.col("bits").alias(f"bits_{c}"))
+
+    met = bucket.join(central(bucket), "key").where("a <> hub").groupBy("hub", "a").agg(F.count("*").alias("m"))
+    best = met.groupBy("a").agg(F.max_by("hub", F.struct("m", "hub")).alias("x")).select("x", F.col("a").alias("y"))
+    tree = cut(best.join(of("y"), "y").join(of("x"), "x").where(agree(F.col("bits_x"), F.col("bits_y"))).select("x", "y"))
+    near = cut(compared(tree, docs, id_col, text_col))
+    tied = near.where(enough(F.col("rel.both"), F.col("rel.n"), F.col("rel.n_hub"), THRESHOLD)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    groups = cut(components(tied))
+    placed = cut(bucket.join(groups, bucket["a"] == groups["node"], "left").select("key", "a", F.coalesce("component", "a").alias("c")))
     mixed = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("key", "main")
-    open_ = placed.join(mixed, "key")
-    side = lambda z: open_.select("key", "main", F.col("a").alias(z), *[F.col(k).alias(f"{k}_{z}") for k in ("c", "n", "lo", "hi")])
-    apart = (F.col("c_x") != F.col("c_y")) & ((F.col("c_y") == F.col("main")) | (F.col("x") < F.col("y")))
+    known = some.join(near.select(F.col("y").alias("a"), F.col("x").alias("hub"), "rel"), "a", "left")
+    open_ = cut(placed.join(mixed, "key").join(known, "a"))
+    side = lambda z: open_.select("key", "main", F.col("a").alias(z), *[F.col(k).alias(f"{k}_{z}") for k in ("c", "bits", "hub", "rel")])
     x, y = side("x").where("c_x <> main"), side("y").drop("main").withColumnRenamed("key", "key_y")
-    rest = x.join(y, (x["key"] == y["key_y"]) & apart & _near("_x", "_y")).groupBy("x", "y").agg(F.min("c_y").alias("c_y"))
-    rest = cut(rest)
-    # One link from a line to another component does as well as all.
-    more = confirmed(rest, docs, id_col, text_col).join(rest, ["x", "y"]).groupBy("x", "c_y").agg(F.min("y").alias("y")).select("x", "y")
-    return components(tied.union(more).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    apart = (F.col("c_x") != F.col("c_y")) & ((F.col("c_y") == F.col("main")) | (F.col("x") < F.col("y")))
+    tried = F.coalesce(F.col("hub_x") == F.col("y"), F.lit(False)) | F.coalesce(F.col("hub_y") == F.col("x"), F.lit(False))
+    hopeless = (F.col("hub_x") == F.col("hub_y")) & ~may_reach(F.col("rel_x"), F.col("rel_y"), THRESHOLD)
+    rest = x.join(y, (x["key"] == y["key_y"]) & apart & ~tried & agree(F.col("bits_x"), F.col("bits_y")) & ~F.coalesce(hopeless, F.lit(False)))
+    rest = cut(rest.select("x", "y").distinct())
+    more = compared(rest, docs, id_col, text_col).where(enough(F.col("rel.both"), F.col("rel.n"), F.col("rel.n_hub"), THRESHOLD)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return components(tied.union(more))
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,30 +143,34 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = F.min(F.struct("doc", "i")).alias("first")
     classes = cut(places.groupBy("a", "b").agg(first, F.count("*").alias("n")))
     groups = cut(linked(docs, id_col, text_col))
-    joined = classes.join(groups, classes["a"] == groups["node"], "left")
-    of_group = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("least"))
-    keeper = joined.where("n > 1 OR component IS NOT NULL").join(of_group, "component", "left").select("a", "b", F.coalesce("least", "first").alias("keeper"))
+    joined = classes.join(groups, classes["a"] == groups["node"], "left").where("n > 1 OR component IS NOT NULL")
+    joined = cut(joined.select("a", "b", "first", "component"))
+    # Written apart, so that the join below has no aggregation above it and its large components can be split.
+    of_group = cut(joined.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("least")))
+    keeper = joined.join(of_group, "component", "left").select("a", "b", F.coalesce("least", "first").alias("keeper"))
     gone = places.join(keeper, ["a", "b"]).where(F.struct("doc", "i") != F.col("keeper"))
     return gone.groupBy("doc").agg(F.collect_set("i").alias("gone"))  # no more than the lines of one document
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text that stays, and a struct `lines` (total, gone, chars, left)."""
+    """docs with the text that stays, and a struct `lines` (total, gone, chars, left); a column of that name is replaced."""
     gone = dropped(docs.select(id_col, text_col), id_col, text_col)
-    text = F.col(text_col)
-    df = docs.join(gone, docs[id_col] == gone["doc"], "left").withColumn("_l", F.when(F.col("gone").isNotNull(), F.split(text, "\n", -1)))
-    stays = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("gone"))
-    df = df.withColumn("_new", F.when(F.col("gone").isNotNull(), F.array_join(F.transform(stays, lambda k: F.get("_l", k)), "\n")).otherwise(text))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    df = given.join(gone, given["id"] == gone["doc"], "left").withColumn("split", F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1)))
+    stays = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), F.col("gone"))
+    df = df.withColumn("new", F.when(F.col("gone").isNotNull(), F.array_join(F.transform(stays, lambda k: F.get("split", k)), "\n")).otherwise(F.col("text")))
     told = F.struct(
-        F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long").alias("total"),
+        F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("total"),
         F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0).cast("long").alias("gone"),
-        F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"),
-        F.coalesce(F.length("_new"), F.lit(0)).cast("long").alias("left"),
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"),
+        F.coalesce(F.length("new"), F.lit(0)).cast("long").alias("left"),
     )
-    return df.select(*[(F.col("_new").alias(c) if c == text_col else docs[c]) for c in docs.columns], told.alias("lines"))
+    return df.select(*[(F.col("new") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c != "lines"], told.alias("lines"))
 
 
 def keep_rest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without repeated lines, and without those documents that have no line left but blank ones."""
-    out = dedup_lines(docs, id_col, text_col)
-    return out.where((F.col("lines.gone") == 0) | F.col(text_col).rlike(r"\S")).drop("lines")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    out = dedup_lines(docs.select(own, F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    out = out.where((F.col("lines.gone") == 0) | F.col("text").rlike(r"\S"))
+    return out.select(*[(F.col("text") if c == text_col else F.col(f"own.`{c}`")).alias(c) for c in docs.columns])
