@@ -2,7 +2,8 @@
 
 A candidate is a run of 20 or more characters of the token alphabet. A window slides over it one character at
 a time; the counts of the characters in the window, and the sum of c * log2(c) over them, are updated for the
-character that enters and the one that leaves, which gives the Shannon entropy of each window at constant cost.
+character that enters and the one that leaves, which gives the Shannon entropy of each window at a cost that depends
+on the window and not on the candidate.
 A candidate is reported if a window in a run of one class of characters (hexadecimal, letters with digits, letters of
 both cases, or all) reaches the entropy for that class. The allow-list takes out a candidate that it matches in full;
 of others it takes out the windows that overlap or touch what it matches.
@@ -14,6 +15,8 @@ read, so other columns can't clash; an empty table gives an empty table. Nothing
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +30,14 @@ KINDS = ["assign", "access", "hex", "entropy"]
 #: Candidates: runs of the token alphabet, at least a window long.
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: name: (alphabet, runs of it, what a run must hold, entropy in bits a character that a window must reach).
+#: name: (runs of its alphabet, what a run must hold, entropy in bits a character that a window must reach).
 CLASSES = {
-    "hex": ("0123456789abcdef", r"[0-9a-f]{20,}", r"^(?=.*[0-9])(?=.*[a-f])", 3.0),
-    "upper hex": ("0123456789ABCDEF", r"[0-9A-F]{20,}", r"^(?=.*[0-9])(?=.*[A-F])", 3.0),
-    "lower": ("abcdefghijklmnopqrstuvwxyz0123456789", r"[a-z0-9]{20,}", r"^(?=.*[0-9])(?=.*[a-z])", 3.5),
-    "upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", r"[A-Z0-9]{20,}", r"^(?=.*[0-9])(?=.*[A-Z])", 3.5),
-    "letters": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", r"[A-Za-z]{20,}", r"^(?=.*[a-z])(?=.*[A-Z])", 3.9),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", CANDIDATE, r"^(?=.*[0-9])(?=.*[A-Z])", 3.7),
+    "hex": (r"[0-9a-f]{20,}", r"^(?=.*[0-9])(?=.*[a-f])", 3.0),
+    "upper hex": (r"[0-9A-F]{20,}", r"^(?=.*[0-9])(?=.*[A-F])", 3.0),
+    "lower": (r"[a-z0-9]{20,}", r"^(?=.*[0-9])(?=.*[a-z])", 3.5),
+    "upper": (r"[A-Z0-9]{20,}", r"^(?=.*[0-9])(?=.*[A-Z])", 3.5),
+    "letters": (r"[A-Za-z]{20,}", r"^(?=.*[a-z])(?=.*[A-Z])", 3.9),
+    "base64": (CANDIDATE, r"^(?=.*[0-9])(?=.*[A-Z])", 3.7),
 }
 #: Candidates known not to be secret: identifiers of public formats, phrases of words.
 ALLOW = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^(?-i:[a-z]+([-_/=][a-z]+)*)$"
@@ -54,35 +57,57 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
     parts = F.zip_with(whole, value, lambda m, v: F.struct(F.length(m).alias("n"), v.alias("value")))
     pairs = F.zip_with(F.slice(between, 1, F.size(whole)), parts, lambda gap, m: F.struct(gap.alias("gap"), m["n"].alias("n"), m["value"].alias("value")))
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    grown = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), empty.alias("all")),
-        lambda a, m: F.struct((a["at"] + m["gap"] + m["n"]).alias("at"), F.concat(a["all"], F.array(F.struct((a["at"] + m["gap"]).alias("start"), (a["at"] + m["gap"] + m["n"]).alias("end"), m["value"].alias("value")))).alias("all")),
-        lambda a: a["all"],
-    )
+
+    def placed(some: Column, at: Column) -> Column:
+        """The matches of a slice that begins at a place."""
+        match = lambda a, m: F.struct((a["at"] + m["gap"]).alias("start"), (a["at"] + m["gap"] + m["n"]).alias("end"), m["value"].alias("value"))
+        return F.aggregate(some, F.struct(at.alias("at"), empty.alias("all")), lambda a, m: F.struct((a["at"] + m["gap"] + m["n"]).alias("at"), F.concat(a["all"], F.array(match(a, m))).alias("all")), lambda a: a["all"])
+
+    def all_placed(pairs: Column) -> Column:
+        """In slices of the root of their number, as appending to an array copies it."""
+        by = F.ceil(F.sqrt(F.size(pairs))).cast("int")
+        slices = F.transform(F.sequence(F.lit(1), F.size(pairs), by), lambda i: F.slice(pairs, i, by))
+        length = lambda some: F.aggregate(some, F.lit(0), lambda n, m: n + m["gap"] + m["n"])
+        with_ = lambda x: F.transform(x["slices"], lambda some, k: placed(some, F.aggregate(F.slice(x["sizes"], F.lit(1), k), F.lit(0), lambda n, m: n + m)))
+        return F.flatten(F.element_at(F.transform(F.array(F.struct(slices.alias("slices"), F.transform(slices, length).alias("sizes"))), with_), 1))
+
+    grown = F.element_at(F.transform(F.array(pairs), all_placed), 1)
     return F.when(F.regexp_count(text, F.lit(pattern)) > 0, grown).otherwise(empty)
 
 
-def peak_entropy(value: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """The highest entropy of any window of value; 0 if value is shorter. Characters outside the alphabet count as one."""
-    k = len(alphabet) + 1
-    code = lambda i: F.when(F.instr(F.lit(alphabet), F.substring(value, i, F.lit(1))) > 0, F.instr(F.lit(alphabet), F.substring(value, i, F.lit(1)))).otherwise(k)
-    weight = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(0.0)
-    add = lambda counts, at, by: F.transform(counts, lambda c, j: c + F.when(j + 1 == at, by).otherwise(0))
-    state = lambda counts, s, best: F.struct(counts.alias("counts"), s.alias("s"), best.alias("best"))
+#: By how much c * log2(c) grows with the c-th equal character in a window, in units of 1e-12: whole numbers don't drift.
+_GROWS = [0] + [round(1e12 * (c * math.log2(c) - ((c - 1) * math.log2(c - 1) if c > 1 else 0))) for c in range(1, WINDOW + 1)]
+
+
+def peak_entropy(value: Column) -> Column:
+    """The highest entropy of any window of value; 0 if value is shorter. value is ASCII.
+
+    The state is the window, its sum of c * log2(c) and the least such sum so far. A step takes the count of the
+    character that leaves and of the one that enters, and changes the sum for these two alone.
+    """
+    grows = F.array(*[F.lit(x).cast("long") for x in _GROWS])
+    among = lambda c, window: F.octet_length(window) - F.octet_length(F.replace(window, c, F.lit("")))
+
+    def step(a: Column, m: Column) -> Column:
+        full = m["out"].isNotNull()
+        left = F.when(full, F.substring(a["window"], 2, WINDOW)).otherwise(a["window"])
+        s = a["s"] - F.when(full, F.get(grows, among(m["out"], a["window"]))).otherwise(F.lit(0).cast("long"))
+        moved = F.struct(left.alias("window"), s.alias("s"))
+
+        def enter(x: Column) -> Column:
+            return F.struct(F.concat(x["window"], m["into"]).alias("window"), (x["s"] + F.get(grows, among(m["into"], x["window"]) + 1)).alias("s"))
+
+        entered = F.element_at(F.transform(F.array(moved), enter), 1)
+        return F.element_at(F.transform(F.array(entered), lambda x: F.struct(x["window"].alias("window"), x["s"].alias("s"), F.when(F.octet_length(x["window"]) == WINDOW, F.least(a["best"], x["s"])).otherwise(a["best"]).alias("best"))), 1)
 
-    def step(a: Column, i: Column) -> Column:
-        out, into = F.when(i > window, code(i - window)), code(i)
-        # leaving first, then entering: c * log2(c) changes for one count each time
-        c_out = F.when(out.isNotNull(), F.element_at(a["counts"], out)).otherwise(0)
-        s1 = a["s"] - F.when(out.isNotNull(), weight(c_out) - weight(c_out - 1)).otherwise(0.0)
-        c_in = F.element_at(a["counts"], into) - F.when(out == into, 1).otherwise(0)
-        s2 = s1 + weight(c_in + 1) - weight(c_in)
-        counts = add(F.when(out.isNotNull(), add(a["counts"], out, -1)).otherwise(a["counts"]), into, 1)
-        return state(counts, s2, F.when(i >= window, F.least(a["best"], s2)).otherwise(a["best"]))
+    def moves(chars: Column) -> Column:
+        before = F.concat(F.array_repeat(F.lit(None).cast("string"), WINDOW), F.slice(chars, 1, F.greatest(F.size(chars) - WINDOW, F.lit(0))))
+        return F.zip_with(chars, F.slice(before, F.lit(1), F.size(chars)), lambda into, out: F.struct(into.alias("into"), out.alias("out")))
 
-    start = state(F.array_repeat(F.lit(0), k), F.lit(0.0), F.lit(1e9))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda a: F.when(a["best"] < 1e9, F.log2(F.lit(float(window))) - a["best"] / window).otherwise(0.0))
+    most = 1 << 62
+    start = F.struct(F.lit("").alias("window"), F.lit(0).cast("long").alias("s"), F.lit(most).cast("long").alias("best"))
+    each = F.element_at(F.transform(F.array(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))), moves), 1)
+    return F.aggregate(each, start, step, lambda a: F.when(a["best"] < most, F.lit(math.log2(WINDOW)) - a["best"] / F.lit(1e12 * WINDOW)).otherwise(0.0))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,8 +124,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def reached(m: Column) -> Column:
         def secret(piece: Column) -> Column:
             any_ = F.lit(False)
-            for alphabet, runs, must, least in CLASSES.values():
-                any_ = any_ | F.exists(F.regexp_extract_all(piece, F.lit(runs), F.lit(0)), lambda v: F.when(v.rlike(must), peak_entropy(v, alphabet)).otherwise(0.0) >= least)  # noqa: B023
+            for runs, must, least in CLASSES.values():
+                any_ = any_ | F.exists(F.regexp_extract_all(piece, F.lit(runs), F.lit(0)), lambda v: F.when(v.rlike(must), peak_entropy(v)).otherwise(0.0) >= least)  # noqa: B023
             return any_
 
         return F.exists(F.split(m["value"], PLACEHOLDER, -1), secret)
