@@ -1,8 +1,10 @@
 """Operator 3, quality rules by weak supervision (native).
 
-Rules vote good (1), bad (-1) or abstain (0) on each document. Expectation-maximisation over the counts of
-vote patterns estimates how each rule votes on good and on bad documents; a document is kept if its
-posterior probability of being good (rather than one of the kinds of junk) reaches a half and no base rule fails.
+Rules vote good (1), bad (-1) or abstain (0) on each document. A document is good or bad, which no rule sees for
+sure; given that, rules vote independently of each other. Expectation-maximisation over the counts of vote patterns
+estimates the share of good documents and how each rule votes on good and on bad ones, so a rule that accuses good
+documents loses weight, and several acquittals outvote it. A document is kept if its posterior probability of being
+good reaches a half and no base rule fails.
 
 Edge cases: a null or empty text has no words, so it fails the base rule on length; rows that repeat a
 doc_id are scored row by row; an empty table gives an empty table; columns of the input that clash with
@@ -12,6 +14,7 @@ names made here are not read (only the id and the text are).
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,25 +23,15 @@ from emberlake.llm.common import NOT_SPACE, cut, words
 
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
-#: The most rounds of expectation-maximisation, and the change of the shares at which it ends before.
-ROUNDS, SETTLED = 20, 1e-4
-#: What a rule's votes are taken to be before any document is seen, and how much that weighs against the
-#: corpus (as a share of its documents): a bad vote on a good document is rare by the rules' design, and
-#: without that anchor the classes may drift to another split of the corpus.
-BELIEF = {
-    (True, "good"): {1: 0.85, 0: 0.148, -1: 0.002},
-    (True, "own"): {1: 0.1, 0: 0.2, -1: 0.7},
-    (True, "other"): {1: 0.6, 0: 0.3, -1: 0.1},
-    (False, "good"): {1: 0.001, 0: 0.997, -1: 0.002},
-    (False, "own"): {1: 0.001, 0: 0.299, -1: 0.7},
-    (False, "other"): {1: 0.001, 0: 0.899, -1: 0.1},
-}  # by whether the rule can vote good, and the class: good, the kind of junk the rule stands for, another kind
+#: The most rounds of expectation-maximisation, and the change of the share of good documents at which it ends before.
+ROUNDS, SETTLED = 60, 1e-5
+#: Where the estimates start: the share of good documents, and P(vote | class) of every rule. It says which class is
+#: which. As a prior it weighs WEIGHT times the number of documents, so that no estimate is 0.
+SHARE = 0.9
+BELIEF = {"good": {1: 0.8, 0: 0.18, -1: 0.02}, "bad": {1: 0.5, 0: 0.2, -1: 0.3}}
 WEIGHT = 0.01
-#: Bounds that keep the classes what they are named: a rule accuses at most so many of the good documents,
-#: and at least so many of the kind of junk that it stands for.
-MOST_ACCUSED, LEAST_ACCUSED = 0.005, 0.5
 
-FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stops", "n_distinct"]
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stops", "n_distinct", "n_letters"]
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -69,70 +62,65 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         count(r"\p{Lu}").alias("n_upper"),
         count(".!?").alias("n_stops"),
         F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
+        F.length(F.regexp_replace("_t", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
     )
     return df.select(*[docs[c] for c in docs.columns], f.alias("f"))
 
 
-#: name: (condition of a bad vote, condition of a good vote or None), over the counts; neither: the rule abstains.
-#: A kind of junk shows in one or two of them, so most can only accuse.
-RULES: dict[str, tuple[str, str | None]] = {
-    "symbols": ("f.n_symbols > 0.3 * f.n_words", None),
-    "repeats": ("f.n_repeat_words > 0.45 * f.n_words", None),
-    "lines": ("f.n_dup_lines > 0.5 * f.n_lines", None),
-    "length": ("f.word_chars < 2 * f.n_words OR f.word_chars > 14 * f.n_words", None),
-    "capitals": ("f.n_upper > 0.4 * f.word_chars", None),
-    "stops": ("f.n_stops > 0.7 * f.n_words", "f.n_stops <= 0.4 * f.n_words AND 60 * f.n_stops >= f.n_words"),
-    "variety": ("f.n_distinct * f.n_distinct < 4 * f.n_words", "f.n_distinct * f.n_distinct > 16 * f.n_words"),
+#: name: (condition of a bad vote, condition of a good vote), over the counts; neither: the rule abstains.
+RULES: dict[str, tuple[str, str]] = {
+    "symbols": ("n_symbols > 0.3 * n_words", "n_symbols <= 0.05 * n_words"),
+    "letters": ("n_letters < 0.88 * word_chars", "n_letters >= 0.93 * word_chars"),
+    "repeats": ("n_repeat_words > 0.3 * n_words", "n_repeat_words <= 0.1 * n_words"),
+    "lines": ("n_dup_lines > 0.4 * n_lines", "n_dup_lines <= 0.1 * n_lines"),
+    "length": ("word_chars < 3 * n_words OR word_chars > 7.5 * n_words", "word_chars BETWEEN 4.5 * n_words AND 6.5 * n_words"),
+    "capitals": ("n_upper > 0.3 * word_chars", "n_upper <= 0.1 * word_chars"),
+    "stops": ("n_stops > 0.5 * n_words OR 60 * n_stops < n_words", "n_stops <= 0.25 * n_words AND 40 * n_stops >= n_words"),
+    "variety": ("n_distinct * n_distinct < 16 * n_words", "n_distinct >= 0.6 * n_words"),
 }
 
 
 def votes() -> Column:
     """The votes of all rules as one array of tinyint."""
-    return F.array(*[F.expr(f"CASE WHEN {bad} THEN -1Y WHEN {good or 'false'} THEN 1Y ELSE 0Y END") for bad, good in RULES.values()])
+    of = lambda condition: re.sub(r"\b(n_\w+|word_chars)\b", r"f.\1", condition)
+    return F.array(*[F.expr(f"CASE WHEN {of(bad)} THEN -1Y WHEN {of(good)} THEN 1Y ELSE 0Y END") for bad, good in RULES.values()])
 
 
 def base_failed() -> Column:
     return (F.col("f.n_words") < MIN_WORDS) | (100 * F.col("f.n_repeat_words") > 50 * F.col("f.n_words"))
 
 
-def _posteriors(shares: list[float], rates: list[list[dict]]) -> Column:
-    """P(class | votes) of every class as an array, by the current estimates."""
-    table = F.array(*[F.struct(F.lit(math.log(share)).alias("share"), F.array(*[F.array(*[F.lit(math.log(r[v])) for v in (-1, 0, 1)]) for r in row]).alias("rates")) for share, row in zip(shares, rates, strict=True)])
-    one = lambda x: F.aggregate(F.zip_with("votes", x["rates"], lambda v, r: F.element_at(r, v.cast("int") + 2)), x["share"], lambda a, b: a + b)
-    likely = F.transform(table, lambda x: F.exp(one(x)))
-    return F.transform(likely, lambda x: x / F.aggregate(likely, F.lit(0.0), lambda a, b: a + b))
+def _p_good(share: float, rates: dict[str, list[dict]]) -> Column:
+    """P(good | votes) by the current estimates."""
+    weights = [{v: math.log(g[v]) - math.log(b[v]) for v in (-1, 0, 1)} for g, b in zip(rates["good"], rates["bad"], strict=True)]
+    total = F.lit(math.log(share) - math.log(1 - share))
+    for j, w in enumerate(weights):
+        vote = F.col("votes")[j]
+        total = total + F.when(vote == 1, w[1]).when(vote == -1, w[-1]).otherwise(w[0])
+    return 1 / (1 + F.exp(-total))
 
 
-def estimate(patterns: DataFrame) -> tuple[list[float], list[list[dict]]]:
-    """Share of each class, and P(vote | class) for each rule, from (votes, n).
+def estimate(patterns: DataFrame) -> tuple[float, dict[str, list[dict]]]:
+    """Share of good documents, and P(vote | class) of each rule, from (votes, n).
 
-    Class 0 is good; the others are kinds of junk, one started from each rule, as a kind mostly shows in one
-    rule and a single class of junk would let the most frequent kind acquit the rest.
-    patterns has at most 3 ** len(RULES) rows whatever the corpus; each round is one aggregation over it,
-    of which the driver gets the expected counts alone, a row for each class and rule.
+    patterns has at most 3 ** len(RULES) rows whatever the corpus; each round is one aggregation over it, of which
+    the driver gets the expected counts, one row.
     """
-    k = len(RULES)
-    voters = [good is not None for _, good in RULES.values()]
-    belief = [[BELIEF[voters[j], "own" if c == j + 1 else "good" if c == 0 else "other"] for j in range(k)] for c in range(k + 1)]
-    rates, shares = [[dict(r) for r in row] for row in belief], [0.8] + [0.2 / k] * k
+    k = range(len(RULES))
+    share, rates = SHARE, {c: [dict(BELIEF[c]) for _ in k] for c in BELIEF}
     for _ in range(ROUNDS):
-        by_class = patterns.withColumn("p", _posteriors(shares, rates)).select("n", "votes", F.posexplode("p").alias("c", "p"))
-        votes_of = by_class.select("c", (F.col("n") * F.col("p")).alias("w"), F.posexplode("votes").alias("j", "v"))
-        given = lambda v: F.sum(F.when(F.col("v") == v, F.col("w")).otherwise(0.0)).alias(f"v{v}")
-        got = {(r["c"], r["j"]): {-1: r["v-1"], 0: r["v0"], 1: r["v1"]} for r in votes_of.groupBy("c", "j").agg(given(-1), given(0), given(1)).collect()}
-        if not got:
+        p = {"good": F.col("p"), "bad": 1 - F.col("p")}
+        given = [F.sum(F.when(F.col("votes")[j] == v, F.col("n") * p[c]).otherwise(0.0)).alias(f"{c}{j}{v}") for c in BELIEF for j in k for v in (-1, 0, 1)]
+        got = patterns.withColumn("p", _p_good(share, rates)).agg(*given).first()
+        if got["good00"] is None:
             break
-        size = [sum(got[c, 0].values()) for c in range(k + 1)]
-        n = sum(size)
-        was, shares = shares, [(x / n + WEIGHT / (k + 1)) / (1 + WEIGHT) for x in size]
-        for c in range(k + 1):
-            for j in range(k):
-                new = {v: (x + WEIGHT * n * belief[c][j][v]) / (size[c] + WEIGHT * n) for v, x in got[c, j].items()}
-                down = min(new[-1], MOST_ACCUSED) if c == 0 else max(new[-1], LEAST_ACCUSED) if c == j + 1 else new[-1]
-                rates[c][j] = {v: down if v == -1 else x * (1 - down) / (1 - new[-1]) for v, x in new.items()}
-        if max(abs(x - y) for x, y in zip(was, shares, strict=True)) < SETTLED:
+        size = {c: sum(got[f"{c}0{v}"] for v in (-1, 0, 1)) for c in BELIEF}
+        prior = WEIGHT * sum(size.values())
+        before, share = share, (size["good"] + prior * SHARE) / (sum(size.values()) + prior)
+        rates = {c: [{v: (got[f"{c}{j}{v}"] + prior * BELIEF[c][v]) / (size[c] + prior) for v in (-1, 0, 1)} for j in k] for c in BELIEF}
+        if abs(share - before) < SETTLED:
             break
-    return shares, rates
+    return share, rates
 
 
 def scored(counted: DataFrame) -> DataFrame:
@@ -140,9 +128,8 @@ def scored(counted: DataFrame) -> DataFrame:
     voted = counted.withColumn("votes", votes())
     # Documents that fail the base rules are out anyway and would blur the estimates; their posterior is still given.
     patterns = cut(voted.groupBy("votes").agg(F.count_if(~base_failed()).alias("n")).coalesce(1))
-    shares, rates = estimate(patterns.where("n > 0"))
-    judged = patterns.select("votes", _posteriors(shares, rates)[0].alias("p_good"))
-    # At most 3 ** len(RULES) = 2187 rows, whatever the corpus.
+    judged = patterns.select("votes", _p_good(*estimate(patterns.where("n > 0"))).alias("p_good"))
+    # At most 3 ** len(RULES) = 6561 rows, whatever the corpus.
     return voted.join(F.broadcast(judged), "votes").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5)).drop("votes")
 
 
