@@ -2,10 +2,11 @@
 
 The text nodes of a page are grouped by their path of tags from the root. Each path has the mean text length
 and the mean number of punctuation marks of its nodes; both series, in the order of the page, are smoothed,
-and fused into a weight. Nodes of paths whose weight reaches a threshold are content. The outermost elements that
-are marked as the main part are the article, if they hold all content; else it is the lowest element that holds all
-content and all of them, and is no block of text. Its blocks are the text, but for parts that are marked as something
-else (menus, footers, forms, comments and so on).
+and fused into a weight. Paths through parts that are marked as something else than the article (menus, footers, forms,
+comments and so on) weigh nothing, and those within a marked main part BOOST times as much. Nodes of paths whose
+weight reaches a threshold are content. The article is the outermost marked main parts, if they hold all content nodes;
+else it is the lowest element that holds all of them and is no block of text. Its text is that of all its nodes with
+weight, so that headings and short lines between content nodes stay.
 
 Edge cases: null and empty pages, or pages without text, give the empty text; rows are read one by one, so
 repeated rows give repeated results; pages of any size are read whole; markup that is broken off or badly
@@ -16,6 +17,7 @@ the page are read. Nothing shuffles.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Share of the strongest weight that a path must reach; nodes at either side that the smoothing looks at.
 LEAST, SIDES = 0.25, 1
+#: How many times as much a path within a marked main part weighs.
+BOOST = 2.0
 
 _WORDS = lambda s: frozenset(s.split())
 VOID = _WORDS("area base br col embed hr img input link meta param source track wbr")
@@ -67,9 +71,13 @@ class Page:
 
     def __init__(self, html: str):
         self.parent, self.tag, self.aside, self.marked, self.main = [-1], [""], [False], [False], [False]
-        self.path = [""]
         self.nodes: list[tuple[int, int, str]] = []  # element, block, text
-        stack, block, at, n = [0], 0, 0, len(html)
+        stack, open_, block, at, n = [0], Counter(), 0, 0, len(html)
+
+        def close(k: int) -> None:
+            open_.subtract(self.tag[e] for e in stack[k:])
+            del stack[k:]
+
         while at < n:
             m = TOKEN.search(html, at)
             start = m.start() if m else n
@@ -86,10 +94,8 @@ class Page:
             if tag not in INLINE:
                 block += 1
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == tag:
-                        del stack[k:]
-                        break
+                if open_[tag]:
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == tag))
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
@@ -100,30 +106,29 @@ class Page:
                 continue
             if tag in CLOSES:
                 names, scope = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(open_[t] for t in names.split()) else ():
                     if (t := self.tag[stack[k]]) in scope:
                         break
                     if t in names.split():
-                        del stack[k:]
-            elif tag not in INLINE:
+                        close(k)
+            elif tag not in INLINE and open_["p"]:
                 for k in range(len(stack) - 1, 0, -1):
                     if (t := self.tag[stack[k]]) == "p":
-                        del stack[k:]
+                        close(k)
                         break
                     if t not in INLINE:
                         break
             aside, marked, main = _flags(tag, m[3])
-            up = stack[-1]
-            stack.append(len(self.parent))
-            self.parent.append(up)
+            self.parent.append(stack[-1])
+            stack.append(len(self.tag))
+            open_[tag] += 1
             self.tag.append(tag)
-            self.path.append(f"{self.path[up]}>{tag}")
             self.aside.append(aside)
             self.marked.append(marked)
             self.main.append(main)
 
-    def out(self) -> list[bool]:
-        """Whether each element lies in a part that isn't article."""
+    def places(self) -> tuple[list[bool], list[bool]]:
+        """Whether each element lies in a part that isn't article, and whether it lies in a marked main part."""
         holds = list(self.main)  # or a first-level heading: a wrapper of the article isn't aside for its class
         for e in range(len(self.parent) - 1, 0, -1):
             holds[e] |= self.tag[e] == "h1"
@@ -133,37 +138,49 @@ class Page:
             up = self.parent[e]
             within[e] |= within[up]
             out.append(out[up] or self.aside[e] or (self.marked[e] and not holds[e]) or (self.tag[e] == "header" and not within[e]))
-        return out
+        return out, within
+
+    def paths(self, out: list[bool], within: list[bool]) -> list[int]:
+        """The number of each element's path; a path is known by its parent's number, the tag and what it lies in."""
+        numbers: dict[tuple, int] = {}
+        path = [0]
+        for e in range(1, len(self.parent)):
+            path.append(numbers.setdefault((path[self.parent[e]], self.tag[e], out[e], within[e]), len(numbers) + 1))
+        return path
 
 
 def _smooth(values: list[float]) -> list[float]:
-    return [sum(part := values[max(0, i - SIDES) : i + SIDES + 1]) / len(part) for i in range(len(values))]
+    """The geometric mean of each value and the mean around it: what borders on long text isn't lifted to its height."""
+    return [(v * sum(part := values[max(0, i - SIDES) : i + SIDES + 1]) / len(part)) ** 0.5 for i, v in enumerate(values)]
+
+
+def fused(lengths: list[float], marks: list[float], out: list[bool], within: list[bool]) -> list[float]:
+    """The weight of each node from its smoothed means and what it lies in."""
+    return [0.0 if o else (n * (1 + p)) ** 0.5 * (BOOST if w else 1.0) for n, p, o, w in zip(lengths, marks, out, within, strict=True)]
 
 
 def main_text(html: str) -> str:
     page = Page(html)
-    out = page.out()
-    nodes = [(e, b, unescape(t)) for e, b, t in page.nodes if not out[e]]
+    out, within = page.places()
+    path = page.paths(out, within)
+    nodes = [(e, b, unescape(t)) for e, b, t in page.nodes]
     sizes = [len(t.split()) and len(t.strip()) for _, _, t in nodes]
-    if not any(sizes):
-        return ""
-    by_path: dict[str, list[int]] = {}
+    by_path: dict[int, list[int]] = {}
     for (e, _, t), size in zip(nodes, sizes, strict=True):
         if size:
-            x = by_path.setdefault(page.path[e], [0, 0, 0])
+            x = by_path.setdefault(path[e], [0, 0, 0])
             x[0], x[1], x[2] = x[0] + 1, x[1] + size, x[2] + len(PUNCTUATION.findall(t))
-    lengths = _smooth([x[1] / x[0] for e, _, _ in nodes for x in [by_path.get(page.path[e], (1, 0, 0))]])
-    marks = _smooth([x[2] / x[0] for e, _, _ in nodes for x in [by_path.get(page.path[e], (1, 0, 0))]])
-    weights = [n * (1 + p) for n, p in zip(lengths, marks, strict=True)]
-    least = LEAST * max(weights)
+    lengths = _smooth([x[1] / x[0] for e, _, _ in nodes for x in [by_path.get(path[e], (1, 0, 0))]])
+    marks = _smooth([x[2] / x[0] for e, _, _ in nodes for x in [by_path.get(path[e], (1, 0, 0))]])
+    weights = fused(lengths, marks, [out[e] for e, _, _ in nodes], [within[e] for e, _, _ in nodes])
+    least = LEAST * max((w for w, size in zip(weights, sizes, strict=True) if size), default=0)
+    if not least:
+        return ""
     held = [0] * len(page.parent)
     for (e, _, _), w, size in zip(nodes, weights, sizes, strict=True):
         held[e] += size * (w >= least)
     for e in range(len(held) - 1, 0, -1):
         held[page.parent[e]] += held[e]
-    within = list(page.main)
-    for e in range(1, len(held)):
-        within[e] |= within[page.parent[e]]
     outer = [e for e in range(1, len(held)) if page.main[e] and not out[e] and not within[page.parent[e]] and held[e]]
     if outer and sum(held[e] for e in outer) == held[0]:
         roots = set(outer)
@@ -172,11 +189,12 @@ def main_text(html: str) -> str:
         marked = [0] * len(held)
         for e in outer:
             marked[e] = 1
+        block = [0]  # the lowest element about each that isn't inline
+        for e in range(1, len(held)):
+            block.append(block[page.parent[e]] if page.tag[e] in INLINE else e)
         own = [False] * len(held)
         for (e, _, _), size in zip(nodes, sizes, strict=True):
-            while page.tag[e] in INLINE:
-                e = page.parent[e]
-            own[e] |= bool(size)
+            own[block[e]] |= bool(size)
         for e in range(len(held) - 1, 0, -1):
             marked[page.parent[e]] += marked[e]
         article = max(e for e in range(len(held)) if held[e] == held[0] and marked[e] == len(outer))
@@ -187,8 +205,8 @@ def main_text(html: str) -> str:
     for e in range(1, len(held)):
         inside[e] |= inside[page.parent[e]]
     blocks: dict[int, list[str]] = {}
-    for e, b, t in nodes:
-        if inside[e]:
+    for (e, b, t), w in zip(nodes, weights, strict=True):
+        if inside[e] and (w or t == " "):
             blocks.setdefault(b, []).append(t)
     return " ".join(x for b in blocks.values() if (x := " ".join("".join(b).split())))
 
