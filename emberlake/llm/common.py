@@ -36,6 +36,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(to)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished steps: Spark removes them when the driver's JVM collects what refers to them."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

@@ -3,15 +3,15 @@
 1. Each text's distinct word shingles give HASHES minima. Rows of ROWS minima are hashed to band keys; of every
    minimum the low BITS bits stay, packed in longs.
 2. Texts with equal shingle sets form a class, whose smallest id stands for it.
-3. Tree links: in each bucket (band key) every class is compared with the bucket's most central class alone. The
-   similarity estimated from the packed bits, corrected for chance agreement, selects one partner for each class;
-   the link is confirmed on full sets. Their components mostly hold the large groups together.
-   In ROUNDS more rounds, classes outside their bucket's main component meet one of its members, another in each
-   bucket, and again the best estimate is confirmed; so nearly all of a large group hangs together before step 4.
+3. Tree links: in each bucket (band key) every class is compared with the bucket's most central class (its hub)
+   alone. The similarity estimated from the packed bits, corrected for chance agreement, selects one hub for each
+   class; the link is confirmed on full sets, and what the class adds to its hub and lacks of it is kept as bit maps.
 4. The rest, exactly: in buckets with classes of several components, the members outside the bucket's main
-   component meet those of other components. Pairs whose corrected estimate could belong to a similarity of the
-   threshold (FAR_OFF standard deviations below it) are confirmed on full sets. No pair inside one component is
-   formed, so a group of copies costs its size and not its square.
+   component meet those of other components, but for pairs that can't be links: those whose corrected estimate is
+   FAR_OFF standard deviations below the threshold, and those of one hub whose differences from it rule a link out
+   (common.may_reach, which loses none). What is left is confirmed on full sets. In a large group of copies nearly all
+   unlinked pairs are ruled out that way, and no pair inside one component is formed, so a group costs about its
+   size and not its square in rows.
 5. Components of all links give the groups; the smallest id of each stays.
 
 A pair at the threshold shares no bucket with probability (1 - t ** ROWS) ** BANDS, 1.2e-7 at 0.8, and the
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import components, cut
+from emberlake.llm.common import against_hub, bits_for, components, cut, enough, may_reach, nibbles_agreeing
 
 WIDTH, THRESHOLD = 5, 0.8
 ROWS, BANDS = 5, 40
@@ -37,32 +37,19 @@ HASHES = ROWS * BANDS
 BITS = 4
 LONGS = -(-HASHES * BITS // 64)
 FAR_OFF = 5.0
-ROUNDS = 2
 #: Ids to be looked up in the texts are broadcast up to so many (8 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 500_000
 
 
-def _at_least(threshold: float) -> int:
-    """The least number of agreeing low bits for which a pair may reach the threshold."""
-    p = threshold + (1 - threshold) * 2.0**-BITS  # agreement by chance is corrected for here, once
-    return int(HASHES * p - FAR_OFF * (HASHES * p * (1 - p)) ** 0.5)
-
-
-def agreeing(a: Column, b: Column) -> Column:
-    """How many of the HASHES minima agree in their low bits: mismatching nibbles are folded to one bit each and counted."""
-    total = F.lit(LONGS * 64 // BITS)
-    for k in range(LONGS):
-        x = a[k].bitwiseXOR(b[k])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
-        total = total - F.bit_count(x)
-    return total - (LONGS * 64 // BITS - HASHES)
+def agree(a: Column, b: Column, threshold: float) -> Column:
+    """False only (but for FAR_OFF standard deviations) for texts that don't reach the threshold."""
+    return nibbles_agreeing(a, b, LONGS, HASHES) >= bits_for(threshold, HASHES, FAR_OFF)
 
 
 def estimate(a: Column, b: Column) -> Column:
     """Similarity corrected for minima that agree in their low bits by chance."""
     chance = 2.0**-BITS
-    return (agreeing(a, b) / HASHES - chance) / (1 - chance)
+    return (nibbles_agreeing(a, b, LONGS, HASHES) / HASHES - chance) / (1 - chance)
 
 
 def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,14 +112,12 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str = "doc_id
     return given.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(work, "id long, shingles array<long>")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, width: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; pairs is a written table."""
+def compared(docs: DataFrame, pairs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """pairs (a, b) with `rel`, how the full set of b differs from that of a; pairs is a written table."""
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     sets = cut(full_sets(docs, ids, width, id_col, text_col))
     of = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    percent = round(100 * threshold)
-    return pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+    return pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").select("a", "b", against_hub(F.col("set_b"), F.col("set_a")).alias("rel"))
 
 
 def central(bucket: DataFrame) -> DataFrame:
@@ -147,49 +132,41 @@ def central(bucket: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, signed: DataFrame, width: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """Edges (a, b) whose components are those of all links; signed is a written table."""
-    percent, least = round(100 * threshold), _at_least(threshold)
+    percent = round(100 * threshold)
     some = signed.where("n > 0 AND id IS NOT NULL")
-    classes = some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
-    member = some.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    member = cut(member)
+    # Written apart, so that the join below has no aggregation above or beside it and its large classes can be split.
+    classes = cut(some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1").drop("size"))
+    member = some.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).where("id <> rep")
+    member = cut(member.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     reps = some.join(member.select(F.col("a").alias("id")), "id", "left_anti").select("id", "n", "bands", "bits").dropDuplicates(["id", "n"])
     reps = cut(reps)
-    keys = reps.select("id", F.explode("bands").alias("key"))
+    keys = reps.select("id", F.explode("bands").alias("key")).repartition("key")
     shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    bucket = cut(keys.join(shared, "key").select("key", "id", "m"))
-    hubs = central(bucket)
+    bucket = cut(keys.join(shared.hint("shuffle_hash"), "key").select("key", "id", "m"))
     sig = reps.select("id", "n", "bits")
     of = lambda c: sig.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    fits = (percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & (agreeing(F.col("bits_a"), F.col("bits_b")) >= least)
-    to_hub = bucket.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    fits = (percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & agree(F.col("bits_a"), F.col("bits_b"), threshold)
+    reach = enough(F.col("rel.both"), F.col("rel.n"), F.col("rel.n_hub"), threshold)
+
+    to_hub = bucket.join(central(bucket), "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     near = to_hub.join(of("b"), "b").join(of("a"), "a").where(fits).select("a", "b", estimate(F.col("bits_a"), F.col("bits_b")).alias("j"))
     tree = cut(near.groupBy("b").agg(F.max_by("a", F.struct("j", -F.col("a"))).alias("a")).select("a", "b"))
-    tied = cut(confirmed(docs, tree, width, threshold, id_col, text_col))
-    tried = tree
-
-    def mixed_buckets() -> tuple[DataFrame, DataFrame]:
-        groups = cut(components(tied))
-        placed = cut(bucket.join(groups, bucket["id"] == groups["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c")))
-        mixed = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("several")).where("several > 1").select("key", "main")
-        return placed, cut(mixed)
-
-    placed, mixed = mixed_buckets()
-    for k in range(ROUNDS):
-        here = placed.join(mixed, "key")
-        some_of_main = here.where("c = main").groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(k))).alias("a"))
-        outside = here.where("c <> main").join(some_of_main, "key").select("a", F.col("id").alias("b")).distinct()
-        near = outside.join(of("b"), "b").join(of("a"), "a").where(fits).select("a", "b", estimate(F.col("bits_a"), F.col("bits_b")).alias("j"))
-        tries = cut(near.groupBy("b").agg(F.max_by("a", F.struct("j", -F.col("a"))).alias("a")).select("a", "b"))
-        tied = cut(tied.union(confirmed(docs, tries, width, threshold, id_col, text_col)))
-        tried = tried.union(tries)
-        placed, mixed = mixed_buckets()
-    open_ = placed.join(mixed, "key").join(sig, "id")
-    side = lambda c: open_.select("key", "main", F.col("id").alias(c), F.col("c").alias(f"c_{c}"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    told = cut(compared(docs, tree, width, id_col, text_col))
+    tied = told.where(reach).select("a", "b")
+
+    groups = cut(components(tied))
+    placed = cut(bucket.join(groups, bucket["id"] == groups["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c")))
+    mixed = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("several")).where("several > 1").select("key", "main")
+    known = sig.join(told.select(F.col("b").alias("id"), F.col("a").alias("hub"), "rel"), "id", "left")
+    open_ = cut(placed.join(mixed, "key").join(known, "id"))
+    side = lambda z: open_.select("key", "main", F.col("id").alias(z), *[F.col(k).alias(f"{k}_{z}") for k in ("c", "n", "bits", "hub", "rel")])
     apart = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    rest = side("a").where("c_a <> main").join(side("b").drop("main"), "key")
-    rest = rest.where(apart & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = cut(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"))
-    return member.union(tied).union(confirmed(docs, rest, width, threshold, id_col, text_col))
+    tried = F.coalesce(F.col("hub_a") == F.col("b"), F.lit(False)) | F.coalesce(F.col("hub_b") == F.col("a"), F.lit(False))
+    hopeless = F.coalesce((F.col("hub_a") == F.col("hub_b")) & ~may_reach(F.col("rel_a"), F.col("rel_b"), threshold), F.lit(False))
+    x, y = side("a").where("c_a <> main"), side("b").drop("main").withColumnRenamed("key", "key_b")
+    rest = cut(x.join(y, (x["key"] == y["key_b"]) & apart & ~tried & fits & ~hopeless).select("a", "b").distinct())
+    more = compared(docs, rest, width, id_col, text_col).where(reach).select("a", "b")
+    return member.union(tied).union(more)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
