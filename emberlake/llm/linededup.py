@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import against_hub, bits_for, components, cut, enough, may_reach, nibbles_agreeing
+from emberlake.llm.common import against_hub, bits_for, components, cut, enough, may_reach, nibbles_agreeing, release
 
 EXACT, THRESHOLD = 5, 0.8
 MINIMA, ROWS, BANDS = 50, 5, 20
@@ -108,10 +108,13 @@ def central(bucket: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, component) of the distinct lines that are linked with others, by hash."""
     keyed = cut(signatures(lines(docs, id_col, text_col)))
+    release(docs.sparkSession)
     # One shuffle by key serves the count of each bucket and the join back.
     each = keyed.select("a", F.explode("keys").alias("key")).repartition("key")
     shared = each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     bucket = cut(each.join(shared.hint("shuffle_hash"), "key").select("key", "a", "m"))
+    del each, shared
+    release(docs.sparkSession)
     some = cut(keyed.select("a", "bits").join(bucket.select("a").distinct(), "a", "left_semi"))
     of = lambda c: some.select(F.col("a").alias(c), F.col("bits").alias(f"bits_{c}"))
 

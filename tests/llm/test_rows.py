@@ -28,16 +28,32 @@ def test_secrets_edges(spark):
 
 def test_entropy_equals_every_window(spark):
     rng = random.Random(7)
-    alphabet = secrets.CLASSES["base64"][0]
-    values = ["".join(rng.choice(alphabet[: rng.choice((2, 9, 40, 64))]) for _ in range(n)) for n in (19, 20, 21, 40, 90)]
-
-    def peak(v):
-        from math import log2
-
-        return max((-sum((c := w.count(x)) / 20 * log2(c / 20) for x in set(w)) for k in range(len(v) - 19) for w in [v[k : k + 20]]), default=0.0)
-
-    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.peak_entropy(F.col("v"), alphabet)).collect()
-    assert all(abs(x - peak(v)) < 1e-9 for v, x in got)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    values = ["".join(rng.choice(alphabet[: rng.choice((2, 9, 40, 64))]) for _ in range(n)) for n in (0, 19, 20, 21, 40, 90)]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.peak_entropy(F.col("v"))).collect()
+    assert all(abs(x - brute.peak(v)) < 1e-9 for v, x in got)
+
+
+def test_a_long_candidate_ends_in_seconds(spark):
+    import time
+
+    rng = random.Random(11)
+    text = "".join(rng.choice("abcdefgh01234567ABCDEFGH") for _ in range(300_000)) + " " + "0123456789abcdef01234567 " * 20_000
+    began = time.time()
+    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_hex"] >= 20_000 and row["n_entropy"] == 1 and row["spans"] == ",".join(f"{k}:{s}:{e}" for s, k, e in brute.all_spans(text, False, [(0, 300_000)]))
+    assert time.time() - began < 60
+
+
+def test_all_spans_equal_brute_force(docs, odd, spark):
+    rng = random.Random(13)
+    kinds = ["abcdef0123456789", "ABCDEF0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijABCDEFGHIJKLMNOPQ", "aB3/+_=-xYz9kLm0", "example", "a"]
+    texts = [" ".join("".join(rng.choice(rng.choice(kinds[:1 + rng.randrange(8)])) for _ in range(rng.randrange(15, 60))) + rng.choice(["", "EXAMPLE", "é", "=dummy-"]) for _ in range(12)) for _ in range(60)]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for df in (docs, odd, made):
+        got = [(r["doc_id"], r["spans"]) for r in secrets.scan(df).collect()]
+        want = [(r["doc_id"], ",".join(f"{k}:{s}:{e}" for s, k, e in brute.all_spans(r["text"] or ""))) for r in df.select("doc_id", "text").collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
 def test_entropy_finds_unnamed_secrets_and_allows_placeholders(spark):
@@ -66,12 +82,32 @@ def test_quality_counts_equal_brute_force(docs, odd):
         assert out.where("base_failed AND kept").count() == 0
 
 
+def test_posteriors_equal_plain_expectation_maximisation(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = df.collect()
+    want = dict(zip((r["doc_id"] for r in rows), brute.p_good([r["text"] for r in rows], list(quality.RULES.values()), quality.SHARE, quality.BELIEF, quality.WEIGHT, quality.ROUNDS, quality.SETTLED), strict=True))
+    got = quality.quality_rules(df).collect()
+    assert all(abs(r["p_good"] - want[r["doc_id"]]) < 1e-9 and r["kept"] == (not r["base_failed"] and r["p_good"] >= 0.5) for r in got) and len(got) == len(want)
+
+
+def test_a_lone_accusation_is_outvoted(docs, spark):
+    """A text without full stops: one rule accuses it, and it stays; the same text with symbols in every word goes."""
+    clean = "The council met at noon, and it spoke of roads. Then came talk of bridges, of taxes and of schools in the north. Some wanted more time for trains. Others said no; they had waited for years, with little to show. A vote was called by the chair before dusk, when rain began. Nobody left early, though many had far to go home."
+    endless = clean.replace(".", ",")
+    symbols = " ".join(w + "###" for w in clean.split())
+    made = spark.createDataFrame([(10**9, endless), (10**9 + 1, symbols), (10**9 + 2, clean)], "doc_id long, text string")
+    df = docs.select("doc_id", "text").union(made)
+    voted = {r["doc_id"]: r["votes"] for r in quality.features(made).withColumn("votes", quality.votes()).collect()}
+    assert voted[10**9].count(-1) == 1 and voted[10**9 + 2].count(-1) == 0
+    assert {r["doc_id"] - 10**9: r["kept"] for r in quality.quality_rules(df).where("doc_id >= 1000000000").collect()} == {0: True, 1: False, 2: True}
+
+
 def test_quality_agrees_with_labels(spark):
     at = "/root/testdata/sf0.01"
     out = quality.quality_rules(spark.read.parquet(f"{at}/documents.parquet")).join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id")
     good, bad = out.where("quality = 1 AND NOT base_failed"), out.where("quality = 0")
-    assert good.where("kept").count() >= 0.97 * good.count()
-    assert bad.where("NOT kept").count() >= 0.6 * bad.count()
+    assert good.where("kept").count() >= 0.98 * good.count()
+    assert bad.where("NOT kept").count() >= 0.98 * bad.count()
 
 
 def test_quality_of_nothing(docs):
@@ -145,6 +181,38 @@ def test_main_text_drops_no_content():
     assert html.main_text(f"<article><p>{a}</p><ul><li><a>One source</a></li></ul></article>") == f"{a} One source"
 
 
+def test_main_text_of_all_pages_equals_a_plain_reading(spark):
+    """The local pages have one article each, with paragraphs, headings and no parts to leave out."""
+    from html import unescape
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+
+    def plain(page):
+        body = re.sub(r"</?(?:b|i|em|a)\b[^>]*>", "", re.search("<article>(.*?)</article>", page, re.S)[1])
+        return " ".join(unescape(re.sub("<[^>]*>", " ", body)).split())
+
+    want = {r["page_id"]: plain(r["html"]) for r in pages.collect()}
+    assert {r["page_id"]: r["text"] for r in html.extract(pages.withColumn("text", F.lit("clash"))).collect()} == want
+    assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_weights_decide(monkeypatch):
+    """Without marks the paths' weights select the content; with equal weights the result is another."""
+    said = " ".join(f"Word, and number {i}; of a long sentence." for i in range(30))
+    page = f"<body><div><a>Home</a><a>News</a></div><div class='x'><h2>Title</h2><p>{said}</p><p>{said}</p></div><div><span>Imprint</span></div></body>"
+    assert html.main_text(page) == f"Title {said} {said}"
+    monkeypatch.setattr(html, "fused", lambda lengths, *_: [1.0] * len(lengths))
+    assert html.main_text(page) != f"Title {said} {said}" and html.main_text(PAGE).startswith("Home")
+
+
+def test_deep_and_broken_pages_end(spark):
+    deep = "<div>" * 50_000 + "<p>Some text, with words. And more, of it.</p>" + "</div>" * 50_000
+    assert html.main_text(deep) == "Some text, with words. And more, of it."
+    assert html.main_text("<div>" * 5000 + "</b>" * 50_000 + "One, two. Three.") == "One, two. Three."
+    assert html.main_text("<b>" * 20_000 + "<p>One, two.<p>Three, four.") == "One, two. Three, four."
+    assert html.main_text("<p>A long one, " * 50_000).count("long") == 50_000
+
+
 @pytest.fixture(scope="module")
 def reference():
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
