@@ -7,8 +7,8 @@ ROWS of the minima make a band key (each minimum serves in two bands). Lines in
 sets of shingles decide, at a Jaccard similarity of THRESHOLD. Components of the links come from a distributed
 union-find, and of each component the line that is first, by document id and line number, stays.
 
-Candidates: each line meets the most central line of its buckets (its hub), of those the one it shares most buckets
-with. Then, in buckets whose lines are still in several components, the lines outside the bucket's largest component
+Candidates: each line meets the most central line of each of its buckets (its hubs); of those that may be near by their
+minima it is compared with the most central one. Then, in buckets whose lines are still in several components, the lines outside the bucket's largest component
 meet those of other components, but for pairs that can't be links: those whose low bits of minima agree too seldom
 (FAR_OFF standard deviations below the threshold), and those of one hub whose differences from it rule a link out
 (common.may_reach, which loses none). In a large group of variants of one line nearly all pairs are of the latter kind,
@@ -96,13 +96,13 @@ def compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
 
 
 def central(bucket: DataFrame) -> DataFrame:
-    """(key, hub): of each bucket (key, a, m lines) the line that meets most others over all buckets.
+    """(key, hub, met): of each bucket (key, a, m lines) the line that meets most others over all buckets, and how many.
 
     Variants of one line are nearer to it than to each other, so that line, if it is there, meets most and all of
     its variants are compared with it.
     """
     meets = bucket.groupBy("a").agg(F.sum("m").alias("met"))
-    return bucket.join(meets, "a").groupBy("key").agg(F.max_by("a", F.struct("met", "a")).alias("hub"))
+    return bucket.join(meets, "a").groupBy("key").agg(F.max(F.struct("met", "a")).alias("h")).select("key", F.col("h.a").alias("hub"), F.col("h.met").alias("met"))
 
 
 def linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -118,9 +118,10 @@ def linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     some = cut(keyed.select("a", "bits").join(bucket.select("a").distinct(), "a", "left_semi"))
     of = lambda c: some.select(F.col("a").alias(c), F.col("bits").alias(f"bits_{c}"))
 
-    met = bucket.join(central(bucket), "key").where("a <> hub").groupBy("hub", "a").agg(F.count("*").alias("m"))
-    best = met.groupBy("a").agg(F.max_by("hub", F.struct("m", "hub")).alias("x")).select("x", F.col("a").alias("y"))
-    tree = cut(best.join(of("y"), "y").join(of("x"), "x").where(agree(F.col("bits_x"), F.col("bits_y"))).select("x", "y"))
+    met = bucket.join(central(bucket), "key").where("a <> hub").select(F.col("hub").alias("x"), F.col("a").alias("y"), "met").distinct()
+    may = met.join(of("y"), "y").join(of("x"), "x").where(agree(F.col("bits_x"), F.col("bits_y")))
+    # The most central of the hubs that may be near, so that a group of variants has one hub in common.
+    tree = cut(may.groupBy("y").agg(F.max_by("x", F.struct("met", "x")).alias("x")).select("x", "y"))
     near = cut(compared(tree, docs, id_col, text_col))
     tied = near.where(enough(F.col("rel.both"), F.col("rel.n"), F.col("rel.n_hub"), THRESHOLD)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 

@@ -4,8 +4,8 @@
    minimum the low BITS bits stay, packed in longs.
 2. Texts with equal shingle sets form a class, whose smallest id stands for it.
 3. Tree links: in each bucket (band key) every class is compared with the bucket's most central class (its hub)
-   alone. The similarity estimated from the packed bits, corrected for chance agreement, selects one hub for each
-   class; the link is confirmed on full sets, and what the class adds to its hub and lacks of it is kept as bit maps.
+   alone. The similarity estimated from the packed bits, corrected for chance agreement, leaves the hubs that may be
+   near, and of those a class takes the one that meets most others, so a group of copies shares one hub; the link is confirmed on full sets, and what the class adds to its hub and lacks of it is kept as bit maps.
 4. The rest, exactly: in buckets with classes of several components, the members outside the bucket's main
    component meet those of other components, but for pairs that can't be links: those whose corrected estimate is
    FAR_OFF standard deviations below the threshold, and those of one hub whose differences from it rule a link out
@@ -121,13 +121,14 @@ def compared(docs: DataFrame, pairs: DataFrame, width: int, id_col: str, text_co
 
 
 def central(bucket: DataFrame) -> DataFrame:
-    """(key, hub): of each bucket (key, id, m members) the member that meets most others over all buckets.
+    """(key, hub, met): of each bucket (key, id, m members) the member that meets most others over all buckets, and how many.
 
     Copies of one text are nearer to it than to each other, so that text, if it is there, meets most and all of
     its copies are compared with it; the smallest id breaks ties.
     """
     meets = bucket.groupBy("id").agg(F.sum("m").alias("met"))
-    return bucket.join(meets, "id").groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("hub"))
+    best = bucket.join(meets, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("id"))).alias("h"))
+    return best.select("key", (-F.col("h.id")).alias("hub"), F.col("h.met").alias("met"))
 
 
 def links(docs: DataFrame, signed: DataFrame, width: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
@@ -148,9 +149,10 @@ def links(docs: DataFrame, signed: DataFrame, width: int, threshold: float, id_c
     fits = (percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & agree(F.col("bits_a"), F.col("bits_b"), threshold)
     reach = enough(F.col("rel.both"), F.col("rel.n"), F.col("rel.n_hub"), threshold)
 
-    to_hub = bucket.join(central(bucket), "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    near = to_hub.join(of("b"), "b").join(of("a"), "a").where(fits).select("a", "b", estimate(F.col("bits_a"), F.col("bits_b")).alias("j"))
-    tree = cut(near.groupBy("b").agg(F.max_by("a", F.struct("j", -F.col("a"))).alias("a")).select("a", "b"))
+    to_hub = bucket.join(central(bucket), "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "met").distinct()
+    near = to_hub.join(of("b"), "b").join(of("a"), "a").where(fits).select("a", "b", "met", estimate(F.col("bits_a"), F.col("bits_b")).alias("j"))
+    # The most central of the hubs that may be near, so that a group of copies has one hub in common.
+    tree = cut(near.groupBy("b").agg(F.max_by("a", F.struct("met", "j", -F.col("a"))).alias("a")).select("a", "b"))
     told = cut(compared(docs, tree, width, id_col, text_col))
     tied = told.where(reach).select("a", "b")
 
