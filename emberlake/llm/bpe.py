@@ -1,22 +1,21 @@
 """Operator 9, byte-level BPE encoding and decoding: DuckDB recursive queries in each partition.
 
 Spark deals out the documents; in a task, each text is split by the pattern, and the words not met before go
-to a recursive query: rows of (word, position, token) join the table of merges on the ids of two neighbours, each word contracts its leftmost pair of least rank, until no word has a pair left. Decoding joins
-the ids with the vocabulary and aggregates the bytes in order. Words repeat, so a task keeps their ids in a
-table of bounded size; equal words always get equal ids, whatever is kept.
-
-A word of over LONG bytes would make as many rows as its length squared, so such words are merged from a heap
-of pairs instead, by the same rule.
+to a recursive query: rows of (place, token) join the table of merges on the ids of two neighbours, and each word
+contracts its pairs of least rank, from the left, until no word has a pair left. A pair that a contraction makes has a
+greater rank than the one contracted, so all pairs of the least rank are contracted in one step, and a long word takes
+few. Decoding takes the ids alone: rows of (document, place, id) join the vocabulary, and an ordered aggregation
+strings their bytes together. Words repeat, so a task keeps their ids in a table of bounded size; equal words always
+get equal ids, whatever is kept.
 
 Edge cases: null text is the empty text and has no ids; rows are encoded one by one, so repeated rows give
-repeated results; texts of any length are encoded whole; an empty table gives an empty table; only the id, the
-text and the columns named to be kept are read.
+repeated results; texts and words of any length are encoded whole; an empty table gives an empty table; only the id,
+the text and the columns named to be kept are read.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -26,25 +25,28 @@ from pyspark.sql import functions as F
 
 #: White space as the pattern means it (Unicode's White_Space).
 BLANK = r"\t-\r \x85\xa0  -     　"
-LONG = 96
-#: Words kept in a task at most, words contracted by one query at most.
-KEPT, AT_ONCE = 200_000, 20_000
+#: Words kept in a task at most, words contracted by one query at most, rows of a batch.
+KEPT, AT_ONCE, ROWS = 1_000_000, 200_000, 1000
 
-#: A place is a word's number and, in its low 8 bits, a position. Of a word's pairs the least (rank, position, next position) is contracted.
+#: A place is a word's number and, in its low 32 bits, a position. Pairs of the least rank may overlap (a token three
+#: times in a row); of such a run every other one is contracted, the first included.
 MERGE = """
 WITH RECURSIVE t(place, tok, done) AS (
     SELECT place, tok, false FROM words
   UNION ALL (
     WITH pairs AS (SELECT place, tok, lead(place) OVER w AS after, lead(tok) OVER w AS next FROM t WHERE NOT done WINDOW w AS (ORDER BY place)),
-    best AS (
-        SELECT place >> 8 AS word, min((merged << 16) | ((place & 255) << 8) | (after & 255)) AS b
-        FROM pairs JOIN merges ON pair = (tok::BIGINT << 20) | next WHERE after >> 8 = place >> 8 GROUP BY 1)
-    SELECT place, CASE WHEN place & 255 = (b >> 8) & 255 THEN (b >> 16)::INT ELSE tok END, b IS NULL
-    FROM pairs LEFT JOIN best ON place >> 8 = best.word WHERE b IS NULL OR place & 255 <> b & 255)
+    hits AS (SELECT place, after, merged FROM pairs JOIN merges ON pair = (tok::BIGINT << 20) | next WHERE after >> 32 = place >> 32),
+    best AS (SELECT place >> 32 AS word, min(merged) AS least FROM hits GROUP BY 1),
+    same AS (SELECT place, after, merged, lag(after) OVER (ORDER BY place) AS before FROM hits JOIN best ON place >> 32 = word AND merged = least),
+    runs AS (SELECT *, sum(CASE WHEN before = place THEN 0 ELSE 1 END) OVER (ORDER BY place) AS run FROM same),
+    taken AS (SELECT place, after, merged FROM runs QUALIFY row_number() OVER (PARTITION BY run ORDER BY place) % 2 = 1)
+    SELECT p.place, coalesce(x.merged, p.tok)::INT, b.word IS NULL
+    FROM pairs AS p LEFT JOIN taken AS x ON x.place = p.place LEFT JOIN best AS b ON b.word = p.place >> 32
+    WHERE p.place NOT IN (SELECT after FROM taken))
 )
-SELECT place >> 8 AS word, list(tok ORDER BY place) AS ids FROM t WHERE done GROUP BY 1
+SELECT place, tok FROM t WHERE done ORDER BY place
 """
-DECODE = "SELECT place >> 32 AS word, string_agg(ranks.tok, '' ORDER BY place) AS bytes FROM coded JOIN ranks ON ranks.rank = coded.tok GROUP BY 1"
+DECODE = "SELECT doc, from_hex(string_agg(ranks.tok, '' ORDER BY place)) AS bytes FROM coded JOIN ranks ON ranks.rank = coded.tok GROUP BY doc"
 
 
 def pattern_of(pattern: str):
@@ -58,17 +60,23 @@ class Coder:
 
     def __init__(self, path: str, pattern: str):
         import duckdb
+        import numpy as np
         import pyarrow as pa
 
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         self.find = pattern_of(pattern).findall
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
-        self._fill("ranks", pa.table({"tok": [t.hex() for t in self.ranks], "rank": pa.array(self.ranks.values(), pa.int32())}))
-        pairs = [((left << 20) | right, rank) for tok, rank in self.ranks.items() for k in range(1, len(tok)) if (left := self.ranks.get(tok[:k])) is not None and (right := self.ranks.get(tok[k:])) is not None]
+        self._fill("ranks", pa.table({"tok": [t.hex() for t in ranks], "rank": pa.array(ranks.values(), pa.int32())}))
+        pairs = [((left << 20) | right, rank) for tok, rank in ranks.items() for k in range(1, len(tok)) if (left := ranks.get(tok[:k])) is not None and (right := ranks.get(tok[k:])) is not None]
         self._fill("merges", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "merged": pa.array([r for _, r in pairs], pa.int64())}))
-        self.byte = [self.ranks[bytes([i])] for i in range(256)]
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.bytes: dict[tuple[int, ...], bytes] = {}
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self._forget()
+
+    def _forget(self) -> None:
+        import numpy as np
+
+        self.number: dict[str, int] = {}  # of each word kept
+        self.ends, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)  # word k has ids[ends[k]:ends[k + 1]]
 
     def _fill(self, name: str, rows) -> None:
         self.db.register("given", rows)
@@ -76,45 +84,45 @@ class Coder:
         self.db.unregister("given")
 
     def learn(self, words: set[str]) -> None:
-        """Ids of words not met before, and the bytes that those ids stand for."""
+        """Ids of words not met before."""
+        import numpy as np
         import pyarrow as pa
 
-        if len(self.ids) > KEPT:
-            self.ids.clear()
-            self.bytes.clear()
-        new = [w for w in words if w not in self.ids]
+        if len(self.number) > KEPT:
+            self._forget()
+        new = [w for w in words if w not in self.number]
         for i in range(0, len(new), AT_ONCE):
             part = new[i : i + AT_ONCE]
             coded = [w.encode() for w in part]
-            short = [(k << 8 | j, self.byte[x]) for k, b in enumerate(coded) if len(b) <= LONG for j, x in enumerate(b)]
-            self._fill("words", pa.table({"place": pa.array([p for p, _ in short], pa.int32()), "tok": pa.array([t for _, t in short], pa.int32())}))
-            got = dict(self.db.execute(MERGE).fetchall())
-            got |= {k: self._heap(b) for k, b in enumerate(coded) if len(b) > LONG}
-            self._fill("coded", pa.table({"place": pa.array([k << 32 | j for k, ids in got.items() for j in range(len(ids))], pa.int64()), "tok": pa.array(chain.from_iterable(got.values()), pa.int32())}))
-            for k, text in self.db.execute(DECODE).fetchall():
-                ids = tuple(got[k])
-                self.ids[part[k]] = ids
-                self.bytes[ids] = bytes.fromhex(text)
-
-    def _heap(self, word: bytes) -> list[int]:
-        """The same contraction for one long word."""
-        parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
-        after, before = [*range(1, len(parts)), -1], [*range(-1, len(parts) - 1)]
-        rank_at = lambda i: self.ranks.get(parts[i] + parts[after[i]]) if after[i] >= 0 else None
-        heap = [(r, i) for i in range(len(parts)) if (r := rank_at(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            if parts[i] is None or rank_at(i) != rank:
-                continue
-            j = after[i]
-            parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for k in (before[i], i):
-                if k >= 0 and (r := rank_at(k)) is not None:
-                    heapq.heappush(heap, (r, k))
-        return [self.ranks[p] for p in parts if p is not None]
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            place = (np.repeat(np.arange(len(coded)), sizes) << 32) | (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+            self._fill("words", pa.table({"place": place, "tok": self.byte[np.frombuffer(b"".join(coded), np.uint8)]}))
+            got = self.db.execute(MERGE).fetchnumpy()
+            self.number.update(zip(part, range(len(self.number), len(self.number) + len(part)), strict=True))
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.bincount(got["place"] >> 32, minlength=len(part)))])
+            self.ids = np.concatenate([self.ids, got["tok"].astype(np.int32)])
+
+    def encode(self, texts: list[str]):
+        """(ids of all texts in a row, where each text's end)."""
+        import numpy as np
+
+        split = [self.find(t) for t in texts]
+        self.learn(set(chain.from_iterable(split)))
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        word = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
+        first, size = self.ends[word], self.ends[word + 1] - self.ends[word]
+        until = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(first - until[:-1], size) + np.arange(until[-1])]
+        return ids, until[np.concatenate([[0], np.cumsum(count)])]
+
+    def decode(self, ids, ends) -> list[bytes]:
+        """The bytes that each row's ids stand for."""
+        import numpy as np
+        import pyarrow as pa
+
+        self._fill("coded", pa.table({"doc": np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends)), "place": np.arange(len(ids), dtype=np.int64), "tok": ids}))
+        got = dict(self.db.execute(DECODE).fetchall())
+        return [got.get(k, b"") for k in range(len(ends) - 1)]
 
 
 @cache
@@ -130,18 +138,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         import pyarrow as pa
 
         for whole in batches:
-            for start in range(0, max(whole.num_rows, 1), 1000):
-                batch = whole.slice(start, 1000)
+            for start in range(0, max(whole.num_rows, 1), ROWS):
+                batch = whole.slice(start, ROWS)
                 coder = _coder(path, pattern)
-                split = [coder.find(t) for t in batch.column("_t").to_pylist()]
-                coder.learn(set(chain.from_iterable(split)))
-                coded = [list(map(coder.ids.__getitem__, words)) for words in split]
-                flat = [list(chain.from_iterable(x)) for x in coded]
-                ends = np.cumsum([0, *map(len, flat)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(flat), np.int32, int(ends[-1]))))
-                decoded = pa.array([b"".join(map(coder.bytes.__getitem__, x)) for x in coded], pa.binary())
+                ids, ends = coder.encode(batch.column("_t").to_pylist())
                 kept = [batch.column(c) for c in batch.schema.names if c != "_t"]
-                yield pa.RecordBatch.from_arrays([*kept, ids, decoded], names=[*(c for c in batch.schema.names if c != "_t"), "ids", "decoded"])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(coder.decode(ids, ends), pa.binary())], names=[*(c for c in batch.schema.names if c != "_t"), "ids", "decoded"])
 
     given = docs.select(F.col(id_col), *[F.col(c) for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "_t"), "ids array<int>", "decoded binary"])

@@ -5,25 +5,33 @@ hash of those tokens is a seed. Seeds of all positions of the documents meet the
 each hit fixes how an item lies along a document. There the tokens are compared one by one: the item is found
 if a window of WINDOW tokens (or the whole item, if shorter) has at most SUBSTITUTED tokens that differ (one in
 an item shorter than WINDOW). The masks meet every such window, whichever tokens differ: MASKS was searched for
-that, and a test goes through all cases. Items of fewer than SHORTEST tokens are no evidence and are left out.
+that, and a test goes through all cases. Items of fewer than SHORTEST tokens are found where all of their tokens
+follow one another in a document: the seed is then a hash of the whole item.
 
 The benchmark's seeds are broadcast up to BROADCAST_SEEDS of them; beyond, seeds are joined by a shuffle and
 the documents with hits are read again for the comparison.
 
 Edge cases: null and empty texts have no tokens; rows that share an id and a text decide alike, and give one
 result row; a null id is an id of its own in the filter and null in the result; repeated items count once;
-texts are read whole; empty tables give empty results; only the ids and the texts are read.
+texts are read whole; empty tables give empty results; only the ids and the texts are read, and other columns, whatever
+their names, are handed on by the filter.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.llm.common import cut
+
 #: Token positions that count.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 6, 7), (0, 1, 3, 5, 6, 7))
 WINDOW, SUBSTITUTED, SHORTEST = 13, 2, 8
 BROADCAST_SEEDS = 500_000
+#: Keys of documents to leave out (8 bytes each) are broadcast up to so many.
+BROADCAST_KEYS = 500_000
 
 
 def tokens(text: Column) -> Column:
@@ -34,15 +42,16 @@ def _hashed(df: DataFrame, id_col: str, text_col: str, prefix: str) -> DataFrame
     """(id, key, h): key stands for the id and the text together."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     split = df.select(F.col(id_col).alias(f"{prefix}_id"), F.xxhash64(F.col(id_col), text).alias(f"{prefix}_key"), tokens(text).alias("_t"))
-    return split.where(F.size("_t") >= SHORTEST).select(f"{prefix}_id", f"{prefix}_key", F.transform("_t", lambda t: F.xxhash64(t)).alias(f"{prefix}_h"))
+    return split.where(F.size("_t") > 0).select(f"{prefix}_id", f"{prefix}_key", F.transform("_t", lambda t: F.xxhash64(t)).alias(f"{prefix}_h"))
 
 
-def _seeds(df: DataFrame, prefix: str, *keep: str) -> DataFrame:
-    """One row for each position and mask: the columns to keep, the position and the seed."""
-    h, p = F.col(f"{prefix}_h"), F.col("p")
-    at = df.select(*keep, f"{prefix}_h", F.explode(F.sequence(F.lit(0), F.size(h) - min(m[-1] + 1 for m in MASKS))).alias("p"))
-    seed = [F.when(p + m[-1] < F.size(h), F.xxhash64(F.lit(n), *[F.get(h, p + i) for i in m])) for n, m in enumerate(MASKS)]
-    return at.select(*keep, p.alias(f"{prefix}_p"), F.explode(F.array(*seed)).alias("seed")).where("seed IS NOT NULL")
+def _seeds(df: DataFrame, prefix: str, short: list[int], *keep: str) -> DataFrame:
+    """One row for each position and mask: the columns to keep, the position and the seed; short: lengths of items that are seeds as a whole."""
+    h, p, n = F.col(f"{prefix}_h"), F.col("p"), F.size(F.col(f"{prefix}_h"))
+    at = df.select(*keep, f"{prefix}_h", F.explode(F.sequence(F.lit(0), n - 1)).alias("p"))
+    masks = [*enumerate(MASKS), *((-k, tuple(range(k))) for k in short)]
+    seed = [F.when((p + m[-1] < n) & (n >= SHORTEST if k >= 0 else F.lit(True)), F.xxhash64(F.lit(k), *[F.get(h, p + i) for i in m])) for k, m in masks]
+    return at.select(*keep, p.alias(f"{prefix}_p"), F.explode(F.array_compact(F.array(*seed))).alias("seed"))
 
 
 def _compared(df: DataFrame) -> DataFrame:
@@ -50,22 +59,25 @@ def _compared(df: DataFrame) -> DataFrame:
     same = F.transform(F.sequence(F.lit(0), F.size("item_h") - 1), lambda k: F.when(F.get(F.col("doc_h"), F.col("diag") + k) == F.get(F.col("item_h"), k), 1).otherwise(0))
     df = df.withColumn("same", same).withColumn("w", F.least(F.size("same"), F.lit(WINDOW)))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    found = F.exists(F.sequence(F.lit(1), F.size("same") - F.col("w") + 1), lambda s: total(F.slice("same", s, F.col("w"))) >= F.col("w") - F.when(F.col("w") < WINDOW, 1).otherwise(SUBSTITUTED))
+    found = F.exists(F.sequence(F.lit(1), F.size("same") - F.col("w") + 1), lambda s: total(F.slice("same", s, F.col("w"))) >= F.col("w") - F.when(F.col("w") < SHORTEST, 0).when(F.col("w") < WINDOW, 1).otherwise(SUBSTITUTED))
     return df.where(found).withColumn("matched", total(F.col("same")).cast("long"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """doc_id, doc_key, item_id, matched and item_tokens for each document and each item found in it."""
     items = _hashed(benchmark, item_col, item_text_col, "item").dropDuplicates(["item_key"])
-    seeds = _seeds(items, "item", "item_key")
+    short = sorted(r[0] for r in items.select(F.size("item_h").alias("n")).where(F.col("n") < SHORTEST).distinct().collect())  # SHORTEST - 1 at most
+    whole = [(F.size("item_h") == n, n) for n in short]
+    long_ones = _seeds(items.where(F.size("item_h") >= SHORTEST), "item", [], "item_key")
+    seeds = reduce(DataFrame.union, [items.where(is_n).select("item_key", F.lit(0).alias("item_p"), F.xxhash64(F.lit(-n), *[F.get("item_h", F.lit(i)) for i in range(n)]).alias("seed")) for is_n, n in whole], long_ones)
     given = _hashed(docs, id_col, text_col, "doc")
     diag = (F.col("doc_p") - F.col("item_p")).alias("diag")
     if seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
         # The comparison follows the probe in the same stage, so no text is shuffled.
-        hits = _seeds(given, "doc", "doc_id", "doc_key", "doc_h").join(F.broadcast(seeds), "seed").select("doc_id", "doc_key", "doc_h", "item_key", diag)
+        hits = _seeds(given, "doc", short, "doc_id", "doc_key", "doc_h").join(F.broadcast(seeds), "seed").select("doc_id", "doc_key", "doc_h", "item_key", diag)
         lain = hits.join(F.broadcast(items), "item_key")
     else:
-        hits = _seeds(given, "doc", "doc_key").join(seeds, "seed").select("doc_key", "item_key", diag).distinct()
+        hits = _seeds(given, "doc", short, "doc_key").join(seeds, "seed").select("doc_key", "item_key", diag).distinct()
         lain = hits.join(given.dropDuplicates(["doc_key"]), "doc_key").join(items, "item_key")
     found = _compared(lain).groupBy("doc_id", "doc_key", "item_id", F.size("item_h").cast("long").alias("item_tokens")).agg(F.max("matched").alias("matched"))
     return found.select("doc_id", "doc_key", "item_id", "matched", "item_tokens")
@@ -73,6 +85,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs without those in which an item is found."""
-    dirty = overlaps(docs, benchmark, id_col, text_col, item_col, item_text_col).select("doc_key").distinct()
+    dirty = cut(overlaps(docs.select(id_col, text_col), benchmark, id_col, text_col, item_col, item_text_col).select("doc_key").distinct())
+    few = dirty.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS  # then no text moves
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    return docs.withColumn("_key", key).join(dirty, F.col("_key") == dirty["doc_key"], "left_anti").drop("_key")
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("doc_key"))
+    return given.join(F.broadcast(dirty) if few else dirty, "doc_key", "left_anti").select("row.*")

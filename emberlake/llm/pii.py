@@ -9,8 +9,8 @@ may stand among other numbers (an expiry, a check code), so of a run of groups o
 tried, the leftmost first and of those the longest.
 
 Edge cases: a null text stays null and has no values; rows are treated one by one, so repeated rows give
-repeated results; texts are read whole; an empty table gives an empty table; other columns are handed on by the
-stage form and not read by the query form. Nothing shuffles.
+repeated results; texts are read whole; an empty table gives an empty table; other columns, whatever their names, are handed on by
+the stage form and not read by the query form. Nothing shuffles.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ KEY = "emberlake-demonstration-key"
 ROUNDS = 10
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: kind: pattern. They exclude one another by what stands around them; the first that matches at a place counts.
+#: kind: pattern. An address has a local part of 64 characters at most and a domain of 127 labels at most, of 63
+#: characters each, as mail has it; in a longer domain the part up to there is matched, and no domain is changed. They exclude one another by what stands around them; the first that matches at a place counts.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?![\d]|\.\d)",
     "date": r"(?<![\w./-])(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[./](?:0[1-9]|1[0-2])[./](?:19|20)\d\d)(?![\w/-]|\.\d)",
     "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])",
@@ -206,15 +207,17 @@ def pseudonym(m: Column, k: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """docs with the text pseudonymised, and one column `found` of the kinds in order (null: not validated)."""
-    text = F.col(text_col)
-    df = docs.withColumn("_m", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("_k", F.transform("_m", parts))
+    """docs with the text pseudonymised, and a column `found` of the kinds in order (null: not validated), which replaces one of that name."""
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    text = F.col("text")
+    df = df.withColumn("m", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("k", F.transform("m", parts))
     between = F.split(text, ANY, -1)
-    new = F.transform("_k", lambda p: F.array_join(F.transform(p, lambda x: pseudonym(x["m"], x["k"], key)), ""))
+    new = F.transform("k", lambda p: F.array_join(F.transform(p, lambda x: pseudonym(x["m"], x["k"], key)), ""))
     # Between the matches and after the last: as many values as pieces, the last one empty.
     joined = F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    return df.select(*[F.when(F.size("_k") > 0, joined).otherwise(text).alias(c) if c == text_col else docs[c] for c in docs.columns], F.transform(F.flatten("_k"), lambda x: x["k"]).alias("found"))
+    own = [F.when(F.size("k") > 0, joined).otherwise(text).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "found"]
+    return df.select(*own, F.transform(F.flatten("k"), lambda x: x["k"]).alias("found"))
 
 
 def private(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

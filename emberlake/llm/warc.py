@@ -31,6 +31,8 @@ REVISIT = 1000
 BLOCK = 1 << 16
 #: Bytes (before compression) after which a task begins another archive: one archive is read by one task.
 ARCHIVE = 64 << 20
+#: Bytes that one reading task takes on about.
+READ = 4 * ARCHIVE
 NAMESPACE = uuid.UUID("8c7a3f5e-2b61-4f0e-9d53-6f1f0c1c7b11")
 
 
@@ -53,7 +55,7 @@ def _header(row: dict) -> bytes:
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Writes a record for each row of pages to archives in folder; returns their manifest (path, records), written."""
+    """Writes a record for each row of pages to archives in folder; returns their manifest (path, records, bytes before compression), written."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary")).alias("body"))
     rows = rows.withColumns({"digest": F.sha1("body"), "length": F.octet_length("body").cast("long")})
     narrow = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary")).alias("body"))
@@ -75,7 +77,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         task = TaskContext.get()
         store, base = FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        made: list[tuple[str, int]] = []
+        made: list[tuple[str, int, int]] = []
         out, size, records = None, 0, 0
         for batch in batches:
             for k in range(batch.num_rows):
@@ -84,19 +86,19 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 if out is None:
                     name = f"{base}/{task.partitionId():06d}-{task.taskAttemptId():08d}-{len(made):04d}.warc.gz"
                     out, size, records = store.open_output_stream(name, compression=None), 0, 0
-                    made.append((name, 0))
+                    made.append((name, 0, 0))
                 pack = zlib.compressobj(1, zlib.DEFLATED, 31)
                 out.write(pack.compress(_header(row)) + pack.compress(row["body"]) + pack.compress(b"\r\n\r\n") + pack.flush())
                 size, records = size + len(row["body"]), records + 1
-                made[-1] = (made[-1][0], records)
+                made[-1] = (made[-1][0], records, size)
                 if size >= ARCHIVE:
                     out.close()
                     out = None
         if out is not None:
             out.close()
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in made], pa.string()), pa.array([r for _, r in made], pa.int64())], names=["path", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _, _ in made], pa.string()), pa.array([r for _, r, _ in made], pa.int64()), pa.array([b for _, _, b in made], pa.int64())], names=["path", "records", "bytes"])
 
-    return cut(rows.mapInArrow(work, "path string, records long"))
+    return cut(rows.mapInArrow(work, "path string, records long, bytes long"))
 
 
 def members(stream, block: int = BLOCK) -> Iterator[bytes]:
@@ -131,6 +133,8 @@ def parse(member: bytes) -> dict:
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise ValueError("a record's length isn't its content-length")
     digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+    if headers["WARC-Type"] == "revisit" and (n or len(digest) != 40):
+        raise ValueError("a revisit has a payload, or no digest of the one it stands for")
     if headers["WARC-Type"] == "response" and hashlib.sha1(rest[:n]).hexdigest() != digest:
         raise ValueError("a payload doesn't have its digest")
     return {
@@ -145,7 +149,7 @@ def parse(member: bytes) -> dict:
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """The records of the archives in manifest, one task for each archive or few."""
+    """The records of the archives in manifest, a written table; a task reads archives of READ bytes or so, or a single one."""
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -168,7 +172,10 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
-    return manifest.repartition(F.col("path")).mapInArrow(work, schema)
+    # The manifest is small whatever it lists, so the number of tasks is set from the archives' bytes and not left to its own.
+    told = manifest.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, min(told["n"], max(manifest.sparkSession.sparkContext.defaultParallelism, told["bytes"] // READ)))
+    return manifest.repartition(tasks).mapInArrow(work, schema)
 
 
 def archived(pages: DataFrame) -> DataFrame:
