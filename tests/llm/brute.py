@@ -128,8 +128,8 @@ def tokens(text: str | None) -> list[str]:
 
 
 def contained(doc: list[str], item: list[str], window: int = 13, off: int = 2, shortest: int = 8) -> bool:
-    if len(item) < shortest:
-        return False
     w = min(window, len(item))
-    off = off if w == window else 1
+    off = off if w == window else 1 if w >= shortest else 0
+    if not w:
+        return False
     return any(sum(a != b for a, b in zip(doc[i : i + w], item[j : j + w], strict=True)) <= off for j in range(len(item) - w + 1) for i in range(len(doc) - w + 1))

@@ -149,7 +149,7 @@ def test_masks_meet_every_window():
     w, span = decontaminate.WINDOW, range(decontaminate.WINDOW)
     for off in combinations(span, decontaminate.SUBSTITUTED):
         assert any(not {s + i for i in m} & set(off) for m in decontaminate.MASKS for s in range(w - m[-1])), off
-    for n in range(decontaminate.SHORTEST, w):
+    for n in range(decontaminate.SHORTEST, w):  # one token may differ; shorter items are seeds as a whole
         for off in range(n):
             assert any(off not in {s + i for i in m} for m in decontaminate.MASKS for s in range(n - m[-1]))
 
@@ -176,12 +176,15 @@ def test_decontamination_equals_brute_force(spark):
 
 def test_decontamination_tolerates_substitutions(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
-    bench = spark.createDataFrame([(7, item), (8, "too short"), (9, None)], "item_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, "quite short"), (9, None), (10, "what is the sum of it")], "item_id long, text string")
     words = item.split()
-    rows = [(1, "before " + item + " after"), (2, " ".join("x" if i in (3, 8) else w for i, w in enumerate(words))), (3, " ".join("x" if i % 4 == 1 else w for i, w in enumerate(words))), (4, None), (None, item.upper()), (5, "too short")]
+    rows = [(1, "before " + item + " after"), (2, " ".join("x" if i in (3, 8) else w for i, w in enumerate(words))), (3, " ".join("x" if i % 4 == 1 else w for i, w in enumerate(words))), (4, None), (None, item.upper()), (5, "quite a short one"), (6, "Quite short!"), (8, "a question: what is the sum of it, then? what is a sum of it")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in decontaminate.overlaps(docs, bench).collect()) == [(0, 7), (1, 7), (2, 7)]
-    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()) == [3, 4, 5]
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in decontaminate.overlaps(docs, bench).collect()) == [(0, 7), (1, 7), (2, 7), (6, 8), (8, 10)]
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in decontaminate.overlaps(docs, bench, broadcast_seeds=0).collect()) == [(0, 7), (1, 7), (2, 7), (6, 8), (8, 10)]
+    clash = docs.select("*", *[F.lit(1).alias(c) for c in ("_key", "doc_key", "row", "seed", "item_key", "_t")])
+    clean = decontaminate.keep_clean(clash, bench)
+    assert clean.columns == clash.columns and sorted(r["doc_id"] for r in clean.collect()) == [3, 4, 5]
     assert decontaminate.overlaps(docs.limit(0), bench).count() == decontaminate.overlaps(docs, bench.limit(0)).count() == 0
 
 

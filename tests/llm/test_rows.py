@@ -142,6 +142,17 @@ def test_pseudonyms_link_documents_and_leave_the_rest(spark):
     assert (got[1]["n_email"], got[1]["n_ip"], got[1]["n_card"], got[1]["n_date"]) == (1, 1, 1, 1)
 
 
+def test_pseudonyms_of_odd_rows(odd, spark):
+    clash = odd.select("*", *[F.col("n").alias(c) for c in ("_m", "_k", "m", "k", "row", "found")])
+    out = pii.pseudonymise(clash)
+    assert sorted(out.columns) == sorted(clash.columns) and out.count() == odd.count() and out.where("_m <> n OR row <> n").count() == 0
+    assert pii.private(odd.limit(0)).count() == 0
+    long = [(1, "a@" + "b." * 20_000 + "org"), (2, "x" * 100_000 + "@example.org"), (3, "ann@example.org " * 2_000 + "4111 1111 1111 1111"), (4, "1 2 3 " * 20_000)]
+    got = {r["doc_id"]: r for r in pii.private(spark.createDataFrame(long, "doc_id long, text string")).collect()}
+    assert {k: (r["n_email"], r["n_card"]) for k, r in got.items()} == {1: (1, 0), 2: (0, 0), 3: (2_000, 1), 4: (0, 0)}
+    assert len(got[1]["text"]) == len(long[0][1]) and got[2]["text"] == long[1][1] and "ann@" not in got[3]["text"]
+
+
 def test_cards_among_other_numbers(spark):
     card, plain = "4111 1111 1111 1111", "4111111111111111"
     rows = [(1, f"card {plain} 05/27"), (2, f"card {card} 123"), (3, f"no. 12 {card}, paid"), (4, f"1234 5678 {card} 99"), (5, f"{card} 01/02/2020"), (6, f"{card} {card}"), (7, "2201 9325 1033 4179 1931 8117"), (8, f"{card} 123-45-6789 12 ann@example.org"), (9, "0 " * 3000 + card)]
