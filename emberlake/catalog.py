@@ -81,9 +81,10 @@ def a7_lookup_without_ticket(spark, d):
     return correlation.lookups(derived(spark, d), (F.col("service") == "postgres") & (F.coalesce(field("ticket"), F.lit("")) == ""))
 
 
-@query("SELECT source, count(*) AS n, max(us) AS last_us, 1706659200000000 - max(us) AS stale_us, count(collector_id) AS authenticated FROM E GROUP BY 1")
+@query("SELECT source, count(*) AS n, max(us) AS last_us, max(epoch_us(ingest_time)) AS last_ingest_us, 1706659200000000 - max(us) AS stale_us, max(epoch_us(ingest_time) - us) AS lag_us, count(collector_id) AS authenticated FROM E GROUP BY 1")
 def a8_source_health(spark, d):
-    return derived(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.max(micros("event_ts")).alias("last_us"), (F.lit(NOW_US) - F.max(micros("event_ts"))).alias("stale_us"), F.count("collector_id").alias("authenticated"))
+    us, came = micros("event_ts"), micros("ingest_time")
+    return derived(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.max(us).alias("last_us"), F.max(came).alias("last_ingest_us"), (F.lit(NOW_US) - F.max(us)).alias("stale_us"), F.max(came - us).alias("lag_us"), F.count("collector_id").alias("authenticated"))
 
 
 @query("SELECT service, count(*) AS n, count(DISTINCT db_user) AS users, count(DISTINCT person) AS objects, max(us) AS last_us FROM E GROUP BY 1")
@@ -139,10 +140,11 @@ def d43_ioc_tagging(spark, d):
     return relations.tag(derived(spark, d).select("event_id", field("src_ip").alias("src_ip")), spark.createDataFrame(IOCS, "indicator string, feed string"), "src_ip").select("event_id", "src_ip", "ioc_feed")
 
 
-RANGES = [("10.0.0.0/8", "private"), ("10.0.1.0/24", "lab"), ("10.0.2.16/28", "dmz"), ("10.0.2.0/24", "office")]
+RANGES = [("10.0.1.0/24", "lab"), ("10.0.2.16/28", "dmz"), ("10.0.2.0/27", "office"), ("10.0.0.8/29", "left"), ("10.0.0.16/28", "right"), ("10.0.3.7", "one")]
 
 
-@query("SELECT event_id, src_ip, CASE WHEN src_ip LIKE '10.0.1.%' THEN 'lab' WHEN regexp_matches(src_ip, '^10\\.0\\.2\\.(1[6-9]|2[0-9]|3[01])$') THEN 'dmz' WHEN src_ip LIKE '10.0.2.%' THEN 'office' ELSE 'private' END AS label FROM E")
+# The office's range starts before the dmz's and holds it; left and right border on each other, so left's label stands for both.
+@query("SELECT event_id, src_ip, CASE WHEN src_ip LIKE '10.0.1.%' OR regexp_matches(src_ip, '^10\\.0\\.2\\.([0-9]|[12][0-9]|3[01])$') THEN 'lab' WHEN regexp_matches(src_ip, '^10\\.0\\.0\\.([89]|[12][0-9]|3[01])$') THEN 'left' WHEN src_ip = '10.0.3.7' THEN 'one' END AS label FROM E")
 def j4_range_join(spark, d):
     return relations.by_range(derived(spark, d).select("event_id", field("src_ip").alias("src_ip")), F.col("src_ip"), spark.createDataFrame(RANGES, "cidr string, label string"))
 
@@ -229,9 +231,9 @@ def d3_frequency_burst(spark, d):
     return behaviour.bursts(derived(spark, d), F.expr("timestamp_ntz'2024-01-20 12:00:00'"), k=0.5, least=1)
 
 
-@query("SELECT db_user AS subject, count(*) AS n, max(us) AS last_us, CASE WHEN 1706659200000000 - max(us) >= 86400000000 THEN 'high' WHEN 1706659200000000 - max(us) >= 21600000000 THEN 'medium' ELSE 'low' END AS level FROM E GROUP BY 1 HAVING count(*) >= 5 AND 1706659200000000 - max(us) > 36000000000")
+@query("SELECT db_user AS subject, count(*) AS n, max(epoch_us(ingest_time)) AS last_us, (1706659200000000 - max(epoch_us(ingest_time))) // 1000000 AS silent_s, CASE WHEN (1706659200000000 - max(epoch_us(ingest_time))) // 1000000 >= 86400 THEN 'critical' WHEN (1706659200000000 - max(epoch_us(ingest_time))) // 1000000 >= 21600 THEN 'high' ELSE 'medium' END AS level FROM E WHERE us >= 1706659200000000 - 604800000000 GROUP BY 1 HAVING count(*) >= 3 AND (1706659200000000 - max(epoch_us(ingest_time))) // 1000000 > 3600")
 def d4_source_silence(spark, d):
-    return behaviour.silence(derived(spark, d).withColumn("u", field("db_user")), "u", NOW_US, 5, 10 * HOUR_US)
+    return behaviour.silence(derived(spark, d).withColumn("u", field("db_user")), "u", NOW_US, 3, HOUR_US)
 
 
 # Each case gets outcome, decision and prediction by rule from its number.
@@ -249,35 +251,49 @@ def d5_trust(spark, d):
     return trusted(spark, d)
 
 
-@query(f"{JUDGED_SQL}, R AS (SELECT host AS subject, sum(8.0 * CASE disposition WHEN 'malicious' THEN 2.0 WHEN 'suspicious' THEN 1.0 WHEN 'benign' THEN 0.0 ELSE 0.5 END * CASE WHEN basis = 'prediction' THEN 0.5 ELSE 1.0 END * pow(0.5, (1706659200000000 - opened_us) / 3600000000.0 / 168.0)) AS s, count(*) AS cases FROM T WHERE (1706659200000000 - opened_us) / 3600000000.0 BETWEEN 0 AND 720 GROUP BY 1) SELECT subject, round(s, 6) AS score, cases, CASE WHEN s >= 10 THEN 'critical' ELSE 'high' END AS level FROM R WHERE s >= 5")
+RISK_SQL = f"""{JUDGED_SQL}, G AS (SELECT *, greatest(0.0, ((1706659200000000 - updated_us) // 1000000) / 3600.0) AS age, ['T1110', 'T' || (1000 + z % 3)] AS attack FROM T),
+P AS (SELECT trim(host) AS subject, case_id, attack, 8.0 * CASE disposition WHEN 'malicious' THEN 2.0 WHEN 'suspicious' THEN 1.0 WHEN 'benign' THEN 0.0 ELSE 0.5 END * CASE WHEN basis = 'prediction' THEN 0.5 ELSE 1.0 END * pow(0.5, age / 168.0) AS part FROM G WHERE age <= 720),
+R AS (SELECT subject, sum(part) AS s, count(*) AS cases, list(case_id ORDER BY part DESC, case_id)[1:5] AS contributors, list_sort(list_distinct(flatten(list(attack)))) AS attack FROM P WHERE part > 0 GROUP BY 1)
+SELECT subject, round(s, 6) AS score, cases, array_to_string(contributors, ' ') AS contributors, array_to_string(attack, ' ') AS attack, CASE WHEN s >= 10 THEN 'critical' ELSE 'high' END AS level FROM R WHERE s >= 5"""
+
+
+@query(RISK_SQL)
 def d6_risk(spark, d):
-    cases = trusted(spark, d).withColumns({"rule": F.lit("ssh-failed"), "level": F.lit("high")})
-    return decisions.risk(cases, "host", NOW_US, half_life_h=168.0, max_age_h=720.0, threshold=5.0).withColumn("score", F.round("score", 6))
+    attack = F.array(F.lit("T1110"), F.concat(F.lit("T"), (1000 + F.expr("opened_us div 1000000") % 3).cast("string")))
+    cases = trusted(spark, d).withColumns({"rule": F.lit("ssh-failed"), "level": F.lit("high"), "attack": attack})
+    out = decisions.risk(cases, "host", NOW_US, half_life_h=168.0, max_age_h=720.0, threshold=5.0)
+    return out.withColumns({"score": F.round("score", 6), "contributors": F.array_join("contributors", " "), "attack": F.array_join("attack", " ")})
 
 
-ACCESS = ["event_id", "concat('u', user_id) AS db_user", "event_type AS action", f"{OBJECTS} AS object", "user_id % 4 = 0 AS justified"]
+ACCESS = ["event_id", "concat('u', user_id) AS db_user", "event_type AS action", f"{OBJECTS} AS object", "user_id % 4 = 0 AS justified", "user_id % 10 = 0 AS approved"]
 POLICIES = [
     {"id": "salaries", "effect": "require_justification", "priority": 1, "when": {"object": "salaries"}},
     {"id": "no-delete", "effect": "deny", "priority": 1, "when": {"action": ["error"], "object": "db0.*"}},
-    {"id": "watch", "effect": "audit", "priority": 9, "when": {"db_user": ["U1", "u2"]}},
-    {"id": "watch-too", "effect": "audit", "priority": 9, "when": {"db_user": ["u2"]}},
+    {"id": "watch", "effect": "alert", "priority": 9, "when": {"db_user": ["U1", "u2"]}},
+    {"id": "watch-too", "effect": "alert", "priority": 9, "when": {"db_user": ["u2"]}},
+    {"id": "patients", "effect": "require_approval", "priority": 5, "when": {"object": "db1.public.patients.*", "action": ["click", "purchase"]}},
+    {"id": "more-risk", "effect": "increase_risk", "priority": 2, "when": {"action": ["purchase"]}},
+    {"id": "review", "effect": "step_up_review", "priority": 1, "when": {"db_user": ["u2", "u3"], "action": ["view"]}},
 ]
-POLICY_SQL = f"A AS (SELECT {", ".join(ACCESS)} FROM events), P AS (SELECT event_id, db_user, object, CASE WHEN action = 'error' AND object LIKE 'db0.%' THEN 'no-delete' WHEN object LIKE '%.salaries' AND NOT justified THEN 'salaries' WHEN db_user IN ('u1', 'u2') THEN 'watch' WHEN object LIKE '%.salaries' THEN 'salaries' END AS policy, justified FROM A)"
+POLICY_SQL = f"""A AS (SELECT {", ".join(ACCESS)} FROM events), M AS (SELECT *, unnest([
+CASE WHEN object LIKE '%.salaries' THEN {{'id': 'salaries', 'rank': CASE WHEN justified THEN 0 ELSE 4 END, 'priority': 1, 'k': 0}} END, CASE WHEN action = 'error' AND object LIKE 'db0.%' THEN {{'id': 'no-delete', 'rank': 6, 'priority': 1, 'k': 1}} END,
+CASE WHEN db_user IN ('u1', 'u2') THEN {{'id': 'watch', 'rank': 2, 'priority': 9, 'k': 2}} END, CASE WHEN db_user = 'u2' THEN {{'id': 'watch-too', 'rank': 2, 'priority': 9, 'k': 3}} END,
+CASE WHEN object = 'db1.public.patients' AND action IN ('click', 'purchase') THEN {{'id': 'patients', 'rank': CASE WHEN approved THEN 0 ELSE 5 END, 'priority': 5, 'k': 4}} END, CASE WHEN action = 'purchase' THEN {{'id': 'more-risk', 'rank': 1, 'priority': 2, 'k': 5}} END,
+CASE WHEN db_user IN ('u2', 'u3') AND action = 'view' THEN {{'id': 'review', 'rank': 3, 'priority': 1, 'k': 6}} END, {{'id': NULL, 'rank': -1, 'priority': 0, 'k': 99}}]) AS m FROM A),
+P AS (SELECT event_id, db_user, object, justified, max_by(m.id, m.rank * 1000000 + m.priority * 1000 - m.k) AS policy, ['allow', 'allow', 'increase_risk', 'alert', 'step_up_review', 'require_justification', 'require_approval', 'deny'][max(m.rank) + 2] AS effect,
+concat_ws(',', CASE WHEN bool_or(coalesce(m.id = 'patients' AND m.rank = 5, false)) THEN 'approval' END, CASE WHEN bool_or(coalesce(m.id = 'salaries' AND m.rank = 4, false)) THEN 'justification' END) AS missing FROM M WHERE m IS NOT NULL GROUP BY ALL)"""
 
 
 def decided(spark, d):
     return decisions.policies(spark.read.parquet(f"{d}/events.parquet").selectExpr(*ACCESS), POLICIES)
 
 
-EFFECT_SQL = "CASE policy WHEN 'no-delete' THEN 'deny' WHEN 'watch' THEN 'audit' WHEN 'salaries' THEN CASE WHEN justified THEN 'allow' ELSE 'require_justification' END ELSE 'allow' END"
-
-
-@query(f", {POLICY_SQL} SELECT event_id, policy, {EFFECT_SQL} AS effect FROM P")
+@query(f", {POLICY_SQL} SELECT event_id, policy, effect, missing FROM P")
 def d13_policy_evaluation(spark, d):
-    return decided(spark, d).select("event_id", "policy", "effect")
+    return decided(spark, d).select("event_id", "policy", "effect", "missing")
 
 
-@query(f", {POLICY_SQL} SELECT {EFFECT_SQL} AS effect, count(*) AS n, count(DISTINCT db_user) AS users, count(DISTINCT object) AS objects FROM P GROUP BY 1")
+@query(f", {POLICY_SQL} SELECT effect, count(*) AS n, count(DISTINCT db_user) AS users, count(DISTINCT object) AS objects, count(*) FILTER (justified AND effect NOT IN ('allow', 'increase_risk')) AS likely_false, array_to_string(list(event_id ORDER BY event_id)[1:20], ',') AS samples FROM P GROUP BY 1")
 def d14_policy_simulation(spark, d):
     return decisions.simulate(decided(spark, d))
 
@@ -300,16 +316,32 @@ def d15_access_detectors(spark, d):
     return decisions.detect(derived(spark, d), "event_id", detectors())
 
 
-@query(f", {DETECT_SQL}, S AS (SELECT event_id, count(*) AS n, max(w)::DOUBLE * (1 + 0.5 * CASE WHEN event_id % 2 = 0 THEN 0.8 ELSE 0.2 END) * (1 + 0.2 * (count(*) - 1)) AS s FROM H GROUP BY 1) SELECT event_id, n, round(s, 6) AS score, CASE WHEN s >= 13 THEN 'critical' WHEN s >= 8 THEN 'high' WHEN s >= 4 THEN 'medium' WHEN s >= 2 THEN 'low' ELSE 'informational' END AS band FROM S")
-def d8_signal_fusion(spark, d):
+D7_SQL = f", {DETECT_SQL}, S AS (SELECT event_id, count(*) AS n, max(w)::DOUBLE * (1 + CASE WHEN event_id % 2 = 0 THEN 0.8 ELSE 0.2 END) * (1 + 0.25 * (count(*) - 1)) AS s, max(CASE l WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 END) AS f FROM (SELECT event_id, detector, level AS l, w FROM H) GROUP BY 1), B AS (SELECT *, CASE WHEN s >= 13 THEN 4 WHEN s >= 8 THEN 3 WHEN s >= 4 THEN 2 WHEN s >= 2 THEN 1 ELSE 0 END AS b FROM S)"
+NAMES_SQL = "['informational', 'low', 'medium', 'high', 'critical']"
+
+
+def signals(spark, d):
     crit = decisions.classification_criticality(F.when(F.col("event_id") % 2 == 0, "restricted").otherwise("internal"))
-    return decisions.ensemble(decisions.detect(derived(spark, d), "event_id", detectors()).withColumn("criticality", crit), "event_id").withColumn("score", F.round("score", 6))
+    return decisions.detect(derived(spark, d), "event_id", detectors()).withColumn("criticality", crit)
+
 
+@query(f"{D7_SQL} SELECT event_id, n, round(s, 6) AS score, {NAMES_SQL}[b + 1] AS band, {NAMES_SQL}[greatest(b, f) + 1] AS level FROM B")
+def d7_ensemble_score(spark, d):
+    return decisions.ensemble(signals(spark, d), "event_id").withColumn("score", F.round("score", 6))
 
-@query("SELECT db_user AS subject, count(*) AS n, round(avg(value), 9) AS mean, round(median(value), 9) AS median, round(mad(value), 9) AS mad FROM E GROUP BY 1")
+
+@query(f""", {DETECT_SQL}, X AS (SELECT *, CASE WHEN detector = 'watched-subject' THEN detector END AS own, CASE WHEN event_id % 2 = 0 THEN 0.8 ELSE 0.2 END AS c, CASE level WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 END AS f FROM H),
+S AS (SELECT event_id, own, count(*) AS n, max(w)::DOUBLE * (1 + max(c)) * (1 + 0.25 * (count(*) - 1)) AS s, max(f) AS f, array_to_string(list_sort(list_distinct(list(CASE WHEN detector = 'failed' THEN 'T1110' ELSE 'T1213' END))), ' ') AS attack FROM X GROUP BY ALL), B AS (SELECT *, CASE WHEN s >= 13 THEN 4 WHEN s >= 8 THEN 3 WHEN s >= 4 THEN 2 WHEN s >= 2 THEN 1 ELSE 0 END AS b FROM S)
+SELECT event_id, coalesce(own, 'combined-' || {NAMES_SQL}[b + 1]) AS detector, n, round(s, 6) AS score, {NAMES_SQL}[greatest(b, f) + 1] AS level, attack FROM B""")
+def d8_signal_fusion(spark, d):
+    given = signals(spark, d).withColumn("attack", F.array(F.when(F.col("detector") == "failed", "T1110").otherwise("T1213")))
+    return decisions.fuse_findings(given, "event_id", ["watched-subject"]).withColumns({"score": F.round("score", 6), "attack": F.array_join("attack", " ")})
+
+
+@query("SELECT *, round(CASE WHEN mad > 0 THEN (top - median) / (1.4826 * mad) WHEN sd > 0 THEN (top - mean) / sd WHEN top > median THEN 'inf'::DOUBLE ELSE 0 END, 6) AS upper_z FROM (SELECT db_user AS subject, count(*) AS n, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS sd, round(median(value), 9) AS median, round(mad(value), 9) AS mad, max(value) AS top FROM E GROUP BY 1)")
 def a26_numeric_baseline(spark, d):
     out = behaviour.numeric_baseline(derived(spark, d).select(field("db_user").alias("subject"), "value"), "subject", "value")
-    return out.select("subject", "n", *[F.round(c, 9).alias(c) for c in ("mean", "median", "mad")])
+    return out.select("subject", "n", *[F.round(c, 9).alias(c) for c in ("mean", "sd", "median", "mad")], "top", F.round("upper_z", 6).alias("upper_z"))
 
 
 @query(", C AS (SELECT host AS subject, hour(event_ts) AS hour, count(*) AS n FROM E GROUP BY ALL), T AS (SELECT subject, max(n) AS peak FROM C GROUP BY 1 HAVING sum(n) >= 20) SELECT t.subject, h.i::INTEGER AS hour, coalesce(c.n, 0) AS n FROM T AS t, range(24) AS h(i) LEFT JOIN C AS c ON c.subject = t.subject AND c.hour = h.i WHERE coalesce(c.n, 0) = 0 OR c.n < 0.5 * t.peak")
@@ -335,12 +367,13 @@ def w5_enumeration_runs(spark, d):
     return behaviour.runs(o, ["actor"], "number", ["number"], 2)
 
 
-@query("SELECT event_id AS seq, 'link' AS fault FROM events WHERE event_id > 1 AND event_id % 1000 = 7")
+@query("""SELECT seq, fault FROM (SELECT event_id AS seq, CASE WHEN event_id % 500 = 12 THEN 'gap' WHEN event_id % 1000 = 7 THEN 'link' END AS fault FROM events WHERE event_id > 1 AND event_id % 500 <> 11) WHERE fault IS NOT NULL""")
 def w9_chain_verification(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), F.sha2(F.concat_ws("|", "event_id", "props"), 256).alias("own"), "props")
-    prev = e.select((F.col("seq") + 1).alias("seq"), F.col("own").alias("prev"))
-    chain = e.join(prev, "seq", "left").withColumn("prev", F.when(F.col("seq") % 1000 == 7, "broken").otherwise(F.col("prev")))
-    return behaviour.chain_faults(chain, "seq", "prev", "own").where("fault = 'link'")
+    """A chain of which every 500th record is taken out and every 1000th names another record before it than there is."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), F.sha2(F.concat_ws("|", "event_id", "props"), 256).alias("own"))
+    before = e.select((F.col("seq") + 1).alias("seq"), F.col("own").alias("prev"))
+    chain = e.join(before, "seq", "left").withColumn("prev", F.when(F.col("seq") % 1000 == 7, "broken").otherwise(F.col("prev"))).where("seq % 500 <> 11")
+    return behaviour.chain_faults(chain, "seq", "prev", "own")
 
 
 @query("SELECT source FROM E INTERSECT SELECT source FROM E WHERE service = 'sshd' UNION ALL (SELECT host FROM E EXCEPT SELECT host FROM E WHERE host LIKE '%1%')")
@@ -357,7 +390,13 @@ def d25_entity_graph(spark, d):
     return relations.edges(derived(spark, d))
 
 
-@query(None)
+PIVOT_SQL = f"""{EDGES_SQL}, N AS (SELECT a, b FROM EDGES WHERE a IS NOT NULL AND b IS NOT NULL UNION ALL SELECT b, a FROM EDGES WHERE a IS NOT NULL AND b IS NOT NULL),
+H0 AS (SELECT 'user:u1' AS node, 0 AS hops, NULL::VARCHAR AS via), H1 AS (SELECT b AS node, 1 AS hops, min(a) AS via FROM N JOIN H0 ON a = node WHERE b NOT IN (SELECT node FROM H0) GROUP BY b), S1 AS (SELECT * FROM H0 UNION ALL SELECT * FROM H1),
+H2 AS (SELECT b AS node, 2 AS hops, min(a) AS via FROM N JOIN H1 ON a = node WHERE b NOT IN (SELECT node FROM S1) GROUP BY b), S2 AS (SELECT * FROM S1 UNION ALL SELECT * FROM H2),
+H3 AS (SELECT b AS node, 3 AS hops, min(a) AS via FROM N JOIN H2 ON a = node WHERE b NOT IN (SELECT node FROM S2) GROUP BY b), SEEN AS (SELECT * FROM S2 UNION ALL SELECT * FROM H3)"""
+
+
+@query(f", {PIVOT_SQL} SELECT * FROM SEEN")
 def d26_pivot(spark, d):
     links = relations.edges(derived(spark, d))
     return relations.pivot(links, spark.createDataFrame([("user:u1",)], "node string"), 3)
@@ -397,11 +436,14 @@ def d34_temporal_split(spark, d):
     return decisions.temporal_split(derived(spark, d).select("event_id", micros("event_ts").alias("us")), "us").select("event_id", "part")
 
 
-@query("SELECT sum(t * a)::BIGINT AS tp, sum((1 - t) * a)::BIGINT AS fp, sum(t * (1 - a))::BIGINT AS fn, sum((1 - t) * (1 - a))::BIGINT AS tn, round(avg(pow(s - t, 2)), 6) AS brier FROM (SELECT (severity = 'warning')::INT AS t, (value > 50)::INT AS a, least(value / 100, 1.0) AS s FROM E)")
+CONFUSION_SQL = "X AS (SELECT event_id, (severity = 'warning')::INT AS t, (value > 50)::INT AS a, value / 100 AS s FROM E)"
+
+
+@query(f""", {CONFUSION_SQL}, C AS (SELECT count(*) AS rows, sum(t * a)::BIGINT AS tp, sum((1 - t) * a)::BIGINT AS fp, sum(t * (1 - a))::BIGINT AS fn, sum((1 - t) * (1 - a))::BIGINT AS tn, round(avg(pow(least(s, 1.0) - t, 2)), 6) AS brier FROM X)
+SELECT *, (SELECT round(coalesce(avg(t), 0), 9) FROM (SELECT t FROM X WHERE a = 1 ORDER BY s DESC, event_id LIMIT 100)) AS precision_at_budget, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall FROM C""")
 def a27_confusion(spark, d):
-    e = derived(spark, d).withColumn("id", F.col("event_id"))
-    out = decisions.confusion(e, F.col("severity") == "warning", F.col("value") > 50, F.least(F.col("value") / 100, F.lit(1.0)), 100)
-    return out.select("tp", "fp", "fn", "tn", F.round("brier", 6).alias("brier"))
+    out = decisions.confusion(derived(spark, d), F.col("severity") == "warning", F.col("value") > 50, F.col("value") / 100, 100, "event_id")
+    return out.select("rows", "tp", "fp", "fn", "tn", F.round("brier", 6).alias("brier"), *[F.round(c, 9).alias(c) for c in ("precision_at_budget", "precision", "recall")])
 
 
 LINES = "CASE WHEN event_id % 2 = 0 THEN concat('<34>1 2024-01-02T03:04:05Z ', host, ' ', service, ' ', event_id, ' - - ', message) ELSE concat('<13>Jan  2 03:04:05 ', host, ' ', service, '[', event_id, ']: ', message) END AS line"
@@ -429,3 +471,6 @@ def j16_joins(spark, d):
     revenue = t("lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
     j = revenue.join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     return j.groupBy(F.col("n_name").alias("nation")).agg(F.count("*").alias("orders"), F.round(F.sum("revenue"), 2).alias("revenue"))
+
+
+from emberlake import catalog_more  # noqa: E402, F401  its queries join these

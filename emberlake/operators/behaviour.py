@@ -44,20 +44,35 @@ def bursts(events: DataFrame, hour: Column, days: int = 14, least: int = 5, k: f
     return out.where("now > threshold").select("host", "service", "now", "med", "mad", F.when(F.col("now") >= 3 * F.col("threshold"), "high").otherwise("medium").alias("level"))
 
 
-def silence(events: DataFrame, key: str, now_us: int, least: int, limit_us: int) -> DataFrame:
-    """Producers with enough events before, and none for too long."""
-    out = events.groupBy(F.col(key).alias("subject")).agg(F.count("*").alias("n"), F.max(micros("event_ts")).alias("last_us")).where((F.col("n") >= least) & (now_us - F.col("last_us") > limit_us))
-    return out.withColumn("level", F.when(now_us - F.col("last_us") >= 24 * HOUR_US, "high").when(now_us - F.col("last_us") >= 6 * HOUR_US, "medium").otherwise("low"))
+def silence(events: DataFrame, key: str, now_us: int, least: int, limit_us: int, watch_us: int = 7 * 24 * HOUR_US) -> DataFrame:
+    """Producers with enough events (by their own time) in the watch window, of which none has come in for too long."""
+    watched = events.where(micros("event_ts") >= now_us - watch_us)
+    out = watched.groupBy(F.col(key).alias("subject")).agg(F.count("*").alias("n"), F.max(micros("ingest_time")).alias("last_us")).where(F.col("subject").isNotNull() & (F.col("n") >= least))
+    silent = F.expr(f"({now_us} - last_us) div 1000000")
+    out = out.withColumn("silent_s", silent).where(F.col("silent_s") > limit_us // 1_000_000)
+    return out.withColumn("level", F.when(F.col("silent_s") >= 24 * 3600, "critical").when(F.col("silent_s") >= 6 * 3600, "high").otherwise("medium"))
+
+
+def weighted_median(counts: DataFrame, key: str, value: str, n: str = "n") -> DataFrame:
+    """(key, median) from counts by value: the middle one, or the mean of the two middle ones. Values of one key are
+    ordered by a window over counts, so a key's rows don't meet in memory, and equal values are one row."""
+    upto = F.sum(n).over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    total = counts.groupBy(key).agg(F.sum(n).alias("_total"))
+    df = counts.withColumn("_upto", upto).join(total, key)
+    holds = lambda rank: (F.col("_upto") - F.col(n) < rank) & (rank <= F.col("_upto"))
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+    return df.where(holds(low) | holds(high)).groupBy(key).agg(((F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2).alias("median"))
 
 
 def numeric_baseline(df: DataFrame, key: str, value: str) -> DataFrame:
-    """n, mean, standard deviation, median and MAD per key, and the upper z of the largest value."""
-    med = df.groupBy(key).agg(F.median(value).alias("med"))
-    return (
-        df.join(med, key).groupBy(key)
-        .agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.first("med").alias("median"), F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"), F.max(value).alias("top"))
-        .withColumn("upper_z", F.when(F.col("mad") > 0, (F.col("top") - F.col("median")) / (1.4826 * F.col("mad"))).when(F.col("sd") > 0, (F.col("top") - F.col("mean")) / F.col("sd")))
-    )
+    """n, mean, standard deviation, median and MAD per key, and the upper z of the largest value (infinite without any spread)."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
+    med = weighted_median(counts, key, value)
+    away = counts.join(med, key).groupBy(key, F.abs(F.col(value) - F.col("median")).alias("away")).agg(F.sum("n").alias("n"))
+    mad = weighted_median(away, key, "away").withColumnRenamed("median", "mad")
+    own = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.max(value).alias("top"))
+    z = F.when(F.col("mad") > 0, (F.col("top") - F.col("median")) / (1.4826 * F.col("mad"))).when(F.col("sd") > 0, (F.col("top") - F.col("mean")) / F.col("sd")).when(F.col("top") > F.col("median"), F.lit(float("inf"))).otherwise(0.0)
+    return own.join(med, key).join(mad, key).withColumn("upper_z", z)
 
 
 def rare_hours(events: DataFrame, key: Column, least: int = 20, share: float = 0.1) -> DataFrame:
@@ -99,7 +114,51 @@ def runs(df: DataFrame, keys: list[str], number: str, order: list[str], least: i
 def chain_faults(df: DataFrame, seq: str, prev: str, own: str) -> DataFrame:
     """Rows of a hash chain whose link or number doesn't follow from the row before.
 
-    The row before is met by a join on its number, so the chain isn't sorted in one task.
+    The row before is met by a join on its number, so the chain isn't sorted in one task. A first row that isn't
+    number 1 is a gap too.
     """
     before = df.select((F.col(seq) + 1).alias(seq), F.col(own).alias("_before"))
     return df.join(before, seq, "left").where((F.col(seq) > 1) & (F.col("_before").isNull() | (F.col("_before") != F.col(prev)))).select(seq, F.when(F.col("_before").isNull(), "gap").otherwise("link").alias("fault"))
+
+
+def observed(events: DataFrame, entity: Column, dims: dict[str, Column], ts_us: Column) -> DataFrame:
+    """(entity, dim, value, n, first_us, last_us): what each entity was seen with."""
+    each = F.array_compact(F.array(*[F.when(c.isNotNull() & (c.cast("string") != ""), F.struct(F.lit(d).alias("dim"), c.cast("string").alias("value"))) for d, c in dims.items()]))
+    df = events.select(entity.alias("entity"), ts_us.alias("us"), F.explode(each).alias("x")).where("entity IS NOT NULL")
+    return df.groupBy("entity", F.col("x.dim").alias("dim"), F.col("x.value").alias("value")).agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+
+
+def trusted(events: DataFrame, entity: Column, ts_us: Column, least: int = 30, span_us: int = 3 * 24 * HOUR_US, source: Column | None = None, sources: int = 1) -> DataFrame:
+    """Entities with so many observations over such a span, from so many sources: their profiles may accuse."""
+    src = source if source is not None else F.lit("any")
+    out = events.select(entity.alias("entity"), ts_us.alias("us"), src.alias("source")).where("entity IS NOT NULL").groupBy("entity").agg(F.count("*").alias("n"), (F.max("us") - F.min("us")).alias("span_us"), F.count_distinct("source").alias("sources"))
+    return out.where((F.col("n") >= least) & (F.col("span_us") >= span_us) & (F.col("sources") >= sources))
+
+
+def novelties(events: DataFrame, key: str, entity: Column, dims: dict[str, Column], baseline: DataFrame, known: DataFrame, levels: dict[str, str]) -> DataFrame:
+    """(key, dim, value, level): values that an event has and its entity's profile hasn't; entities without a trusted profile abstain."""
+    each = F.array_compact(F.array(*[F.when(c.isNotNull() & (c.cast("string") != ""), F.struct(F.lit(d).alias("dim"), c.cast("string").alias("value"))) for d, c in dims.items()]))
+    df = events.select(key, entity.alias("entity"), F.explode(each).alias("x")).select(key, "entity", "x.dim", "x.value")
+    df = df.join(known.select("entity"), "entity", "left_semi").join(baseline.select("entity", "dim", "value"), ["entity", "dim", "value"], "left_anti")
+    level = F.coalesce(*[F.when(F.col("dim") == d, v) for d, v in levels.items()], F.lit("medium"))
+    return df.select(key, "entity", "dim", "value", level.alias("level"))
+
+
+def off_profile_hours(events: DataFrame, key: str, entity: Column, rare: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, entity, hour) of events in an hour that is rare for their entity."""
+    df = events.select(key, entity.alias("entity"), F.hour("event_ts").alias("hour")).join(known.select("entity"), "entity", "left_semi")
+    return df.join(rare.select(F.col("subject").alias("entity"), "hour"), ["entity", "hour"], "left_semi").select(key, "entity", "hour")
+
+
+def volume_deviations(events: DataFrame, key: str, entity: Column, value: Column, baseline: DataFrame, known: DataFrame, least_z: float = 3.5, least_n: int = 20) -> DataFrame:
+    """(key, entity, z) of events whose value lies far above their entity's median, in MADs (else standard deviations)."""
+    b = baseline.where(F.col("n") >= least_n).select(F.col(baseline.columns[0]).alias("entity"), "median", "mean", "mad", "sd")
+    df = events.select(key, entity.alias("entity"), value.alias("v")).join(known.select("entity"), "entity", "left_semi").join(b, "entity")
+    z = F.when(F.col("mad") > 0, (F.col("v") - F.col("median")) / (1.4826 * F.col("mad"))).when(F.col("sd") > 0, (F.col("v") - F.col("mean")) / F.col("sd")).when(F.col("v") > F.col("median"), F.lit(float("inf"))).otherwise(0.0)
+    return df.withColumn("z", z).where(F.col("z") >= least_z).select(key, "entity", "z")
+
+
+def peer_novelty(baseline: DataFrame, groups: DataFrame) -> DataFrame:
+    """(entity, dim, value) that an entity was seen with and none of the others in its group (entity, group)."""
+    df = baseline.join(groups, "entity")
+    return df.groupBy("group", "dim", "value").agg(F.count_distinct("entity").alias("_n"), F.min("entity").alias("entity")).where("_n = 1").select("entity", "dim", "value")

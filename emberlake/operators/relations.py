@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from emberlake.functions.text import ip_number
 from emberlake.sources.events import field
 
-#: Rows of a lookup list that may be broadcast; a longer list is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes of a lookup list that may be broadcast, by rows times what a row may take; a longer list is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it is small; it is counted up to the bound only."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def bounded(df: DataFrame, row_bytes: int = 200) -> DataFrame:
+    """df, marked for broadcast if its rows, of row_bytes at most, keep within the bound; it is counted up to the bound only."""
+    most = BROADCAST_BYTES // row_bytes
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def tag(events: DataFrame, iocs: DataFrame, key: str) -> DataFrame:
@@ -24,20 +25,31 @@ def tag(events: DataFrame, iocs: DataFrame, key: str) -> DataFrame:
     return events.join(bounded(iocs.groupBy(F.col("indicator").alias(key)).agg(F.min("feed").alias("ioc_feed"))), key, "left")
 
 
+def merged_ranges(ranges: DataFrame) -> DataFrame:
+    """(lo, hi, label): ranges (cidr, label) with those that overlap or border on each other merged; the label of the first stays.
+
+    Overlap runs through the whole list, so it is ordered as a whole; it is a lookup list of bounded length.
+    """
+    base, width = F.substring_index("cidr", "/", 1), F.when(F.col("cidr").contains("/"), F.substring_index("cidr", "/", -1).cast("int")).otherwise(32)
+    r = ranges.select("label", ip_number(base).alias("lo"), F.pow(F.lit(2.0), 32 - width).cast("long").alias("n")).where("lo IS NOT NULL")
+    r = r.select("label", (F.col("lo") - F.col("lo") % F.col("n")).alias("lo"), (F.col("lo") - F.col("lo") % F.col("n") + F.col("n") - 1).alias("hi"))
+    order = Window.orderBy("lo", "label", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    r = r.withColumn("_new", (reach.isNull() | (F.col("lo") > reach + 1)).cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return r.groupBy("_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min_by("label", F.struct("lo", "label", "hi")).alias("label")).drop("_run")
+
+
 def by_range(rows: DataFrame, ip: Column, ranges: DataFrame, bits: int = 16) -> DataFrame:
-    """rows with the label of the range (cidr, label) that holds their address; the narrowest, then the first by label.
+    """rows with the label of the merged range that holds their address.
 
-    Ranges are dealt to the blocks of 2 ** bits addresses that they meet, so the join is on the block, and then between.
+    Merged ranges are disjoint, so a row meets one at most. They are dealt to the blocks of 2 ** bits addresses that
+    they meet, and each row joins by its block, and then between. A list within the bound is broadcast, and no row moves.
     """
-    base, width = F.substring_index("cidr", "/", 1), F.substring_index("cidr", "/", -1).cast("int")
-    r = ranges.select("label", ip_number(base).alias("lo"), F.pow(F.lit(2.0), 32 - width).cast("long").alias("n"))
-    r = r.select("label", "lo", "n", (F.col("lo") + F.col("n") - 1).alias("hi"))
     size = 1 << bits
-    r = r.select("*", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))).alias("block"))
-    ips = rows.select(ip.alias("_ip")).where("_ip IS NOT NULL").distinct().withColumn("_n", ip_number(F.col("_ip")))
-    ips = ips.withColumn("block", F.floor(F.col("_n") / size))
-    hit = ips.join(bounded(r), "block").where("_n BETWEEN lo AND hi").groupBy("_ip").agg(F.min_by("label", F.struct("n", "label")).alias("label"))
-    return rows.withColumn("_ip", ip).join(hit, "_ip", "left").drop("_ip")
+    r = merged_ranges(ranges).select("*", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))).alias("_block"))
+    given = rows.withColumn("_n", ip_number(ip)).withColumn("_block", F.floor(F.col("_n") / size))
+    hit = (given["_block"] == r["_block"]) & F.col("_n").between(F.col("lo"), F.col("hi"))
+    return given.join(bounded(r), hit, "left").select(*[given[c] for c in rows.columns], "label")
 
 
 def by_suffix(names: DataFrame, name: str, listed: DataFrame) -> DataFrame:
@@ -55,7 +67,8 @@ def classify(objects: DataFrame, name: str, entries: DataFrame) -> DataFrame:
     """
     low = F.lower(name)
     parts = F.split(low, r"\.")
-    prefixes = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "."), F.lit(".*")))).otherwise(F.array().cast("array<string>"))
+    # `a.b.*` matches `a.b` itself as well as what lies under it.
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "."), F.lit(".*")))
     each = objects.select(name).distinct().select(name, F.explode(F.array_distinct(F.concat(F.array(low, F.substring_index(low, ".", -1)), prefixes))).alias("pattern"))
     hit = each.join(bounded(entries.withColumn("pattern", F.lower("pattern"))), "pattern")
     return objects.join(hit.groupBy(name).agg(F.bool_or("sensitive").alias("sensitive"), F.max("rank").alias("rank"), F.count("*").alias("entries")), name, "left")
@@ -88,12 +101,25 @@ def pivot(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def term_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(term, id, tf, len): the inverted index; each text is read once. Written, it serves any query."""
+    tokens = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+    df = docs.select(F.col(id_col).alias("id"), tokens.alias("_w")).select("id", F.size("_w").alias("len"), F.explode("_w").alias("term"))
+    return df.groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+
+
 def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score) of the documents that hold a term. Lengths and frequencies are taken in the one scan of the text."""
+    """(id, score) of the documents that hold a term. Lengths and frequencies are taken in one scan of the text."""
     tokens = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9]+")
     df = docs.select(F.col(id_col).alias("id"), F.filter(tokens, lambda t: t != "").alias("_w"))
-    tf = lambda t: F.size(F.filter("_w", lambda x: x == F.lit(t)))
-    df = df.select("id", F.size("_w").alias("len"), *[tf(t).alias(f"tf_{k}") for k, t in enumerate(terms)])
+    hits = F.filter("_w", lambda x: x.isin(terms))
+    tf = lambda t: F.size(F.filter("_h", lambda x: x == F.lit(t)))
+    df = df.select("id", F.size("_w").alias("len"), hits.alias("_h")).select("id", "len", *[tf(t).alias(f"tf_{k}") for k, t in enumerate(terms)])
+    shared = docs.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if shared:  # the narrow table is read for the statistics and for the scores
+        to = f"{shared.rstrip('/')}/bm25-{uuid.uuid4().hex}"
+        df.write.parquet(to)
+        df = docs.sparkSession.read.schema(df.schema).parquet(to)
     stats = df.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf_{k}") > 0).alias(f"df_{k}") for k in range(len(terms))])
     idf = lambda k: F.log(1 + (F.col("docs") - F.col(f"df_{k}") + 0.5) / (F.col(f"df_{k}") + 0.5))
     part = lambda k: idf(k) * F.col(f"tf_{k}") * (k1 + 1) / (F.col(f"tf_{k}") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
@@ -112,7 +138,7 @@ def nearest(vectors: DataFrame, probes: DataFrame, k: int, id_col: str = "vec_id
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     dot = F.aggregate(F.zip_with("v", "p", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), norm(F.col(vec_col)).alias("nv"))
-    p = bounded(probes.select(F.col(id_col).alias("probe"), F.col(vec_col).alias("p"), norm(F.col(vec_col)).alias("np")))
+    p = bounded(row_bytes=16_384, df=probes.select(F.col(id_col).alias("probe"), F.col(vec_col).alias("p"), norm(F.col(vec_col)).alias("np")))
     met = v.join(p, F.col("id") != F.col("probe")).select("probe", "id", (dot / (F.col("nv") * F.col("np"))).alias("cosine"))
     place = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("cosine"), "id"))
     return met.withColumn("place", place).where(F.col("place") <= k).select("probe", "place", "id", "cosine")
@@ -127,6 +153,59 @@ def fuse(signals: list[tuple[DataFrame, float]], key: str = "id", k: int = 60) -
     return out.groupBy(key).agg(F.sum("s").alias("score"), F.count("*").alias("signals"))
 
 
+def hybrid(structured: DataFrame, fulltext: DataFrame, semantic: DataFrame, window: tuple[int, int], gated: bool, limit: int, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), k: int = 60) -> DataFrame:
+    """Ranked hits of three kinds fused: (id, host, service, message, us, score, signals), best first, and `truncated`.
+
+    structured and fulltext have (id, host, service, message, us, place), semantic (host, service, message, us, place), one
+    row for each group of equal messages. Hits outside the window [from, to) don't count. With a gate, text hits count only
+    if they are structured hits too. A semantic hit counts for every hit with its host, service and message; without such
+    a hit it stands alone, unless there is a gate, or its own time is outside the window.
+    """
+    inside = lambda df: df.where((F.col("us") >= window[0]) & (F.col("us") < window[1]))
+    own = ["id", "host", "service", "message", "us"]
+    a, b = inside(structured), inside(fulltext)
+    b = b.join(a.select("id"), "id", "left_semi") if gated else b
+    rows = a.select(*own).unionByName(b.select(*own)).dropDuplicates(["id"])
+    same = ["host", "service", "message"]
+    met = rows.join(semantic.select(*same, "place"), same).select("id", "place")
+    signals = [(a.select("id", "place"), weights[0]), (b.select("id", "place"), weights[1]), (met, weights[2])]
+    if not gated:
+        alone = inside(semantic).join(rows.select(*same).distinct(), same, "left_anti").withColumn("id", F.concat(F.lit("group:"), F.substring(F.sha2(F.concat_ws("\x00", *same), 256), 1, 16)))
+        rows = rows.unionByName(alone.select(*own))
+        signals.append((alone.select("id", "place"), weights[2]))
+    scored = fuse(signals, "id", k).join(rows, "id")
+    more = scored.limit(limit + 1).agg((F.count("*") > limit).alias("truncated"))
+    return scored.orderBy(F.desc("score"), "id").limit(limit).crossJoin(F.broadcast(more))  # one row
+
+
+def shortest_path(links: DataFrame, start: str, end: str, depth: int = 6) -> DataFrame:
+    """(place, node) of a shortest path, the first by name of each step before; none if there isn't one within depth."""
+    seen = pivot(links, links.sparkSession.createDataFrame([(start,)], "node string"), depth)
+    at, path = end, []
+    while at is not None:  # a look-up for each step, depth at most
+        row = seen.where(F.col("node") == at).select("hops", "via").first()
+        if row is None:
+            break
+        path.append((row["hops"], at))
+        at = row["via"]
+    return links.sparkSession.createDataFrame(path, "place int, node string")
+
+
+def attack_paths(links: DataFrame, cases: DataFrame, start: str, depth: int) -> DataFrame:
+    """Cases (case_id, node, level, disposition) within depth of the start, by level weight times disposition; none that count nothing."""
+    from emberlake.operators.decisions import level_weight, multiplier
+
+    seen = pivot(links, links.sparkSession.createDataFrame([(start,)], "node string"), depth)
+    score = level_weight(F.col("level")) * multiplier(F.col("disposition"))
+    return cases.join(seen.select("node", "hops"), "node").withColumn("score", score).where("score > 0").select("case_id", "node", "hops", "score")
+
+
+def top_nodes(links: DataFrame, nodes: int = 400, first: str = "host:") -> DataFrame:
+    """(node, degree): hosts first, then by degree, then by name, so many at most."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    return degree.orderBy((~F.col("node").startswith(first)).cast("int"), F.desc("degree"), "node").limit(nodes)
+
+
 def pruned(events: DataFrame, ts_us: str, classes: list[tuple[str, int]], default_cutoff: int, held: list[str], tombstones: list[tuple[str, int, int]]) -> DataFrame:
     """events with what retention does to each: a class's own cutoff (a hold protects), the default, then erasure of a host in a range; null times stay."""
     source = F.col("source")

@@ -14,6 +14,8 @@ EVENTS = (
 DERIVED = {
     "event_id": "event_id",
     "event_ts": "ts",
+    "ingest_time": "ts + INTERVAL '2' SECOND",
+    "environment": "CASE WHEN user_id % 9 = 0 THEN 'test' ELSE 'prod' END",
     "host": "concat('host-', user_id % 12)",
     "service": "CASE event_type WHEN 'error' THEN 'sshd' WHEN 'signup' THEN 'sudo' WHEN 'purchase' THEN 'postgres' ELSE 'web' END",
     "source": "CASE WHEN user_id % 3 = 0 THEN 'journald' WHEN user_id % 3 = 1 THEN 'syslog' ELSE 'pgaudit' END",
