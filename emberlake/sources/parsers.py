@@ -36,10 +36,25 @@ def syslog(lines: DataFrame, line: str = "line", year: int = 2024, environment:
     return out
 
 
-def native(lines: DataFrame, line: str = "line", environment: str | None = None, max_message: int = 256 << 10) -> DataFrame:
-    """NDJSON of payload columns; rows that aren't objects, or have too long a message, are left out."""
+NATIVE = {"event_ts", "host", "service", "source", "environment", "severity", "log_type", "message", "fields"}
+MAX_MESSAGE, MAX_FIELD = 256 << 10, 64 << 10
+
+
+def native_checked(lines: DataFrame, line: str = "line") -> DataFrame:
+    """lines with `why`: null where the line is an event, else why not. A batch with any other is to be rejected whole."""
+    keys = F.json_object_keys(line)
+    x = F.from_json(line, "message string, fields map<string,string>")
+    why = (
+        F.when(keys.isNull(), "not an object").when(F.size(F.array_except(keys, F.array(*map(F.lit, sorted(NATIVE))))) > 0, "unknown key").when(x["message"].isNull(), "no message")
+        .when(F.octet_length(x["message"]) > MAX_MESSAGE, "long message").when(F.exists(F.map_values(F.coalesce(x["fields"], F.create_map().cast("map<string,string>"))), lambda v: F.octet_length(v) > MAX_FIELD), "long field")
+    )
+    return lines.withColumn("why", why)
+
+
+def native(lines: DataFrame, line: str = "line", environment: str | None = None) -> DataFrame:
+    """NDJSON of payload columns; lines that aren't events are left out here, and named by native_checked."""
     schema = "event_ts string, host string, service string, source string, environment string, severity string, log_type string, message string, fields map<string,string>"
-    x = lines.select(F.from_json(line, schema).alias("x")).select("x.*").where(F.col("message").isNotNull() & (F.octet_length("message") <= max_message))
+    x = native_checked(lines, line).where("why IS NULL").select(F.from_json(line, schema).alias("x")).select("x.*")
     put = lambda c, d: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(d)).alias(c)
     return x.select(_time(F.col("event_ts")).alias("event_ts"), put("host", "unknown"), "service", put("source", "native"), F.coalesce("environment", F.lit(environment)).alias("environment"), put("severity", "info"), put("log_type", "app"), "message", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("fields")))).alias("fields"))
 
@@ -82,28 +97,68 @@ def otel(lines: DataFrame, line: str = "line", environment: str | None = None) -
     return x.select(ts.alias("event_ts"), F.coalesce(at("host.name", "host.id"), F.lit("unknown")).alias("host"), at("service.name").alias("service"), F.lit("otel").alias("source"), F.lit(environment).cast("string").alias("environment"), F.lower(F.coalesce("severityText", F.lit("info"))).alias("severity"), F.lit("app").alias("log_type"), F.coalesce("body.stringValue", F.lit("")).alias("message"), F.to_json("m").alias("fields"))
 
 
-def pgaudit(lines: DataFrame, line: str = "line", host: str = "postgres", environment: str | None = None) -> DataFrame:
-    """PostgreSQL jsonlog; a statement comes from the audit payload, else from the message, else from the query."""
+#: What both PostgreSQL formats are read to, by the names of the JSON log.
+PG_RECORD = ["timestamp", "user", "dbname", "remote_host", "session_id", "txid", "error_severity", "state_code", "message", "query", "application_name", "backend_type"]
+#: Columns of the CSV log in order, from its documentation.
+PG_CSV = "log_time user_name database_name process_id connection_from session_id session_line command_tag session_start virtual_transaction transaction_id error_severity sql_state message detail hint internal_query internal_query_pos context query query_pos location application_name backend_type".split()
+TRUNCATED = 8192
+
+
+def pg_jsonlog(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Records of PostgreSQL's JSON log, one object a line; what isn't one is null in all columns."""
     get = lambda *keys: F.coalesce(*[F.nullif(F.get_json_object(line, f"$.{k}"), F.lit("")) for k in keys])
-    df = lines.where(F.get_json_object(line, "$.message").isNotNull()).select("*", get("message").alias("_m"))
-    a = F.from_csv(F.substring_index("_m", "AUDIT: ", -1), F.lit("kind string, id string, sub string, class string, command string, objtype string, object string, statement string, params string"))
-    df = df.withColumn("_a", F.when(F.col("_m").startswith("AUDIT: "), a))
-    said = F.nullif(F.regexp_extract("_m", r"(?s)^(?:statement|execute [^:]*): (.*)$", 1), F.lit(""))
-    statement = F.coalesce("_a.statement", said, get("query"))
-    state, level = get("state_code", "sql_state_code"), F.upper(F.coalesce(get("error_severity"), F.lit("LOG")))
-    outcome = F.when(state == "42501", "denied").when(level.isin("ERROR", "FATAL", "PANIC"), "failure").otherwise("success")
-    actor = get("user", "user_name", "session_user")
-    audit = F.col("_a").isNotNull() | statement.isNotNull() | ((outcome != "success") & actor.isNotNull())
-    remote = F.when(get("remote_host") == "[local]", None).otherwise(F.regexp_extract(get("remote_host"), r"^(.*?)(?::\d+)?$", 1))
+    names = {"user": ("user", "user_name", "session_user"), "dbname": ("dbname", "database_name"), "state_code": ("state_code", "sql_state_code"), "remote_host": ("remote_host", "connection_from")}
+    return lines.select(*[get(*names.get(c, (c,))).alias(c) for c in PG_RECORD])
+
+
+def pg_csvlog(spark, path: str) -> DataFrame:
+    """Records of PostgreSQL's CSV log, with line breaks within quotes; a row that ends before its message is null in all columns."""
+    schema = ", ".join(f"{c} string" for c in PG_CSV)
+    x = spark.read.schema(schema).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    of = {"timestamp": "log_time", "user": "user_name", "dbname": "database_name", "remote_host": "connection_from", "txid": "transaction_id", "state_code": "sql_state"}
+    return x.select(*[F.when(F.col("message").isNotNull(), F.nullif(F.col(of.get(c, c)), F.lit(""))).alias(c) for c in PG_RECORD])
+
+
+def _pg(records: DataFrame) -> DataFrame:
+    """records with what is read off them once: audit payload, statement, outcome, time."""
+    payload = "kind string, id string, sub string, class string, command string, objtype string, object string, statement string, params string"
+    df = records.withColumn("_a", F.when(F.col("message").startswith("AUDIT: "), F.from_csv(F.substring_index("message", "AUDIT: ", -1), F.lit(payload))))
+    said = F.nullif(F.regexp_extract("message", r"(?s)^(?:statement|execute [^:]*): (.*)$", 1), F.lit(""))
+    df = df.withColumn("_statement", F.coalesce("_a.statement", said, "query")).withColumn("_level", F.upper(F.coalesce("error_severity", F.lit("LOG"))))
+    df = df.withColumn("_outcome", F.when(F.col("state_code") == "42501", "denied").when(F.col("_level").isin("ERROR", "FATAL", "PANIC"), "failure").otherwise("success"))
+    audit = F.col("_a").isNotNull() | F.col("_statement").isNotNull() | ((F.col("_outcome") != "success") & F.col("user").isNotNull())
+    return df.withColumn("_audit", audit).withColumn("_ts", F.try_to_timestamp(F.regexp_replace("timestamp", r" ?(UTC|GMT|Z)$", "")).cast("timestamp_ntz"))
+
+
+def pg_events(records: DataFrame, host: str = "postgres", environment: str | None = None) -> DataFrame:
+    """Events of PostgreSQL records; a statement comes from the audit payload, else from the message, else from the query."""
+    df = _pg(records.where(F.col("message").isNotNull()))
+    remote = F.when(F.col("remote_host") == "[local]", None).otherwise(F.regexp_extract("remote_host", r"^(.*?)(?::\d+)?$", 1))
     return df.select(
-        F.to_timestamp_ntz(F.regexp_replace(get("timestamp"), r" ?(UTC|GMT|Z)$", "")).alias("event_ts"), F.lit(host).alias("host"), F.lit("postgres").alias("service"),
+        F.col("_ts").alias("event_ts"), F.lit(host).alias("host"), F.lit("postgres").alias("service"),
         F.when(F.col("_a").isNotNull(), "pgaudit").otherwise("postgres").alias("source"), F.lit(environment).cast("string").alias("environment"),
-        F.when(level.isin("PANIC", "FATAL"), "critical").when(level == "ERROR", "error").when(level == "WARNING", "warning").otherwise("info").alias("severity"),
-        F.when(audit, "audit").otherwise("app").alias("log_type"), F.col("_m").alias("message"),
-        _bag(db_user=actor, database=get("dbname", "database_name"), src_ip=remote, session=get("session_id"), txid=get("txid"), outcome=outcome, statement=statement, command=F.col("_a.command"), object=F.col("_a.object"), object_type=F.lower("_a.objtype"), query_class=F.col("_a.class"), application=get("application_name"), sqlstate=state).alias("fields"),
+        F.when(F.col("_level").isin("PANIC", "FATAL"), "critical").when(F.col("_level") == "ERROR", "error").when(F.col("_level") == "WARNING", "warning").otherwise("info").alias("severity"),
+        F.when(F.col("_audit"), "audit").otherwise("app").alias("log_type"), "message",
+        _bag(db_user=F.col("user"), database=F.col("dbname"), src_ip=remote, session=F.col("session_id"), txid=F.col("txid"), outcome=F.col("_outcome"), statement=F.col("_statement"), command=F.col("_a.command"), object=F.col("_a.object"), object_type=F.lower("_a.objtype"), query_class=F.col("_a.class"), application=F.col("application_name"), sqlstate=F.col("state_code")).alias("fields"),
+    )
+
+
+def pg_health(records: DataFrame) -> DataFrame:
+    """One row of counts: rows parsed and rejected, and of those parsed the ones that lack or damage something."""
+    df, there = _pg(records), F.col("message").isNotNull()
+    count = lambda c: F.count_if(there & F.coalesce(c, F.lit(False)))
+    return df.agg(
+        F.count_if(there).alias("parsed"), F.count_if(~there).alias("rejected"), count(F.col("_audit") & (F.col("user").isNull() | F.col("_statement").isNull())).alias("partial"),
+        count(F.rtrim("_statement").endswith("...") | (F.octet_length("_statement") >= TRUNCATED)).alias("truncated_statement"), count(F.col("timestamp").isNotNull() & F.col("_ts").isNull()).alias("invalid_timestamp"),
+        count(F.col("user").isNull()).alias("missing_principal"), count(F.col("dbname").isNull()).alias("missing_database"),
     )
 
 
+def pgaudit(lines: DataFrame, line: str = "line", host: str = "postgres", environment: str | None = None) -> DataFrame:
+    """Events of PostgreSQL's JSON log with its audit extension."""
+    return pg_events(pg_jsonlog(lines, line), host, environment)
+
+
 def valid_ip(ip: Column) -> Column:
     return ip.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$")
 
@@ -136,4 +191,104 @@ def iocs(lines: DataFrame, feed: str, line: str = "line") -> DataFrame:
     return lines.select(F.lower(token).alias("indicator"), F.lit(feed).alias("feed")).where("indicator <> ''").distinct()
 
 
-ADAPTERS = {"syslog": syslog, "native": native, "loki": loki, "ocsf": ocsf, "otel": otel, "postgres-jsonlog": pgaudit}
+def stix(bundles: DataFrame, feed: str, body: str = "line") -> DataFrame:
+    """(indicator, feed): addresses and domains that the patterns of a STIX 2 bundle compare with."""
+    patterns = bundles.select(F.explode(F.from_json(body, "objects array<struct<type:string,pattern:string>>")["objects"]).alias("o")).where("o.type = 'indicator'").select("o.pattern")
+    found = F.regexp_extract_all("pattern", F.lit(r"(?:ipv4-addr|ipv6-addr|domain-name):value\s*=\s*'([^']+)'"), F.lit(1))
+    return patterns.select(F.explode(found).alias("indicator")).select(F.lower("indicator").alias("indicator"), F.lit(feed).alias("feed")).distinct()
+
+
+# The names under which feeds give a field, by the field's own name.
+JSON_NAMES = {
+    "src_ip": "src_ip source_ip saddr client_ip remote_ip sip",
+    "dst_ip": "dst_ip dest_ip destination_ip daddr server_ip dip",
+    "user": "user username user_name",
+    "cmdline": "command_line cmdline cmd",
+    "exe": "exe executable exe_path binary",
+    "process": "comm proc_name task_name image process_name",
+    "pid": "pid",
+    "port": "port dport dst_port sport src_port dstport srcport",
+    "dns": "query dns_query domain qname",
+    "community_id": "community_id",
+    "db_user": "db_user session_user dbuser actor principal acting_user performed_by accessed_by operator account user_id",
+    "target_person": "target_person target_pnr subject_person registered_person target subject target_id subject_id object_id record_id resource_id entity_id",
+    "client_addr": "client_addr remote_host client_host remote_addr source_host origin_host origin client_address source_address",
+    "object_table": "object_table object_name relation table_name object_type resource_type entity_type resource collection dataset endpoint",
+    "statement": "statement query_text sql_text sql",
+    "action": "action operation op verb method",
+    "ticket_ref": "ticket_ref case_ref arende arende_ref errand_ref diarienr reason purpose justification access_reason justification_text",
+    "watched": "watched is_watched watchlisted",
+    "is_self": "is_self self_lookup self_access",
+}
+# The same by the name of the object around them and their own.
+JSON_NESTED = {
+    "src_ip": ("src source client remote", "ip addr address"),
+    "dst_ip": ("dst dest destination server", "ip addr address"),
+    "user": ("user cred", "name"),
+    "exe": ("exe interpreter", "path"),
+    "process": ("task process", "name"),
+    "event_type": ("event", "name"),
+}
+# Objects whose fields say nothing about who acts.
+JSON_SKIPPED = ("parent_task", "socket")
+JSON_MAX = 512
+
+
+def json_fields(message: Column) -> Column:
+    """The known fields of a JSON message of any depth, as a map; the first in the order of names counts.
+
+    Depth is open, so a pandas UDF walks the parsed object; it is a lookup for each leaf.
+    """
+    plain = {n: field for field, names in JSON_NAMES.items() for n in names.split()}
+    nested = {(o, n): field for field, (around, names) in JSON_NESTED.items() for o in around.split() for n in names.split()}
+
+    @F.pandas_udf("map<string,string>")
+    def walk(messages):
+        import ipaddress
+        import json
+
+        def ip(v: str) -> bool:
+            try:
+                ipaddress.IPv4Address(v)
+                return True
+            except ValueError:
+                return ":" in v
+
+        def fields(text):
+            out: dict[str, str] = {}
+            try:
+                todo = [("", "", json.loads(text))] if text else []
+            except (ValueError, RecursionError):
+                return out
+            while todo:  # depth first, in the order of names
+                around, key, v = todo.pop()
+                if isinstance(v, dict):
+                    todo += [(key, k.lower(), x) for k, x in sorted(v.items(), reverse=True)]
+                elif isinstance(v, list):
+                    todo += [(around, key, x) for x in reversed(v) if isinstance(x, (dict, list))]
+                elif v is not None and around not in JSON_SKIPPED:
+                    field = plain.get(key) or nested.get((around, key))
+                    said = ("true" if v else "false") if isinstance(v, bool) else str(v).strip()
+                    if field and said not in ("", "?") and (field not in ("src_ip", "dst_ip") or ip(said)):
+                        out.setdefault(field, said.encode()[:JSON_MAX].decode(errors="ignore"))
+            return out
+
+        return messages.map(fields)
+
+    return walk(message)
+
+
+def checked(rows: DataFrame, schema: str) -> DataFrame:
+    """rows in the order of schema, or an error that names the columns that lack, aren't known, or have another type."""
+    from pyspark.sql.types import StructType
+
+    want = {f.name: f.dataType for f in StructType.fromDDL(schema).fields}
+    have = {f.name: f.dataType for f in rows.schema.fields}
+    wrong = [f"{c} is {have[c].simpleString()}, not {t.simpleString()}" for c, t in want.items() if c in have and have[c] != t]
+    wrong += [f"{c} lacks" for c in want if c not in have] + [f"{c} isn't known" for c in have if c not in want]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return rows.select(*want)
+
+
+ADAPTERS = {"syslog": syslog, "native": native, "loki": loki, "ocsf": ocsf, "otel": otel, "postgres-jsonlog": pgaudit, "postgres-csvlog": pg_events}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlake.functions.text import in_hours, is_private, template
-from emberlake.operators import behaviour, relations
+from emberlake.operators import behaviour, decisions, lifecycle, relations, stateful
 from emberlake.plans import guard
 from emberlake.sources import events, parsers
 from emberlake.streaming import state
@@ -109,3 +109,88 @@ def test_streams(spark, tmp_path):
     assert len(result(state.deduplicated(read()))) == 31
     assert [(r["k"], r["n"]) for r in result(state.windowed_bursts(read(), "k", 5))] == [("a", 40)]
     assert [tuple(r) for r in result(state.enumeration(read(), "k", "n", "us"))] == [("a", 11, 12)]
+
+
+def test_native_checks_name_what_is_wrong(spark):
+    rows = lines(spark, {"message": "m"}, {"message": "m", "other": 1}, "[1]", {"host": "h"}, {"message": "x" * (parsers.MAX_MESSAGE + 1)}, {"message": "m", "fields": {"k": "v" * (parsers.MAX_FIELD + 1)}})
+    assert [r["why"] for r in parsers.native_checked(rows).collect()] == [None, "unknown key", "not an object", "no message", "long message", "long field"]
+
+
+def test_csv_log_and_health(spark, tmp_path):
+    row = ["2024-01-02 03:04:05.678 UTC", "ann", "db", "1", "10.0.0.9:5432", "s", "1", "SELECT", "", "", "7", "LOG", "00000", 'statement: SELECT "x",\n1 FROM t', "", "", "", "", "", "", "", "", "psql", "client"]
+    (tmp_path / "log.csv").write_text(",".join('"' + c.replace('"', '""') + '"' for c in row) + "\n" + '"2024-01-02","short"\n')
+    records = parsers.pg_csvlog(spark, str(tmp_path / "log.csv"))
+    got = parsers.pg_events(records).collect()
+    assert [(r["event_ts"], r["log_type"]) for r in got] == [(dt.datetime(2024, 1, 2, 3, 4, 5, 678000), "audit")]
+    assert json.loads(got[0]["fields"])["statement"] == 'SELECT "x",\n1 FROM t' and json.loads(got[0]["fields"])["src_ip"] == "10.0.0.9"
+    assert parsers.pg_health(records).first().asDict() == {"parsed": 1, "rejected": 1, "partial": 0, "truncated_statement": 0, "invalid_timestamp": 0, "missing_principal": 0, "missing_database": 0}
+
+
+def test_json_fields(spark):
+    one = {"task": {"name": "sh"}, "parent_task": {"user": "root"}, "user": "?", "info": {"src": {"ip": "x"}, "nested": [{"remote": {"addr": "1.2.3.4"}}]}, "cmdline": "a" * 600, "watched": True, "pid": 7}
+    got = [r[0] for r in lines(spark, one, "{broken", "[]").select(parsers.json_fields(F.col("line"))).collect()]
+    assert got == [{"process": "sh", "src_ip": "1.2.3.4", "cmdline": "a" * 512, "watched": "true", "pid": "7"}, {}, {}]
+
+
+def test_schema_check(spark):
+    assert parsers.checked(spark.sql("SELECT 'h' AS b, 1 AS a"), "a int, b string").columns == ["a", "b"]
+    with pytest.raises(ValueError, match="a is bigint, not int; c lacks; x isn't known"):
+        parsers.checked(spark.sql("SELECT 1L AS a, 'h' AS b, 2 AS x"), "a int, b string, c int")
+
+
+def test_merged_ranges(spark):
+    rows = [("10.0.0.8/29", "a"), ("10.0.0.16/28", "b"), ("10.0.0.0/30", "c"), ("10.0.1.0/24", "d"), ("10.0.1.7", "e"), ("10.0.1.8/30", "f")]
+    got = sorted(tuple(r) for r in relations.merged_ranges(spark.createDataFrame(rows, "cidr string, label string")).select("lo", "hi", "label").collect())
+    at = 10 << 24
+    assert got == [(at, at + 3, "c"), (at + 8, at + 31, "a"), (at + 256, at + 511, "d")]
+
+
+def test_firing_and_arming_across_blocks(spark):
+    counts = [1, 5, 6, 4, 2, 1, 7, 3, 2, 6, 1, 5]
+    df = spark.createDataFrame([("x", t, n) for t, n in enumerate(counts)] + [("y", 3, 9)], "actor string, t long, n int")
+    want, on = [], False
+    for t, n in enumerate(counts):
+        if on and n <= 2:
+            on = False
+        elif not on and n >= 5:
+            on = True
+            want.append(("x", t))
+    for block in (1, 3, 100):
+        got = stateful.fired(df, "actor", "t", F.col("n") >= 5, F.col("n") <= 2, block)
+        assert sorted((r["actor"], r["t"]) for r in got.collect()) == [*want, ("y", 3)]
+
+
+def test_turns_of_a_walk(spark):
+    walk = [1, 2, 3, 4, 3, 2, 1, 0, -1, 9, 10, 11, 12, 13, 20]
+    df = spark.createDataFrame([("u", k, n) for k, n in enumerate(walk)], "actor string, k int, n int")
+    got = sorted((r["k"], r["current"], r["length"], r["direction"]) for r in stateful.sequential(df, ["actor"], "n", ["k"], 4).collect())
+    assert got == [(3, 4, 4, "ascending"), (12, 12, 4, "ascending")]  # the way down belongs to the walk told of at 4
+
+
+def test_quantile_cuts(spark):
+    values = [3, 3, 9, 50, 51, 52, 1000, 1001, 7, 8, 120]
+    df = spark.createDataFrame([(v,) for v in values], "us long")
+    s = sorted(values)
+    at = lambda q: int(s[int(q * 10)] + (s[min(int(q * 10) + 1, 10)] - s[int(q * 10)]) * (q * 10 - int(q * 10)))
+    assert decisions.quantile_cuts(df, "us", [0.0, 0.33, 0.5, 0.85, 1.0], 10) == [at(q) for q in (0.0, 0.33, 0.5, 0.85, 1.0)]
+
+
+def test_a_damaged_archive_is_refused(spark, tmp_path):
+    e = spark.range(100).selectExpr("id AS event_id", "'h' AS host", "'s' AS source", "id * 10 AS us")
+    plan = lifecycle.seal_plan(e, "us", 500, 1000, 0, [])
+    folder = str(tmp_path / "cold")
+    told = spark.createDataFrame(lifecycle.seal(e, "us", plan, 500, [], folder).collect(), "start_us long, rows long, checksum decimal(38,0), end_us long")
+    schema = "event_id bigint, host string, source string, us bigint, window_us bigint"
+    assert lifecycle.cold(spark, folder, told, 0, 400, "us", schema).count() == 40
+    with pytest.raises(ValueError, match="bounds"):
+        lifecycle.cold(spark, folder, told, None, None, "us", schema, most_rows=50)
+    e.limit(1).withColumn("window_us", F.lit(0)).write.mode("append").partitionBy("window_us").parquet(folder)
+    with pytest.raises(ValueError, match="manifest"):
+        lifecycle.cold(spark, folder, told, 0, 400, "us", schema)
+
+
+def test_approvals_and_prefixes(spark):
+    rows = spark.createDataFrame([(1, "raw", False, False), (2, "raw.x", False, True), (3, "other.raw", True, False), (4, "none", False, False)], "event_id int, object string, justified boolean, approved boolean")
+    rules = [{"id": "r", "effect": "require_approval", "priority": 1, "when": {"object": "raw.*"}}, {"id": "j", "effect": "require_justification", "priority": 1, "when": {"object": "raw"}}]
+    got = {r["event_id"]: (r["effect"], r["policy"], r["missing"]) for r in decisions.policies(rows, rules).collect()}
+    assert got == {1: ("require_approval", "r", "approval,justification"), 2: ("allow", "r", ""), 3: ("allow", "j", ""), 4: ("allow", None, "")}
