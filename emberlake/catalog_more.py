@@ -553,3 +553,42 @@ def d15_all_detectors(spark, d):
         "service-account-misuse": ("high", field("db_user").endswith("0") & F.col("host").isin("host-1", "host-2")), "failed": ("low", F.col("message").startswith("Failed")),
     }
     return decisions.detect(e, "event_id", found)
+
+
+SIGMA = {
+    "ssh": {"sel": {"message|contains": "failed PASSWORD", "service": "sshd"}, "noise": {"host": ["host-3", "host-4"]}, "condition": "sel and not noise"},
+    "many": {"a": {"message|contains|all": ["view", "port"]}, "b": {"service": ["sudo", "su"]}, "c": {"message|startswith": "click"}, "condition": "(a or c) and not (b or a and c)"},
+}
+
+
+@query("SELECT event_id, 'ssh' AS rule, 'medium' AS level FROM E WHERE message ILIKE '%failed password%' AND service = 'sshd' AND host NOT IN ('host-3', 'host-4') UNION ALL SELECT event_id, 'many', 'low' FROM E WHERE (message LIKE '%view%' AND message LIKE '%port%' OR message LIKE 'click%') AND NOT (service IN ('sudo', 'su') OR (message LIKE '%view%' AND message LIKE '%port%' AND message LIKE 'click%'))")
+def f13_rule_conditions(spark, d):
+    return correlation.sigma(derived(spark, d), {"ssh": ("medium", correlation.rule(SIGMA["ssh"])), "many": ("low", correlation.rule(SIGMA["many"]))})
+
+
+@query(f"SELECT event_id, host, us FROM E WHERE host IN ('host-1', 'host-2') AND db_user IN ('u1', 'u2', 'u13', 'u14') AND us >= {NOW_US - 500 * HOUR_US} AND us < {NOW_US - 100 * HOUR_US} ORDER BY us DESC, event_id LIMIT 200")
+def f7_validated_query(spark, d):
+    asked = {"labels": {"host": ["host-1", "host-2"]}, "fields": {"db_user": ["u1", "u2", "u13", "u14"]}, "hours": 500, "from_us": 1, "to_us": NOW_US - 100 * HOUR_US, "limit": 9999}
+    return correlation.structured(derived(spark, d), asked, NOW_US).select("event_id", "host", US.alias("us"))
+
+
+STATEMENTS = ["SELECT * FROM db.patients p JOIN visits v ON v.id = p.id", "WITH recent AS (SELECT id FROM visits WHERE t > 1) SELECT id FROM recent LIMIT 5 -- FROM secret", "INSERT INTO audit.log SELECT a, 'FROM hidden' FROM src WHERE a = 1", "COPY (SELECT name FROM staff) TO '/tmp/x'", "UPDATE staff SET pay = 1 WHERE id IN (SELECT id FROM raises)", "GRANT SELECT ON staff TO bob"]
+FACTS_SQL = "[('select', 'db.patients,visits', '', true, false, true), ('select', 'visits', '', false, false, false), ('insert', 'src', 'audit.log', false, false, false), ('copy', 'staff', '', false, true, true), ('update', 'raises', 'staff', false, false, false), ('grant', '', '', false, false, false)]"
+
+
+@query(f"SELECT event_id, x[1] AS kind, x[2] AS read, x[3] AS written, x[4] AS wildcard, x[5] AS export, x[6] AS bulk FROM (SELECT event_id, ({FACTS_SQL})[event_id % 6 + 1] AS x FROM E)")
+def d12_statement_analysis(spark, d):
+    from emberlake.functions.text import statement
+
+    text = F.element_at(F.array(*map(F.lit, STATEMENTS)), (F.col("event_id") % 6 + 1).cast("int"))
+    e = derived(spark, d).select("event_id", statement(text).alias("s"))
+    return e.select("event_id", "s.kind", F.array_join("s.read", ",").alias("read"), F.array_join("s.written", ",").alias("written"), "s.wildcard", "s.export", "s.bulk")
+
+
+COUNTRIES = [("10.0.0.0/24", "SE"), ("10.0.1.0/25", "NO"), ("10.0.2.0/24", "FI")]
+
+
+@query("SELECT event_id, src_ip, CASE split_part(src_ip, '.', 3) WHEN '0' THEN 'SE' WHEN '1' THEN 'NO' WHEN '2' THEN 'FI' END AS country FROM (SELECT event_id, src_ip FROM E)")
+def s23_country(spark, d):
+    """Networks by country: blocks that border on each other merge, so the list is looked up without merging."""
+    return relations.by_disjoint(derived(spark, d).select("event_id", field("src_ip").alias("src_ip")), F.col("src_ip"), spark.createDataFrame(COUNTRIES, "cidr string, label string")).withColumnRenamed("label", "country")

@@ -58,3 +58,34 @@ def fingerprint(statement: Column) -> Column:
     """A statement with literals as `?`, lower case and single blanks, and its hash."""
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(statement, r"'(?:[^']|'')*'", "?"), r"\b\d+(?:\.\d+)?\b", "?"), r"[\s;]+", " ")
     return F.concat(F.lit("sql1:"), F.substring(F.sha2(F.trim(F.lower(plain)), 256), 1, 32))
+
+
+def statement(text: Column) -> Column:
+    """What a PostgreSQL statement does, as a struct: kind, tables read and written (names of its own WITH parts aside),
+    roles that it sets, and whether it takes all columns, copies, changes privileges, or reads without bounds (bulk).
+
+    Comments and literals are taken out first, so that words in them don't count.
+    """
+    plain = F.regexp_replace(text, r"(?s)--[^\n]*|/\*.*?\*/", " ")
+    plain = F.regexp_replace(plain, r"(?s)\$(\w*)\$.*?\$\1\$|'(?:[^']|'')*'", "?")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(plain, '"', ""), r"\s+", " "))
+
+    def told(s: Column) -> Column:
+        low = F.lower(s)
+        all_ = lambda pattern: F.transform(F.regexp_extract_all(s, F.lit(f"(?i){pattern}"), F.lit(1)), F.lower)
+        own = all_(r"(?:\bwith(?:\s+recursive)?|,)\s+(\w+)\s+as\s+(?:not\s+)?(?:materialized\s+)?\(")
+        name = r"((?:\w+\.)*\w+)"
+        written = F.array_sort(F.array_distinct(F.concat(all_(rf"\binsert\s+into\s+{name}"), all_(rf"\bupdate\s+(?:only\s+)?{name}\s+(?:as\s+\w+\s+)?set\b"), all_(rf"\b(?:delete\s+from|truncate(?:\s+table)?|merge\s+into)\s+(?:only\s+)?{name}"), all_(rf"\b(?:create|alter|drop)\s+(?:or\s+replace\s+)?(?:temp\w*\s+)?table\s+(?:if\s+(?:not\s+)?exists\s+)?{name}"), all_(rf"\bcopy\s+{name}(?:\s*\([^)]*\))?\s+from\b"))))
+        sources = F.concat(all_(rf"(?<!delete )(?<!distinct )\bfrom\s+(?:only\s+)?{name}(?!\s*\()"), all_(rf"\bjoin\s+(?:lateral\s+)?{name}(?!\s*\()"), all_(rf"\busing\s+{name}(?!\s*\()"), all_(rf"\bcopy\s+{name}(?:\s*\([^)]*\))?\s+to\b"))
+        read = F.array_sort(F.array_except(F.array_distinct(F.filter(sources, lambda t: ~t.isin("stdin", "select"))), own))
+        kind = F.regexp_extract(low, r"^\W*(\w+)", 1)
+        main = F.when(kind == "with", F.coalesce(F.nullif(F.regexp_extract(low, r"\)\s*(select|insert|update|delete|merge)\b", 1), F.lit("")), F.lit("select"))).otherwise(kind)
+        export = low.rlike(r"\bcopy\b.*\bto\b")
+        bounded = low.rlike(r"\bwhere\b|\blimit\b|\bfetch (?:first|next)\b")
+        return F.struct(
+            main.alias("kind"), read.alias("read"), written.alias("written"), F.array_distinct(all_(r"\bset\s+(?:session\s+|local\s+)?role\s+(\w+)")).alias("roles"),
+            low.rlike(r"\bselect\s+(?:distinct\s+)?(?:\w+\.)?\*").alias("wildcard"), export.alias("export"), main.isin("grant", "revoke").alias("privileges"),
+            (export | (main.isin("select", "copy") & ~bounded & (F.size(read) > 0))).alias("bulk"),
+        )
+
+    return F.element_at(F.transform(F.array(plain), told), 1)

@@ -78,3 +78,98 @@ def selection(**fields: str | list[str]) -> Column:
             cond = cond & p if how == "all" else cond | p
         out = cond if out is None else out & cond
     return out
+
+
+def condition(text: str, named: dict[str, Column]) -> Column:
+    """A condition of a rule over its selections: names, `and`, `or`, `not` and brackets; `and` binds more than `or`."""
+    import re
+
+    words = re.findall(r"\(|\)|[\w.*]+", text)
+
+    def term() -> Column:
+        word = words.pop(0)
+        if word == "not":
+            return ~F.coalesce(term(), F.lit(False))
+        if word == "(":
+            out = either()
+            if not words or words.pop(0) != ")":
+                raise ValueError(f"a bracket lacks in {text!r}")
+            return out
+        if word not in named:
+            raise ValueError(f"{word!r} isn't a selection of the rule")
+        return F.coalesce(named[word], F.lit(False))
+
+    def both() -> Column:
+        out = term()
+        while words and words[0] == "and":
+            words.pop(0)
+            out = out & term()
+        return out
+
+    def either() -> Column:
+        out = both()
+        while words and words[0] == "or":
+            words.pop(0)
+            out = out | both()
+        return out
+
+    out = either()
+    if words:
+        raise ValueError(f"{words[0]!r} isn't expected in {text!r}")
+    return out
+
+
+def rule(detection: dict) -> Column:
+    """The condition on an event of a rule's detection part: selections (field|modifier: value or values) and a condition."""
+    named = {k: selection(**{f.replace("|contains|all", "__all").replace("|", "__"): v for f, v in sel.items()}) for k, sel in detection.items() if k != "condition"}
+    return condition(detection["condition"], named)
+
+
+#: Bounds of what a structured query may ask for.
+LIMITS = {"limit": (1, 200), "k": (1, 500), "candidates": (1, 5000), "hours": (1, 8784)}
+MAX_VALUE, MAX_TEXT = 512, 2048
+
+
+def validated(asked: dict) -> dict:
+    """A structured query with its numbers clamped to LIMITS; what can't be one is an error.
+
+    Keys: labels and fields (name: list of values), text, hours, from_us, to_us, and the numbers of LIMITS.
+    """
+    import re
+
+    out = dict(asked)
+    for name, (lo, hi) in LIMITS.items():
+        if out.get(name) is not None:
+            out[name] = min(max(int(out[name]), lo), hi)
+    for part in ("labels", "fields"):
+        for key, values in out.get(part, {}).items():
+            if not re.fullmatch(r"[A-Za-z0-9_.-]{1,64}", key):
+                raise ValueError(f"{key!r} isn't a key")
+            for v in values:
+                if len(v) > MAX_VALUE or "\0" in v:
+                    raise ValueError(f"a value of {key} is too long, or has a zero character")
+    text = out.get("text") or ""
+    if len(text) > MAX_TEXT or "\0" in text:
+        raise ValueError("the text is too long, or has a zero character")
+    if out.get("from_us") is not None and out.get("to_us") is not None and out["from_us"] >= out["to_us"]:
+        raise ValueError("the window is empty")
+    if not (out.get("labels") or out.get("fields") or text.strip() or out.get("hours") or out.get("from_us") is not None):
+        raise ValueError("the query asks for nothing")
+    return out
+
+
+def structured(events: DataFrame, asked: dict, now_us: int) -> DataFrame:
+    """The newest events that a validated query asks for: one of the values of each label and field, in the window; of a
+    relative and an absolute start the later counts."""
+    asked, us = validated(asked), micros("event_ts")
+    keep = F.lit(True)
+    for key, values in asked.get("labels", {}).items():
+        keep = keep & F.col(key).isin(values)
+    for key, values in asked.get("fields", {}).items():
+        keep = keep & field(key).isin(values)
+    starts = [x for x in (asked.get("from_us"), now_us - asked["hours"] * 3_600_000_000 if asked.get("hours") else None) if x is not None]
+    if starts:
+        keep = keep & (us >= max(starts))
+    if asked.get("to_us") is not None:
+        keep = keep & (us < asked["to_us"])
+    return events.where(keep).orderBy(F.desc("event_ts"), "event_id").limit(asked.get("limit") or 200)

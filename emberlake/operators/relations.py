@@ -40,13 +40,25 @@ def merged_ranges(ranges: DataFrame) -> DataFrame:
 
 
 def by_range(rows: DataFrame, ip: Column, ranges: DataFrame, bits: int = 16) -> DataFrame:
-    """rows with the label of the merged range that holds their address.
+    """rows with the label of the merged range that holds their address."""
+    return _in_range(rows, ip, merged_ranges(ranges), bits)
 
-    Merged ranges are disjoint, so a row meets one at most. They are dealt to the blocks of 2 ** bits addresses that
+
+def by_disjoint(rows: DataFrame, ip: Column, ranges: DataFrame, bits: int = 16) -> DataFrame:
+    """rows with the label of the range that holds their address; ranges (networks of countries, say) don't overlap."""
+    base, width = F.substring_index("cidr", "/", 1), F.substring_index("cidr", "/", -1).cast("int")
+    r = ranges.select("label", ip_number(base).alias("lo"), F.pow(F.lit(2.0), 32 - width).cast("long").alias("n"))
+    return _in_range(rows, ip, r.select("lo", (F.col("lo") + F.col("n") - 1).alias("hi"), "label"), bits)
+
+
+def _in_range(rows: DataFrame, ip: Column, ranges: DataFrame, bits: int) -> DataFrame:
+    """The join with ranges (lo, hi, label).
+
+    Ranges are disjoint, so a row meets one at most. They are dealt to the blocks of 2 ** bits addresses that
     they meet, and each row joins by its block, and then between. A list within the bound is broadcast, and no row moves.
     """
     size = 1 << bits
-    r = merged_ranges(ranges).select("*", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))).alias("_block"))
+    r = ranges.select("*", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))).alias("_block"))
     given = rows.withColumn("_n", ip_number(ip)).withColumn("_block", F.floor(F.col("_n") / size))
     hit = (given["_block"] == r["_block"]) & F.col("_n").between(F.col("lo"), F.col("hi"))
     return given.join(bounded(r), hit, "left").select(*[given[c] for c in rows.columns], "label")

@@ -278,6 +278,17 @@ def json_fields(message: Column) -> Column:
     return walk(message)
 
 
+def inventory(spark, text: str, at_us: int) -> DataFrame:
+    """Observations (fact, value, confidence, source, at) of a TOML inventory: tables of hosts with a role, addresses and users."""
+    import tomllib
+
+    rows = []
+    for host, about in tomllib.loads(text).get("host", {}).items():
+        rows += [(f"role:{host}", about["role"])] if "role" in about else []
+        rows += [(f"edge:{host}>{ip}", "seen") for ip in about.get("addresses", [])] + [(f"identity:{user}", "active") for user in about.get("users", [])]
+    return spark.createDataFrame([(f, v, 1.0, "inventory", at_us) for f, v in rows], "fact string, value string, confidence double, source string, at long")
+
+
 def checked(rows: DataFrame, schema: str) -> DataFrame:
     """rows in the order of schema, or an error that names the columns that lack, aren't known, or have another type."""
     from pyspark.sql.types import StructType

@@ -60,7 +60,8 @@ def test_guard(spark):
     make = lambda s: s.createDataFrame([("a", 1), ("b", 2)], "source string, n int")
     total = "SELECT sum(n) AS s FROM events WHERE n IN (SELECT n FROM events)"
     assert guard.scoped(spark, total, make, ["a"]).first()["s"] == 1 and guard.scoped(spark, total, make, []).first()["s"] is None
-    for bad in ("DROP TABLE events", "INSERT INTO events VALUES (1)", "SELECT 1; SELECT 2", "SELECT * FROM parquet.`/root`", "SELECT (SELECT max(x) FROM other) FROM events", "WITH a AS (SELECT * FROM secret) SELECT * FROM a", "CREATE TABLE x AS SELECT 1", "not sql"):
+    assert guard.scoped(spark, "SELECT n FROM events UNION ALL SELECT n + 1 FROM events", make, ["a"]).count() == 2
+    for bad in ("SELECT n FROM events UNION ALL SELECT n FROM secret", "DROP TABLE events", "INSERT INTO events VALUES (1)", "SELECT 1; SELECT 2", "SELECT * FROM parquet.`/root`", "SELECT (SELECT max(x) FROM other) FROM events", "WITH a AS (SELECT * FROM secret) SELECT * FROM a", "CREATE TABLE x AS SELECT 1", "not sql"):
         with pytest.raises(guard.Refused):
             guard.scoped(spark, bad, make, ["a"])
 
