@@ -12,7 +12,10 @@ from emberlake.operators import behaviour, correlation, decisions, entities, env
 from emberlake.sources import parsers
 from emberlake.sources.events import derived, field, micros
 
-US = micros("event_ts")
+
+
+def at_us():
+    return micros("event_ts")
 
 
 def top_sql(entity: str, section: str, item: str, days: int, k: int) -> str:
@@ -63,17 +66,17 @@ def a14_person_page(spark, d):
 
 @query(f"SELECT count(DISTINCT source) AS sources FROM E WHERE us >= {NOW_US - DAY_US}")
 def a18_active_sources(spark, d):
-    return derived(spark, d).where(US >= NOW_US - DAY_US).agg(F.count_distinct("source").alias("sources"))
+    return derived(spark, d).where(at_us() >= NOW_US - DAY_US).agg(F.count_distinct("source").alias("sources"))
 
 
 @query("SELECT event_id, host, us FROM E ORDER BY us DESC, event_id LIMIT 100 OFFSET 250")
 def t7_paging(spark, d):
-    return entities.paged(derived(spark, d).select("event_id", "host", US.alias("us")), [F.desc("us"), F.col("event_id")], 100, 250)
+    return entities.paged(derived(spark, d).select("event_id", "host", at_us().alias("us")), [F.desc("us"), F.col("event_id")], 100, 250)
 
 
 @query("SELECT event_id::VARCHAR AS event_id, host, us::VARCHAR AS us, (SELECT count(*) > 500 FROM E) AS truncated FROM E ORDER BY E.us DESC, E.event_id LIMIT 500")
 def s26_json_rows(spark, d):
-    return entities.capped(derived(spark, d).select("event_id", "host", US.alias("us")), [F.desc("us"), F.col("event_id")], 500)
+    return entities.capped(derived(spark, d).select("event_id", "host", at_us().alias("us")), [F.desc("us"), F.col("event_id")], 500)
 
 
 @query("SELECT kind, name, total FROM (SELECT *, count(*) OVER (PARTITION BY kind) AS total, row_number() OVER (PARTITION BY kind ORDER BY name) AS k FROM (SELECT DISTINCT 'host' AS kind, host AS name FROM E WHERE contains(lower(host), '1') UNION ALL SELECT DISTINCT 'user', db_user FROM E WHERE contains(lower(db_user), '1') UNION ALL SELECT DISTINCT 'person', person FROM E WHERE contains(lower(person), '1'))) WHERE k <= 20")
@@ -92,7 +95,7 @@ def hysteresis_sql(counts: str, hot: str, cold: str, cols: str) -> str:
 
 
 def acts(spark, d):
-    return derived(spark, d).select("event_id", field("db_user").alias("actor"), field("target_person").alias("person"), US.alias("us"), F.floor(F.col("value") * 100).alias("rows"), F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', event_ts) div {DAY_US}").alias("session"), "service", "host", "severity")
+    return derived(spark, d).select("event_id", field("db_user").alias("actor"), field("target_person").alias("person"), at_us().alias("us"), F.floor(F.col("value") * 100).alias("rows"), F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', event_ts) div {DAY_US}").alias("session"), "service", "host", "severity")
 
 
 @query(", " + hysteresis_sql(f"{S}, C AS (SELECT a.actor, a.us, count(DISTINCT b.person) AS subjects, count(DISTINCT b.session) AS sessions, count(DISTINCT b.event_id) FILTER (b.us <= a.us - 21600000000) AS older FROM (SELECT DISTINCT actor, us FROM X) AS a JOIN X AS b ON a.actor = b.actor AND b.us BETWEEN a.us - 604800000000 AND a.us GROUP BY ALL)", "subjects >= 4 AND sessions >= 3 AND older > 0", "subjects <= 2", "subjects, sessions"))
@@ -127,7 +130,7 @@ def w5_sequential(spark, d):
 
 @query(", X AS (SELECT db_user AS actor, us // 604800000000 AS session, service AS domain, min(us) AS t FROM E GROUP BY ALL), C AS (SELECT a.actor, a.session, a.t, a.domain, list_sort(list(b.domain)) AS all_ FROM X AS a JOIN X AS b ON a.actor = b.actor AND a.session = b.session AND (b.t < a.t OR (b.t = a.t AND b.domain <= a.domain)) GROUP BY ALL) SELECT actor, array_to_string(all_, ' + ') AS domains, min(t) AS t FROM C WHERE len(all_) >= 2 GROUP BY ALL")
 def w7_cross_domain(spark, d):
-    e = derived(spark, d).select(field("db_user").alias("actor"), F.floor(US / (7 * DAY_US)).alias("session"), F.col("service").alias("domain"), US.alias("us"))
+    e = derived(spark, d).select(field("db_user").alias("actor"), F.floor(at_us() / (7 * DAY_US)).alias("session"), F.col("service").alias("domain"), at_us().alias("us"))
     return stateful.cross_domain(e, "actor", "session", "domain", "us")
 
 
@@ -149,7 +152,7 @@ def st13_missing_numbers(spark, d):
 @query("SELECT actor, session, count(*) AS n, list_sort(list(DISTINCT service)) AS services, min(us) AS first_us FROM (SELECT db_user AS actor, coalesce(nullif(ticket, ''), 'tx' || event_id % 11, '-') AS session, service, us FROM E) WHERE session <> '-' GROUP BY 1, 2")
 def st9_session_state(spark, d):
     session = F.coalesce(F.nullif(field("ticket"), F.lit("")), F.concat(F.lit("tx"), (F.col("event_id") % 11).cast("string")), F.lit("-"))
-    e = derived(spark, d).select(field("db_user").alias("actor"), session.alias("session"), "service", US.alias("us"))
+    e = derived(spark, d).select(field("db_user").alias("actor"), session.alias("session"), "service", at_us().alias("us"))
     return e.where("session <> '-'").groupBy("actor", "session").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("service")).alias("services"), F.min("us").alias("first_us"))
 
 
@@ -158,14 +161,14 @@ CLOCKED = "SELECT event_id AS case_id, us AS opened_us, CASE WHEN event_id % 2 =
 
 @query(f"SELECT *, coalesce(ack_by <= {NOW_US}, false) AS ack_late, coalesce(resolve_by <= {NOW_US}, false) AS resolve_late FROM (SELECT *, CASE WHEN state IN ('needs_human', 'escalated') AND assignee IS NULL THEN coalesce(changed_us, opened_us) + 86400000000 END AS ack_by, CASE WHEN state <> 'closed' THEN opened_us + 604800000000 END AS resolve_by FROM ({CLOCKED}))")
 def st16_service_clocks(spark, d):
-    cases = derived(spark, d).select(F.col("event_id").alias("case_id"), US.alias("opened_us"), F.when(F.col("event_id") % 2 == 0, US + 60_000_000).alias("changed_us"), F.element_at(F.array(*map(F.lit, ("needs_human", "escalated", "closed", "open"))), (F.col("event_id") % 4 + 1).cast("int")).alias("state"), F.when(F.col("event_id") % 5 == 0, "ann").alias("assignee"))
+    cases = derived(spark, d).select(F.col("event_id").alias("case_id"), at_us().alias("opened_us"), F.when(F.col("event_id") % 2 == 0, at_us() + 60_000_000).alias("changed_us"), F.element_at(F.array(*map(F.lit, ("needs_human", "escalated", "closed", "open"))), (F.col("event_id") % 4 + 1).cast("int")).alias("state"), F.when(F.col("event_id") % 5 == 0, "ann").alias("assignee"))
     return decisions.service_clocks(cases, NOW_US, DAY_US, 7 * DAY_US)
 
 
 @query(None)
 def st15_throttle(spark, d):
     """What went out last decides what goes next; a test folds the notices in order."""
-    e = derived(spark, d).select("event_id", F.col("service").alias("rule"), US.alias("us"), (F.col("event_id") % 50 == 0).alias("escalation"))
+    e = derived(spark, d).select("event_id", F.col("service").alias("rule"), at_us().alias("us"), (F.col("event_id") % 50 == 0).alias("escalation"))
     return decisions.throttled(e, "rule", "us", 6 * HOUR_US, [("web", NOW_US - 20 * DAY_US, NOW_US - 15 * DAY_US)])
 
 
@@ -175,7 +178,7 @@ OBS = "O AS (SELECT unnest([CASE WHEN service = 'sudo' THEN {'fact': 'role:' ||
 
 def observations(spark, d):
     role = F.when(F.col("service") == "sudo", "admin").when(F.col("service") == "postgres", "database")
-    o = environment.candidates(derived(spark, d), F.col("host"), field("src_ip"), field("db_user"), role, US, F.col("source"))
+    o = environment.candidates(derived(spark, d), F.col("host"), field("src_ip"), field("db_user"), role, at_us(), F.col("source"))
     o = environment.as_of(o, 1_706_486_400_000_000)
     return o.withColumn("trust", F.when(F.col("source") == "pgaudit", 1.0).when(F.col("source") == "syslog", 0.75).otherwise(0.5))
 
@@ -216,7 +219,7 @@ def d11_promotion_gate(spark, d):
 
 @query(", T AS (SELECT DISTINCT host, src_ip FROM E WHERE us < 1705276800000000), K AS (SELECT host FROM T GROUP BY 1 HAVING count(*) >= 3) SELECT event_id, host, src_ip FROM E WHERE us >= 1705276800000000 AND host IN (SELECT host FROM K) AND (host, src_ip) NOT IN (SELECT host, src_ip FROM T)")
 def d9_edge_novelty(spark, d):
-    e = derived(spark, d).select("event_id", "host", field("src_ip").alias("src_ip"), US.alias("us"))
+    e = derived(spark, d).select("event_id", "host", field("src_ip").alias("src_ip"), at_us().alias("us"))
     known = e.where("us < 1705276800000000").select("host", "src_ip").distinct()
     return environment.edge_novelty(e.where("us >= 1705276800000000"), known, "host", "src_ip", 3).select("event_id", "host", "src_ip")
 
@@ -230,7 +233,7 @@ PROFILES = [
 
 @query("SELECT event_id, profile, CASE profile WHEN 'leavers' THEN 1.5 WHEN 'case-7' THEN 2.0 WHEN 'admins' THEN 1.25 ELSE 1.0 END AS multiplier FROM (SELECT event_id, CASE WHEN db_user = 'u2' AND us >= 1704844800000000 THEN 'case-7' WHEN db_user IN ('u1', 'u2', 'u3') AND us < 1705276800000000 THEN 'leavers' WHEN service = 'sudo' THEN 'admins' END AS profile FROM E)")
 def d21_monitoring(spark, d):
-    e = derived(spark, d).select("event_id", field("db_user").alias("db_user"), "service", US.alias("us"))
+    e = derived(spark, d).select("event_id", field("db_user").alias("db_user"), "service", at_us().alias("us"))
     return environment.monitored(e, PROFILES).select("event_id", "profile", "multiplier")
 
 
@@ -242,25 +245,28 @@ def j10_supersession(spark, d):
 
 # Profiles: what each user was seen with before a day; what is new after it.
 CUT = 1_705_708_800_000_000
-DIMS = {"host": F.col("host"), "address": field("src_ip"), "object": field("target_person"), "service": F.col("service")}
 SEEN = f"B AS (SELECT db_user AS entity, d.dim, d.value, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM (SELECT *, unnest([{{'dim': 'host', 'value': host}}, {{'dim': 'address', 'value': src_ip}}, {{'dim': 'object', 'value': person}}, {{'dim': 'service', 'value': service}}]) AS d FROM E WHERE us < {CUT}) GROUP BY ALL), K AS (SELECT db_user AS entity FROM E WHERE us < {CUT} GROUP BY 1 HAVING count(*) >= 4 AND max(us) - min(us) >= 259200000000)"
 
 
+def dims():
+    return {"host": F.col("host"), "address": field("src_ip"), "object": field("target_person"), "service": F.col("service")}
+
+
 def before(spark, d):
-    return derived(spark, d).where(US < CUT)
+    return derived(spark, d).where(at_us() < CUT)
 
 
 def after(spark, d):
-    return derived(spark, d).where(US >= CUT)
+    return derived(spark, d).where(at_us() >= CUT)
 
 
 def profile(spark, d):
-    return behaviour.trusted(before(spark, d), field("db_user"), US, 4)
+    return behaviour.trusted(before(spark, d), field("db_user"), at_us(), 4)
 
 
 @query(f", {SEEN} SELECT * FROM B")
 def a24_profile_values(spark, d):
-    return behaviour.observed(before(spark, d), field("db_user"), DIMS, US)
+    return behaviour.observed(before(spark, d), field("db_user"), dims(), at_us())
 
 
 @query(f", {SEEN} SELECT entity, (SELECT count(*) FROM E WHERE db_user = entity AND us < {CUT}) AS n FROM K")
@@ -270,8 +276,8 @@ def d18_trusted_profiles(spark, d):
 
 @query(f", {SEEN}, A AS (SELECT event_id, db_user AS entity, unnest([{{'dim': 'host', 'value': host}}, {{'dim': 'address', 'value': src_ip}}, {{'dim': 'object', 'value': person}}, {{'dim': 'service', 'value': service}}]) AS d FROM E WHERE us >= {CUT}) SELECT event_id, entity, d.dim AS dim, d.value AS value, CASE WHEN d.dim = 'service' THEN 'low' ELSE 'medium' END AS level FROM A WHERE entity IN (SELECT entity FROM K) AND NOT EXISTS (SELECT 1 FROM B WHERE B.entity = A.entity AND B.dim = A.d.dim AND B.value = A.d.value)")
 def d16_novelty(spark, d):
-    seen = behaviour.observed(before(spark, d), field("db_user"), DIMS, US)
-    return behaviour.novelties(after(spark, d), "event_id", field("db_user"), DIMS, seen, profile(spark, d), {"service": "low"})
+    seen = behaviour.observed(before(spark, d), field("db_user"), dims(), at_us())
+    return behaviour.novelties(after(spark, d), "event_id", field("db_user"), dims(), seen, profile(spark, d), {"service": "low"})
 
 
 @query(f", {SEEN}, C AS (SELECT db_user AS entity, hour(event_ts) AS hour, count(*) AS n FROM E WHERE us < {CUT} GROUP BY ALL), P AS (SELECT entity, max(n) AS peak FROM C GROUP BY 1 HAVING sum(n) >= 4) SELECT e.event_id, e.db_user AS entity, hour(e.event_ts)::INTEGER AS hour FROM E AS e JOIN P ON P.entity = e.db_user LEFT JOIN C ON C.entity = e.db_user AND C.hour = hour(e.event_ts) WHERE e.us >= {CUT} AND e.db_user IN (SELECT entity FROM K) AND (C.n IS NULL OR C.n < 0.1 * P.peak)")
@@ -288,7 +294,7 @@ def d16_volume(spark, d):
 
 @query(f", {SEEN}, G AS (SELECT dim, value, substr(entity, -1) AS g, count(DISTINCT entity) AS k, min(entity) AS entity FROM B GROUP BY ALL) SELECT entity, dim, value FROM G WHERE k = 1")
 def u3_peer_novelty(spark, d):
-    seen = behaviour.observed(before(spark, d), field("db_user"), DIMS, US)
+    seen = behaviour.observed(before(spark, d), field("db_user"), dims(), at_us())
     return behaviour.peer_novelty(seen, seen.select("entity", F.substring("entity", -1, 1).alias("group")).distinct())
 
 
@@ -344,7 +350,7 @@ def d41_coverage(spark, d):
 
 @query("SELECT part, count(*) AS total, count(*) FILTER (severity = 'warning') AS dangerous FROM (SELECT severity, CASE WHEN us <= a THEN 'train' WHEN us <= b THEN 'valid' ELSE 'test' END AS part FROM E, (SELECT floor(quantile_cont(us, 0.7))::BIGINT AS a, floor(quantile_cont(us, 0.85))::BIGINT AS b FROM E)) GROUP BY 1")
 def a29_split_counts(spark, d):
-    e = decisions.temporal_split(derived(spark, d).select("severity", US.alias("us")), "us")
+    e = decisions.temporal_split(derived(spark, d).select("severity", at_us().alias("us")), "us")
     return e.groupBy("part").agg(F.count("*").alias("total"), F.count_if(F.col("severity") == "warning").alias("dangerous"))
 
 
@@ -357,7 +363,7 @@ def d34_dataset(spark, d):
 @query("SELECT count(*) AS hits, list(event_id ORDER BY us DESC, event_id)[1:5] AS samples FROM (SELECT * FROM E WHERE us >= 1706054400000000 ORDER BY us DESC, event_id LIMIT 5000) WHERE message ILIKE '%failed password%' AND service = 'sshd'")
 def d39_backtest(spark, d):
     rule = correlation.selection(message__contains="failed PASSWORD", service="sshd")
-    newest = derived(spark, d).where(US >= 1_706_054_400_000_000).withColumn("us", US).orderBy(F.desc("us"), "event_id").limit(5000)
+    newest = derived(spark, d).where(at_us() >= 1_706_054_400_000_000).withColumn("us", at_us()).orderBy(F.desc("us"), "event_id").limit(5000)
     hits = newest.where(rule)
     some = hits.orderBy(F.desc("us"), "event_id").limit(5).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("us")).alias("t"), "event_id"))), lambda x: x["event_id"]).alias("samples"))
     return hits.agg(F.count("*").alias("hits")).crossJoin(some)  # one row each
@@ -366,13 +372,13 @@ def d39_backtest(spark, d):
 # Lifecycle.
 @query("SELECT us // 86400000000 * 86400000000 AS start_us, us // 86400000000 * 86400000000 + 86400000000 AS end_us, count(*) FILTER (source <> 'pgaudit') AS rows FROM E WHERE us >= 1704412800000000 AND us < 1705276800000000 GROUP BY 1")
 def d29_seal_plan(spark, d):
-    e = derived(spark, d).select("source", US.alias("us"))
+    e = derived(spark, d).select("source", at_us().alias("us"))
     return lifecycle.seal_plan(e, "us", DAY_US, 1_705_276_800_000_000 + HOUR_US, 1_704_412_800_000_000, ["pgaudit"])
 
 
 def archive(spark, d):
     """Old windows sealed to the shared folder: the folder, its manifest and its schema."""
-    e = derived(spark, d).select("event_id", "host", "source", "fields", US.alias("us"))
+    e = derived(spark, d).select("event_id", "host", "source", "fields", at_us().alias("us"))
     plan = lifecycle.seal_plan(e, "us", DAY_US, 1_705_276_800_000_000, 0, ["pgaudit"])
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -398,7 +404,7 @@ def d31_erase_cold(spark, d):
 @query("SELECT event_id, us FROM E WHERE (us >= 1705276800000000) OR (source <> 'pgaudit' AND us < 1705276800000000)")
 def u5_hot_and_cold(spark, d):
     folder, told, schema = archive(spark, d)
-    hot = derived(spark, d).select("event_id", US.alias("us")).where("us >= 1705276800000000")
+    hot = derived(spark, d).select("event_id", at_us().alias("us")).where("us >= 1705276800000000")
     return lifecycle.hot_and_cold(hot, lifecycle.cold(spark, folder, told, None, None, "us", schema).select("event_id", "us"))
 
 
@@ -406,7 +412,7 @@ ARCHIVES = "A AS (SELECT us // 86400000000 * 86400000000 AS start_us, us // 8640
 
 
 def archives(spark, d):
-    e = derived(spark, d).select((F.floor(US / DAY_US) * DAY_US).alias("start_us"), F.octet_length("message").alias("b"))
+    e = derived(spark, d).select((F.floor(at_us() / DAY_US) * DAY_US).alias("start_us"), F.octet_length("message").alias("b"))
     return e.groupBy("start_us").agg(F.count("*").alias("rows"), F.sum("b").alias("raw_bytes"), F.expr("sum(b) div 3").alias("bytes")).withColumn("end_us", F.col("start_us") + DAY_US)
 
 
@@ -434,7 +440,7 @@ SELECT id, host, round(s, 9) AS score, signals, (SELECT count(*) > 2000000 FROM
 def d22_hybrid(spark, d):
     from pyspark.sql import Window
 
-    e = derived(spark, d).select(F.col("event_id").cast("string").alias("id"), "event_id", "host", "service", "message", US.alias("us"), "value")
+    e = derived(spark, d).select(F.col("event_id").cast("string").alias("id"), "event_id", "host", "service", "message", at_us().alias("us"), "value")
     ranked = lambda df, *order: df.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # noqa: E731  a ranked list of a search is short; the whole table stands in for one here
     a = ranked(e.where(F.col("service").isin("sshd", "sudo")), F.desc("us"), "event_id")
     b = ranked(e.where("value > 60"), F.desc("value"), "event_id")
@@ -470,8 +476,8 @@ def d27_shortest_path(spark, d):
 def d46_new_texts(spark, d):
     e = derived(spark, d)
     text = ["host", "service", "message"]
-    groups = lambda df: df.groupBy(*text).agg(F.max(US).alias("us"))
-    return groups(e.where(US >= 1_706_054_400_000_000)).join(groups(e.where(US < 1_706_054_400_000_000)), text, "left_anti").select(*text)
+    groups = lambda df: df.groupBy(*text).agg(F.max(at_us()).alias("us"))
+    return groups(e.where(at_us() >= 1_706_054_400_000_000)).join(groups(e.where(at_us() < 1_706_054_400_000_000)), text, "left_anti").select(*text)
 
 
 # Projections and filters.
@@ -489,7 +495,7 @@ def f4_like_with_escape(spark, d):
 def f5_later_bound(spark, d):
     """Of a relative and an absolute bound the later counts; the system's own rows stay out."""
     bound = F.greatest(F.lit(NOW_US - 336 * HOUR_US), F.lit(CUT))
-    return derived(spark, d).where((US >= bound) & ~F.col("log_type").isin("anomaly", "risk", "baseline") & (F.col("host") != "")).select("event_id", "host")
+    return derived(spark, d).where((at_us() >= bound) & ~F.col("log_type").isin("anomaly", "risk", "baseline") & (F.col("host") != "")).select("event_id", "host")
 
 
 @query("SELECT event_id, nullif(regexp_extract(fields, '\"ticket\":\"([^\"]+)\"', 1), '') AS ticket FROM E")
@@ -569,7 +575,7 @@ def f13_rule_conditions(spark, d):
 @query(f"SELECT event_id, host, us FROM E WHERE host IN ('host-1', 'host-2') AND db_user IN ('u1', 'u2', 'u13', 'u14') AND us >= {NOW_US - 500 * HOUR_US} AND us < {NOW_US - 100 * HOUR_US} ORDER BY us DESC, event_id LIMIT 200")
 def f7_validated_query(spark, d):
     asked = {"labels": {"host": ["host-1", "host-2"]}, "fields": {"db_user": ["u1", "u2", "u13", "u14"]}, "hours": 500, "from_us": 1, "to_us": NOW_US - 100 * HOUR_US, "limit": 9999}
-    return correlation.structured(derived(spark, d), asked, NOW_US).select("event_id", "host", US.alias("us"))
+    return correlation.structured(derived(spark, d), asked, NOW_US).select("event_id", "host", at_us().alias("us"))
 
 
 STATEMENTS = ["SELECT * FROM db.patients p JOIN visits v ON v.id = p.id", "WITH recent AS (SELECT id FROM visits WHERE t > 1) SELECT id FROM recent LIMIT 5 -- FROM secret", "INSERT INTO audit.log SELECT a, 'FROM hidden' FROM src WHERE a = 1", "COPY (SELECT name FROM staff) TO '/tmp/x'", "UPDATE staff SET pay = 1 WHERE id IN (SELECT id FROM raises)", "GRANT SELECT ON staff TO bob"]
