@@ -36,7 +36,7 @@ MINIMA, ROWS, BANDS = 50, 5, 20
 LONGS = -(-MINIMA // 16)
 FAR_OFF = 5.0
 #: Ids (8 bytes each) are broadcast up to so many, else joined by a shuffle.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 2_000_000
 #: Minima under one rotation see the same order of bits; several keep them apart in short lines too.
 ROTATIONS = 8
 

@@ -24,7 +24,7 @@ ROUNDS = 10
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: kind: pattern. An address has a local part of 64 characters at most and a domain of 127 labels at most, of 63
-#: characters each, as mail has it; in a longer domain the part up to there is matched, and no domain is changed. They exclude one another by what stands around them; the first that matches at a place counts.
+#: characters each, as mail has it; what is longer is no address. They exclude one another by what stands around them; the first that matches at a place counts.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?![\d]|\.\d)",
@@ -125,8 +125,15 @@ def _cards(m: Column) -> Column:
             all_ = F.concat(s["all"], F.when(first.isNull(), F.array(part(F.get(groups, i), F.lit(None)))).otherwise(card))
             return F.when(i < s["next"], s).otherwise(F.struct((i + F.coalesce(first["n"], F.lit(1))).alias("next"), all_.alias("all")))
 
-        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<m:string,k:string>>").alias("all"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, one, lambda s: s["all"])
+        # In slices of the root of their number, as appending to an array copies it.
+        by = F.ceil(F.sqrt(F.size(groups))).cast("int")
+        none = F.array().cast("array<struct<m:string,k:string>>")
+
+        def some(s: Column, first: Column) -> Column:
+            own = F.aggregate(F.sequence(first, F.least(first + by, F.size(groups)) - 1), F.struct(s["next"].alias("next"), none.alias("all")), one)
+            return _with(own, lambda x: F.struct(x["next"].alias("next"), F.concat(s["all"], x["all"]).alias("all")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1, by), F.struct(F.lit(0).alias("next"), none.alias("all")), some, lambda s: s["all"])
 
     return F.when(_is_card(m), F.array(part(m, F.lit("card")))).otherwise(_with(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0)), split))
 
