@@ -51,7 +51,8 @@ def _seeds(df: DataFrame, prefix: str, short: list[int], *keep: str) -> DataFram
     at = df.select(*keep, f"{prefix}_h", F.explode(F.sequence(F.lit(0), n - 1)).alias("p"))
     masks = [*enumerate(MASKS), *((-k, tuple(range(k))) for k in short)]
     seed = [F.when((p + m[-1] < n) & (n >= SHORTEST if k >= 0 else F.lit(True)), F.xxhash64(F.lit(k), *[F.get(h, p + i) for i in m])) for k, m in masks]
-    return at.select(*keep, p.alias(f"{prefix}_p"), F.explode(F.array_compact(F.array(*seed))).alias("seed"))
+    # No lambda here: it would take the step out of generated code, and each position would then copy the whole array of hashes.
+    return at.select(*keep, p.alias(f"{prefix}_p"), F.explode(F.array(*seed)).alias("seed")).where("seed IS NOT NULL")
 
 
 def _compared(df: DataFrame) -> DataFrame:
