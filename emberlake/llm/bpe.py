@@ -141,11 +141,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             for start in range(0, max(whole.num_rows, 1), ROWS):
                 batch = whole.slice(start, ROWS)
                 coder = _coder(path, pattern)
-                ids, ends = coder.encode(batch.column("_t").to_pylist())
-                kept = [batch.column(c) for c in batch.schema.names if c != "_t"]
+                ids, ends = coder.encode(batch.column(0).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(coder.decode(ids, ends), pa.binary())], names=[*(c for c in batch.schema.names if c != "_t"), "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists, pa.array(coder.decode(ids, ends), pa.binary())], names=[*batch.schema.names[1:], "ids", "decoded"])
 
-    given = docs.select(F.col(id_col), *[F.col(c) for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "_t"), "ids array<int>", "decoded binary"])
+    given = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(id_col), *[F.col(c) for c in keep])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:]), "ids array<int>", "decoded binary"])
     return given.mapInArrow(work, schema)

@@ -243,6 +243,12 @@ def test_bpe_equals_the_library_and_round_trips(docs, odd, spark, reference):
             assert bytes(r["decoded"]) == (r["text"] or "").encode()
 
 
+def test_bpe_of_nothing_and_of_other_columns(odd, reference):
+    assert bpe.encode(odd.limit(0), reference[0], public_tokenizers.PATTERN).count() == 0
+    out = bpe.encode(odd.withColumn("_text", F.col("n")), reference[0], public_tokenizers.PATTERN, keep=("_text", "_t", "n"))
+    assert out.columns == ["doc_id", "_text", "_t", "n", "ids", "decoded"] and out.where("_text <> n").count() == 0
+
+
 def test_bpe_query_digests(spark, reference):
     from emberlake.llm.queries import op9_byte_bpe
 
