@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from emberlake.catalog import DAY_US, EDGES_SQL, HOUR_US, NOW_US, OBJECTS, PIVOT_SQL, detectors, query, trusted
 from emberlake.catalog import JUDGED_SQL as JUDGED
 from emberlake.operators import behaviour, correlation, decisions, entities, environment, lifecycle, relations, stateful
-from emberlake.sources import parsers
+from emberlake.plans import guard
+from emberlake.sources import events, parsers
 from emberlake.sources.events import derived, field, micros
 
 
@@ -376,14 +377,18 @@ def d29_seal_plan(spark, d):
     return lifecycle.seal_plan(e, "us", DAY_US, 1_705_276_800_000_000 + HOUR_US, 1_704_412_800_000_000, ["pgaudit"])
 
 
+def scratch(spark, name):
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def archive(spark, d):
     """Old windows sealed to the shared folder: the folder, its manifest and its schema."""
     e = derived(spark, d).select("event_id", "host", "source", "fields", at_us().alias("us"))
     plan = lifecycle.seal_plan(e, "us", DAY_US, 1_705_276_800_000_000, 0, ["pgaudit"])
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = f"{base.rstrip('/')}/sealed-{uuid.uuid4().hex}"
+    folder = scratch(spark, "sealed")
     told = lifecycle.seal(e, "us", plan, DAY_US, ["pgaudit"], folder)
     return folder, told, "event_id bigint, host string, source string, fields string, us bigint, window_us bigint"
 
@@ -598,3 +603,51 @@ COUNTRIES = [("10.0.0.0/24", "SE"), ("10.0.1.0/25", "NO"), ("10.0.2.0/24", "FI")
 def s23_country(spark, d):
     """Networks by country: blocks that border on each other merge, so the list is looked up without merging."""
     return relations.by_disjoint(derived(spark, d).select("event_id", field("src_ip").alias("src_ip")), F.col("src_ip"), spark.createDataFrame(COUNTRIES, "cidr string, label string")).withColumnRenamed("label", "country")
+
+
+PAYLOAD = "event_ts timestamp_ntz, host string, service string, source string, environment string, severity string, log_type string, message string, fields string"
+ID_SQL = "sha256(concat_ws(chr(0), us, host, source, service, message, fields))"
+
+
+def stored(spark, d):
+    """The event table, written to the shared folder and scanned."""
+    folder = scratch(spark, "events")
+    rows = parsers.checked(derived(spark, d).select(*[c.split()[0] for c in PAYLOAD.split(", ")]), PAYLOAD)
+    events.append(events.stamped(rows, "collector"), folder)
+    return events.scan(spark, folder)
+
+
+@query(f"SELECT host, count(*) AS n, count(DISTINCT {ID_SQL}) AS ids, 'authenticated' AS source_trust FROM E WHERE event_ts >= TIMESTAMP '2024-01-10' AND event_ts < TIMESTAMP '2024-01-12' AND severity = 'warning' GROUP BY host")
+def s1_table_scan(spark, d):
+    """Days prune folders, and the severity is pushed to the files."""
+    t = stored(spark, d).where("day >= DATE'2024-01-10' AND day < DATE'2024-01-12' AND severity = 'warning'")
+    return t.groupBy("host", "source_trust").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
+@query(f"SELECT {ID_SQL} AS event_id, host, message FROM E WHERE event_id IN (1, 77, 500)")
+def s4_point_lookup(spark, d):
+    """Three events by their ids, which the filters of the files' blocks find."""
+    known = events.stamped(derived(spark, d).where("event_id IN (1, 77, 500)").select(*[c.split()[0] for c in PAYLOAD.split(", ")]), "collector").select("event_id").collect()  # three
+    return stored(spark, d).where(F.col("event_id").isin([r[0] for r in known])).select("event_id", "host", "message")
+
+
+@query("SELECT host, count(*) AS n FROM E WHERE message LIKE 'Failed%' GROUP BY 1 HAVING count(*) >= 3")
+def f10_rule_text(spark, d):
+    """A correlation rule given as text, through the guard."""
+    text = "SELECT host, count(*) AS n FROM events WHERE message LIKE 'Failed%' GROUP BY host HAVING count(*) >= 3"
+    return guard.scoped(spark, text, lambda s: derived(s, d), ["journald", "syslog", "pgaudit"])
+
+
+@query("SELECT event_id, us FROM E WHERE us > 1705276800000000 ORDER BY us, event_id LIMIT 100")
+def t4_batch_after_watermark(spark, d):
+    return entities.batch_after(derived(spark, d).select("event_id", at_us().alias("us")), "us", "event_id", 1_705_276_800_000_000, 100)[0]
+
+
+@query("SELECT seq, fault FROM (SELECT event_id AS seq, CASE WHEN event_id % 77 = 5 THEN 'record' WHEN event_id > 1 AND event_id % 50 = 12 THEN 'gap' WHEN event_id > 1 AND event_id % 90 = 7 THEN 'link' END AS fault FROM events WHERE event_id % 50 <> 11) WHERE fault IS NOT NULL")
+def d42_audit_chain(spark, d):
+    """A chain in which some records are altered, some taken out, and some name another before them."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), "props")
+    e = e.withColumn("own", F.sha2(F.concat_ws("|", "seq", "props"), 256))
+    chain = e.join(e.select((F.col("seq") + 1).alias("seq"), F.col("own").alias("prev")), "seq", "left")
+    chain = chain.withColumns({"prev": F.when(F.col("seq") % 90 == 7, "broken").otherwise(F.col("prev")), "props": F.when(F.col("seq") % 77 == 5, "altered").otherwise(F.col("props"))}).where("seq % 50 <> 11")
+    return behaviour.chain_faults(chain, "seq", "prev", "own", F.concat_ws("|", "seq", "props"))

@@ -111,14 +111,17 @@ def runs(df: DataFrame, keys: list[str], number: str, order: list[str], least: i
     return df.groupBy(*keys, "_run").agg(F.count("*").alias("length"), F.min(number).alias("first"), F.max(number).alias("last")).where(F.col("length") >= least).drop("_run")
 
 
-def chain_faults(df: DataFrame, seq: str, prev: str, own: str) -> DataFrame:
-    """Rows of a hash chain whose link or number doesn't follow from the row before.
+def chain_faults(df: DataFrame, seq: str, prev: str, own: str, record: Column | None = None) -> DataFrame:
+    """Rows of a hash chain whose number or link doesn't follow from the row before, or (given what a record is hashed
+    from) whose own hash isn't that of its record.
 
     The row before is met by a join on its number, so the chain isn't sorted in one task. A first row that isn't
     number 1 is a gap too.
     """
     before = df.select((F.col(seq) + 1).alias(seq), F.col(own).alias("_before"))
-    return df.join(before, seq, "left").where((F.col(seq) > 1) & (F.col("_before").isNull() | (F.col("_before") != F.col(prev)))).select(seq, F.when(F.col("_before").isNull(), "gap").otherwise("link").alias("fault"))
+    altered = F.coalesce(F.sha2(record, 256) != F.col(own), F.lit(False)) if record is not None else F.lit(False)
+    fault = F.when(altered, "record").when((F.col(seq) > 1) & F.col("_before").isNull(), "gap").when((F.col(seq) > 1) & (F.col("_before") != F.col(prev)), "link")
+    return df.join(before, seq, "left").select(seq, fault.alias("fault")).where("fault IS NOT NULL")
 
 
 def observed(events: DataFrame, entity: Column, dims: dict[str, Column], ts_us: Column) -> DataFrame:

@@ -54,3 +54,11 @@ def search(tables: dict[str, tuple[DataFrame, Column]], text: str, cap: int = 20
         total = hit.agg(F.count("*").alias("total"))
         parts.append(hit.orderBy("name").limit(cap).crossJoin(F.broadcast(total)).select(F.lit(kind).alias("kind"), "name", "total"))  # one row
     return reduce(DataFrame.unionByName, parts)
+
+
+def batch_after(df: DataFrame, ts_us: str, key: str, watermark_us: int, cap: int = 5000) -> tuple[DataFrame, int]:
+    """The first rows after a watermark, in order, and the next watermark: the last time, less one if the batch is full,
+    so that rows of that very time which it left out are read again."""
+    rows = df.where(F.col(ts_us) > watermark_us).orderBy(ts_us, key).limit(cap)
+    told = rows.agg(F.max(ts_us).alias("last"), F.count("*").alias("n")).first()
+    return rows, watermark_us if not told["n"] else told["last"] - (told["n"] == cap)
