@@ -12,6 +12,7 @@ from emberlake.operators import behaviour, correlation, decisions, entities, env
 from emberlake.plans import guard
 from emberlake.sources import events, parsers
 from emberlake.sources.events import derived, field, micros
+from emberlake.streaming import state
 
 
 
@@ -651,3 +652,37 @@ def d42_audit_chain(spark, d):
     chain = e.join(e.select((F.col("seq") + 1).alias("seq"), F.col("own").alias("prev")), "seq", "left")
     chain = chain.withColumns({"prev": F.when(F.col("seq") % 90 == 7, "broken").otherwise(F.col("prev")), "props": F.when(F.col("seq") % 77 == 5, "altered").otherwise(F.col("props"))}).where("seq % 50 <> 11")
     return behaviour.chain_faults(chain, "seq", "prev", "own", F.concat_ws("|", "seq", "props"))
+
+
+def landed(spark, df):
+    """df as files for a stream to read: the folder and the schema."""
+    folder = scratch(spark, "landed")
+    df.write.parquet(f"{folder}/in")
+    return folder, df.schema
+
+
+@query("SELECT event_id, host FROM E")
+def st3_stream_dedup(spark, d):
+    """Every event comes twice, the second time a minute later; the stream gives each once."""
+    e = derived(spark, d).select(F.col("event_id").cast("string").alias("event_id"), "host", F.col("event_ts").cast("timestamp").alias("event_ts"))
+    folder, schema = landed(spark, e.unionByName(e.withColumn("event_ts", F.col("event_ts") + F.expr("INTERVAL 1 MINUTE"))).coalesce(1))
+    out = state.caught_up(state.deduplicated(state.read(spark, f"{folder}/in", schema), late="40 days"), folder)
+    return out.select(F.col("event_id").cast("long").alias("event_id"), "host")
+
+
+@query("SELECT epoch_us(date_trunc('day', event_ts)) AS start_us, service, count(*) AS n FROM E WHERE event_ts < TIMESTAMP '2024-01-28' GROUP BY ALL HAVING count(*) >= 3")
+def st8_stream_windows(spark, d):
+    """Counts of a day and service; a last event far ahead closes all windows."""
+    e = derived(spark, d).where("event_ts < TIMESTAMP_NTZ'2024-01-28 00:00:00'").select("service", F.col("event_ts").cast("timestamp").alias("event_ts"))
+    last = spark.sql("SELECT 'none' AS service, TIMESTAMP'2024-06-01 00:00:00' AS event_ts")
+    folder, schema = landed(spark, e.unionByName(last).coalesce(1))
+    stream = state.windowed_bursts(state.read(spark, f"{folder}/in", schema), "service", 3, width="1 day", late="40 days")
+    out = state.caught_up(stream, folder)
+    return out.select(F.unix_micros("start").alias("start_us"), "service", "n")
+
+
+@query("SELECT host, role, count(*) AS cases FROM (SELECT c.host, r.role FROM (SELECT DISTINCT host, us FROM E WHERE message LIKE 'Failed%') AS c LEFT JOIN (VALUES ('host-1', 'admin'), ('host-2', 'database')) AS r(host, role) ON r.host = c.host) GROUP BY ALL")
+def j14_case_roles(spark, d):
+    roles = spark.createDataFrame([("host-1", "admin"), ("host-2", "database")], "host string, role string")
+    cases = derived(spark, d).where("message LIKE 'Failed%'").select("host", at_us().alias("us")).distinct()
+    return cases.join(relations.bounded(roles), "host", "left").groupBy("host", "role").agg(F.count("*").alias("cases"))

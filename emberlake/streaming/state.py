@@ -45,7 +45,7 @@ def enumeration(events: DataFrame, key: str, number: str, ts_us: str, least: int
                 if step in (1, -1):
                     run = run + 1 if step == way or way == 0 else 2
                     way = step
-                elif last is None or step != 0:
+                else:
                     way, run, fired = 0, 1, False
                 last = n
                 if run >= least and not fired:
@@ -58,3 +58,10 @@ def enumeration(events: DataFrame, key: str, number: str, ts_us: str, least: int
 
     kind = events.schema[key].dataType.simpleString()
     return events.groupBy(key).applyInPandasWithState(work, f"{key} {kind}, last long, length int", "last long, way int, run int, fired boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def caught_up(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """What a stream gives for all that there is now, written to folder with its checkpoint; a later call takes up where this one ended."""
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
