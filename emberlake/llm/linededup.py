@@ -111,7 +111,8 @@ def linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     release(docs.sparkSession)
     # One shuffle by key serves the count of each bucket and the join back.
     each = keyed.select("a", F.explode("keys").alias("key")).repartition("key")
-    shared = each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    # The count names a, so that both readers of the exchange want the same columns and it is reused.
+    shared = each.groupBy("key").agg(F.count("a").alias("m")).where("m > 1")
     bucket = cut(each.join(shared.hint("shuffle_hash"), "key").select("key", "a", "m"))
     del each, shared
     release(docs.sparkSession)

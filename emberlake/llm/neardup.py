@@ -142,7 +142,8 @@ def links(docs: DataFrame, signed: DataFrame, width: int, threshold: float, id_c
     reps = some.join(member.select(F.col("a").alias("id")), "id", "left_anti").select("id", "n", "bands", "bits").dropDuplicates(["id", "n"])
     reps = cut(reps)
     keys = reps.select("id", F.explode("bands").alias("key")).repartition("key")
-    shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    # The count names id, so that both readers of the exchange want the same columns and it is reused.
+    shared = keys.groupBy("key").agg(F.count("id").alias("m")).where("m > 1")
     bucket = cut(keys.join(shared.hint("shuffle_hash"), "key").select("key", "id", "m"))
     sig = reps.select("id", "n", "bits")
     of = lambda c: sig.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
