@@ -116,7 +116,7 @@ def linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bucket = cut(each.join(shared.hint("shuffle_hash"), "key").select("key", "a", "m"))
     del each, shared
     release(docs.sparkSession)
-    some = cut(keyed.select("a", "bits").join(bucket.select("a").distinct(), "a", "left_semi"))
+    some = cut(keyed.join(bucket.select("a").distinct(), "a", "left_semi"))
     of = lambda c: some.select(F.col("a").alias(c), F.col("bits").alias(f"bits_{c}"))
 
     met = bucket.join(central(bucket), "key").where("a <> hub").select(F.col("hub").alias("x"), F.col("a").alias("y"), "met").distinct()
@@ -131,12 +131,14 @@ def linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     mixed = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("key", "main")
     known = some.join(near.select(F.col("y").alias("a"), F.col("x").alias("hub"), "rel"), "a", "left")
     open_ = cut(placed.join(mixed, "key").join(known, "a"))
-    side = lambda z: open_.select("key", "main", F.col("a").alias(z), *[F.col(k).alias(f"{k}_{z}") for k in ("c", "bits", "hub", "rel")])
+    side = lambda z: open_.select("key", "main", F.col("a").alias(z), *[F.col(k).alias(f"{k}_{z}") for k in ("c", "bits", "keys", "hub", "rel")])
     x, y = side("x").where("c_x <> main"), side("y").drop("main").withColumnRenamed("key", "key_y")
     apart = (F.col("c_x") != F.col("c_y")) & ((F.col("c_y") == F.col("main")) | (F.col("x") < F.col("y")))
     tried = F.coalesce(F.col("hub_x") == F.col("y"), F.lit(False)) | F.coalesce(F.col("hub_y") == F.col("x"), F.lit(False))
     hopeless = (F.col("hub_x") == F.col("hub_y")) & ~may_reach(F.col("rel_x"), F.col("rel_y"), THRESHOLD)
-    rest = x.join(y, (x["key"] == y["key_y"]) & apart & ~tried & agree(F.col("bits_x"), F.col("bits_y")) & ~F.coalesce(hopeless, F.lit(False)))
+    # Two lines may share several buckets; they meet in the first of them.
+    first = F.element_at(F.array_intersect("keys_x", "keys_y"), 1) == x["key"]
+    rest = x.join(y, (x["key"] == y["key_y"]) & apart & ~tried & agree(F.col("bits_x"), F.col("bits_y")) & ~F.coalesce(hopeless, F.lit(False)) & first)
     rest = cut(rest.select("x", "y").distinct())
     more = compared(rest, docs, id_col, text_col).where(enough(F.col("rel.both"), F.col("rel.n"), F.col("rel.n_hub"), THRESHOLD)).select(F.col("x").alias("a"), F.col("y").alias("b"))
     return components(tied.union(more))
