@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-from emberlake.llm.queries import ORACLES, QUERIES
+from emberlake.llm import queries, audits
 
+QUERIES = queries.QUERIES | audits.QUERIES
+ORACLES = queries.ORACLES | audits.ORACLES
 __all__ = ["ORACLES", "QUERIES"]
