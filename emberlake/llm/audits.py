@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import merkle
+from emberlake.llm import divergence, merkle
 from emberlake.llm.common import table
 
 
@@ -64,5 +64,36 @@ FROM docs AS d JOIN parts AS p ON d.source IS NOT DISTINCT FROM p.source JOIN en
 LEFT JOIN proofs AS x ON x.doc_id = d.doc_id AND x.leaf = d.leaf, (SELECT h FROM high WHERE n = 1) AS t
 """
 
-QUERIES = {f.__name__: f for f in (op11_merkle_manifest,)}
-ORACLES: dict[str, str] = {"op11_merkle_manifest": OP11_SQL}
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+words AS (SELECT k, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT k) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+seen AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+total AS (SELECT lang, source, sum(n) AS n FROM seen GROUP BY ALL),
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(s.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(s.n, 0) + 1)) // (coalesce(t.n, 0) + z.v))::HUGEINT AS p
+  FROM groups AS g JOIN kept AS k USING (lang) JOIN size AS z USING (lang) LEFT JOIN seen AS s USING (lang, source, term) LEFT JOIN total AS t ON t.lang = g.lang AND t.source = g.source),
+whole AS (
+  SELECT w.lang, w.term, (1 + (1000000000::HUGEINT * (w.n + 1)) // (t.n + z.v))::HUGEINT AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM seen GROUP BY ALL) AS w JOIN (SELECT lang, sum(n) AS n FROM total GROUP BY ALL) AS t USING (lang) JOIN size AS z USING (lang)),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value FROM grid AS x JOIN grid AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) AS f
+  ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+term AS (SELECT g.lang, g.source, 'term' AS part, g.term AS item, (((g.p - w.q) * (g.p - w.q)) // w.q)::BIGINT AS value FROM grid AS g JOIN whole AS w USING (lang, term) WHERE g.n > 0 AND g.p > w.q)
+SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pair
+UNION ALL
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM term) WHERE rank <= 200
+"""
+
+QUERIES = {f.__name__: f for f in (op11_merkle_manifest, op13_source_divergence)}
+ORACLES: dict[str, str] = {"op11_merkle_manifest": OP11_SQL, "op13_source_divergence": OP13_SQL}
