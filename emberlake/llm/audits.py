@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import divergence, merkle
+from emberlake.llm import divergence, fingerprints, merkle
 from emberlake.llm.common import table
 
 
@@ -66,6 +66,11 @@ LEFT JOIN proofs AS x ON x.doc_id = d.doc_id AND x.leaf = d.leaf, (SELECT h FROM
 
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -95,5 +100,5 @@ UNION ALL
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM term) WHERE rank <= 200
 """
 
-QUERIES = {f.__name__: f for f in (op11_merkle_manifest, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op11_merkle_manifest, op12_document_fingerprints, op13_source_divergence)}
 ORACLES: dict[str, str] = {"op11_merkle_manifest": OP11_SQL, "op13_source_divergence": OP13_SQL}
