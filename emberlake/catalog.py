@@ -23,13 +23,13 @@ def now():
     return F.expr("timestamp_ntz'2024-01-31 00:00:00'")
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, recursive: bool = False):
     """Registers a query; its SQL may use E (the derived events, with the JSON values as columns)."""
 
     def put(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = f"WITH E0 AS ({derived_sql()}), E AS (SELECT *, json_extract_string(fields, '$.src_ip') AS src_ip, json_extract_string(fields, '$.db_user') AS db_user, json_extract_string(fields, '$.target_person') AS person, json_extract_string(fields, '$.ticket') AS ticket, epoch_us(event_ts) AS us FROM E0) {sql}"
+            ORACLES[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}E0 AS ({derived_sql()}), E AS (SELECT *, json_extract_string(fields, '$.src_ip') AS src_ip, json_extract_string(fields, '$.db_user') AS db_user, json_extract_string(fields, '$.target_person') AS person, json_extract_string(fields, '$.ticket') AS ticket, epoch_us(event_ts) AS us FROM E0) {sql}"
         return f
 
     return put
@@ -473,4 +473,4 @@ def j16_joins(spark, d):
     return j.groupBy(F.col("n_name").alias("nation")).agg(F.count("*").alias("orders"), F.round(F.sum("revenue"), 2).alias("revenue"))
 
 
-from emberlake import catalog_more  # noqa: E402, F401  its queries join these
+from emberlake import catalog_depth, catalog_more  # noqa: E402, F401  their queries join these

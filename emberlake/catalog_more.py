@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from emberlake.catalog import DAY_US, EDGES_SQL, HOUR_US, NOW_US, OBJECTS, PIVOT_SQL, detectors, query, trusted
 from emberlake.catalog import JUDGED_SQL as JUDGED
-from emberlake.operators import behaviour, correlation, decisions, entities, environment, lifecycle, relations, stateful
+from emberlake.operators import behaviour, correlation, decisions, entities, environment, lifecycle, ordered, relations, stateful, suppression
 from emberlake.plans import guard
 from emberlake.sources import events, parsers
 from emberlake.sources.events import derived, field, micros
@@ -117,7 +117,7 @@ def w6_denied_probing(spark, d):
 
 
 # Ids that walk up, turn and walk down: from the order numbers of a customer's group.
-WALK = "SELECT o_custkey % 20 AS actor, o_orderkey AS seq, CASE WHEN o_orderkey % 90 < 60 THEN o_orderkey % 90 ELSE 119 - o_orderkey % 90 END + CASE WHEN o_orderkey % 37 = 0 THEN 500 ELSE 0 END AS number FROM orders WHERE o_orderkey % 20 < 19"
+WALK = "SELECT o_custkey % 20 AS actor, o_orderkey AS seq, CASE WHEN o_orderkey % 90 < 60 THEN o_orderkey % 90 ELSE 119 - o_orderkey % 90 END + CASE WHEN o_orderkey % 37 = 0 THEN 500 ELSE 0 END AS number FROM orders"
 
 
 @query(f""", W0 AS ({WALK}), W AS (SELECT 1 AS actor, seq, number FROM W0), S0 AS (SELECT *, number - lag(number) OVER (PARTITION BY actor ORDER BY seq) AS d FROM W), S1 AS (SELECT *, CASE WHEN abs(d) = 1 THEN d END AS step FROM S0),
@@ -125,9 +125,10 @@ S2 AS (SELECT *, lag(step) OVER (PARTITION BY actor ORDER BY seq) AS before FROM
 S4 AS (SELECT *, CASE WHEN step IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY actor, run ORDER BY seq) + 1 END AS length FROM S3)
 SELECT actor, seq, current, length, direction FROM (SELECT actor, seq, number AS current, length, CASE WHEN step = 1 THEN 'ascending' ELSE 'descending' END AS direction, row_number() OVER (PARTITION BY actor, segment ORDER BY seq) AS k FROM S4 WHERE length >= 6) WHERE k = 1""")
 def w5_sequential(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 20 < 19")
+    """One actor has all rows."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
     number = F.expr("CASE WHEN o_orderkey % 90 < 60 THEN o_orderkey % 90 ELSE 119 - o_orderkey % 90 END + CASE WHEN o_orderkey % 37 = 0 THEN 500 ELSE 0 END")
-    return stateful.sequential(o.select(F.lit(1).alias("actor"), F.col("o_orderkey").alias("seq"), number.alias("number")), ["actor"], "number", ["seq"], 6)
+    return ordered.sequential(o.select(F.lit(1).alias("actor"), F.col("o_orderkey").alias("seq"), number.alias("number")), ["actor"], "number", ["seq"], 6)
 
 
 @query(", X AS (SELECT db_user AS actor, us // 604800000000 AS session, service AS domain, min(us) AS t FROM E GROUP BY ALL), C AS (SELECT a.actor, a.session, a.t, a.domain, list_sort(list(b.domain)) AS all_ FROM X AS a JOIN X AS b ON a.actor = b.actor AND a.session = b.session AND (b.t < a.t OR (b.t = a.t AND b.domain <= a.domain)) GROUP BY ALL) SELECT actor, array_to_string(all_, ' + ') AS domains, min(t) AS t FROM C WHERE len(all_) >= 2 GROUP BY ALL")
@@ -167,11 +168,28 @@ def st16_service_clocks(spark, d):
     return decisions.service_clocks(cases, NOW_US, DAY_US, 7 * DAY_US)
 
 
-@query(None)
+THROTTLE_SQL = f""", N AS (SELECT event_id, service AS rule, us, us // 1000000 AS s, event_id % 50 = 0 AS loud FROM E WHERE NOT (service = 'web' AND us >= {NOW_US - 20 * DAY_US} AND us < {NOW_US - 15 * DAY_US})),
+Q AS (SELECT DISTINCT rule, s FROM N WHERE NOT loud), SENT AS (SELECT rule, min(s) AS s FROM Q GROUP BY 1 UNION ALL SELECT rule, (SELECT min(q.s) FROM Q AS q WHERE q.rule = t.rule AND q.s >= t.s + 21600) FROM SENT AS t WHERE t.s IS NOT NULL)
+SELECT event_id FROM N WHERE loud UNION ALL SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY rule, s ORDER BY us, event_id) AS k FROM N SEMI JOIN SENT USING (rule, s) WHERE NOT loud) WHERE k = 1"""
+
+
+@query(THROTTLE_SQL, recursive=True)
 def st15_throttle(spark, d):
-    """What went out last decides what goes next; a test folds the notices in order."""
     e = derived(spark, d).select("event_id", F.col("service").alias("rule"), at_us().alias("us"), (F.col("event_id") % 50 == 0).alias("escalation"))
-    return decisions.throttled(e, "rule", "us", 6 * HOUR_US, [("web", NOW_US - 20 * DAY_US, NOW_US - 15 * DAY_US)])
+    return suppression.throttled(e, "rule", "us", "event_id", 6 * HOUR_US, [("web", NOW_US - 20 * DAY_US, NOW_US - 15 * DAY_US)]).select("event_id")
+
+
+@query(f""", R AS (SELECT host, src_ip, us // 1000000 AS s, 1 AS kind, count(*) AS n FROM E WHERE message LIKE 'Failed%' GROUP BY ALL UNION ALL SELECT DISTINCT host, src_ip, us // 1000000, 0, 0 FROM E WHERE message LIKE 'Accepted%'),
+P AS (SELECT *, row_number() OVER (PARTITION BY host, src_ip ORDER BY s, kind) AS k FROM R),
+F AS (SELECT host, src_ip, 0::BIGINT AS k, NULL::BIGINT AS mark, 0::BIGINT AS case_no, NULL::BIGINT AS closed, 0::BIGINT AS s, '' AS did, 0::BIGINT AS n FROM P WHERE P.k = 1 UNION ALL
+SELECT p.host, p.src_ip, p.k, CASE WHEN kind = 0 OR (p.s - mark < 172800 AND closed IS NOT NULL) THEN mark ELSE p.s END, CASE WHEN kind = 1 AND (mark IS NULL OR p.s - mark >= 172800) THEN case_no + 1 ELSE case_no END,
+CASE WHEN kind = 0 THEN CASE WHEN case_no > 0 THEN coalesce(closed, p.s) END WHEN mark IS NULL OR p.s - mark >= 172800 THEN NULL ELSE closed END, p.s,
+CASE WHEN kind = 0 THEN 'close' WHEN mark IS NULL OR p.s - mark >= 172800 THEN 'open' WHEN closed IS NULL THEN 'bump' ELSE 'drop' END, p.n FROM F JOIN P AS p ON p.host = F.host AND p.src_ip = F.src_ip AND p.k = F.k + 1)
+SELECT host, src_ip, case_no, min(s) FILTER (did = 'open') AS opened_s, max(s) FILTER (did IN ('open', 'bump')) AS updated_s, coalesce(sum(n) FILTER (did IN ('open', 'bump')), 0)::BIGINT AS events, coalesce(sum(n) FILTER (did = 'drop'), 0)::BIGINT AS dropped, max(closed) AS closed_s FROM F WHERE case_no > 0 GROUP BY ALL""", recursive=True)
+def st4_suppression(spark, d):
+    """Failed logins fold to cases by host and address; a later accepted one closes them."""
+    e = derived(spark, d).select("host", field("src_ip").alias("src_ip"), "message", at_us().alias("us"))
+    return suppression.cases(e.where(e["message"].like("Failed%")), ["host", "src_ip"], "us", 2 * DAY_US, e.where(e["message"].like("Accepted%")))
 
 
 # Environment. Observations: the candidates that events suggest, with a trust by their source.
@@ -438,19 +456,23 @@ def a35_capacity(spark, d):
 
 
 # Search and graph.
+def signals(spark, d):
+    """Ranked rows by structure and by text, and ranked groups of equal messages."""
+    e = derived(spark, d).select(F.col("event_id").cast("string").alias("id"), "event_id", "host", "service", "message", at_us().alias("us"), "value")
+    a = ordered.ranked(e.where(F.col("service").isin("sshd", "sudo")), F.desc("us"), F.col("event_id"))
+    b = ordered.ranked(e.where("value > 60"), F.desc("value"), F.col("event_id"))
+    groups = e.where("value < 30 OR value > 90").groupBy("host", "service", "message").agg(F.max("us").alias("us"), F.max("value").alias("v"))
+    return a, b, ordered.ranked(groups, *map(F.col, ("v", "host", "service", "message")))
+
+
 @query(""", A AS (SELECT event_id::VARCHAR AS id, host, service, message, us, row_number() OVER (ORDER BY us DESC, event_id) AS place FROM E WHERE service IN ('sshd', 'sudo')), B AS (SELECT event_id::VARCHAR AS id, host, service, message, us, row_number() OVER (ORDER BY value DESC, event_id) AS place FROM E WHERE value > 60),
 M AS (SELECT *, row_number() OVER (ORDER BY v, host, service, message) AS place FROM (SELECT host, service, message, max(us) AS us, max(value) AS v FROM E WHERE value < 30 OR value > 90 GROUP BY host, service, message)), WA AS (SELECT * FROM A WHERE us BETWEEN 1704844800000000 AND 1706140799999999), WB AS (SELECT * FROM B WHERE us BETWEEN 1704844800000000 AND 1706140799999999),
 R AS (SELECT id, host, service, message, us FROM WA UNION SELECT id, host, service, message, us FROM WB), ALONE AS (SELECT 'group:' || substr(sha256(concat_ws(chr(0), host, service, message)), 1, 16) AS id, host, service, message, us, place FROM M WHERE us BETWEEN 1704844800000000 AND 1706140799999999 AND (host, service, message) NOT IN (SELECT host, service, message FROM R)),
 P AS (SELECT id, place FROM WA UNION ALL SELECT id, place FROM WB UNION ALL SELECT R.id, M.place FROM R JOIN M USING (host, service, message) UNION ALL SELECT id, place FROM ALONE), Q AS (SELECT id, sum(1.0::DOUBLE / (60 + place)) AS s, count(*) AS signals FROM P GROUP BY 1), N AS (SELECT * FROM R UNION ALL SELECT id, host, service, message, us FROM ALONE)
 SELECT id, host, round(s, 9) AS score, signals, (SELECT count(*) > 2000000 FROM Q) AS truncated FROM Q JOIN N USING (id)""")
 def d22_hybrid(spark, d):
-    from pyspark.sql import Window
-
-    e = derived(spark, d).select(F.col("event_id").cast("string").alias("id"), "event_id", "host", "service", "message", at_us().alias("us"), "value")
-    ranked = lambda df, *order: df.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # noqa: E731  a ranked list of a search is short; the whole table stands in for one here
-    a = ranked(e.where(F.col("service").isin("sshd", "sudo")), F.desc("us"), "event_id")
-    b = ranked(e.where("value > 60"), F.desc("value"), "event_id")
-    m = ranked(e.where("value < 30 OR value > 90").groupBy("host", "service", "message").agg(F.max("us").alias("us"), F.max("value").alias("v")), "v", "host", "service", "message")
+    """Whole tables stand in for the ranked lists of a search, so their places are counted by ranges."""
+    a, b, m = signals(spark, d)
     out = relations.hybrid(a, b, m, (1_704_844_800_000_000, 1_706_140_800_000_000), False, 2_000_000)
     return out.select("id", "host", F.round("score", 9).alias("score"), "signals", "truncated")
 

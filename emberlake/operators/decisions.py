@@ -209,21 +209,6 @@ def service_clocks(cases: DataFrame, now_us: int, ack_us: int, resolve_us: int)
     return cases.select(*cases.columns, ack.alias("ack_by"), F.coalesce(F.lit(now_us) >= ack, F.lit(False)).alias("ack_late"), end.alias("resolve_by"), F.coalesce(F.lit(now_us) >= end, F.lit(False)).alias("resolve_late"))
 
 
-def throttled(notices: DataFrame, rule: str, ts_us: str, gap_us: int, silences: list[tuple[str, int, int]]) -> DataFrame:
-    """Notices that go out: those of no silence, and of a rule only the first in gap_us since the last that went out; escalations always go.
-
-    What went out last depends on what went before, so a rule's notices fold in order; times alone are kept.
-    """
-    quiet = reduce(lambda a, b: a | b, [(F.col(rule) == r) & (F.col(ts_us) >= lo) & (F.col(ts_us) < hi) for r, lo, hi in silences], F.lit(False))
-    loud = notices.where("escalation")
-    rest = notices.where(~F.col("escalation") & ~quiet)
-    slots = rest.groupBy(rule, F.floor(F.col(ts_us) / gap_us).alias("_slot")).agg(F.array_sort(F.collect_set(ts_us)).alias("_ts"))
-    times = slots.groupBy(rule).agg(F.array_sort(F.collect_list(F.struct("_slot", "_ts"))).alias("_all")).select(rule, F.flatten(F.transform("_all", lambda x: x["_ts"])).alias("_all"))
-    sent = F.aggregate("_all", F.array().cast("array<bigint>"), lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) >= gap_us), F.concat(a, F.array(t))).otherwise(a))
-    out = times.select(rule, F.explode(sent).alias(ts_us))
-    return loud.select(*notices.columns).unionByName(rest.join(out, [rule, ts_us], "left_semi").select(*notices.columns))
-
-
 def quantile_cuts(df: DataFrame, ts: str, shares: list[float], width: int) -> list[int]:
     """The values below which the shares of all rows lie (linear between neighbours, floored), exactly.
 
