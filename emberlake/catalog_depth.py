@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emberlake.catalog import DAY_US, query
+from emberlake.catalog import DAY_US, NOW_US, query
 from emberlake.catalog_more import at_us, scratch
-from emberlake.operators import search
+from emberlake.operators import lifecycle, ordered, relations, schedule, search
 from emberlake.sources import versions
-from emberlake.sources.events import derived
+from emberlake.sources.events import derived, field
 
 
 def text_index(spark, d):
@@ -60,3 +60,65 @@ def d24_vector_index(spark, d):
 
 #: Lists that a search of d24_vector_index looks into.
 NEAR_LISTS = 12
+
+
+@query(""", C AS (SELECT 'case:c' || event_id AS x, host, src_ip, db_user, person FROM E WHERE severity = 'warning'), G AS (SELECT x, 'host:' || host AS y, 1 AS r FROM C UNION ALL SELECT x, 'ip:' || src_ip, 1 FROM C UNION ALL SELECT x, 'staff:' || db_user, 1 FROM C UNION ALL SELECT x, 'person:' || person, 1 FROM C
+UNION ALL SELECT 'staff:' || db_user, 'person:' || person, 1 FROM E WHERE person = 'p7' UNION ALL SELECT 'host:' || host, 'ip:' || src_ip, 0 FROM E UNION ALL SELECT 'staff:' || db_user, 'person:' || person, 0 FROM E)
+SELECT least(x, y) AS a, greatest(x, y) AS b, CASE max(r) WHEN 1 THEN 'case' ELSE 'event' END AS label FROM G GROUP BY ALL""")
+def d25_case_graph(spark, d):
+    """Cases from warnings; a case that is named like a person's lookups links staff and person itself, so that its edge outranks the event's."""
+    e = derived(spark, d)
+    of = lambda df, case: df.select(case.alias("case_id"), "host", field("src_ip").alias("src_ip"), field("user").alias("user"), field("db_user").alias("db_user"), field("target_person").alias("target_person"))
+    links = relations.entity_graph(e, of(e.where("severity = 'warning'"), F.concat(F.lit("c"), F.col("event_id").cast("string"))))
+    watched = e.select(F.concat(F.lit("staff:"), field("db_user")).alias("x"), F.concat(F.lit("person:"), field("target_person")).alias("y")).where("y = 'person:p7'").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit("case").alias("label"))
+    return relations.strongest(links.unionByName(watched))
+
+
+ARRIVALS = "SELECT collector_id AS collector, us, event_id AS no, (event_id * 7 // 9) % 700 AS seq FROM E WHERE collector_id IS NOT NULL"
+
+
+@query(f""", A AS ({ARRIVALS}), P AS (SELECT *, row_number() OVER (PARTITION BY collector ORDER BY us, no) AS k FROM A),
+F AS (SELECT collector, k, us, no, seq, seq AS high, []::BIGINT[] AS gone, 'first' AS state, 0::BIGINT AS lost FROM P WHERE k = 1 UNION ALL
+SELECT p.collector, p.k, p.us, p.no, p.seq, greatest(F.high, p.seq), CASE WHEN p.seq > F.high THEN list_concat(F.gone, range(F.high + 1, p.seq))[greatest(0, len(F.gone) + p.seq - F.high - 1 - 60) + 1:] ELSE list_filter(F.gone, lambda x: x <> p.seq) END,
+CASE WHEN p.seq > F.high THEN CASE WHEN len(F.gone) + p.seq - F.high - 1 > 60 THEN 'gap' ELSE 'advance' END WHEN list_contains(F.gone, p.seq) THEN 'reordered' ELSE 'replay' END, CASE WHEN p.seq > F.high THEN greatest(0, len(F.gone) + p.seq - F.high - 1 - 60) ELSE 0 END
+FROM F JOIN P AS p ON p.collector = F.collector AND p.k = F.k + 1) SELECT collector, us, no, seq, state, lost FROM F""", recursive=True)
+def st13_arrivals(spark, d):
+    """Numbers that come out of order and again; some streams have more missing than the cap of 60."""
+    e = derived(spark, d).where("collector_id IS NOT NULL").select(F.col("collector_id").alias("collector"), at_us().alias("us"), F.col("event_id").alias("no"), F.expr("(event_id * 7 div 9) % 700").alias("seq"))
+    return ordered.arrivals(e, ["collector"], "seq", ["us", "no"], 60)
+
+
+@query("SELECT event_id, us FROM E WHERE source <> 'pgaudit' AND us < 1705276800000000 AND NOT (host = 'host-5') AND NOT (db_user = 'u7' AND us >= 1704500000000000)")
+def d31_erase_rewrite(spark, d):
+    """What all files of the archives hold after an erasure, whether or not a commit names them."""
+    e = derived(spark, d).select("event_id", "host", "source", "fields", at_us().alias("us"))
+    plan = lifecycle.seal_plan(e, "us", DAY_US, 1_705_276_800_000_000, 0, ["pgaudit"])
+    folder = versions.created(spark, scratch(spark, "sealed-parts"))
+    lifecycle.seal_parts(e, "us", plan, DAY_US, ["pgaudit"], folder)
+    lifecycle.erase_archives(spark, folder, "us", [{"host": "host-5"}, {"key": "db_user", "value": "u7", "from_us": 1_704_500_000_000_000}], DAY_US)
+    return spark.read.schema("event_id bigint, host string, source string, fields string, us bigint").parquet(f"{folder}/archives").select("event_id", "us")
+
+
+#: Ticks of a schedule and, for each rule, the windows that its successes look at.
+TICKS = [NOW_US - k * DAY_US for k in (12, 11, 9, 8, 5)]
+RUNS = [("bursts", TICKS[0], TICKS[0] - 3 * DAY_US), ("bursts", TICKS[2], TICKS[0]), ("bursts", TICKS[4], TICKS[2]), ("logins", TICKS[0], TICKS[0] - DAY_US), ("logins", TICKS[3], TICKS[0]), ("logins", TICKS[4], TICKS[3])]
+
+
+@query(", RUNS AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', {t}, {s})" for r, t, s in RUNS) + ") AS v(rule, run_us, since_us)) SELECT rule, run_us, since_us, CASE rule WHEN 'bursts' THEN host ELSE db_user END AS subject, count(*) AS n FROM RUNS JOIN E ON us >= since_us AND us < run_us AND message LIKE CASE rule WHEN 'bursts' THEN 'Failed%' ELSE 'Accepted%' END GROUP BY ALL")
+def st6_schedule(spark, d):
+    """Two rules over five ticks; one of them fails twice and looks at all that it missed when it runs again."""
+    folder, e = versions.created(spark, scratch(spark, "schedule")), derived(spark, d).withColumn("us", at_us())
+
+    def rule(subject, like, fails=()):
+        def run(since_us, to_us):
+            if to_us in fails:
+                raise OSError("the store is away")
+            inside = e.where((F.col("us") >= since_us) & (F.col("us") < to_us) & F.col("message").like(like))
+            return inside.groupBy(subject.alias("subject")).agg(F.count("*").alias("n"))
+
+        return run
+
+    rules = [schedule.Rule("bursts", 2 * DAY_US, 3 * DAY_US, rule(F.col("host"), "Failed%")), schedule.Rule("logins", DAY_US, DAY_US, rule(field("db_user"), "Accepted%", TICKS[1:3]))]
+    for now in TICKS:
+        schedule.run_due(spark, folder, rules, now)
+    return schedule.detections(spark, folder, "subject string, n bigint")

@@ -495,9 +495,10 @@ def t6_top_nodes(spark, d):
 def d27_shortest_path(spark, d):
     """To the first of the nodes three steps away."""
     links = relations.edges(derived(spark, d))
-    seen = relations.pivot(links, spark.createDataFrame([("user:u1",)], "node string"), 3)
+    adjacent = relations.adjacency(links)
+    seen = relations.pivot(links, spark.createDataFrame([("user:u1",)], "node string"), 3, adjacent=adjacent)
     goal = seen.where("hops = 3").agg(F.min("node")).first()[0]
-    return relations.shortest_path(links, "user:u1", goal or "", 3)
+    return relations.shortest_path(links, "user:u1", goal or "", 3, adjacent)
 
 
 @query("SELECT host, service, message FROM E WHERE us >= 1706054400000000 EXCEPT SELECT host, service, message FROM E WHERE us < 1706054400000000")

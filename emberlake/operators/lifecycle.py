@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlake.sources import versions
+
 DAY_US = 86_400_000_000
 
 
@@ -68,17 +72,86 @@ def needle(key: str, value: str) -> Column:
     return F.coalesce(F.get_json_object("fields", f"$['{key}']") == value, F.lit(False))
 
 
+def _named(t: dict, ts_us: str) -> Column:
+    """Whether a tombstone names the row: a host, or a key and value of the bag, in [from, to) where given."""
+    hit = F.col("host") == t["host"] if "host" in t else needle(t["key"], t["value"])
+    if t.get("from_us") is not None:
+        hit = hit & (F.col(ts_us) >= t["from_us"])
+    if t.get("to_us") is not None:
+        hit = hit & (F.col(ts_us) < t["to_us"])
+    return F.coalesce(hit, F.lit(False))
+
+
 def erased(events: DataFrame, ts_us: str, tombstones: list[dict]) -> DataFrame:
-    """events without those that a tombstone names: a host, or a key and value of the bag, in [from, to) where given."""
-    gone = F.lit(False)
-    for t in tombstones:
-        hit = F.col("host") == t["host"] if "host" in t else needle(t["key"], t["value"])
-        if t.get("from_us") is not None:
-            hit = hit & (F.col(ts_us) >= t["from_us"])
-        if t.get("to_us") is not None:
-            hit = hit & (F.col(ts_us) < t["to_us"])
-        gone = gone | F.coalesce(hit, F.lit(False))
-    return events.where(~gone)
+    """events without those that a tombstone names."""
+    return events.where(~reduce(lambda a, b: a | b, [_named(t, ts_us) for t in tombstones], F.lit(False)))
+
+
+def _covers(t: dict, start_us: int, end_us: int) -> bool:
+    """Whether a tombstone's time meets that of an archive."""
+    return (t.get("from_us") is None or end_us > t["from_us"]) and (t.get("to_us") is None or start_us < t["to_us"])
+
+
+def seal_parts(events: DataFrame, ts_us: str, plan: DataFrame, window_us: int, excluded: list[str], folder: str, holds: list[tuple[int, int]] = ()) -> list[str]:
+    """Seals each window of plan (a bounded list) as a part of its own, with its rows and checksum as facts; all hold from one commit on."""
+    spark, run = events.sparkSession, versions.new_part()
+    df = events.where(~F.col("source").isin(excluded)).withColumn("window_us", F.expr(f"{ts_us} div {window_us}") * window_us)
+    df = df.join(F.broadcast(plan.select(F.col("start_us").alias("window_us"))), "window_us", "left_semi")  # one row for each window
+    return _sealed(spark, df.withColumn("part", F.concat(F.col("window_us").cast("string"), F.lit(f"-{run}"))).drop("window_us"), folder, {}, window_us, holds)
+
+
+def _sealed(spark: SparkSession, df: DataFrame, folder: str, replaces: dict[str, str], window_us: int, holds: list[tuple[int, int]] = ()) -> list[str]:
+    """Writes df (with `part`) and commits its parts; replaces: the new part of each that goes. A part that keeps no row replaces as an empty one."""
+    schema = df.drop("part").schema.simpleString()[len("struct<") : -1].replace(":", " ").replace(",", ", ")
+    df.repartition("part").write.mode("append").partitionBy("part").option("compression", "zstd").parquet(f"{folder}/archives")
+    wanted = [r["part"] for r in df.select("part").distinct().collect()]  # windows
+    held = versions.read(spark, folder, "archives", wanted, f"{schema}, part string")
+    told = {r["part"]: r for r in held.groupBy("part").agg(F.count("*").alias("rows"), checksum(held.drop("part")).alias("checksum")).collect()}
+    commits = []
+    for part in sorted({*told, *replaces.values()}):
+        start = int(part.split("-")[0])
+        hold = any(lo < start + window_us and hi > start for lo, hi in holds)
+        facts = {"start_us": start, "end_us": start + window_us, "rows": told[part]["rows"] if part in told else 0, "checksum": told[part]["checksum"] if part in told else "None", "hold": hold, "schema": schema}
+        if part not in told:
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/archives/part={part}")
+        commits.append((part, [old for old, new in replaces.items() if new == part], facts))
+    versions.commit_all(spark, folder, commits)
+    return sorted(told)
+
+
+def verified(spark: SparkSession, folder: str, parts: list) -> DataFrame:
+    """The rows of archives, after their rows and checksums have been held against their facts: what is tampered with is never rewritten."""
+    schema = parts[0]["facts"]["schema"]
+    df = versions.read(spark, folder, "archives", [p["part"] for p in parts], f"{schema}, part string")
+    now = {r["part"]: (str(r["rows"]), str(r["checksum"])) for r in df.groupBy("part").agg(F.count("*").alias("rows"), checksum(df.drop("part")).alias("checksum")).collect()}
+    for p in parts:
+        if now.get(p["part"], ("0", "None")) != (p["facts"]["rows"], p["facts"]["checksum"]):
+            raise ValueError(f"the archive {p['part']} doesn't hold what its facts say")
+    return df
+
+
+def erase_archives(spark: SparkSession, folder: str, ts_us: str, tombstones: list[dict], window_us: int) -> list[tuple[str, int]]:
+    """Takes what the tombstones name out of the archives' files; (archive, rows taken) for each whose time a tombstone meets.
+
+    A held archive among them refuses the whole. Archives that lose rows are verified, written anew and swapped in by one commit; after it
+    the old files are emptied. A run that breaks before the commit leaves the old state; one that breaks after it is ended by versions.swept.
+    """
+    met = [p for p in versions.live(spark, folder) if any(_covers(t, int(p["facts"]["start_us"]), int(p["facts"]["end_us"])) for t in tombstones)]
+    if not met:
+        return []
+    held = [p["part"] for p in met if p["facts"]["hold"] == "True"]
+    if held:
+        raise ValueError(f"the archive {held[0]} is held, so nothing is erased")
+    df = verified(spark, folder, met)
+    gone = reduce(lambda a, b: a | b, [_named(t, ts_us) for t in tombstones])
+    lost = {r["part"]: r["n"] for r in df.where(gone).groupBy("part").agg(F.count("*").alias("n")).collect()}
+    if lost:
+        run = versions.new_part()
+        new = {part: f"{part.split('-')[0]}-{run}" for part in lost}
+        kept = df.where(F.col("part").isin(*lost) & ~gone).withColumn("part", F.concat(F.substring_index("part", "-", 1), F.lit(f"-{run}")))
+        _sealed(spark, kept, folder, new, window_us)
+        versions.swept(spark, folder, {"archives": met[0]["facts"]["schema"]})
+    return [(p["part"], lost.get(p["part"], 0)) for p in met]
 
 
 def expiry(archives: DataFrame, cutoff_us: int, holds: list[tuple[int, int]]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,28 +97,75 @@ def edges(events: DataFrame) -> DataFrame:
     return events.select(F.explode(F.array_compact(all_)).alias("e")).select("e.*").where("a IS NOT NULL AND b IS NOT NULL").groupBy("a", "b").agg(F.max("label").alias("label"), F.count("*").alias("n"))
 
 
-def pivot(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(node, hops, via) of the nodes within depth of the start nodes: a frontier that joins the edges, written each round."""
-    spark = links.sparkSession
-    both = links.select("a", "b").union(links.select("b", "a"))
-    seen = start.select(F.col("node"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via"))
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    for k in range(1, depth + 1):
-        front = seen.where(F.col("hops") == k - 1)
-        new = front.join(both, front["node"] == both["a"]).groupBy(F.col("b").alias("node")).agg(F.min("node").alias("via")).join(seen.select("node"), "node", "left_anti").select("node", F.lit(k).alias("hops"), "via")
-        seen = seen.union(new)
-        if shared:
-            to = f"{shared.rstrip('/')}/pivot-{uuid.uuid4().hex}"
-            seen.write.parquet(to)
-            seen = spark.read.schema(seen.schema).parquet(to)
-    return seen
+def entity_graph(events: DataFrame, cases: DataFrame) -> DataFrame:
+    """(a, b, label) of the graph with cases (case_id, host, src_ip, user, db_user, target_person): a case's edges to its entities, and those of events.
+
+    Events link host, address and user with each other, and lookups the acting user with the person. Where both kinds link a pair, the
+    case's edge stands; blank names and links to oneself don't count.
+    """
+    name = lambda kind, c: F.when(F.trim(c) != "", F.concat(F.lit(f"{kind}:"), F.trim(c)))
+    case = name("case", F.col("case_id"))
+    kinds = {"host": "host", "src_ip": "ip", "user": "user", "db_user": "staff", "target_person": "person"}
+    of_cases = F.array(*[F.struct(case.alias("x"), name(kind, F.col(c)).alias("y"), F.lit(1).alias("rank")) for c, kind in kinds.items()])
+    host, ip, user = name("host", F.col("host")), name("ip", field("src_ip")), name("user", field("user"))
+    staff, person = name("staff", field("db_user")), name("person", field("target_person"))
+    of_events = F.array(*[F.struct(x.alias("x"), y.alias("y"), F.lit(0).alias("rank")) for x, y in ((host, ip), (host, user), (ip, user), (staff, person))])
+    all_ = cases.select(F.inline(of_cases)).unionByName(events.select(F.inline(of_events))).where("x IS NOT NULL AND y IS NOT NULL AND x <> y")
+    return strongest(all_.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("rank") == 1, "case").otherwise("event").alias("label")))
+
 
+def strongest(links: DataFrame) -> DataFrame:
+    """Each pair (a, b) once, as `case` if any of its edges is one."""
+    return links.groupBy("a", "b").agg(F.when(F.bool_or(F.col("label") == "case"), "case").otherwise("event").alias("label"))
 
-def term_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, id, tf, len): the inverted index; each text is read once. Written, it serves any query."""
-    tokens = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
-    df = docs.select(F.col(id_col).alias("id"), tokens.alias("_w")).select("id", F.size("_w").alias("len"), F.explode("_w").alias("term"))
-    return df.groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+
+#: Folders that nodes are dealt to, tasks that a node's neighbours are dealt to, and nodes that are looked up by name in the files' bloom filters.
+NODE_BUCKETS, HUB_TASKS, LOOKED_UP = 32, 4, 1_000
+
+
+def adjacency(links: DataFrame) -> DataFrame:
+    """(a, b, label, bucket): each edge from both ends, written once; the events behind the edges aren't read again, whatever is asked.
+
+    A node's neighbours are in the folder of its bucket, a hub's in several files.
+    """
+    columns = [c for c in ("label",) if c in links.columns]
+    both = links.select("a", "b", *columns).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), *columns))
+    both = both.withColumn("bucket", (F.crc32(F.col("a").cast("binary")) % NODE_BUCKETS).cast("int"))
+    to = f"{_shared(links.sparkSession)}/adjacency-{uuid.uuid4().hex}"
+    both.repartition("bucket", F.pmod(F.xxhash64("b"), F.lit(HUB_TASKS))).sortWithinPartitions("bucket", "a").write.partitionBy("bucket").option("compression", "zstd").option("parquet.bloom.filter.enabled#a", "true").parquet(to)
+    return links.sparkSession.read.schema(both.schema).parquet(to)
+
+
+def _shared(spark) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return base.rstrip("/")
+
+
+def pivot(links: DataFrame, start: DataFrame, depth: int, goal: str | None = None, adjacent: DataFrame | None = None) -> DataFrame:
+    """(node, hops, via) of the nodes within depth of the start nodes, by rounds of a frontier; the rounds end at the goal, or where nothing is new.
+
+    A round reads the folders of its frontier's nodes, and of few nodes only the files' blocks that may hold them. Each round writes
+    what it found; adjacent: edges as adjacency gives them, else they are written first.
+    """
+    spark = links.sparkSession
+    adjacent = adjacency(links) if adjacent is None else adjacent
+    folder, schema = f"{_shared(spark)}/pivot-{uuid.uuid4().hex}", "node string, hops int, via string"
+    start.select(F.col("node").cast("string").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via")).dropDuplicates(["node"]).write.parquet(f"{folder}/round=0")
+    for k in range(1, depth + 1):
+        front = spark.read.schema(schema).parquet(f"{folder}/round={k - 1}").where("node IS NOT NULL").select(F.col("node").alias("a"))
+        names = [r["a"] for r in front.limit(LOOKED_UP + 1).collect()]
+        if not names or goal is not None and not front.where(F.col("a") == goal).isEmpty():
+            break
+        if len(names) <= LOOKED_UP:
+            edges_ = adjacent.where(F.col("bucket").isin(*sorted({crc32(n.encode()) % NODE_BUCKETS for n in names})) & F.col("a").isin(*names))
+        else:
+            edges_ = adjacent.join(bounded(front), "a", "left_semi")
+        seen = spark.read.schema(schema).parquet(folder).select("node")
+        new = edges_.where("b IS NOT NULL").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("via")).join(seen, "node", "left_anti")
+        new.select("node", F.lit(k).alias("hops"), "via").write.parquet(f"{folder}/round={k}")
+    return spark.read.schema(schema).parquet(folder).select("node", "hops", "via")
 
 
 def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -190,9 +238,9 @@ def hybrid(structured: DataFrame, fulltext: DataFrame, semantic: DataFrame, wind
     return scored.orderBy(F.desc("score"), "id").limit(limit).crossJoin(F.broadcast(more))  # one row
 
 
-def shortest_path(links: DataFrame, start: str, end: str, depth: int = 6) -> DataFrame:
+def shortest_path(links: DataFrame, start: str, end: str, depth: int = 6, adjacent: DataFrame | None = None) -> DataFrame:
     """(place, node) of a shortest path, the first by name of each step before; none if there isn't one within depth."""
-    seen = pivot(links, links.sparkSession.createDataFrame([(start,)], "node string"), depth)
+    seen = pivot(links, links.sparkSession.createDataFrame([(start,)], "node string"), depth, end, adjacent)
     at, path = end, []
     while at is not None:  # a look-up for each step, depth at most
         row = seen.where(F.col("node") == at).select("hops", "via").first()
@@ -203,11 +251,11 @@ def shortest_path(links: DataFrame, start: str, end: str, depth: int = 6) -> Dat
     return links.sparkSession.createDataFrame(path, "place int, node string")
 
 
-def attack_paths(links: DataFrame, cases: DataFrame, start: str, depth: int) -> DataFrame:
+def attack_paths(links: DataFrame, cases: DataFrame, start: str, depth: int, adjacent: DataFrame | None = None) -> DataFrame:
     """Cases (case_id, node, level, disposition) within depth of the start, by level weight times disposition; none that count nothing."""
     from emberlake.operators.decisions import level_weight, multiplier
 
-    seen = pivot(links, links.sparkSession.createDataFrame([(start,)], "node string"), depth)
+    seen = pivot(links, links.sparkSession.createDataFrame([(start,)], "node string"), depth, None, adjacent)
     score = level_weight(F.col("level")) * multiplier(F.col("disposition"))
     return cases.join(seen.select("node", "hops"), "node").withColumn("score", score).where("score > 0").select("case_id", "node", "hops", "score")
 

@@ -113,3 +113,4 @@ def gaps(events: DataFrame, keys: list[str], seq: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(seq)
     out = events.select(*keys, seq).distinct().withColumn("_before", F.lag(seq).over(w)).where(F.col(seq) - F.col("_before") > 1)
     return out.select(*keys, (F.col("_before") + 1).alias("from_no"), (F.col(seq) - 1).alias("to_no"))
+

@@ -33,8 +33,14 @@ def live(spark: SparkSession, folder: str) -> list[Row]:
 
 def commit(spark: SparkSession, folder: str, part: str, facts: dict[str, object], replaces: list[str] = ()) -> None:
     """From now on part holds, and those that it replaces don't."""
-    row = spark.createDataFrame([(part, list(replaces), {k: str(v) for k, v in facts.items()})], "part string, replaces array<string>, facts map<string, string>")
-    row.select("part", "replaces", F.unix_micros(F.current_timestamp()).alias("at_us"), "facts").coalesce(1).write.mode("append").json(f"{folder}/commits")
+    commit_all(spark, folder, [(part, list(replaces), facts)])
+
+
+def commit_all(spark: SparkSession, folder: str, parts: list[tuple[str, list[str], dict[str, object]]]) -> None:
+    """Several parts (name, what it replaces, facts) from one moment on: one file has them all."""
+    rows = [(part, replaces, {k: str(v) for k, v in facts.items()}) for part, replaces, facts in parts]
+    df = spark.createDataFrame(rows, "part string, replaces array<string>, facts map<string, string>")
+    df.select("part", "replaces", F.unix_micros(F.current_timestamp()).alias("at_us"), "facts").coalesce(1).write.mode("append").json(f"{folder}/commits")
 
 
 def read(spark: SparkSession, folder: str, table: str, parts: list[str], schema: str) -> DataFrame:
