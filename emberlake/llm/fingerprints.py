@@ -36,11 +36,11 @@ from emberlake.llm.common import cut
 BORDER = r"\n+|(?<=[.!?])\s+"
 TABLES, CELLS = 3, 12
 #: Digests of a block and cells of each of its tables at first; sizes that are tried; rounds of peeling.
-LOAD, BLOCK_CELLS, TRIES, ROUNDS = 8, 8, 10, 12
+LOAD, BLOCK_CELLS, TRIES, ROUNDS = 16, 10, 10, 16
 #: Links are broadcast up to so many (about 100 bytes each).
 LINKS = 500_000
 CELL = "struct<n:int,id:bigint,check:bigint>"
-STATE = f"struct<cells:array<{CELL}>,here:array<bigint>,there:array<bigint>>"
+STATE = f"struct<live:boolean,t0:array<{CELL}>,t1:array<{CELL}>,t2:array<{CELL}>,here:array<bigint>,there:array<bigint>>"
 
 
 def digests(text: Column) -> Column:
@@ -58,42 +58,50 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(-1))
 
 
-def _cell(digest: Column, table: Column, cells: Column, seed: Column) -> Column:
-    return F.pmod(F.xxhash64(digest, table, seed), cells).cast("int")
+def _placed(digest: Column, n: Column, cells: Column, seed: Column) -> Column:
+    """A digest, n times, with its second hash and its cell in each table."""
+    cell = lambda t: F.pmod(F.xxhash64(digest, F.lit(t), seed), cells).cast("int")
+    return F.struct(n.alias("n"), digest.alias("id"), _check(digest).alias("check"), *[cell(t).alias(f"a{t}") for t in range(TABLES)])
+
+
+def _with(cell: Column, placed: Column, sign: int) -> Column:
+    n = cell["n"] + placed["n"] if sign > 0 else cell["n"] - placed["n"]
+    return F.struct(n.alias("n"), cell["id"].bitwiseXOR(placed["id"]).alias("id"), cell["check"].bitwiseXOR(placed["check"]).alias("check"))
 
 
 def sketch(of: Column, cells: Column, seed: Column) -> Column:
-    """The cells of a set of digests: (n, id, check) in TABLES tables of so many cells."""
+    """The tables of a set of digests, each an array of so many cells (n, id, check)."""
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("check"))
-    add = lambda c, d: F.struct((c["n"] + 1).alias("n"), c["id"].bitwiseXOR(d["id"]).alias("id"), c["check"].bitwiseXOR(_check(d["id"])).alias("check"))
-    placed = F.flatten(F.transform(of, lambda d: F.array(*[F.struct(d.alias("id"), (F.lit(t) * cells + _cell(d, F.lit(t), cells, seed)).cast("int").alias("at")) for t in range(TABLES)])))
-    return _let(placed, lambda p: F.transform(F.sequence(F.lit(0), (F.lit(TABLES) * cells - 1).cast("int")), lambda k: F.aggregate(F.filter(p, lambda d: d["at"] == k), empty, add)))
+    table = lambda p, t: F.transform(F.sequence(F.lit(0), (cells - 1).cast("int")), lambda k: F.aggregate(F.filter(p, lambda d: d[f"a{t}"] == k), empty, lambda c, d: _with(c, d, 1)))
+    return _let(F.transform(of, lambda d: _placed(d, F.lit(1), cells, seed)), lambda p: F.array(*[table(p, t) for t in range(TABLES)]))
 
 
 def minus(a: Column, b: Column) -> Column:
     """One sketch less another of its size."""
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["id"].bitwiseXOR(y["id"]).alias("id"), x["check"].bitwiseXOR(y["check"]).alias("check")))
+    return F.zip_with(a, b, lambda s, t: F.zip_with(s, t, lambda x, y: _with(x, y, -1)))
 
 
-def peeled(cells_of: Column, cells: Column, seed: Column) -> Column:
-    """(here, there): the digests that a difference of sketches tells, or null if it doesn't tell all of them."""
+def peeled(difference: Column, cells: Column, seed: Column) -> Column:
+    """(here, there): the digests that a difference of sketches tells, or null if it doesn't tell all of them. A round without a telling cell is the last."""
     none = F.array().cast("array<bigint>")
-    start = F.struct(cells_of.alias("cells"), none.alias("here"), none.alias("there")).cast(STATE)
 
-    def round_(s: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["id"]))), lambda c: F.struct(c["n"].alias("n"), c["id"].alias("id"))))
-        less = lambda c, d: F.struct((c["n"] - d["n"]).alias("n"), c["id"].bitwiseXOR(d["id"]).alias("id"), c["check"].bitwiseXOR(_check(d["id"])).alias("check"))
+    def round_(s: Column) -> Column:
+        tells = lambda t: F.filter(s[f"t{t}"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["id"])))
+        pure = F.array_distinct(F.concat(*[tells(t) for t in range(TABLES)]))
 
         def out(p: Column) -> Column:
-            placed = F.flatten(F.transform(p, lambda d: F.array(*[F.struct(d["n"].alias("n"), d["id"].alias("id"), (F.lit(t) * cells + _cell(d["id"], F.lit(t), cells, seed)).cast("int").alias("at")) for t in range(TABLES)])))
-            left = _let(placed, lambda q: F.transform(s["cells"], lambda c, k: F.aggregate(F.filter(q, lambda d: d["at"] == k), c, less)))
+            less = lambda t: F.transform(s[f"t{t}"], lambda c, k: F.aggregate(F.filter(p, lambda d: d[f"a{t}"] == k), c, lambda x, d: _with(x, d, -1)))
             side = lambda n: F.transform(F.filter(p, lambda d: d["n"] == n), lambda d: d["id"])
-            return F.struct(left.alias("cells"), F.concat(s["here"], side(1)).alias("here"), F.concat(s["there"], side(-1)).alias("there")).cast(STATE)
+            return F.struct((F.size(p) > 0).alias("live"), *[less(t).alias(f"t{t}") for t in range(TABLES)], F.concat(s["here"], side(1)).alias("here"), F.concat(s["there"], side(-1)).alias("there"))
+
+        return _let(F.transform(pure, lambda c: _placed(c["id"], c["n"], cells, seed)), out)
 
-        return _let(pure, lambda p: F.when(F.size(p) == 0, s).otherwise(out(p)))
+    def found(d: Column) -> Column:
+        start = F.struct(F.lit(True).alias("live"), *[F.get(d, F.lit(t)).alias(f"t{t}") for t in range(TABLES)], none.alias("here"), none.alias("there"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: F.when(s["live"], round_(s)).otherwise(s))
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
-    return _let(done, lambda s: F.when(~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["id"] != 0)), F.struct(s["here"].alias("here"), s["there"].alias("there"))))
+    left = lambda s: F.exists(F.concat(*[s[f"t{t}"] for t in range(TABLES)]), lambda c: (c["n"] != 0) | (c["id"] != 0))
+    return _let(_let(difference, found), lambda s: F.when(~left(s), F.struct(s["here"].alias("here"), s["there"].alias("there"))))
 
 
 def _blocks(of: Column, bits: Column) -> Column:
@@ -137,7 +145,7 @@ def likeness(n_x: Column, n_y: Column, difference: Column) -> Column:
 
 def written(cells: Column) -> Column:
     """A fingerprint as hexadecimal text, 40 characters a cell."""
-    return F.array_join(F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c["n"]), 8, "0"), F.lpad(F.hex(c["id"]), 16, "0"), F.lpad(F.hex(c["check"]), 16, "0"))), "")
+    return F.array_join(F.transform(F.flatten(cells), lambda c: F.concat(F.lpad(F.hex(c["n"]), 8, "0"), F.lpad(F.hex(c["id"]), 16, "0"), F.lpad(F.hex(c["check"]), 16, "0"))), "")
 
 
 def follows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
