@@ -181,14 +181,15 @@ def fit_centres(vectors: DataFrame, folder: str, id_col: str = "vec_id", vec_col
     lists = lists or max(1, min(LISTS, round(n**0.5)))
     some = vectors.where(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
     norm = F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = some.select(F.transform(F.col(vec_col), lambda x: x / norm).alias("v"), norm.alias("n")).where("n > 0").select(array_to_vector("v").alias("features"))
-    centres = [[float(x) for x in c] for c in KMeans(k=lists, seed=11, maxIter=10).fit(unit).clusterCenters()]
+    unit = some.select(F.col(vec_col).alias("v"), F.nullif(norm, F.lit(0.0)).alias("n")).where("n IS NOT NULL").select(array_to_vector(F.transform("v", lambda x: x / F.col("n"))).alias("features"))
+    found = KMeans(k=lists, seed=11, maxIter=10).fit(unit).clusterCenters()
+    centres = [[float(x) for x in c / ((c @ c) ** 0.5 or 1.0)] for c in found]
     vectors.sparkSession.createDataFrame(list(enumerate(centres)), CENTRES).coalesce(1).write.mode("overwrite").parquet(f"{folder}/centres")
     return len(centres)
 
 
 def index_vectors(vectors: DataFrame, folder: str, id_col: str = "vec_id", vec_col: str = "embedding") -> str:
-    """Appends all vectors as a part: each in the list of its nearest centre, with a code of a byte a dimension beside it; returns its name."""
+    """Appends all vectors of the centres' length as a part: each in the list of its nearest centre, with a code of a byte a dimension beside it; returns its name."""
     spark, part, centres = vectors.sparkSession, versions.new_part(), _centres(vectors.sparkSession, folder)
 
     def work(batches: Iterator) -> Iterator:
@@ -197,12 +198,12 @@ def index_vectors(vectors: DataFrame, folder: str, id_col: str = "vec_id", vec_c
 
         for batch in batches:
             m = _unit(batch.column("vec"))
-            near = (m @ centres.T).argmax(1) if m.shape[1] == centres.shape[1] else np.zeros(len(m), int)
+            near = (m @ centres.T).argmax(1)
             scale = np.abs(m).max(1)
             codes = np.rint(m / np.where(scale == 0, 1, scale)[:, None] * 127).astype(np.int8)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scale / 127, pa.float32()), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column("vec"), pa.array(near, pa.int32())], names=["id", "scale", "code", "vec", "list"])
 
-    given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where(F.size("vec") == centres.shape[1])
     dealt = given.mapInArrow(work, f"{VECTORS}, list int").repartition("list", F.pmod(F.xxhash64("id"), F.lit(8)))
     dealt.write.partitionBy("list").option("compression", "zstd").parquet(f"{folder}/vectors/part={part}")
     versions.commit(spark, folder, part, {})
@@ -224,11 +225,11 @@ def search_vectors(probes: DataFrame, folder: str, n: int, lists: int, id_col: s
         for batch in batches:
             m = _unit(batch.column("vec"))
             k = min(lists, len(centres))
-            order = np.argsort(-(m @ centres.T), axis=1, kind="stable")[:, :k] if m.shape[1] == centres.shape[1] else np.zeros((len(m), 0), int)
+            order = np.argsort(-(m @ centres.T), axis=1, kind="stable")[:, :k]
             at = np.repeat(np.arange(len(m)), order.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), batch.column("vec").take(pa.array(at)), pa.array(order.reshape(-1), pa.int32())], names=["probe", "vec", "list"])
 
-    asked = probes.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).mapInArrow(near, "probe long, vec array<float>, list int")
+    asked = probes.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where(F.size("vec") == centres.shape[1]).mapInArrow(near, "probe long, vec array<float>, list int")
     wanted = sorted(r["list"] for r in asked.select("list").distinct().collect())  # LISTS at most
     parts = [r["part"] for r in versions.live(spark, folder)]
     held = versions.read(spark, folder, "vectors", parts, f"{VECTORS}, part string, list int").where(F.col("list").isin(*wanted) if wanted else F.lit(False))
@@ -258,6 +259,7 @@ def search_vectors(probes: DataFrame, folder: str, n: int, lists: int, id_col: s
     band = close.withColumn("k", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("near"), "id"))).where(F.col("k") <= fetch).select("probe", "id", "list")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
     full = held.select("id", "list", "vec").join(bounded(band, 24), ["id", "list"]).join(probes.select(F.col(id_col).cast("long").alias("probe"), F.col(vec_col).alias("p")), "probe")
-    cosine = dot(F.col("vec"), F.col("p")) / F.sqrt(dot(F.col("vec"), F.col("vec")) * dot(F.col("p"), F.col("p")))
+    size = F.nullif(F.sqrt(dot(F.col("vec"), F.col("vec")) * dot(F.col("p"), F.col("p"))), F.lit(0.0))
+    cosine = F.coalesce(dot(F.col("vec"), F.col("p")) / size, F.lit(0.0))
     place = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("cosine"), "id"))
     return full.select("probe", "id", cosine.alias("cosine")).withColumn("place", place).where(F.col("place") <= n).select("probe", "place", "id", "cosine")
