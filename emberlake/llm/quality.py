@@ -142,6 +142,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept, with their own columns only."""
-    own = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     counted = features(docs.select(own, F.col(text_col).alias("text"))).select("row", "f")
     return scored(cut(counted)).where("kept").select("row.*")
