@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlake.llm import audits, bpe, decontaminate, divergence, fingerprints, merkle, neardup, quality, queries
+from emberlake.llm.html import main_text
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -214,3 +216,27 @@ def test_unlinked_texts_of_one_template_are_hardly_compared(spark, monkeypatch,
     monkeypatch.setattr(neardup, "compared", lambda docs, pairs, *a: asked.append(pairs.count()) or compared(docs, pairs, *a))
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=5).collect()
     assert all(r["kept"] for r in got) and sum(asked) <= 5 * n
+
+
+PROSE = "<p>" + "This is a long sentence, with commas, and more words that go on. " * 6 + "</p>"
+SIDES = ("<nav><a href=/>Home</a> <a href=/a>About</a></nav>", "<footer>&copy; me</footer>")
+
+
+@pytest.mark.parametrize("wrapper", ["form id='aspnetForm'", "div class='main-widget'", "div class='page-header-wrap'", "section id='content-nav'", "fieldset"])
+def test_wrappers_of_whole_pages_are_no_marks(wrapper):
+    page = f"<body><{wrapper}>{SIDES[0]}<div>{PROSE * 3}</div>{SIDES[1]}</{wrapper.split()[0]}></body>"
+    assert main_text(page) == " ".join([re.sub("<[^>]*>", "", PROSE).strip()] * 3)
+
+
+def test_marks_within_an_article_lower_weights():
+    lead, short = "<p class='nav-lead'>" + "The lead is a long one, with commas, and words. " * 4 + "</p>", "<div class='related'><a>x</a></div>"
+    text = main_text(f"<body>{SIDES[0]}<article><h1>T</h1>{lead}{PROSE}<div class='related-work'>{PROSE}</div>{short}<div class='comments'>{PROSE}</div><div class='ad'>{PROSE}</div></article></body>")
+    assert text.startswith("T The lead") and text.count("This is a long") == 12 and not text.endswith("x")
+
+
+def test_unclosed_quotes_are_read_once():
+    began = time.time()
+    for page in ("<p a='" * 170_000, '<p a="x>' * 120_000, "<a b=\"c' d>x" * 80_000 + "'"):
+        main_text(page)
+    assert time.time() - began < 20
+    assert main_text("<p title='it>one two</p><p>three</p>") == "one two three"
