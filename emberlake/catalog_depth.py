@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from emberlake.catalog import DAY_US, NOW_US, query
 from emberlake.catalog_more import at_us, scratch
 from emberlake.operators import lifecycle, ordered, relations, schedule, search
-from emberlake.sources import versions
-from emberlake.sources.events import derived, field
+from emberlake.sources import parsers, versions
+from emberlake.sources.events import derived, field, micros
 
 
 def text_index(spark, d):
@@ -123,3 +123,13 @@ def st6_schedule(spark, d):
     for now in TICKS:
         schedule.run_due(spark, folder, rules, now)
     return schedule.detections(spark, folder, "subject string, n bigint")
+
+
+@query("SELECT us, host, service, 'loki' AS source, severity, message, src_ip, regexp_extract(message, 'port ([0-9]+)', 1) AS port FROM E WHERE message LIKE '%password for user%'")
+def s9_loki_protobuf(spark, d):
+    """Events pushed as packed messages by host and hour, and read back."""
+    e = derived(spark, d).where("message LIKE '%password for user%'")
+    labels = F.concat(F.lit('{host="'), F.col("host"), F.lit('", service="'), F.col("service"), F.lit('", severity="'), F.col("severity"), F.lit('"}'))
+    pushes = parsers.to_loki_protobuf(e, labels, at_us() * 1000, F.col("message"), F.concat("host", F.lit(" "), F.floor(at_us() / 3_600_000_000).cast("string")))
+    out = parsers.loki_protobuf(pushes)
+    return out.select(micros("event_ts").alias("us"), "host", "service", "source", "severity", "message", field("src_ip").alias("src_ip"), field("port").alias("port"))

@@ -1,13 +1,15 @@
 """Indexes, orders, suppression, archives and graphs against plain Python versions."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from emberlake import catalog, catalog_depth
 from emberlake.operators import lifecycle, ordered, relations, schedule, search, stateful, suppression
-from emberlake.sources import versions
+from emberlake.sources import parsers, versions
+from emberlake.streaming import actors, state
 
 SF = "/root/testdata/sf0.01"
 
@@ -215,3 +217,71 @@ def test_rounds_end_at_the_goal(spark):
     assert seen.agg(F.max("hops")).first()[0] == 3
     assert [r["node"] for r in relations.shortest_path(links, "n0", "n4").orderBy("place").collect()] == ["n0", "n1", "n2", "n3", "n4"]
     assert relations.pivot(links, spark.createDataFrame([("zz",)], "node string"), 9).count() == 1
+
+
+def batches(spark, rows, schema, folder, files):
+    """rows as a stream of so many files, one a batch, in their order."""
+    for k in range(files):
+        spark.createDataFrame(rows[k * len(rows) // files : (k + 1) * len(rows) // files], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(0.02)
+    actors.with_store(spark)
+    return state.read(spark, f"{folder}/in", schema, 1)
+
+
+PROBES = "actor string, resource string, us long, received_us long"
+
+
+def test_probing_with_late_and_future_events(spark, tmp_path):
+    rng, base, width = random.Random(30), 10**15, 100 * 10**6
+    rows, want, state_ = [], [], {}
+    for k in range(160):
+        received = base + k * 10**7
+        shift = rng.choice([0, 0, 0, -30, -90, -500, 40]) * 10**6
+        rows.append((rng.choice("ab"), f"r{rng.randrange(9)}", received + shift, received))
+    for actor, name, us, _ in rows:
+        s = state_.setdefault(actor, {"latest": us, "armed": True, "window": {}})
+        s["latest"] = max(s["latest"], us)
+        if us >= s["latest"] - width:
+            s["window"][name] = max(us, s["window"].get(name, us))
+        s["window"] = {n: t for n, t in s["window"].items() if t >= s["latest"] - width}
+        while len(s["window"]) > 6:
+            s["window"].pop(min(s["window"], key=lambda n: (s["window"][n], n)))
+        if s["armed"] and len(s["window"]) >= 4:
+            s["armed"] = False
+            want.append((actor, us, len(s["window"])))
+        elif len(s["window"]) <= 2:
+            s["armed"] = True
+    at = folder(tmp_path, "probing")
+    out = state.caught_up(actors.probing(batches(spark, rows, PROBES, at, 3), width, 4, 2, 6), at)
+    assert sorted(map(tuple, out.collect())) == sorted(want) and len(want) > 3
+
+
+def test_idle_actors_are_forgotten_by_the_clamped_clock(spark, tmp_path):
+    day, base = 86_400 * 10**6, 10**15
+    ahead = [("a", "r1", base, base), ("a", "r2", base + 1, base + 1), ("b", "x", base + 90 * day, base + 2)]  # a time in the future ages nobody
+    for name, more, fires in (("kept", [("c", "y", base + 3, base + 3)], 1), ("gone", [("c", "y", base + 90 * day, base + 90 * day)], 0)):
+        rows = [*ahead, *more, ("c", "z", more[0][2] + 1, more[0][3] + 1), ("a", "r3", more[0][2] + 2, more[0][3] + 2)]
+        at = folder(tmp_path, name)
+        out = state.caught_up(actors.probing(batches(spark, rows, PROBES, at, 3), 400 * day, 3, 1, late="1 day"), at)
+        assert out.where("actor = 'a'").count() == fires
+
+
+def test_streamed_suppression_equals_the_batch(spark, tmp_path):
+    rng, base = random.Random(5), 10**15
+    rows = [(rng.choice("ab"), base + k * 10**6, base + k * 10**6, rng.random() < 0.15) for k in sorted(rng.sample(range(500), 120))]
+    at = folder(tmp_path, "suppressed")
+    out = state.caught_up(actors.suppressed(batches(spark, rows, "key string, us long, received_us long, closing boolean", at, 3), 9), at)
+    told = out.groupBy("key", "case_no").agg(F.count_if(F.expr("did <> 'dropped'")).alias("events"), F.count_if(F.expr("did = 'dropped'")).alias("dropped"))
+    df = spark.createDataFrame(rows, "key string, us long, received_us long, closing boolean")
+    want = suppression.cases(df.where("NOT closing"), ["key"], "us", 9 * 10**6, df.where("closing")).select("key", "case_no", "events", "dropped")
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, want.collect())) and want.where("dropped > 0").count() > 0
+
+
+def test_broken_and_odd_pushes(spark):
+    e = spark.createDataFrame([('{host="h\\"1", service="s"}', 1_704_164_645_000_000_123, "grüße"), ("{}", 5, "")], "l string, ns long, m string")
+    pushes = parsers.to_loki_protobuf(e, F.col("l"), F.col("ns"), F.col("m"), F.lit("k"))
+    good = [bytes(r["body"]) for r in pushes.collect()]
+    bodies = spark.createDataFrame([(b,) for b in [*good, good[0][:9], b"", None, b"\xff\xff"]], "body binary")
+    rows = parsers.loki_protobuf(bodies).orderBy("event_ts").collect()
+    assert [(r["host"], r["service"], r["message"]) for r in rows] == [("unknown", None, ""), ('h"1', "s", "grüße")]
+    assert rows[1]["event_ts"].microsecond == 0 and rows[1]["event_ts"].year == 2024
