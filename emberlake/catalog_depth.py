@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from emberlake.catalog import DAY_US, NOW_US, query
 from emberlake.catalog_more import at_us, scratch
+from emberlake.functions.text import statement
 from emberlake.operators import lifecycle, ordered, relations, schedule, search
 from emberlake.sources import parsers, versions
 from emberlake.sources.events import derived, field, micros
@@ -133,3 +134,36 @@ def s9_loki_protobuf(spark, d):
     pushes = parsers.to_loki_protobuf(e, labels, at_us() * 1000, F.col("message"), F.concat("host", F.lit(" "), F.floor(at_us() / 3_600_000_000).cast("string")))
     out = parsers.loki_protobuf(pushes)
     return out.select(micros("event_ts").alias("us"), "host", "service", "source", "severity", "message", field("src_ip").alias("src_ip"), field("port").alias("port"))
+
+
+#: Shapes of statements, and what they read, write, ask for by condition and how sure that is; {h} host, {s} service, {u} user, {p} person.
+SHAPES = [
+    ('SELECT a.{u}, "Odd {h}"."from" FROM {s}.events AS a JOIN "Odd {h}" ON a.id = 1 /* FROM hidden /* FROM deeper */ */ WHERE a.{p} = $1', ["{s}.events", '"Odd {h}"'], [], ["a.{p}"], "high"),
+    ("WITH {u} AS (SELECT x FROM {s}.raw , {p} t) INSERT INTO log.{s} SELECT x FROM {u} WHERE {u}.x > 5 -- FROM nothing", ["{s}.raw", "{p}"], ["log.{s}"], ["{u}.x"], "high"),
+    ("delete FROM only {s}.t USING {p} WHERE {p}.id = {s}.k AND note = E'it\\'s from {u}'", ["{p}"], ["{s}.t"], ["{p}.id", "{s}.k"], "high"),
+    ("UPDATE {u} SET a = $q$ WHERE x.y $q$ WHERE b IN (SELECT b FROM (SELECT * FROM {p}) z, {s}.other WHERE z.b IS DISTINCT FROM 4", ["{p}", "{s}.other"], ["{u}"], ["z.b"], "low"),
+    ("TRUNCATE TABLE {u}, {s}.{p}; SELECT 'open FROM", [], ["{u}", "{s}.{p}"], [], "none"),
+]
+
+
+def _filled(text: str) -> str:
+    """A shape as SQL that both engines read, with values in place of the letters."""
+    out = "'" + text.replace("'", "''") + "'"
+    for letter, value in (("h", "host"), ("s", "service"), ("u", "db_user"), ("p", "person")):
+        out = f"replace({out}, '{{{letter}}}', {value})"
+    return out
+
+
+def _shape_sql() -> str:
+    told = lambda k, part: "CASE event_id % 5 " + " ".join(f"WHEN {n} THEN list_sort([{', '.join(map(_filled, shape[part]))}]::VARCHAR[])" for n, shape in enumerate(SHAPES)) + " END AS " + k
+    sure = "CASE event_id % 5 " + " ".join(f"WHEN {n} THEN '{shape[4]}'" for n, shape in enumerate(SHAPES)) + " END AS confidence"
+    return f"SELECT event_id, {sure}, {', '.join(f'array_to_string({c}, chr(10)) AS {c}' for c in ('read', 'written', 'predicates'))} FROM (SELECT event_id, {told('read', 1)}, {told('written', 2)}, {told('predicates', 3)} FROM E)"
+
+
+@query(_shape_sql())
+def d12_statement_facts(spark, d):
+    """Nested comments, quoted and dollar-quoted texts, derived tables, with names, and brackets and quotes without an end; names are the events'."""
+    e = derived(spark, d).select("event_id", "host", "service", field("db_user").alias("db_user"), field("target_person").alias("person"))
+    text = F.array(*[F.expr(_filled(s[0]).replace("\\", "\\\\")) for s in SHAPES])
+    out = e.select("event_id", statement(F.element_at(text, (F.col("event_id") % 5 + 1).cast("int"))).alias("s"))
+    return out.select("event_id", "s.confidence", *[F.array_join(f"s.{c}", "\n").alias(c) for c in ("read", "written", "predicates")])

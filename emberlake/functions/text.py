@@ -54,38 +54,99 @@ def in_hours(hour: Column, start: int, end: int, outside: bool = False) -> Colum
     return ~inside if outside else inside
 
 
+_WORD = r"[\p{L}_][\p{L}\p{N}_$]*"
+_PART = rf'(?:{_WORD}|"(?:[^"]|"")*")'
+
+
+def _nested(depth: int) -> str:
+    """A comment that holds comments, so many levels deep."""
+    inner = _nested(depth - 1) if depth else r"(?!)"
+    return rf"/\*(?:[^*/]|\*(?!/)|/(?!\*)|{inner})*+\*/"
+
+
+#: The parts of a PostgreSQL statement: comments, strings, parameters, numbers, names with their parts, operators; a quote or comment without an end is a part of one or two characters.
+PARTS = "|".join((
+    r"--[^\n]*", _nested(4), r"\$(?<tag>(?:[\p{L}_][\p{L}\p{N}_]*)?)\$(?s:.*?)\$\k<tag>\$", r"[eE]'(?:[^'\\]|\\(?s:.)|'')*'", r"(?:[bBxXnN]|[uU]&)?'(?:[^']|'')*'",
+    r"\$\d+", r"\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+", rf"{_PART}(?:\s*\.\s*{_PART})*(?:\s*\.\s*\*)?", r"/\*", r"::|:=|=>|->>|->|<=|>=|<>|!=|\|\|", r"\S",
+))
+
+
+def parts(statement: Column) -> Column:
+    """A statement's parts in order, without comments: literals and parameters as `?`, unquoted names in lower case, quoted ones as they are (blanks as U+E000)."""
+    found = F.filter(F.regexp_extract_all(statement, F.lit(PARTS), F.lit(0)), lambda t: ~t.rlike(r"^--|^/\*(?s:.)"))
+    bare = lambda t: F.regexp_replace(t, r"\s*\.\s*(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", ".")  # noqa: E731  blanks around the points between names
+    quoted = lambda t: F.array_join(F.transform(F.regexp_extract_all(bare(t), F.lit(r'"(?:[^"]|"")*"|[^"]+'), F.lit(0)), lambda x: F.when(x.startswith('"'), F.regexp_replace(x, r"\s", _MARK)).otherwise(F.lower(x))), "")
+    return F.transform(found, lambda t: F.when(t.rlike(r"^\$|^\.?\d|^(?:[eEbBxXnN]|[uU]&)?'(?s:.)+"), "?").when(t.contains('"') & (F.length(t) > 1), quoted(t)).when(t.rlike(rf"^{_WORD}"), F.lower(bare(t))).otherwise(t))
+
+
 def fingerprint(statement: Column) -> Column:
-    """A statement with literals as `?`, lower case and single blanks, and its hash."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(statement, r"'(?:[^']|'')*'", "?"), r"\b\d+(?:\.\d+)?\b", "?"), r"[\s;]+", " ")
-    return F.concat(F.lit("sql1:"), F.substring(F.sha2(F.trim(F.lower(plain)), 256), 1, 32))
+    """A hash of a statement's parts but its semicolons: values, blanks, comments and the case of unquoted names don't change it, all else does."""
+    return F.concat(F.lit("sql1:"), F.substring(F.sha2(F.array_join(F.filter(parts(statement), lambda t: t != ";"), " "), 256), 1, 32))
+
+
+#: First words of statements, and words that no table or alias has for its name.
+STATEMENTS = "select insert update delete copy create alter drop truncate grant revoke call set merge analyze explain with values execute begin commit rollback do vacuum show declare fetch close lock".split()
+RESERVED = "select from where group order having limit offset values on and or as into join left right inner outer full cross natural union except intersect to using when then set returning for window fetch lateral only with".split()
 
 
 def statement(text: Column) -> Column:
-    """What a PostgreSQL statement does, as a struct: kind, tables read and written (names of its own WITH parts aside),
-    roles that it sets, and whether it takes all columns, copies, changes privileges, or reads without bounds (bulk).
+    """What a PostgreSQL statement does, by its parts (comments, strings and quoted names can't be taken for words of it), as a struct.
 
-    Comments and literals are taken out first, so that words in them don't count.
+    kind; tables read and written (its own WITH names aside) and joined; columns, which are qualified names in what it selects and in its conditions, and
+    predicates, those in conditions; functions; with names; roles that it sets; targets of privileges; and whether it takes all columns,
+    exports, changes privileges, has a condition, or reads without bounds (bulk). confidence: `none` if a quote or comment has no end, `low` if its first
+    word isn't a statement's or brackets don't match, else `high`; tables of a statement of low confidence are `unresolved` too.
     """
-    plain = F.regexp_replace(text, r"(?s)--[^\n]*|/\*.*?\*/", " ")
-    plain = F.regexp_replace(plain, r"(?s)\$(\w*)\$.*?\$\1\$|'(?:[^']|'')*'", "?")
-    plain = F.trim(F.regexp_replace(F.regexp_replace(plain, '"', ""), r"\s+", " "))
-
-    def told(s: Column) -> Column:
-        low = F.lower(s)
-        all_ = lambda pattern: F.transform(F.regexp_extract_all(s, F.lit(f"(?i){pattern}"), F.lit(1)), F.lower)
-        own = all_(r"(?:\bwith(?:\s+recursive)?|,)\s+(\w+)\s+as\s+(?:not\s+)?(?:materialized\s+)?\(")
-        name = r"((?:\w+\.)*\w+)"
-        written = F.array_sort(F.array_distinct(F.concat(all_(rf"\binsert\s+into\s+{name}"), all_(rf"\bupdate\s+(?:only\s+)?{name}\s+(?:as\s+\w+\s+)?set\b"), all_(rf"\b(?:delete\s+from|truncate(?:\s+table)?|merge\s+into)\s+(?:only\s+)?{name}"), all_(rf"\b(?:create|alter|drop)\s+(?:or\s+replace\s+)?(?:temp\w*\s+)?table\s+(?:if\s+(?:not\s+)?exists\s+)?{name}"), all_(rf"\bcopy\s+{name}(?:\s*\([^)]*\))?\s+from\b"))))
-        sources = F.concat(all_(rf"(?<!delete )(?<!distinct )\bfrom\s+(?:only\s+)?{name}(?!\s*\()"), all_(rf"\bjoin\s+(?:lateral\s+)?{name}(?!\s*\()"), all_(rf"\busing\s+{name}(?!\s*\()"), all_(rf"\bcopy\s+{name}(?:\s*\([^)]*\))?\s+to\b"))
-        read = F.array_sort(F.array_except(F.array_distinct(F.filter(sources, lambda t: ~t.isin("stdin", "select"))), own))
-        kind = F.regexp_extract(low, r"^\W*(\w+)", 1)
-        main = F.when(kind == "with", F.coalesce(F.nullif(F.regexp_extract(low, r"\)\s*(select|insert|update|delete|merge)\b", 1), F.lit("")), F.lit("select"))).otherwise(kind)
-        export = low.rlike(r"\bcopy\b.*\bto\b")
-        bounded = low.rlike(r"\bwhere\b|\blimit\b|\bfetch (?:first|next)\b")
+    word = rf'(?:"[^"]*"|{_WORD})'
+    free = rf"(?!(?:{'|'.join(RESERVED)}) )"
+    name = rf"({free}{word}(?:\.{word})*)(?! \()"
+    alias = rf"(?: (?:as )?{free}{word}(?! \())?"
+    item = rf"(?:only )?{name}{alias}"
+
+    def told(t: Column) -> Column:
+        s = F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
+        s = F.regexp_replace(s, r" (extract|substring|trim|overlay|position) \( [^()]* \)", " $1 ( ? )")
+        all_ = lambda pattern, of=s, group=1: F.regexp_extract_all(of, F.lit(pattern), F.lit(group))
+        plain = lambda names: F.transform(names, lambda x: F.translate(x, _MARK, " "))
+        names = lambda *found: plain(F.array_sort(F.array_distinct(F.concat(*found))))
+        first = F.coalesce(F.get(F.filter(t, lambda x: x.rlike(rf"^{_WORD}")), F.lit(0)), F.lit(""))
+        own = all_(rf"(?:(?<= with )|(?<= recursive )|(?<=\) , ))({word})(?: \( [^()]* \))? as (?:not )?(?:materialized )?\(")
+        cut = all_(rf"(?<= )truncate (?:table )?({item}(?: , {item})*)")
+        lists = F.concat(all_(rf"(?<! distinct )(?<= )from ({item}(?: , {item})*)"), all_(rf"(?<=\)) (?:as )?{free}{word} , ({item}(?: , {item})*)"))
+        each = lambda found: F.flatten(F.transform(found, lambda x: F.transform(F.split(x, " , "), lambda y: F.regexp_extract(y, rf"^(?:only )?({word}(?:\.{word})*)", 1))))
+        heads = each(lists)
+        deleted = all_(rf"(?<= )delete from (?:only )?{name}")
+        joined = F.concat(all_(rf"(?<= )join (?:lateral )?(?:only )?{name}"), F.when(s.contains(" merge "), all_(rf"(?<= )using {name}")).otherwise(F.array().cast("array<string>")), F.when(s.contains(" delete "), all_(rf"(?<= )using {name}")).otherwise(F.array().cast("array<string>")))
+        exported = all_(rf"(?<= )copy ({free}{word}(?:\.{word})*)(?: \( [^()]* \))? to ")
+        loaded = all_(rf"(?<= )copy ({free}{word}(?:\.{word})*)(?: \( [^()]* \))? from ")
+        into = F.concat(all_(rf"(?<= )into (?:table )?({free}{word}(?:\.{word})*)"), all_(rf"(?<= )(?<!for )(?<!do )update (?:only )?{name}"), loaded)
+        ddl = F.when(first.isin("grant", "revoke"), F.array().cast("array<string>")).otherwise(all_(rf"(?<= )(?<!truncate )table (?:if (?:not )?exists )?(?:only )?({free}(?!if ){word}(?:\.{word})*)"))
+        written = F.concat(into, deleted, ddl, each(cut))
+        reads = F.when(first == "revoke", F.array().cast("array<string>")).otherwise(F.array_except(F.concat(heads, joined, exported), F.array(F.lit("stdin"))))
+        # What a statement deletes from is read only where it comes up again.
+        twice = lambda x: F.size(F.filter(heads, lambda y: y == x)) > F.size(F.filter(deleted, lambda y: y == x))
+        read = F.filter(reads, lambda x: ~F.array_contains(own, x) & (~F.array_contains(deleted, x) | twice(x) | F.array_contains(joined, x)) & ~F.array_contains(loaded, x))
+        tables = F.regexp_replace(s, rf"(?<= )(from|join|into|update|using|table) (?:only )?{word}(?:\.{word})*(?! \()(?:{alias} , (?:only )?{word}(?:\.{word})*(?! \())*", "$1 ?")
+        qualified = lambda seg: F.flatten(F.transform(seg, lambda x: F.regexp_extract_all(x, F.lit(rf"(?<= )({word}(?:\.{word})+)(?= (?!\())"), F.lit(1))))
+        padded = lambda seg: F.transform(seg, lambda x: F.concat(F.lit(" "), x, F.lit(" ")))
+        chosen = padded(all_(r"(?<= )select (.*?)(?= from | into | union | where |$)", tables))
+        asked = padded(all_(r"(?<= )where (.*?)(?= group by | order by | having | limit | union | returning | from |$)", tables))
+        kind = F.when(first == "with", F.coalesce(F.nullif(F.regexp_extract(s, r"\) (select|insert|update|delete|merge) ", 1), F.lit("")), F.lit("select"))).when((first == "set") & s.rlike(r"^ set (?:session |local )?(?:role|session authorization|authorization) "), "set_role").otherwise(first)
+        export = s.rlike(r"(?<= )copy (?:\(.*\)|[^ ]+(?: \( [^()]* \))?) to ")
+        bounded = s.rlike(r" where | limit | fetch (?:first|next) ")
+        open_ = F.exists(t, lambda x: x.isin("'", '"', "/*"))
+        brackets = F.size(F.filter(t, lambda x: x == "(")) == F.size(F.filter(t, lambda x: x == ")"))
+        confidence = F.when(open_, "none").when(~first.isin(*STATEMENTS) | ~brackets, "low").otherwise("high")
+        read_, written_ = names(read), names(F.filter(written, lambda x: ~F.array_contains(own, x)))
+        no = F.array().cast("array<string>")
         return F.struct(
-            main.alias("kind"), read.alias("read"), written.alias("written"), F.array_distinct(all_(r"\bset\s+(?:session\s+|local\s+)?role\s+(\w+)")).alias("roles"),
-            low.rlike(r"\bselect\s+(?:distinct\s+)?(?:\w+\.)?\*").alias("wildcard"), export.alias("export"), main.isin("grant", "revoke").alias("privileges"),
-            (export | (main.isin("select", "copy") & ~bounded & (F.size(read) > 0))).alias("bulk"),
+            confidence.alias("confidence"), kind.alias("kind"), read_.alias("read"), written_.alias("written"), names(F.filter(joined, lambda x: ~F.array_contains(own, x))).alias("joined"),
+            names(qualified(chosen), qualified(asked)).alias("columns"), names(qualified(asked)).alias("predicates"),
+            names(F.filter(all_(rf"(?<= )({word}(?:\.{word})*) \("), lambda x: ~x.isin("in", "values", "exists", "array", "row", "all", "any", "some", "over", "filter", "using", "on", "and", "or", "not", "case", "select", "table", "when", "from", "where", "as", "materialized", "copy", "into", "then", "else", "by", "union", "lateral", "with") & ~F.array_contains(own, x) & ~F.array_contains(written, x))).alias("functions"),
+            names(own).alias("ctes"), names(all_(rf"(?<= )set (?:session |local )?(?:role|session authorization|authorization) ({word})")).alias("roles"),
+            F.when(first.isin("grant", "revoke"), names(F.flatten(F.transform(all_(r"(?<= )on (?!all )(?:table |schema |sequence |database |function |procedure |type |domain |language |tablespace )?(.*?)(?= to | from |$)"), lambda x: F.split(F.trim(x), " , "))), all_(rf"(?<= )on all [a-z]+ in schema ({word})"))).otherwise(no).alias("targets"),
+            (s.rlike(r"(?<= )select (?:all |distinct )?(?:[^ ]+ , )*(?:[^ ]+\.)?\* ")).alias("wildcard"), export.alias("export"), first.isin("grant", "revoke").alias("privileges"), s.contains(" where ").alias("has_where"),
+            (export | (kind.isin("select", "copy") & ~bounded & (F.size(read_) > 0))).alias("bulk"), F.when(confidence == "low", names(read_, written_)).otherwise(no).alias("unresolved"),
         )
 
-    return F.element_at(F.transform(F.array(plain), told), 1)
+    return F.element_at(F.transform(F.array(parts(text)), told), 1)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlake import catalog, catalog_depth
+from emberlake.functions.text import fingerprint, statement
 from emberlake.operators import lifecycle, ordered, relations, schedule, search, stateful, suppression
 from emberlake.sources import parsers, versions
 from emberlake.streaming import actors, state
@@ -285,3 +286,35 @@ def test_broken_and_odd_pushes(spark):
     rows = parsers.loki_protobuf(bodies).orderBy("event_ts").collect()
     assert [(r["host"], r["service"], r["message"]) for r in rows] == [("unknown", None, ""), ('h"1', "s", "grüße")]
     assert rows[1]["event_ts"].microsecond == 0 and rows[1]["event_ts"].year == 2024
+
+
+FACTS = [
+    ('select a.x, "My Table"."Col 1" from "My Table" , other o, third /* c /* nested from evil */ from evil2 */ where o.k = $1 and lower(a.x) = $q$ from q $q$', {"read": ['"My Table"', "other", "third"], "columns": ['"My Table"."Col 1"', "a.x", "o.k"], "predicates": ["a.x", "o.k"], "functions": ["lower"]}),
+    ("select extract(year from ts) from logs where a is distinct from b", {"read": ["logs"], "has_where": True, "bulk": False}),
+    ("select count(*) from (select * from inner1) x, outer1", {"read": ["inner1", "outer1"], "wildcard": True, "bulk": True}),
+    ("with recursive a as (select 1), b (x) as materialized (select * from real) select b.x from a, b", {"ctes": ["a", "b"], "read": ["real"], "columns": ["b.x"], "kind": "select"}),
+    ("revoke all on table a.b, c from joe", {"targets": ["a.b", "c"], "read": [], "privileges": True}),
+    ("GRANT ALL ON ALL TABLES IN SCHEMA sales TO x", {"targets": ["sales"]}),
+    ("SET SESSION AUTHORIZATION root", {"kind": "set_role", "roles": ["root"]}),
+    ("TRUNCATE ONLY a, b.c", {"written": ["a", "b.c"], "read": []}),
+    ("merge into tgt t using src s on t.id = s.id when matched then update set v = s.v", {"written": ["tgt"], "read": ["src"], "joined": ["src"]}),
+    ("select x from t join u using (id) limit 5", {"read": ["t", "u"], "joined": ["u"], "bulk": False}),
+    ("copy s.t (a, b) to '/x'", {"read": ["s.t"], "export": True, "bulk": True}),
+    ("copy t(a,b) from stdin", {"written": ["t"], "read": [], "bulk": False}),
+    ("create table if not exists n.m as select * from k", {"written": ["n.m"], "read": ["k"]}),
+    ("insert into t values ('it''s from x', E'a\\\\'' from y') on conflict do update set a = 1", {"written": ["t"], "read": []}),
+    ("frobnicate the table", {"confidence": "low"}),
+    ("select 1 from a where (b = 2", {"confidence": "low", "unresolved": ["a"]}),
+    ("select 1 from a /* never ends", {"confidence": "none"}),
+    ("", {"confidence": "low", "kind": "", "read": []}),
+]
+
+
+def test_facts_of_hard_statements(spark):
+    df = spark.createDataFrame([(k, q) for k, (q, _) in enumerate(FACTS)], "k int, q string")
+    for r in df.select("k", statement(F.col("q")).alias("s")).collect():
+        got = r["s"].asDict()
+        assert {k: got[k] for k in FACTS[r["k"]][1]} == FACTS[r["k"]][1], FACTS[r["k"]][0]
+    same = [("SELECT a FROM t -- x\n WHERE i = 5;", 1), ("select  A from T where I=$1", 1), ("select a from t where i = 'q'", 1), ('select a from "T" where i = 5', 2), ("select b from t where i = 5", 3)]
+    prints = spark.createDataFrame(same, "q string, g int").groupBy("g").agg(F.count_distinct(fingerprint(F.col("q"))).alias("n"), F.min(fingerprint(F.col("q"))).alias("p")).collect()
+    assert all(r["n"] == 1 for r in prints) and len({r["p"] for r in prints}) == 3
