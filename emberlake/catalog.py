@@ -367,7 +367,8 @@ def w5_enumeration_runs(spark, d):
     return behaviour.runs(o, ["actor"], "number", ["number"], 2)
 
 
-@query("""SELECT seq, fault FROM (SELECT event_id AS seq, CASE WHEN event_id % 500 = 12 THEN 'gap' WHEN event_id % 1000 = 7 THEN 'link' END AS fault FROM events WHERE event_id > 1 AND event_id % 500 <> 11) WHERE fault IS NOT NULL""")
+@query(""", R AS (SELECT event_id AS seq, sha256(concat_ws('|', event_id, props)) AS own FROM events), C AS (SELECT r.seq, r.own, CASE WHEN r.seq % 1000 = 7 THEN 'broken' ELSE b.own END AS prev FROM R AS r LEFT JOIN R AS b ON b.seq = r.seq - 1 WHERE r.seq % 500 <> 11)
+SELECT seq, fault FROM (SELECT c.seq, CASE WHEN c.seq > 1 AND b.own IS NULL THEN 'gap' WHEN c.seq > 1 AND b.own <> c.prev THEN 'link' END AS fault FROM C AS c LEFT JOIN C AS b ON b.seq = c.seq - 1) WHERE fault IS NOT NULL""")
 def w9_chain_verification(spark, d):
     """A chain of which every 500th record is taken out and every 1000th names another record before it than there is."""
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), F.sha2(F.concat_ws("|", "event_id", "props"), 256).alias("own"))
