@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberlake.catalog import DAY_US, NOW_US, query
-from emberlake.catalog_more import at_us, scratch
+from emberlake.catalog_more import at_us, scratch, signals
 from emberlake.functions.text import statement
-from emberlake.operators import lifecycle, ordered, relations, schedule, search
+from emberlake.operators import correlation, lifecycle, ordered, relations, schedule, search
 from emberlake.sources import parsers, versions
 from emberlake.sources.events import derived, field, micros
 
@@ -167,3 +167,35 @@ def d12_statement_facts(spark, d):
     text = F.array(*[F.expr(_filled(s[0]).replace("\\", "\\\\")) for s in SHAPES])
     out = e.select("event_id", statement(F.element_at(text, (F.col("event_id") % 5 + 1).cast("int"))).alias("s"))
     return out.select("event_id", "s.confidence", *[F.array_join(f"s.{c}", "\n").alias(c) for c in ("read", "written", "predicates")])
+
+
+BAG = "concat('{\"dst_ip\":\"10.9.', event_id % 7, '.1\",\"port\":\"', event_id % 999, '\",\"user\":\"', db_user, '\",\"process\":\"', service, '\",\"exe\":\"/bin/', service, '\",\"cmdline\":\"', service, ' -x ', event_id % 3, '\",\"pid\":\"', event_id, '\",\"dns\":\"', host, '.example\",\"event_type\":\"', severity, '\"', CASE WHEN event_id % 2 = 0 THEN concat(',\"community_id\":\"1:', event_id, '\",\"src_ip\":\"', src_ip, '\"') ELSE '' END, '}')"
+
+
+@query("SELECT event_id, '10.9.' || event_id % 7 || '.1' AS \"destination.ip\", (event_id % 999)::VARCHAR AS \"destination.port\", db_user AS \"user.name\", service AS \"process.name\", '/bin/' || service AS \"process.executable\", service || ' -x ' || event_id % 3 AS \"process.command_line\", event_id::VARCHAR AS \"process.pid\", host || '.example' AS \"dns.question.name\", severity AS \"event.action\", CASE WHEN event_id % 2 = 0 THEN '1:' || event_id END AS \"network.community_id\", CASE WHEN event_id % 2 = 0 THEN src_ip END AS \"source.ip\", CASE WHEN event_id % 2 = 0 THEN src_ip END AS \"source.address\", host AS \"host.name\", host AS \"host.hostname\" FROM E")
+def f11_all_common_names(spark, d):
+    """All common names, over bags that are made from the events' own columns."""
+    e = derived(spark, d).select("event_id", "host", "service", "severity", field("db_user").alias("db_user"), field("src_ip").alias("src_ip"))
+    out = correlation.named(e.withColumn("fields", F.expr(BAG)))
+    return out.select("event_id", *[F.col(f"`{c}`") for c in (*correlation.COMMON, "host.name", "host.hostname")])
+
+
+@query(""", A AS (SELECT event_id::VARCHAR AS id, host, service, message, us, row_number() OVER (ORDER BY us DESC, event_id) AS place FROM E WHERE service IN ('sshd', 'sudo')), B AS (SELECT event_id::VARCHAR AS id, us, row_number() OVER (ORDER BY value DESC, event_id) AS place FROM E WHERE value > 60),
+M AS (SELECT *, row_number() OVER (ORDER BY v, host, service, message) AS place FROM (SELECT host, service, message, max(value) AS v FROM E WHERE value < 30 OR value > 90 GROUP BY ALL)), WA AS (SELECT * FROM A WHERE us >= 1704844800000000 AND us < 1706140800000000),
+P AS (SELECT id, place FROM WA UNION ALL SELECT id, place FROM B SEMI JOIN WA USING (id) UNION ALL SELECT WA.id, M.place FROM WA JOIN M USING (host, service, message))
+SELECT id, host, round(sum(1.0::DOUBLE / (60 + P.place)), 9) AS score, count(*) AS signals, false AS truncated FROM P JOIN WA USING (id) GROUP BY ALL""")
+def j13_gated_hybrid(spark, d):
+    """With a gate, text hits count only among the structured ones, and meanings only reinforce them."""
+    out = relations.hybrid(*signals(spark, d), (1_704_844_800_000_000, 1_706_140_800_000_000), True, 2_000_000)
+    return out.select("id", "host", F.round("score", 9).alias("score"), "signals", "truncated")
+
+
+@query("SELECT event_id::VARCHAR AS id, TIMESTAMP '2024-01-02 03:04:05' + to_microseconds((event_id % 1000) * 1000) AS event_ts, db_user, CASE WHEN event_id % 5 = 0 THEN 'pgaudit' ELSE 'postgres' END AS source, CASE event_id % 3 WHEN 0 THEN 'error' ELSE 'info' END AS severity FROM E")
+def s19_csv_lines(spark, d):
+    """CSV log lines through the adapter that goes by their name, as the other formats do."""
+    e = derived(spark, d).select("event_id", field("db_user").alias("u"))
+    message = F.expr("CASE WHEN event_id % 5 = 0 THEN concat('\"AUDIT: SESSION,1,1,READ,SELECT,TABLE,public.t,\"\"select ', event_id, '\"\",<none>\"') ELSE concat('\"said \"\"x\"\", n ', event_id, '\"') END")
+    lines = {"log_time": F.expr("concat('2024-01-02 03:04:05.', lpad(CAST(event_id % 1000 AS STRING), 3, '0'), ' UTC')"), "user_name": F.col("u"), "session_id": F.col("event_id").cast("string"), "error_severity": F.expr("CASE WHEN event_id % 3 = 0 THEN 'ERROR' ELSE 'LOG' END"), "message": message}
+    df = e.select(F.concat_ws(",", *[lines.get(c, F.lit("")) for c in parsers.PG_CSV]).alias("line"))
+    out = parsers.ADAPTERS["postgres-csvlog"](df)
+    return out.select(F.coalesce(field("session_id"), field("session")).alias("id"), "event_ts", field("db_user").alias("db_user"), "source", "severity")

@@ -173,3 +173,15 @@ def structured(events: DataFrame, asked: dict, now_us: int) -> DataFrame:
     if asked.get("to_us") is not None:
         keep = keep & (us < asked["to_us"])
     return events.where(keep).orderBy(F.desc("event_ts"), "event_id").limit(asked.get("limit") or 200)
+
+
+#: Common names of fields, and the keys of the bag that they stand for.
+COMMON = {
+    "destination.ip": "dst_ip", "destination.port": "port", "user.name": "user", "process.name": "process", "process.executable": "exe", "process.command_line": "cmdline",
+    "process.pid": "pid", "dns.question.name": "dns", "event.action": "event_type", "network.community_id": "community_id", "source.ip": "src_ip", "source.address": "src_ip",
+}
+
+
+def named(events: DataFrame) -> DataFrame:
+    """events with the common names beside their own columns, so that rules written for either find them; a port's side isn't known, so there is no source.port."""
+    return events.withColumns({**{name: field(key) for name, key in COMMON.items()}, "host.name": F.col("host"), "host.hostname": F.col("host")})

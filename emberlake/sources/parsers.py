@@ -201,10 +201,20 @@ def pg_jsonlog(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.select(*[get(*names.get(c, (c,))).alias(c) for c in PG_RECORD])
 
 
+def pgaudit_csv(lines: DataFrame, line: str = "line", host: str = "postgres", environment: str | None = None) -> DataFrame:
+    """Events of CSV log records, one a row (a record may have line breaks within quotes)."""
+    x = lines.select(F.from_csv(line, ", ".join(f"{c} string" for c in PG_CSV), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}).alias("x")).select("x.*")
+    return pg_events(_from_csv(x), host, environment)
+
+
 def pg_csvlog(spark, path: str) -> DataFrame:
     """Records of PostgreSQL's CSV log, with line breaks within quotes; a row that ends before its message is null in all columns."""
     schema = ", ".join(f"{c} string" for c in PG_CSV)
     x = spark.read.schema(schema).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    return _from_csv(x)
+
+
+def _from_csv(x: DataFrame) -> DataFrame:
     of = {"timestamp": "log_time", "user": "user_name", "dbname": "database_name", "remote_host": "connection_from", "txid": "transaction_id", "state_code": "sql_state"}
     return x.select(*[F.when(F.col("message").isNotNull(), F.nullif(F.col(of.get(c, c)), F.lit(""))).alias(c) for c in PG_RECORD])
 
@@ -392,4 +402,4 @@ def checked(rows: DataFrame, schema: str) -> DataFrame:
     return rows.select(*want)
 
 
-ADAPTERS = {"syslog": syslog, "native": native, "loki": loki, "ocsf": ocsf, "otel": otel, "postgres-jsonlog": pgaudit, "postgres-csvlog": pg_events}
+ADAPTERS = {"syslog": syslog, "native": native, "loki": loki, "ocsf": ocsf, "otel": otel, "postgres-jsonlog": pgaudit, "postgres-csvlog": pgaudit_csv, "loki-protobuf": loki_protobuf}
