@@ -145,7 +145,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists, pa.array(coder.decode(ids, ends), pa.binary())], names=[*batch.schema.names[1:], "ids", "decoded"])
 
-    own = max((id_col, *keep), key=len) + "_text"  # longer than any of the names beside it
-    given = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias(own), F.col(f"`{id_col}`"), *[F.col(f"`{c}`") for c in keep])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:]), "ids array<int>", "decoded binary"])
-    return given.mapInArrow(work, schema)
+    # Names within the step are its own, as those of kept columns may have dots or clash.
+    given = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate((id_col, *keep))])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[1:]), "ids array<int>", "decoded binary"])
+    return given.mapInArrow(work, schema).toDF(id_col, *keep, "ids", "decoded")
