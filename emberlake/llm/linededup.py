@@ -35,6 +35,8 @@ EXACT, THRESHOLD = 5, 0.8
 MINIMA, ROWS, BANDS = 50, 5, 20
 LONGS = -(-MINIMA // 16)
 FAR_OFF = 5.0
+#: Steps that the bands are dealt in.
+SHARES = 2
 #: Ids (8 bytes each) are broadcast up to so many, else joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Minima under one rotation see the same order of bits; several keep them apart in short lines too.
@@ -109,13 +111,18 @@ def linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, component) of the distinct lines that are linked with others, by hash."""
     keyed = cut(signatures(lines(docs, id_col, text_col)))
     release(docs.sparkSession)
-    # One shuffle by key serves the count of each bucket and the join back.
-    each = keyed.select("a", F.explode("keys").alias("key")).repartition("key")
-    # The count names a, so that both readers of the exchange want the same columns and it is reused.
-    shared = each.groupBy("key").agg(F.count("a").alias("m")).where("m > 1")
-    bucket = cut(each.join(shared.hint("shuffle_hash"), "key").select("key", "a", "m"))
-    del each, shared
-    release(docs.sparkSession)
+    # A share of the bands at a time, so that the disk holds the exchange of no more than that share.
+    shares = []
+    for k in range(SHARES):
+        many = F.ceil(F.size("keys") / SHARES).cast("int")
+        # One shuffle by key serves the count of each bucket and the join back.
+        each = keyed.select("a", F.explode(F.slice("keys", 1 + k * many, many)).alias("key")).repartition("key")
+        # The count names a, so that both readers of the exchange want the same columns and it is reused.
+        shared = each.groupBy("key").agg(F.count("a").alias("m")).where("m > 1")
+        shares.append(cut(each.join(shared.hint("shuffle_hash"), "key").select("key", "a", "m")))
+        del each, shared
+        release(docs.sparkSession)
+    bucket = reduce(DataFrame.union, shares)
     some = cut(keyed.join(bucket.select("a").distinct(), "a", "left_semi"))
     of = lambda c: some.select(F.col("a").alias(c), F.col("bits").alias(f"bits_{c}"))
 
@@ -124,9 +131,11 @@ def linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # The most central of the hubs that may be near, so that a group of variants has one hub in common.
     tree = cut(may.groupBy("y").agg(F.max_by("x", F.struct("met", "x")).alias("x")).select("x", "y"))
     near = cut(compared(tree, docs, id_col, text_col))
+    release(docs.sparkSession)
     tied = near.where(enough(F.col("rel.both"), F.col("rel.n"), F.col("rel.n_hub"), THRESHOLD)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     groups = cut(components(tied))
+    release(docs.sparkSession)
     placed = cut(bucket.join(groups, bucket["a"] == groups["node"], "left").select("key", "a", F.coalesce("component", "a").alias("c")))
     mixed = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("key", "main")
     known = some.join(near.select(F.col("y").alias("a"), F.col("x").alias("hub"), "rel"), "a", "left")
@@ -149,6 +158,7 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     places = cut(lines(docs, id_col, text_col).select("doc", "i", "a", "b"))
     first = F.min(F.struct("doc", "i")).alias("first")
     classes = cut(places.groupBy("a", "b").agg(first, F.count("*").alias("n")))
+    release(docs.sparkSession)
     groups = cut(linked(docs, id_col, text_col))
     joined = classes.join(groups, classes["a"] == groups["node"], "left").where("n > 1 OR component IS NOT NULL")
     joined = cut(joined.select("a", "b", "first", "component"))
@@ -162,7 +172,7 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text that stays, and a struct `lines` (total, gone, chars, left); a column of that name is replaced."""
     gone = dropped(docs.select(id_col, text_col), id_col, text_col)
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))  # the text moves once
     df = given.join(gone, given["id"] == gone["doc"], "left").withColumn("split", F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1)))
     stays = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), F.col("gone"))
     df = df.withColumn("new", F.when(F.col("gone").isNotNull(), F.array_join(F.transform(stays, lambda k: F.get("split", k)), "\n")).otherwise(F.col("text")))
@@ -177,7 +187,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_rest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without repeated lines, and without those documents that have no line left but blank ones."""
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("own")
     out = dedup_lines(docs.select(own, F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
     out = out.where((F.col("lines.gone") == 0) | F.col("text").rlike(r"\S"))
     return out.select(*[(F.col("text") if c == text_col else F.col(f"own.`{c}`")).alias(c) for c in docs.columns])
