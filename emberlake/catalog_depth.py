@@ -186,7 +186,7 @@ P AS (SELECT id, place FROM WA UNION ALL SELECT id, place FROM B SEMI JOIN WA US
 SELECT id, host, round(sum(1.0::DOUBLE / (60 + P.place)), 9) AS score, count(*) AS signals, false AS truncated FROM P JOIN WA USING (id) GROUP BY ALL""")
 def j13_gated_hybrid(spark, d):
     """With a gate, text hits count only among the structured ones, and meanings only reinforce them."""
-    out = relations.hybrid(*signals(spark, d), (1_704_844_800_000_000, 1_706_140_800_000_000), True, 2_000_000)
+    out = relations.hybrid(*signals(spark, d), (1_704_844_800_000_000, 1_706_140_800_000_000), True, None)
     return out.select("id", "host", F.round("score", 9).alias("score"), "signals", "truncated")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.functions.text import ip_number
+from emberlake.operators.ordered import shared
 from emberlake.sources.events import field
 
 #: Bytes of a lookup list that may be broadcast, by rows times what a row may take; a longer list is joined by a shuffle.
@@ -213,8 +214,11 @@ def fuse(signals: list[tuple[DataFrame, float]], key: str = "id", k: int = 60) -
     return out.groupBy(key).agg(F.sum("s").alias("score"), F.count("*").alias("signals"))
 
 
-def hybrid(structured: DataFrame, fulltext: DataFrame, semantic: DataFrame, window: tuple[int, int], gated: bool, limit: int, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), k: int = 60) -> DataFrame:
-    """Ranked hits of three kinds fused: (id, host, service, message, us, score, signals), best first, and `truncated`.
+def hybrid(structured: DataFrame, fulltext: DataFrame, semantic: DataFrame, window: tuple[int, int], gated: bool, limit: int | None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), k: int = 60, mark_over: int | None = None) -> DataFrame:
+    """Ranked hits of three kinds fused: (id, host, service, message, us, score, signals) and `truncated`.
+
+    With a limit these are the best hits, best first, and `truncated` tells whether there are more. Without one they are all hits, in no
+    order, and `truncated` tells whether there are more than mark_over.
 
     structured and fulltext have (id, host, service, message, us, place), semantic (host, service, message, us, place), one
     row for each group of equal messages. Hits outside the window [from, to) don't count. With a gate, text hits count only
@@ -234,8 +238,13 @@ def hybrid(structured: DataFrame, fulltext: DataFrame, semantic: DataFrame, wind
         rows = rows.unionByName(alone.select(*own))
         signals.append((alone.select("id", "place"), weights[2]))
     scored = fuse(signals, "id", k).join(rows, "id")
-    more = scored.limit(limit + 1).agg((F.count("*") > limit).alias("truncated"))
-    return scored.orderBy(F.desc("score"), "id").limit(limit).crossJoin(F.broadcast(more))  # one row
+    most = mark_over if limit is None else limit
+    if most is None:
+        return scored.withColumn("truncated", F.lit(False))
+    scored = shared(scored, "hybrid")  # counted and then given
+    more = scored.agg((F.count("*") > most).alias("truncated"))
+    given = scored if limit is None else scored.orderBy(F.desc("score"), "id").limit(limit)
+    return given.crossJoin(F.broadcast(more))  # one row
 
 
 def shortest_path(links: DataFrame, start: str, end: str, depth: int = 6, adjacent: DataFrame | None = None) -> DataFrame:

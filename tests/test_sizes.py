@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from emberlake import catalog
+from emberlake.operators import relations
 
 DAY = datetime.timedelta(days=1)
 
@@ -33,3 +34,12 @@ def test_ports_are_the_numbers_that_messages_give(spark, tmp_path, name):
     rows = [(1, 1, 7, "error", 655.35), (2, 2, 7, "error", 655.36), (3, 3, 8, "signup", 700.0), (4, 4, 9, "signup", 12345678.0)]
     got = same_as_sql(spark, name, events(spark, tmp_path, rows))
     assert sorted(int(r[-1]) for r in got) == [65535, 65536, 70000, 1234567800]
+
+
+def test_hits_beyond_a_limit_are_cut_or_all_given_and_marked(spark):
+    df = spark.range(7).selectExpr("CAST(id AS STRING) AS id", "'h' AS host", "'s' AS service", "concat('m', id) AS message", "id AS us", "id + 1 AS place")
+    none = df.where("false").drop("id")
+    told = lambda **how: [(r["id"], r["truncated"]) for r in relations.hybrid(df, df.where("false"), none, (0, 9), False, **how).collect()]
+    assert told(limit=5) == [(str(k), True) for k in range(5)] and told(limit=7) == [(str(k), False) for k in range(7)]
+    assert sorted(told(limit=None, mark_over=5)) == [(str(k), True) for k in range(7)]
+    assert sorted(told(limit=None, mark_over=7)) == sorted(told(limit=None)) == [(str(k), False) for k in range(7)]
