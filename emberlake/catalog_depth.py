@@ -165,7 +165,7 @@ def d12_statement_facts(spark, d):
     """Nested comments, quoted and dollar-quoted texts, derived tables, with names, and brackets and quotes without an end; names are the events'."""
     e = derived(spark, d).select("event_id", "host", "service", field("db_user").alias("db_user"), field("target_person").alias("person"))
     text = F.array(*[F.expr(_filled(s[0]).replace("\\", "\\\\")) for s in SHAPES])
-    out = e.select("event_id", statement(F.element_at(text, (F.col("event_id") % 5 + 1).cast("int"))).alias("s"))
+    out = e.select("event_id", statement(F.element_at(text, (F.col("event_id") % 5 + 1).cast("int")), "confidence", "read", "written", "predicates").alias("s"))
     return out.select("event_id", "s.confidence", *[F.array_join(f"s.{c}", "\n").alias(c) for c in ("read", "written", "predicates")])
 
 

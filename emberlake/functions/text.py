@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,13 +91,23 @@ STATEMENTS = "select insert update delete copy create alter drop truncate grant
 RESERVED = "select from where group order having limit offset values on and or as into join left right inner outer full cross natural union except intersect to using when then set returning for window fetch lateral only with".split()
 
 
-def statement(text: Column) -> Column:
+#: What is told of a statement.
+FACTS = "confidence kind read written joined columns predicates functions ctes roles targets wildcard export privileges has_where bulk unresolved".split()
+
+
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value computed once however often it is used there; Spark repeats expressions that are used within lambdas."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def statement(text: Column, *wanted: str) -> Column:
     """What a PostgreSQL statement does, by its parts (comments, strings and quoted names can't be taken for words of it), as a struct.
 
     kind; tables read and written (its own WITH names aside) and joined; columns, which are qualified names in what it selects and in its conditions, and
     predicates, those in conditions; functions; with names; roles that it sets; targets of privileges; and whether it takes all columns,
     exports, changes privileges, has a condition, or reads without bounds (bulk). confidence: `none` if a quote or comment has no end, `low` if its first
     word isn't a statement's or brackets don't match, else `high`; tables of a statement of low confidence are `unresolved` too.
+    wanted: the names of those to be computed, all if there are none.
     """
     word = rf'(?:"[^"]*"|{_WORD})'
     free = rf"(?!(?:{'|'.join(RESERVED)}) )"
@@ -103,50 +115,72 @@ def statement(text: Column) -> Column:
     alias = rf"(?: (?:as )?{free}{word}(?! \())?"
     item = rf"(?:only )?{name}{alias}"
 
+    no = F.array().cast("array<string>")
+    plain = lambda names: F.transform(names, lambda x: F.translate(x, _MARK, " "))
+    names = lambda *lists: plain(F.array_sort(F.array_distinct(F.concat(*lists))))
+    all_in = lambda s: lambda pattern, of=None: F.regexp_extract_all(s if of is None else of, F.lit(pattern), F.lit(1))
+
     def told(t: Column) -> Column:
         s = F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
         s = F.regexp_replace(s, r" (extract|substring|trim|overlay|position) \( [^()]* \)", " $1 ( ? )")
-        all_ = lambda pattern, of=s, group=1: F.regexp_extract_all(of, F.lit(pattern), F.lit(group))
-        plain = lambda names: F.transform(names, lambda x: F.translate(x, _MARK, " "))
-        names = lambda *found: plain(F.array_sort(F.array_distinct(F.concat(*found))))
+        return _bound(s, lambda s: _bound(found(t, s), lambda x: _bound(named(t, s, x), lambda y: facts(s, x, y))))
+
+    def found(t: Column, s: Column) -> Column:
+        """What the words of a statement are followed by, as it stands there."""
+        all_ = all_in(s)
         first = F.coalesce(F.get(F.filter(t, lambda x: x.rlike(rf"^{_WORD}")), F.lit(0)), F.lit(""))
         own = all_(rf"(?:(?<= with )|(?<= recursive )|(?<=\) , ))({word})(?: \( [^()]* \))? as (?:not )?(?:materialized )?\(")
         cut = all_(rf"(?<= )truncate (?:table )?({item}(?: , {item})*)")
         lists = F.concat(all_(rf"(?<! distinct )(?<= )from ({item}(?: , {item})*)"), all_(rf"(?<=\)) (?:as )?{free}{word} , ({item}(?: , {item})*)"))
-        each = lambda found: F.flatten(F.transform(found, lambda x: F.transform(F.split(x, " , "), lambda y: F.regexp_extract(y, rf"^(?:only )?({word}(?:\.{word})*)", 1))))
+        each = lambda lists: F.flatten(F.transform(lists, lambda x: F.transform(F.split(x, " , "), lambda y: F.regexp_extract(y, rf"^(?:only )?({word}(?:\.{word})*)", 1))))
         heads = each(lists)
         deleted = all_(rf"(?<= )delete from (?:only )?{name}")
-        joined = F.concat(all_(rf"(?<= )join (?:lateral )?(?:only )?{name}"), F.when(s.contains(" merge "), all_(rf"(?<= )using {name}")).otherwise(F.array().cast("array<string>")), F.when(s.contains(" delete "), all_(rf"(?<= )using {name}")).otherwise(F.array().cast("array<string>")))
+        joined = F.concat(all_(rf"(?<= )join (?:lateral )?(?:only )?{name}"), F.when(s.contains(" merge "), all_(rf"(?<= )using {name}")).otherwise(no), F.when(s.contains(" delete "), all_(rf"(?<= )using {name}")).otherwise(no))
         exported = all_(rf"(?<= )copy ({free}{word}(?:\.{word})*)(?: \( [^()]* \))? to ")
         loaded = all_(rf"(?<= )copy ({free}{word}(?:\.{word})*)(?: \( [^()]* \))? from ")
-        into = F.concat(all_(rf"(?<= )into (?:table )?({free}{word}(?:\.{word})*)"), all_(rf"(?<= )(?<!for )(?<!do )update (?:only )?{name}"), loaded)
-        ddl = F.when(first.isin("grant", "revoke"), F.array().cast("array<string>")).otherwise(all_(rf"(?<= )(?<!truncate )table (?:if (?:not )?exists )?(?:only )?({free}(?!if ){word}(?:\.{word})*)"))
-        written = F.concat(into, deleted, ddl, each(cut))
-        reads = F.when(first == "revoke", F.array().cast("array<string>")).otherwise(F.array_except(F.concat(heads, joined, exported), F.array(F.lit("stdin"))))
+        into = F.concat(all_(rf"(?<= )into (?:table )?({free}{word}(?:\.{word})*)"), all_(rf"(?<= )(?<!for )(?<!do )update (?:only )?{name}"))
+        tables_of = all_(rf"(?<= )(?<!truncate )table (?:if (?:not )?exists )?(?:only )?({free}(?!if ){word}(?:\.{word})*)")
+        tables = F.regexp_replace(s, rf"(?<= )(from|join|into|update|using|table) (?:only )?{word}(?:\.{word})*(?! \()(?:{alias} , (?:only )?{word}(?:\.{word})*(?! \())*", "$1 ?")
+        return F.struct(*[c.alias(k) for k, c in {"first": first, "own": own, "heads": heads, "cut": each(cut), "deleted": deleted, "joined": joined, "exported": exported, "loaded": loaded, "into": into, "ddl": tables_of, "tables": tables}.items()])
+
+    def named(t: Column, s: Column, x: Column) -> Column:
+        """Tables read and written, qualified names of selections and of conditions, and how sure all is."""
+        first, own, heads, deleted, joined, exported, loaded, tables = (x[k] for k in ("first", "own", "heads", "deleted", "joined", "exported", "loaded", "tables"))
+        all_ = all_in(s)
+        ddl = F.when(first.isin("grant", "revoke"), no).otherwise(x["ddl"])
+        written = F.concat(x["into"], loaded, deleted, ddl, x["cut"])
+        reads = F.when(first == "revoke", no).otherwise(F.array_except(F.concat(heads, joined, exported), F.array(F.lit("stdin"))))
         # What a statement deletes from is read only where it comes up again.
         twice = lambda x: F.size(F.filter(heads, lambda y: y == x)) > F.size(F.filter(deleted, lambda y: y == x))
         read = F.filter(reads, lambda x: ~F.array_contains(own, x) & (~F.array_contains(deleted, x) | twice(x) | F.array_contains(joined, x)) & ~F.array_contains(loaded, x))
-        tables = F.regexp_replace(s, rf"(?<= )(from|join|into|update|using|table) (?:only )?{word}(?:\.{word})*(?! \()(?:{alias} , (?:only )?{word}(?:\.{word})*(?! \())*", "$1 ?")
         qualified = lambda seg: F.flatten(F.transform(seg, lambda x: F.regexp_extract_all(x, F.lit(rf"(?<= )({word}(?:\.{word})+)(?= (?!\())"), F.lit(1))))
         padded = lambda seg: F.transform(seg, lambda x: F.concat(F.lit(" "), x, F.lit(" ")))
         chosen = padded(all_(r"(?<= )select (.*?)(?= from | into | union | where |$)", tables))
         asked = padded(all_(r"(?<= )where (.*?)(?= group by | order by | having | limit | union | returning | from |$)", tables))
-        kind = F.when(first == "with", F.coalesce(F.nullif(F.regexp_extract(s, r"\) (select|insert|update|delete|merge) ", 1), F.lit("")), F.lit("select"))).when((first == "set") & s.rlike(r"^ set (?:session |local )?(?:role|session authorization|authorization) "), "set_role").otherwise(first)
-        export = s.rlike(r"(?<= )copy (?:\(.*\)|[^ ]+(?: \( [^()]* \))?) to ")
-        bounded = s.rlike(r" where | limit | fetch (?:first|next) ")
         open_ = F.exists(t, lambda x: x.isin("'", '"', "/*"))
         brackets = F.size(F.filter(t, lambda x: x == "(")) == F.size(F.filter(t, lambda x: x == ")"))
         confidence = F.when(open_, "none").when(~first.isin(*STATEMENTS) | ~brackets, "low").otherwise("high")
-        read_, written_ = names(read), names(F.filter(written, lambda x: ~F.array_contains(own, x)))
-        no = F.array().cast("array<string>")
-        return F.struct(
+        given = {"written": written, "read_": names(read), "written_": names(F.filter(written, lambda y: ~F.array_contains(own, y))), "confidence": confidence}
+        given |= {"chosen": qualified(chosen)} if not wanted or "columns" in wanted else {}
+        given |= {"asked": qualified(asked)} if not wanted or {"columns", "predicates"} & {*wanted} else {}
+        return F.struct(*[c.alias(k) for k, c in given.items()])
+
+    def facts(s: Column, x: Column, y: Column) -> Column:
+        first, own, joined = (x[k] for k in ("first", "own", "joined"))
+        written, read_, written_, chosen, asked, confidence = (y[k] for k in ("written", "read_", "written_", "chosen", "asked", "confidence"))  # looked up only where they are used
+        all_ = all_in(s)
+        kind = F.when(first == "with", F.coalesce(F.nullif(F.regexp_extract(s, r"\) (select|insert|update|delete|merge) ", 1), F.lit("")), F.lit("select"))).when((first == "set") & s.rlike(r"^ set (?:session |local )?(?:role|session authorization|authorization) "), "set_role").otherwise(first)
+        export = s.rlike(r"(?<= )copy (?:\(.*\)|[^ ]+(?: \( [^()]* \))?) to ")
+        bounded = s.rlike(r" where | limit | fetch (?:first|next) ")
+        told = (
             confidence.alias("confidence"), kind.alias("kind"), read_.alias("read"), written_.alias("written"), names(F.filter(joined, lambda x: ~F.array_contains(own, x))).alias("joined"),
-            names(qualified(chosen), qualified(asked)).alias("columns"), names(qualified(asked)).alias("predicates"),
+            names(chosen, asked).alias("columns"), names(asked).alias("predicates"),
             names(F.filter(all_(rf"(?<= )({word}(?:\.{word})*) \("), lambda x: ~x.isin("in", "values", "exists", "array", "row", "all", "any", "some", "over", "filter", "using", "on", "and", "or", "not", "case", "select", "table", "when", "from", "where", "as", "materialized", "copy", "into", "then", "else", "by", "union", "lateral", "with") & ~F.array_contains(own, x) & ~F.array_contains(written, x))).alias("functions"),
             names(own).alias("ctes"), names(all_(rf"(?<= )set (?:session |local )?(?:role|session authorization|authorization) ({word})")).alias("roles"),
             F.when(first.isin("grant", "revoke"), names(F.flatten(F.transform(all_(r"(?<= )on (?!all )(?:table |schema |sequence |database |function |procedure |type |domain |language |tablespace )?(.*?)(?= to | from |$)"), lambda x: F.split(F.trim(x), " , "))), all_(rf"(?<= )on all [a-z]+ in schema ({word})"))).otherwise(no).alias("targets"),
             (s.rlike(r"(?<= )select (?:all |distinct )?(?:[^ ]+ , )*(?:[^ ]+\.)?\* ")).alias("wildcard"), export.alias("export"), first.isin("grant", "revoke").alias("privileges"), s.contains(" where ").alias("has_where"),
             (export | (kind.isin("select", "copy") & ~bounded & (F.size(read_) > 0))).alias("bulk"), F.when(confidence == "low", names(read_, written_)).otherwise(no).alias("unresolved"),
         )
+        return F.struct(*[c for k, c in zip(FACTS, told, strict=True) if not wanted or k in wanted])
 
-    return F.element_at(F.transform(F.array(parts(text)), told), 1)
+    return _bound(parts(text), told)

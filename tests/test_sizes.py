@@ -4,8 +4,10 @@ import datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from emberlake import catalog
+from emberlake.functions.text import statement
 from emberlake.operators import relations
 
 DAY = datetime.timedelta(days=1)
@@ -43,3 +45,12 @@ def test_hits_beyond_a_limit_are_cut_or_all_given_and_marked(spark):
     assert told(limit=5) == [(str(k), True) for k in range(5)] and told(limit=7) == [(str(k), False) for k in range(7)]
     assert sorted(told(limit=None, mark_over=5)) == [(str(k), True) for k in range(7)]
     assert sorted(told(limit=None, mark_over=7)) == sorted(told(limit=None)) == [(str(k), False) for k in range(7)]
+
+
+def test_facts_of_statements_are_computed_once_and_only_those_wanted(spark):
+    df = spark.createDataFrame([("WITH q AS (SELECT 1) DELETE FROM a.t USING b, q WHERE t.x = b.y AND f(z.w) > 1",), ("foo (bar",), (None,)], "q string")
+    some = ("kind", "read", "predicates")
+    all_, few = (df.select(statement(F.col("q"), *names).alias("s")) for names in ((), some))
+    assert [tuple(r["s"][k] for k in some) for r in all_.collect()] == [tuple(r["s"]) for r in few.collect()] and few.schema["s"].dataType.names == list(some)
+    # The list of its own WITH names is asked for in six places, for each table once more; its pattern is looked for once.
+    assert all_._jdf.queryExecution().analyzed().toString().count("recursive )|") == 1
