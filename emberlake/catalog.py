@@ -379,8 +379,10 @@ def w9_chain_verification(spark, d):
 
 @query("SELECT source FROM E INTERSECT SELECT source FROM E WHERE service = 'sshd' UNION ALL (SELECT host FROM E EXCEPT SELECT host FROM E WHERE host LIKE '%1%')")
 def u4_set_operations(spark, d):
+    """Each side is made distinct before it is compared, so that a task gets a value once and not all of its rows."""
     e = derived(spark, d)
-    return e.select("source").intersect(e.where("service = 'sshd'").select("source")).unionAll(e.select("host").subtract(e.where("host LIKE '%1%'").select("host")))
+    of = lambda df, c: df.select(c).distinct()
+    return of(e, "source").intersect(of(e.where("service = 'sshd'"), "source")).unionAll(of(e, "host").subtract(of(e.where("host LIKE '%1%'"), "host")))
 
 
 EDGES_SQL = "G AS (SELECT least(a, b) AS a, greatest(a, b) AS b, label FROM (SELECT 'host:' || host AS a, 'ip:' || src_ip AS b, 'seen' AS label FROM E UNION ALL SELECT 'host:' || host, 'user:' || db_user, 'login' FROM E UNION ALL SELECT 'ip:' || src_ip, 'user:' || db_user, 'from' FROM E UNION ALL SELECT 'user:' || db_user, 'person:' || person, 'looked_up' FROM E WHERE service = 'postgres')), EDGES AS (SELECT a, b, max(label) AS label, count(*) AS n FROM G GROUP BY ALL)"

@@ -1,6 +1,7 @@
 """What only larger tables show: values beyond those of the small tables, and rows beyond the limits of a result."""
 
 import datetime
+import re
 
 import duckdb
 import pytest
@@ -54,3 +55,15 @@ def test_facts_of_statements_are_computed_once_and_only_those_wanted(spark):
     assert [tuple(r["s"][k] for k in some) for r in all_.collect()] == [tuple(r["s"]) for r in few.collect()] and few.schema["s"].dataType.names == list(some)
     # The list of its own WITH names is asked for in six places, for each table once more; its pattern is looked for once.
     assert all_._jdf.queryExecution().analyzed().toString().count("recursive )|") == 1
+
+
+def test_set_operations_compare_values_and_not_rows(spark, tmp_path):
+    folder = events(spark, tmp_path, [(i, 1, u, "error", 1.0) for i, u in enumerate((1, 2, 3, 4, 4, 11))])
+    same_as_sql(spark, "u4_set_operations", folder)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large for it
+    try:
+        plan = catalog.QUERIES["u4_set_operations"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(re.findall(r"Join Left(?:Semi|Anti)[^\n]*\n[ :+-]*Aggregate", plan)) == plan.count("Join Left") == 2
