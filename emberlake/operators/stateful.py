@@ -2,6 +2,7 @@
 
 Running values are taken in blocks of time: sums of whole blocks, carried over by a window over the blocks alone, and
 a window within each block. So an actor with a large share of all events is dealt over its blocks.
+What such a step reads twice is a written table, so that nothing before it is computed again.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlake.operators.ordered import shared
+
 DAY_US = 86_400_000_000
 
 
@@ -27,37 +30,40 @@ def sliding(events: DataFrame, actor: str, t: str, width_us: int, distinct: dict
     """A row for each actor and time of an event, with the values over the events of the last width_us, that time included.
 
     distinct and sums: name of the value: column. older_us adds `older`, the number of events of the window that
-    are older than that. A distinct value counts from its event until its next one, or until it leaves the window.
+    are older than that. A distinct value counts from an event before which it wasn't in the window until it leaves that.
     """
     distinct, sums = distinct or {}, sums or {}
     names = [*distinct, *sums, "events", *(["older"] if older_us is not None else [])]
     step = lambda at, **d: F.struct(at.alias("t"), *[(d.get(n, F.lit(0))).cast("long").alias(n) for n in names], d.get("_seen", F.lit(0)).alias("_seen"))
     parts = []
     for name, value in distinct.items():
-        once = events.where(F.col(value).isNotNull()).select(actor, F.col(t).alias("_t"), F.col(value).alias("_v")).distinct()
-        until = F.least(F.coalesce(F.lead("_t").over(Window.partitionBy(actor, "_v").orderBy("_t")), F.col("_t") + width_us + 1), F.col("_t") + width_us + 1)
-        parts.append(once.withColumn("_to", until).select(actor, F.explode(F.array(step(F.col("_t"), **{name: F.lit(1)}), step(F.col("_to"), **{name: F.lit(-1)}))).alias("s")))
+        each = events.where(F.col(value).isNotNull()).select(actor, F.col(t).alias("_t"), F.col(value).alias("_v"))
+        same = Window.partitionBy(actor, "_v").orderBy("_t")
+        far = lambda gap: F.coalesce(gap > width_us, F.lit(True))
+        each = each.select(actor, "_t", far(F.col("_t") - F.lag("_t").over(same)).alias("_comes"), far(F.lead("_t").over(same) - F.col("_t")).alias("_goes"))
+        changes = F.array(F.when(F.col("_comes"), step(F.col("_t"), **{name: F.lit(1)})), F.when(F.col("_goes"), step(F.col("_t") + width_us + 1, **{name: F.lit(-1)})))
+        parts.append(each.where("_comes OR _goes").select(actor, F.explode(changes).alias("s")).where("s IS NOT NULL"))
     adds = {"events": F.lit(1), **{n: F.col(c) for n, c in sums.items()}}
-    own = [step(F.col(t), _seen=F.lit(1), **adds), step(F.col(t) + width_us + 1, **{n: -c for n, c in adds.items()})]
+    leaves = {n: -c for n, c in adds.items()} | ({"older": F.lit(-1)} if older_us is not None else {})
+    own = [step(F.col(t), _seen=F.lit(1), **adds), step(F.col(t) + width_us + 1, **leaves)]
     if older_us is not None:
-        own += [step(F.col(t) + older_us, older=F.lit(1)), step(F.col(t) + width_us + 1, older=F.lit(-1))]
+        own.append(step(F.col(t) + older_us, older=F.lit(1)))
     parts.append(events.select(actor, F.explode(F.array(*own)).alias("s")))
     steps = parts[0]
     for p in parts[1:]:
         steps = steps.unionByName(p)
     at = steps.groupBy(actor, F.col("s.t").alias("t")).agg(*[F.sum(f"s.{n}").alias(n) for n in names], F.max("s._seen").alias("_seen"))
-    return running(at, actor, "t", names).where("_seen = 1").drop("_seen")
+    return running(shared(at, "steps"), actor, "t", names).where("_seen = 1").drop("_seen")
 
 
 def fired(df: DataFrame, actor: str, t: str, hot: Column, cold: Column, block_us: int = DAY_US) -> DataFrame:
     """The rows at which an actor's detector fires: hot, while it is armed; it arms again at the next row that is cold."""
     df = df.withColumn("_s", F.when(hot, 1).when(cold, 0)).withColumn("_block", F.floor(F.col(t) / block_us))
-    blocks = df.where("_s IS NOT NULL").groupBy(actor, "_block").agg(F.max_by("_s", t).alias("_last"))
-    told = df.select(actor, "_block").distinct().join(blocks, [actor, "_block"], "left")
-    before = Window.partitionBy(actor).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = told.select(actor, "_block", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-    within = Window.partitionBy(actor, "_block").orderBy(t).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.join(carried, [actor, "_block"]).withColumn("_was", F.coalesce(F.last("_s", ignorenulls=True).over(within), F.col("_carried"), F.lit(0)))
+    df = shared(df.where("_s IS NOT NULL"), "states")  # rows that are neither change nothing
+    blocks = df.groupBy(actor, "_block").agg(F.max_by("_s", t).alias("_last"))
+    carried = blocks.select(actor, "_block", F.lag("_last").over(Window.partitionBy(actor).orderBy("_block")).alias("_carried"))
+    before = F.lag("_s").over(Window.partitionBy(actor, "_block").orderBy(t))
+    out = df.join(carried, [actor, "_block"]).withColumn("_was", F.coalesce(before, F.col("_carried"), F.lit(0)))
     return out.where("_s = 1 AND _was = 0").drop("_s", "_was", "_block", "_carried")
 
 

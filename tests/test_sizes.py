@@ -67,3 +67,19 @@ def test_set_operations_compare_values_and_not_rows(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(re.findall(r"Join Left(?:Semi|Anti)[^\n]*\n[ :+-]*Aggregate", plan)) == plan.count("Join Left") == 2
+
+
+def test_low_and_slow_reads_its_input_once_for_each_kind_of_step(spark):
+    from emberlake.operators import stateful
+
+    rows = [(f"a{i % 3}", f"p{i % 7}", i // 40, i * 1_000_003) for i in range(400)]
+    at = f"{spark.conf.get('spark.checkpoint.dir')}/low-and-slow"
+    spark.createDataFrame(rows, "actor string, person string, session long, us long").write.mode("overwrite").parquet(at)
+    out = stateful.low_and_slow(spark.read.parquet(at), "actor", "person", "session", "us", 100_000_000, 4, 3, 20_000_000, 2)
+    assert at.split(":")[1].lstrip("/") not in "".join(out.inputFiles())  # what it reads is what it has written, not the input again
+    # A value counts while it is in the window, however often it comes again.
+    got = {(r["actor"], r["t"]): r for r in stateful.sliding(spark.read.parquet(at), "actor", "us", 100_000_000, {"subjects": "person", "sessions": "session"}, older_us=20_000_000).collect()}
+    for a, _, _, t in rows:
+        inside = [r for r in rows if r[0] == a and t - 100_000_000 <= r[3] <= t]
+        want = (len({r[1] for r in inside}), len({r[2] for r in inside}), len(inside), sum(r[3] <= t - 20_000_000 for r in inside))
+        assert tuple(got[a, t][k] for k in ("subjects", "sessions", "events", "older")) == want
