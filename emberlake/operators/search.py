@@ -41,7 +41,7 @@ def bucket_of(term: str) -> int:
 def _put(df: DataFrame, folder: str, table: str, part: str, by: list[str], bucketed: bool) -> None:
     to = f"{folder}/{table}/part={part}"
     if bucketed:
-        df = df.repartition("bucket", F.pmod(F.xxhash64(*by), F.lit(8))).sortWithinPartitions("bucket", *by)  # a frequent term is dealt to eight tasks by its blocks
+        df = df.hint("rebalance", "bucket").sortWithinPartitions("bucket", *by)  # the folder of a frequent term is dealt to tasks by its bytes
         df.write.partitionBy("bucket").option("compression", "zstd").parquet(to)
     else:
         df.write.option("compression", "zstd").option("parquet.bloom.filter.enabled#id", "true").parquet(to)
@@ -54,26 +54,47 @@ def index_text(events: DataFrame, folder: str, exclude: tuple[str, ...] = (), re
     kept = kept.select(F.col("id").cast("string").alias("id"), "us", *LABELS, "message")
     _put(kept, folder, "docs", part, ["id"], False)
     docs = versions.read(spark, folder, "docs", [part], f"{DOCS}, part string").drop("part")
-    tokens = F.filter(F.split(F.lower(F.coalesce("message", F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
-    split = docs.select("id", "us", *LABELS, tokens.alias("_w")).withColumn("len", F.size("_w"))
+    # Documents are shuffled by id, and so not their terms, which are many times as large: those stay where their document is.
+    split = docs.repartition("id").select("id", "us", *LABELS, _tokens().alias("_w")).withColumn("len", F.size("_w"))
     each = split.select("id", "us", *LABELS, "len", F.explode("_w").alias("term")).groupBy("term", "id", "us", *LABELS, "len").agg(F.count("*").cast("int").alias("tf"))
     each = each.withColumns({"block": F.coalesce(F.floor(F.col("us") / block_us), F.lit(-(1 << 62))), "bucket": (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int")})
+    _finish(spark, folder, part, each, replaces, block_us)
+    return part
+
+
+def _tokens() -> Column:
+    return F.filter(F.split(F.lower(F.coalesce("message", F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+
+
+def _finish(spark: SparkSession, folder: str, part: str, each: DataFrame, replaces: list[str], block_us: int) -> None:
+    """Writes the postings of a part whose documents are written, and what is told of its terms, and commits it."""
     _put(each.select(*[c.split()[0] for c in POSTINGS.split(", ")], "bucket"), folder, "postings", part, ["term", "block"], True)
     written = versions.read(spark, folder, "postings", [part], f"{POSTINGS}, part string, bucket int")
     _put(written.groupBy("bucket", "term", "block").agg(F.count("*").alias("df"), F.max("tf").alias("most_tf"), F.min("len").alias("least_len")), folder, "terms", part, ["term", "block"], True)
-    size = docs.select(F.size(tokens).alias("n")).agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    docs = versions.read(spark, folder, "docs", [part], f"{DOCS}, part string")
+    size = docs.select(F.size(_tokens()).alias("n")).agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
     versions.commit(spark, folder, part, {"docs": size["docs"], "words": size["words"], "block_us": block_us}, replaces)
-    return part
 
 
 def rewrite_text(spark: SparkSession, folder: str, keep: Column) -> list[str]:
-    """Takes the documents that aren't to be kept out of the index: the parts that hold any are written anew, then emptied. Returns them."""
-    parts = [r["part"] for r in versions.live(spark, folder)]
-    docs = versions.read(spark, folder, "docs", parts, f"{DOCS}, part string")
+    """Takes the documents that aren't to be kept out of the index: the parts that hold any are written anew, then emptied. Returns them.
+
+    keep is a condition on id, us and labels, which postings have as well; so these are filtered and not made again.
+    """
+    live = versions.live(spark, folder)
+    docs = versions.read(spark, folder, "docs", [r["part"] for r in live], f"{DOCS}, part string")
     hit = [r["part"] for r in docs.where(~F.coalesce(keep, F.lit(False))).select("part").distinct().collect()]  # names of parts
-    if hit:
-        index_text(versions.read(spark, folder, "docs", hit, f"{DOCS}, part string").where(keep), folder, replaces=hit)
-        versions.swept(spark, folder, {"docs": DOCS, "postings": POSTINGS, "terms": TERMS})
+    if not hit:
+        return hit
+    spans: dict[int, list[str]] = {}
+    for r in live:
+        if r["part"] in hit:
+            spans.setdefault(int(r["facts"]["block_us"]), []).append(r["part"])
+    for block_us, parts in spans.items():  # a span of time, a new part
+        part = versions.new_part()
+        _put(versions.read(spark, folder, "docs", parts, f"{DOCS}, part string").where(keep).drop("part"), folder, "docs", part, ["id"], False)
+        _finish(spark, folder, part, versions.read(spark, folder, "postings", parts, f"{POSTINGS}, part string, bucket int").where(keep), parts, block_us)
+    versions.swept(spark, folder, {"docs": DOCS, "postings": POSTINGS, "terms": TERMS})
     return hit
 
 

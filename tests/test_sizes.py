@@ -83,3 +83,18 @@ def test_low_and_slow_reads_its_input_once_for_each_kind_of_step(spark):
         inside = [r for r in rows if r[0] == a and t - 100_000_000 <= r[3] <= t]
         want = (len({r[1] for r in inside}), len({r[2] for r in inside}), len(inside), sum(r[3] <= t - 20_000_000 for r in inside))
         assert tuple(got[a, t][k] for k in ("subjects", "sessions", "events", "older")) == want
+
+
+def test_erasure_from_the_text_index_keeps_postings_and_their_span_of_time(spark, tmp_path):
+    from emberlake.operators import search
+    from emberlake.sources import versions
+
+    rows = [(str(i), i * 3_600_000_000, f"h{i % 3}", "s", "x", "info", "t", f"w{i % 5} w{i % 5} all") for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, us long, host string, service string, source string, severity string, log_type string, message string")
+    at = versions.created(spark, f"file://{tmp_path}/index")
+    search.index_text(df, at, block_us=86_400_000_000)
+    search.erase_host(spark, at, "h1")
+    (live,) = versions.live(spark, at)
+    assert live["facts"] == {"docs": "40", "words": "120", "block_us": "86400000000"}
+    held = versions.read(spark, at, "postings", [live["part"]], search.POSTINGS)
+    assert {(r["term"], r["id"], r["tf"], r["block"]) for r in held.collect()} == {(w, r[0], n, r[1] // 86_400_000_000) for r in rows if r[2] != "h1" for w, n in ((r[7].split()[0], 2), ("all", 1))}
