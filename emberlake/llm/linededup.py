@@ -4,7 +4,7 @@ Lines that aren't blank, lower-cased and trimmed, are compared over the whole co
 Distinct lines get a MinHash signature of their EXACT-character shingles, at every character: each is hashed
 once, to 64 bits; a minimum of the signature is the least value of that hash, rotated and under an exclusive-or mask.
 ROWS of the minima make a band key (each minimum serves in two bands). Lines in one bucket are candidates; their full
-sets of shingles decide, at a Jaccard similarity of THRESHOLD. Components of the links come from a distributed
+sets of shingles (as hashes of 64 bits) decide, at a Jaccard similarity of THRESHOLD. Components of the links come from a distributed
 union-find, and of each component the line that is first, by document id and line number, stays.
 
 Candidates: each line meets the most central line of each of its buckets (its hubs); of those that may be near by their
@@ -57,7 +57,7 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(found: DataFrame) -> DataFrame:
-    """(a, bits, keys) for each distinct line: the low 4 bits of its minima, packed, and its band keys."""
+    """(a, bits, keys) for each distinct line: the low 4 bits of its minima, packed, and its band keys of 32 bits."""
     u, p, h = F.col("u"), F.col("p"), F.col("h")
     # Each distinct line once; what follows keeps this grouping, so only the lines are shuffled.
     at = found.groupBy("a", "b").agg(F.min("line").alias("line")).select("a", "b", F.encode("line", "UTF-32").alias("u"))
@@ -68,7 +68,7 @@ def signatures(found: DataFrame) -> DataFrame:
     least = hashed.groupBy("a", "b").agg(*[F.min(F.col(f"h{k % ROTATIONS}").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(MASKS)])
     nibble = lambda k: F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(15)), 4 * (k % 16))
     packed = [reduce(lambda x, y: x.bitwiseOR(y), [nibble(k) for k in range(16 * n, min(16 * n + 16, MINIMA))]) for n in range(LONGS)]
-    keys = F.array(*[F.xxhash64(F.lit(j), *[F.col(f"m{k}") for k in ks]) for j, ks in enumerate(BAND)])
+    keys = F.array(*[F.hash(F.lit(j), *[F.col(f"m{k}") for k in ks]) for j, ks in enumerate(BAND)])
     return least.select("a", F.array(*packed).alias("bits"), keys.alias("keys"))
 
 
@@ -78,12 +78,15 @@ def agree(x: Column, y: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """The distinct character shingles of a line; a shorter line is one itself."""
-    return F.when(F.length(line) > EXACT, F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{EXACT}}}))"), F.lit(1)))).otherwise(F.array(line))
+    """The hashes of the distinct character shingles of a line; a shorter line is one itself."""
+    last = lambda u: F.greatest((F.octet_length(u) / 4).cast("int") - EXACT, F.lit(0))
+    # A list of one line binds its code points to a name, so that they are made once.
+    each = F.transform(F.array(F.encode(line, "UTF-32")), lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), last(u)), lambda p: F.xxhash64(F.substring(u, 4 * p + 1, F.lit(4 * EXACT))))))
+    return F.element_at(each, 1)
 
 
-def compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """pairs (x, y) of lines with `rel`, how the shingles of y differ from those of x; pairs is a written table.
+def compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, maps: bool = True) -> DataFrame:
+    """pairs (x, y) of lines with `rel`, how the shingles of y differ from those of x, or its sizes alone; pairs is a written table.
 
     Lines meet as text, and their sets are made where they meet: a set is many times its line.
     """
@@ -94,7 +97,8 @@ def compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     of = lambda c: texts.select(F.col("a").alias(c), F.col("line").alias(f"line_{c}"))
     met = pairs.select("x", "y").join(of("y"), "y").join(of("x"), "x")
     sets = F.array(F.struct(shingles(F.col("line_x")).alias("x"), shingles(F.col("line_y")).alias("y")))
-    return met.select("x", "y", F.element_at(F.transform(sets, lambda s: against_hub(s["y"], s["x"])), 1).alias("rel"))
+    sizes = lambda s: F.struct(F.size(s["y"]).alias("n"), F.size(s["x"]).alias("n_hub"), F.size(F.array_intersect(s["y"], s["x"])).alias("both"))
+    return met.select("x", "y", F.element_at(F.transform(sets, lambda s: against_hub(s["y"], s["x"]) if maps else sizes(s)), 1).alias("rel"))
 
 
 def central(bucket: DataFrame) -> DataFrame:
@@ -114,9 +118,10 @@ def linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # A share of the bands at a time, so that the disk holds the exchange of no more than that share.
     shares = []
     for k in range(SHARES):
-        many = F.ceil(F.size("keys") / SHARES).cast("int")
-        # One shuffle by key serves the count of each bucket and the join back.
-        each = keyed.select("a", F.explode(F.slice("keys", 1 + k * many, many)).alias("key")).repartition("key")
+        many = BANDS // SHARES
+        # One shuffle by key serves the count of each bucket and the join back. A key is the number of its band and its 32 bits.
+        each = keyed.select("a", F.posexplode(F.slice("keys", 1 + k * many, many)).alias("band", "short"))
+        each = each.select("a", ((F.col("band").cast("long") + k * many) * (1 << 32) + F.col("short")).alias("key")).repartition("key")
         # The count names a, so that both readers of the exchange want the same columns and it is reused.
         shared = each.groupBy("key").agg(F.count("a").alias("m")).where("m > 1")
         shares.append(cut(each.join(shared.hint("shuffle_hash"), "key").select("key", "a", "m")))
@@ -146,10 +151,10 @@ def linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     tried = F.coalesce(F.col("hub_x") == F.col("y"), F.lit(False)) | F.coalesce(F.col("hub_y") == F.col("x"), F.lit(False))
     hopeless = (F.col("hub_x") == F.col("hub_y")) & ~may_reach(F.col("rel_x"), F.col("rel_y"), THRESHOLD)
     # Two lines may share several buckets; they meet in the first of them.
-    first = F.element_at(F.array_intersect("keys_x", "keys_y"), 1) == x["key"]
+    first = F.array_position(F.zip_with("keys_x", "keys_y", lambda p, q: p == q), True) == F.shiftright(x["key"] + (1 << 31), 32) + 1
     rest = x.join(y, (x["key"] == y["key_y"]) & apart & ~tried & agree(F.col("bits_x"), F.col("bits_y")) & ~F.coalesce(hopeless, F.lit(False)) & first)
     rest = cut(rest.select("x", "y").distinct())
-    more = compared(rest, docs, id_col, text_col).where(enough(F.col("rel.both"), F.col("rel.n"), F.col("rel.n_hub"), THRESHOLD)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    more = compared(rest, docs, id_col, text_col, maps=False).where(enough(F.col("rel.both"), F.col("rel.n"), F.col("rel.n_hub"), THRESHOLD)).select(F.col("x").alias("a"), F.col("y").alias("b"))
     return components(tied.union(more))
 
 

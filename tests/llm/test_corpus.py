@@ -255,3 +255,16 @@ def test_pipeline_stages(spark):
         docs = out
     assert seen[0] < given.count() and seen[-1] == seen[-2]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, at).select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_lines_are_compared_by_hashed_shingles_without_maps_where_sizes_do(spark):
+    texts = ["abcdefgh", "abcdefgx", "na na na na na", "éàü𝒳yz¡", "abc"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "line string").select(F.size(linededup.shingles(F.col("line")))).collect()]
+    assert got == [len({x[i : i + 5] for i in range(max(1, len(x) - 4))}) for x in texts]
+    docs = spark.createDataFrame([(1, "abcdefgh\nabcdefgx")], "doc_id long, text string")
+    a = {r["line"]: r["a"] for r in linededup.lines(docs, "doc_id", "text").collect()}
+    pairs = common.cut(spark.createDataFrame([(a["abcdefgh"], a["abcdefgx"])], "x long, y long"))
+    (rel,) = [r["rel"].asDict() for r in linededup.compared(pairs, docs, "doc_id", "text", maps=False).collect()]
+    assert rel == {"n": 4, "n_hub": 4, "both": 3}
+    assert {type(k) for r in linededup.signatures(linededup.lines(docs, "doc_id", "text")).collect() for k in r["keys"]} == {int}
+    assert dict(linededup.signatures(linededup.lines(docs, "doc_id", "text")).dtypes)["keys"] == "array<int>"
