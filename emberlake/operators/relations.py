@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from zlib import crc32
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,18 +192,29 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str], k1: floa
     return df.where(any_).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))  # stats is one row
 
 
+#: Vectors and probes that a task of `nearest` compares, about: what it sorts to keep the best is bounded by their product.
+TASK_VECTORS, TASK_PROBES = 5_000, 1_000
+
+
 def nearest(vectors: DataFrame, probes: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """The k most similar vectors of each probe by exact cosine; probes are a stated, bounded set that is broadcast in full.
+    """The k most similar vectors of each probe by exact cosine; all pairs are compared.
 
-    Spark limits each task to k rows for a probe before the shuffle, so what is shuffled doesn't grow with the vectors.
+    Spark sorts what a task has compared and limits it to k rows for a probe before the shuffle. So a task gets TASK_VECTORS vectors,
+    and probes go in groups of TASK_PROBES, each broadcast by itself.
     """
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     dot = F.aggregate(F.zip_with("v", "p", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), norm(F.col(vec_col)).alias("nv"))
-    p = bounded(row_bytes=16_384, df=probes.select(F.col(id_col).alias("probe"), F.col(vec_col).alias("p"), norm(F.col(vec_col)).alias("np")))
-    met = v.join(p, F.col("id") != F.col("probe")).select("probe", "id", (dot / (F.col("nv") * F.col("np"))).alias("cosine"))
+    p = probes.select(F.col(id_col).alias("probe"), F.col(vec_col).alias("p"), norm(F.col(vec_col)).alias("np"))
+    tasks, groups = max(1, -(-v.count() // TASK_VECTORS)), max(1, -(-probes.count() // TASK_PROBES))
+    v = v.repartition(max(tasks, v.sparkSession.sparkContext.defaultParallelism), "id")
     place = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("cosine"), "id"))
-    return met.withColumn("place", place).where(F.col("place") <= k).select("probe", "place", "id", "cosine")
+    found = []
+    for g in range(groups):
+        met = v.join(F.broadcast(p.where(F.pmod(F.xxhash64("probe"), F.lit(groups)) == g)), F.col("id") != F.col("probe"))
+        met = met.select("probe", "id", (dot / (F.col("nv") * F.col("np"))).alias("cosine"))
+        found.append(met.withColumn("place", place).where(F.col("place") <= k).select("probe", "place", "id", "cosine"))
+    return reduce(DataFrame.union, found)
 
 
 def fuse(signals: list[tuple[DataFrame, float]], key: str = "id", k: int = 60) -> DataFrame:

@@ -98,3 +98,16 @@ def test_erasure_from_the_text_index_keeps_postings_and_their_span_of_time(spark
     assert live["facts"] == {"docs": "40", "words": "120", "block_us": "86400000000"}
     held = versions.read(spark, at, "postings", [live["part"]], search.POSTINGS)
     assert {(r["term"], r["id"], r["tf"], r["block"]) for r in held.collect()} == {(w, r[0], n, r[1] // 86_400_000_000) for r in rows if r[2] != "h1" for w, n in ((r[7].split()[0], 2), ("all", 1))}
+
+
+def test_nearest_vectors_go_in_slices_and_groups_of_probes(spark, monkeypatch):
+    monkeypatch.setattr(relations, "TASK_VECTORS", 20)
+    monkeypatch.setattr(relations, "TASK_PROBES", 3)
+    vec = {i: [float((i * k) % 17 + 1) for k in (3, 5, 7)] for i in range(200)}
+    df = spark.createDataFrame(list(vec.items()), "vec_id long, embedding array<double>")
+    out = relations.nearest(df, df.where("vec_id % 20 = 0"), 4)
+    got = {(r["probe"], r["place"]): r["cosine"] for r in out.collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    for p in range(0, 200, 20):
+        best = sorted((dot(vec[p], v) / (dot(vec[p], vec[p]) * dot(v, v)) ** 0.5 for i, v in vec.items() if i != p), reverse=True)[:4]
+        assert [got[p, k + 1] for k in range(4)] == pytest.approx(best)
