@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 from zlib import crc32
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,29 +194,128 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str], k1: floa
     return df.where(any_).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))  # stats is one row
 
 
-#: Vectors and probes that a task of `nearest` compares, about: what it sorts to keep the best is bounded by their product.
-TASK_VECTORS, TASK_PROBES = 5_000, 1_000
+#: Vectors and probes that a cell of `nearest` compares at most, about, and those that it multiplies at once.
+TASK_VECTORS, TASK_PROBES = 20_000, 10_000
+BLOCK_VECTORS, BLOCK_PROBES = 4_000, 1_000
+#: Products of matrices find what is nearest but for this much; what comes within it is computed as SQL does.
+SLACK = 1e-9
 
 
 def nearest(vectors: DataFrame, probes: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k most similar vectors of each probe by exact cosine; all pairs are compared.
 
-    Spark sorts what a task has compared and limits it to k rows for a probe before the shuffle. So a task gets TASK_VECTORS vectors,
-    and probes go in groups of TASK_PROBES, each broadcast by itself.
+    Slices of the vectors meet groups of the probes, each pair of them in a cell of its own, which multiplies blocks of them and gives its k
+    best for a probe; so what a task holds doesn't grow with the tables. A cosine is the dot product over the root of the product of the
+    squared lengths, summed in order, from -1 to 1; it is NaN, and first, where a length is 0, and null, and last, where a vector is
+    null, empty, of another length or has a null.
     """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    dot = F.aggregate(F.zip_with("v", "p", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), norm(F.col(vec_col)).alias("nv"))
-    p = probes.select(F.col(id_col).alias("probe"), F.col(vec_col).alias("p"), norm(F.col(vec_col)).alias("np"))
-    tasks, groups = max(1, -(-v.count() // TASK_VECTORS)), max(1, -(-probes.count() // TASK_PROBES))
-    v = v.repartition(max(tasks, v.sparkSession.sparkContext.defaultParallelism), "id")
+    kind = vectors.schema[vec_col].dataType
+    v, p = (df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>" if kind.simpleString() == "array<float>" else "array<double>").alias("v")) for df in (vectors, probes))
+    slices = max(-(-v.count() // TASK_VECTORS), v.sparkSession.sparkContext.defaultParallelism)
+    groups = max(1, -(-p.count() // TASK_PROBES))
+    # A vector goes to the cells of its slice, a probe to those of its group.
+    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    v = v.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: of(slices) * groups + g)))
+    p = p.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda s: s * groups + of(groups))))
+    id_type = vectors.schema[id_col].dataType.simpleString()
+    met = p.groupBy("cell").cogroup(v.groupBy("cell")).applyInArrow(lambda x, y: _nearest_in(k, x, y), f"probe {id_type}, id {id_type}, cosine double")
     place = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("cosine"), "id"))
-    found = []
-    for g in range(groups):
-        met = v.join(F.broadcast(p.where(F.pmod(F.xxhash64("probe"), F.lit(groups)) == g)), F.col("id") != F.col("probe"))
-        met = met.select("probe", "id", (dot / (F.col("nv") * F.col("np"))).alias("cosine"))
-        found.append(met.withColumn("place", place).where(F.col("place") <= k).select("probe", "place", "id", "cosine"))
-    return reduce(DataFrame.union, found)
+    return met.withColumn("place", place).where(F.col("place") <= k).select("probe", "place", "id", "cosine")
+
+
+def _nearest_in(k: int, probes: pa.Table, vectors: pa.Table) -> pa.Table:
+    """(probe, id, cosine) of one cell: at least the k best of each probe."""
+    given, ids = (t["id"].to_numpy() for t in (probes, vectors))
+    most = k + (int(np.unique(ids, return_counts=True)[1].max()) if len(ids) else 0)  # a probe isn't near to itself, how often its id may come
+    out: list[tuple] = []
+    of_probes, of_vectors = _matrices(probes["v"]), _matrices(vectors["v"])
+    for n in {-1, *of_probes} if len(ids) else ():
+        at, x = of_probes.get(n, (np.zeros(0, int), None))
+        rows, y = of_vectors.get(n, (np.zeros(0, int), None))
+        if n > 0 and len(at) and len(rows):
+            same, held = _copies(y, ids[rows], most)
+            for lo in range(0, len(at), BLOCK_PROBES):
+                probe = at[lo : lo + BLOCK_PROBES]
+                row, col, cosine = _best(x[lo : lo + BLOCK_PROBES], y[same], most)
+                many = np.diff(held[1])[col]
+                place = np.repeat(held[1][col] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+                out.append((given[probe][np.repeat(row, many)], held[0][place], np.repeat(cosine, many), np.zeros(len(place), bool)))
+        # Those without a cosine come last, so the first of them by id are enough.
+        rest = np.sort(np.delete(ids, rows) if n > 0 else ids)[:most]
+        if len(at) and len(rest) and (n < 0 or len(rows) < most):
+            out.append((np.repeat(given[at], len(rest)), np.tile(rest, len(at)), np.zeros(len(at) * len(rest)), np.ones(len(at) * len(rest), bool)))
+    probe, id_, cosine, null = (np.concatenate(c) for c in zip(*out)) if out else (given[:0], ids[:0], np.zeros(0), np.zeros(0, bool))
+    other = probe != id_
+    types = probes.schema.field("id").type
+    return pa.table({"probe": pa.array(probe[other], types), "id": pa.array(id_[other], types), "cosine": pa.array(cosine[other], mask=null[other])})
+
+
+def _matrices(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The rows and the matrix of the vectors of each length; -1 has the rows that have no cosine."""
+    column = column.combine_chunks()
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    length = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False).astype(int)
+    flat, parent = column.flatten(), pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
+    if flat.null_count:
+        length[parent[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+    length[length == 0] = -1
+    values, found = flat.to_numpy(zero_copy_only=False).astype(float), {}
+    for n in np.unique(length):
+        rows = np.flatnonzero(length == n)
+        found[int(n)] = rows, values[length[parent] == n].reshape(-1, n) if n > 0 else None
+    return found
+
+
+def _copies(y: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """A row of y for each of its distinct vectors, by their least id, and the first ids of each: (ids, bounds)."""
+    order = np.argsort(ids, kind="stable")
+    raw = np.ascontiguousarray(y[order]).view(np.dtype((np.void, y.shape[1] * 8))).ravel()
+    _, first, of = np.unique(raw, return_index=True, return_inverse=True)
+    place = np.argsort(np.argsort(first))[of.ravel()]  # distinct vectors in the order of their least ids
+    by = np.argsort(place, kind="stable")
+    bounds = np.searchsorted(place[by], np.arange(len(first) + 1))
+    kept = np.arange(len(by)) - bounds[place[by]] < most
+    return order[np.sort(first)], (ids[order][by[kept]], np.concatenate([[0], np.cumsum(np.minimum(np.diff(bounds), most))]))
+
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The cosines of vectors along the last axes of x and y, summed in order."""
+    dot, xx, yy = 0.0, 0.0, 0.0
+    for j in range(x.shape[-1]):
+        a, b = x[..., j], y[..., j]
+        dot, xx, yy = dot + a * b, xx + a * a, yy + b * b
+    return np.clip(dot / np.sqrt(xx * yy), -1.0, 1.0)
+
+
+def _best(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, cosine) of the best pairs of each row of x, so many at most; of equal ones the first rows of y."""
+    with np.errstate(all="ignore"):
+        xx, yy = (x * x).sum(1), (y * y).sum(1)
+        usual_x, usual_y = ((n > 1e-100) & (n < 1e100) for n in (xx, yy))
+        unit_x, unit_y = x / np.sqrt(xx)[:, None], y / np.sqrt(yy)[:, None]
+        row, col, cosine = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        least = np.full(len(x), -np.inf)
+        for lo in range(0, len(y), BLOCK_VECTORS):
+            part = slice(lo, lo + BLOCK_VECTORS)
+            near = unit_x @ unit_y[part].T
+            for rows, cols in ((np.flatnonzero(~usual_x), np.arange(near.shape[1])), (np.arange(len(x)), np.flatnonzero(~usual_y[part]))):
+                if len(rows) and len(cols):  # products of zero, endless or extreme vectors tell nothing
+                    near[np.ix_(rows, cols)] = np.nan_to_num(_cosines(x[rows, None], y[None, lo + cols]), nan=2.0)
+            floor = least
+            if np.isneginf(least).any() and near.shape[1] > most:
+                floor = np.maximum(least, np.partition(near, -most, axis=1)[:, -most])
+            r, c = np.nonzero(near >= (floor - SLACK)[:, None])
+            exact = [_cosines(x[r[i : i + 100_000]], y[lo + c[i : i + 100_000]]) for i in range(0, len(r), 100_000)]
+            row, col, cosine = np.concatenate([row, r]), np.concatenate([col, lo + c]), np.concatenate([cosine, *exact])
+            order = np.lexsort((col, -np.nan_to_num(cosine, nan=2.0), row))
+            row, col, cosine = row[order], col[order], cosine[order]
+            begins = np.searchsorted(row, np.arange(len(x)))
+            kept = np.arange(len(row)) - begins[row] < most
+            row, col, cosine = row[kept], col[kept], cosine[kept]
+            full = np.bincount(row, minlength=len(x)) >= most
+            last = np.searchsorted(row, np.arange(len(x)), "right") - 1
+            least[full] = np.nan_to_num(cosine[last[full]], nan=2.0)
+        return row, col, cosine
 
 
 def fuse(signals: list[tuple[DataFrame, float]], key: str = "id", k: int = 60) -> DataFrame:

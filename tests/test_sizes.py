@@ -111,3 +111,18 @@ def test_nearest_vectors_go_in_slices_and_groups_of_probes(spark, monkeypatch):
     for p in range(0, 200, 20):
         best = sorted((dot(vec[p], v) / (dot(vec[p], vec[p]) * dot(v, v)) ** 0.5 for i, v in vec.items() if i != p), reverse=True)[:4]
         assert [got[p, k + 1] for k in range(4)] == pytest.approx(best)
+
+
+def test_nearest_vectors_equal_sql_on_copies_and_odd_vectors_without_a_row_for_a_pair(spark, monkeypatch, tmp_path):
+    for name, n in (("TASK_VECTORS", 40), ("TASK_PROBES", 2)):
+        monkeypatch.setattr(relations, name, n)
+    vec = {i: [float((i * k) % 13 - 6) * (1 + i % 3) for k in (3, 5, 7)] for i in range(600)}
+    vec |= {600: None, 601: [0.0, 0.0, 0.0], 602: [1e-30, 0.0, 0.0], 700: [0.0, 0.0, 0.0], 800: None, 900: vec[100]}
+    spark.createDataFrame(list(vec.items()), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = catalog.QUERIES["d24_nearest_vectors"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    shown = lambda rows: sorted((*r[:3], str(r[3])) for r in rows)
+    assert shown(tuple(r) for r in out.collect()) == shown(con.execute(catalog.NEAREST_SQL).fetchall())
