@@ -39,6 +39,8 @@ FAR_OFF = 5.0
 SHARES = 2
 #: Ids (8 bytes each) are broadcast up to so many, else joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Shingles in a row that the minima are taken of: a minimum over rows costs several times the comparison within one.
+BLOCK = 8
 #: Minima under one rotation see the same order of bits; several keep them apart in short lines too.
 ROTATIONS = 8
 
@@ -58,14 +60,18 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def signatures(found: DataFrame) -> DataFrame:
     """(a, bits, keys) for each distinct line: the low 4 bits of its minima, packed, and its band keys of 32 bits."""
-    u, p, h = F.col("u"), F.col("p"), F.col("h")
+    u, p, last = F.col("u"), F.col("p"), F.col("last")
     # Each distinct line once; what follows keeps this grouping, so only the lines are shuffled.
     at = found.groupBy("a", "b").agg(F.min("line").alias("line")).select("a", "b", F.encode("line", "UTF-32").alias("u"))
-    at = at.select("*", F.explode(F.sequence(F.lit(0), F.greatest((F.octet_length(u) / 4).cast("int") - EXACT, F.lit(0)))).alias("p"))
-    hashed = at.select("a", "b", F.xxhash64(F.substring(u, (4 * p + 1).cast("int"), F.lit(4 * EXACT))).alias("h"))
-    turned = [h if r == 0 else F.shiftleft(h, 64 // ROTATIONS * r).bitwiseOR(F.shiftrightunsigned(h, 64 - 64 // ROTATIONS * r)) for r in range(ROTATIONS)]
-    hashed = hashed.select("a", "b", *[t.alias(f"h{r}") for r, t in enumerate(turned)])
-    least = hashed.groupBy("a", "b").agg(*[F.min(F.col(f"h{k % ROTATIONS}").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(MASKS)])
+    at = at.select("*", F.greatest((F.octet_length(u) / 4).cast("int") - EXACT, F.lit(0)).alias("last"))
+    at = at.select("*", F.explode(F.sequence(F.lit(0), last, F.lit(BLOCK))).alias("p"))
+    # A row has BLOCK shingles, beyond the end the last one again; the minima of a line take the least of each row.
+    hashed = at.select("a", "b", *[F.xxhash64(F.substring(u, 4 * F.least(p + i, last) + 1, F.lit(4 * EXACT))).alias(f"h{i}") for i in range(BLOCK)])
+    hash_ = [F.col(f"h{i}") for i in range(BLOCK)]
+    turned = [[h if r == 0 else F.shiftleft(h, 64 // ROTATIONS * r).bitwiseOR(F.shiftrightunsigned(h, 64 - 64 // ROTATIONS * r)) for h in hash_] for r in range(ROTATIONS)]
+    least = hashed.groupBy("a", "b").agg(*[F.min(F.least(*[h.bitwiseXOR(mask) for h in turned[k % ROTATIONS]])).alias(f"m{k}") for k, mask in enumerate(map(F.lit, MASKS))])
+    # No minimum is null. Where Spark knows that, the code that it makes below is short enough for the JVM to compile (8,000 bytes of a method).
+    least = least.where(reduce(Column.__and__, [F.col(f"m{k}").isNotNull() for k in range(MINIMA)]))
     nibble = lambda k: F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(15)), 4 * (k % 16))
     packed = [reduce(lambda x, y: x.bitwiseOR(y), [nibble(k) for k in range(16 * n, min(16 * n + 16, MINIMA))]) for n in range(LONGS)]
     keys = F.array(*[F.hash(F.lit(j), *[F.col(f"m{k}") for k in ks]) for j, ks in enumerate(BAND)])

@@ -268,3 +268,28 @@ def test_lines_are_compared_by_hashed_shingles_without_maps_where_sizes_do(spark
     assert rel == {"n": 4, "n_hub": 4, "both": 3}
     assert {type(k) for r in linededup.signatures(linededup.lines(docs, "doc_id", "text")).collect() for k in r["keys"]} == {int}
     assert dict(linededup.signatures(linededup.lines(docs, "doc_id", "text")).dtypes)["keys"] == "array<int>"
+
+
+def test_signatures_take_every_shingle_by_code_that_the_jvm_compiles(spark):
+    import re
+
+    rows = [("".join(chr(97 + (7 * n + k * k) % 23) for k in range(n)),) for n in range(1, 4 * linededup.BLOCK)] + [("ñandú 𝔘nd " * 9,)]
+    docs = spark.createDataFrame([(1, "\n".join(r[0] for r in rows))], "doc_id long, text string")
+    found = linededup.lines(docs, "doc_id", "text")
+    got = {r["a"]: (r["bits"], r["keys"]) for r in linededup.signatures(found).collect()}
+    # Signed numbers of 64 bits, by a hash of each shingle.
+    signed = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
+    turn = lambda h, r: (h << 8 * r | h % (1 << 64) >> 64 - 8 * r) if r else h
+    for r in found.select("a", linededup.shingles(F.col("line")).alias("set")).collect():
+        minima = [min(signed(turn(h, k % linededup.ROTATIONS)) ^ m for h in r["set"]) for k, m in enumerate(linededup.MASKS)]
+        bits = [signed(sum((m & 15) << 4 * k for k, m in enumerate(minima[16 * n : 16 * n + 16]))) for n in range(linededup.LONGS)]
+        assert got.pop(r["a"])[0] == bits
+    assert not got
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        code = linededup.signatures(found)._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) <= 8000  # a longer method is interpreted
